@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewell.llm import langid, pieces, pii, urlfilter
+from prosewell.llm import decontam, langid, pieces, pii, secrets, urlfilter
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,6 +23,37 @@ def _fold(modulus: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
+@_query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every whole text, with the forest's verdict."""
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.train_forest(secrets.labelled_findings(spark)))
+
+
+@_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold windows of benchmark items."""
+    found = decontam.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    n_items = F.size("item_ids").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
+
+
+ORACLES["op3_decontamination"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(8, len(w)) AS n, array_to_string(w[i + 1:i + least(8, len(w))], ' ') AS phrase
+       FROM (SELECT item_id, w, unnest(range(0, len(w) - least(8, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') AS phrase
+       FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, i, n FROM dw JOIN bw USING (n, phrase)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 @_query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the rows outside the held-out fold."""
