@@ -112,3 +112,59 @@ def words_hashed(texts: list[str | None], chunk: int = 4_000_000):
         bounds = np.cumsum([len(d) + 1 for d in datas])
         n_words = np.diff(np.concatenate([[0], np.searchsorted(start, bounds)]))
         yield first, n_words, hashes
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, byte plane by byte plane: the shuffle's compressor drops the empty planes."""
+    if not len(keys):
+        return b""
+    steps = np.empty(len(keys), np.uint64)
+    steps[0] = keys[0]
+    np.subtract(keys[1:], keys[:-1], out=steps[1:])
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    if not len(keys):
+        return keys.astype(np.uint64), counts.astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts.astype(np.int64), first)
+
+
+def write_array(uri: str, array: np.ndarray) -> None:
+    """A file of the shared folder, put in place in one step, so that a repeated task does no harm."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        out.write(np.ascontiguousarray(array).tobytes())
+    system.move(part, path)
+
+
+def map_array(uri: str, dtype) -> np.ndarray:
+    """A file of the shared folder, memory-mapped; one in a remote store is first copied to this worker, and goes with it."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    if system.get_file_info(path).size == 0:
+        return np.zeros(0, dtype)
+    if isinstance(system, fs.LocalFileSystem):
+        return np.memmap(path, dtype, "r")
+    with tempfile.NamedTemporaryFile() as local:
+        with system.open_input_stream(path) as src:
+            while block := src.read(1 << 24):
+                local.write(block)
+        local.flush()
+        return np.memmap(local.name, dtype, "r")  # the mapping outlives the name

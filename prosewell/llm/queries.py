@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewell.llm import decontam, langid, pieces, pii, secrets, urlfilter
+from prosewell.llm import decontam, langid, lm, pieces, pii, secrets, urlfilter
 
 QUERIES, ORACLES = {}, {}
 
@@ -63,6 +63,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@_query
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text under the model of the rows outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _fold(5, 1).alias("held_out"), "text")
+    return lm.score(docs, lm.train(docs.where("not held_out"))).drop("text")
+
+
 @_query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url: the longest rule that fits, else the classifier."""
