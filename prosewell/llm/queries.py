@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewell.llm import decontam, langid, lm, pieces, pii, secrets, urlfilter
+from prosewell.llm import decontam, jaccard, langid, lm, pieces, pii, secrets, urlfilter
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,6 +70,24 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.where("not held_out"))).drop("text")
 
 
+@_query
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets reach a Jaccard similarity of 0.75."""
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op7_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+          JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS root, doc_id AS node FROM d UNION SELECT root, b FROM reach JOIN links ON a = node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node) r USING (doc_id)
+"""
+
+
 @_query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url: the longest rule that fits, else the classifier."""
