@@ -42,10 +42,14 @@ def words(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings: doc_id, text_hash, term, pos, around (words pos - window + 1 .. pos + window - 1), before (how many of them come before pos).
-    items: text key, words, windows; ids: the item ids of each key."""
+    """first: postings of each window's rarest term, with the words around it; second: those of the next rarest.
 
-    postings: DataFrame
+    items: item number, words, window length and windows (start, rare: the two word positions);
+    ids: the item ids of each number.
+    """
+
+    first: DataFrame
+    second: DataFrame
     items: DataFrame
     ids: DataFrame
     window: int
@@ -56,10 +60,17 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def _terms(items: DataFrame, role: int) -> DataFrame:
+    """term, item, at: the places of the rarest (0) or next rarest (1) word of every window."""
+    rare = items.select("item", "words", F.explode("windows").alias("w")).select("item", "words", F.get("w.rare", F.lit(role)).alias("at")).where("at is not null")
+    return rare.select(F.element_at("words", F.col("at") + 1).alias("term"), "item", "at").distinct()
+
+
 def build_index(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Index:
-    """Postings of the rarest terms of every window of ``items`` (item_id, text) in ``docs`` (doc_id, text)."""
-    ids = items.select("item_id", F.xxhash64("text").alias("key"), F.sha2(F.col("text").cast("string"), 256).alias("digest"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    texts = ids.groupBy("key", "digest").agg(F.first("words").alias("words"))
+    """Postings of the two rarest terms of every window of ``items`` (item_id, text) in ``docs`` (doc_id, text)."""
+    named = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    texts = stored(named.select("words").distinct().coalesce(1).withColumn("item", F.monotonically_increasing_id().cast("int")), "items")
+    ids = named.join(texts, "words").select("item_id", "item")
     total = texts.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     small = total <= BROADCAST_WORDS
     terms = texts.select(F.explode("words").alias("term")).distinct()
@@ -68,53 +79,47 @@ def build_index(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Inde
     frequency = stored(frequency, "term-frequency")
 
     # each item word with its frequency; each window with the positions of its two rarest words
-    placed = texts.select("key", "digest", F.posexplode("words").alias("at", "term")).join(_maybe_broadcast(frequency, small), "term", "left")
-    placed = placed.groupBy("key", "digest").agg(F.sort_array(F.collect_list(F.struct("at", "term", F.coalesce("n", F.lit(0)).alias("n")))).alias("placed"))
-    length = F.least(F.lit(window), F.size("placed"))
-    placed = placed.withColumn("length", length).withColumn(
-        "windows",
-        F.filter(
-            F.transform(
-                F.sequence(F.lit(0), F.size("placed") - F.col("length")),
-                lambda s: F.struct(s.alias("start"), F.transform(F.slice(F.array_sort(F.transform(F.slice("placed", s + 1, F.col("length")), lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at")))), 1, 2), lambda x: x).alias("rare")),
-            ),
-            lambda w: w["rare"][0]["n"] > 0,
-        ),
-    )
-    placed = placed.select("key", "digest", F.transform("placed", lambda x: x["term"]).alias("words"), "length", "windows").where(F.size("windows") > 0)
-    placed = stored(placed, "item-windows")
-    anchors = placed.select("words", F.explode("windows").alias("w")).select(F.explode(F.transform("w.rare", lambda x: F.element_at("words", x["at"] + 1))).alias("term")).distinct()
-
-    spread = tokens.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term")).join(_maybe_broadcast(anchors, small), "term")
-    first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-    postings = spread.select("doc_id", "text_hash", "term", "pos", (F.col("pos") - first).alias("before"), F.slice("words", first + 1, F.col("pos") - first + window).alias("around"))
-    return Index(stored(postings, "postings"), placed, ids.select("item_id", "key", "digest"), window, small)
-
-
-def _alignments(index: Index) -> DataFrame:
-    """One row per posting and item position of its term: doc, item key, shift (document position minus item position)."""
-    rare = index.items.select("key", "digest", "words", F.explode("windows").alias("w")).select("key", "digest", "words", F.explode("w.rare").alias("r"))
-    rare = rare.select("key", "digest", F.col("r.at").alias("at"), F.element_at("words", F.col("r.at") + 1).alias("term")).distinct()
-    return index.postings.join(_maybe_broadcast(rare, index.small), "term").withColumn("shift", F.col("pos") - F.col("at"))
+    placed = texts.select("item", F.posexplode("words").alias("at", "term")).join(_maybe_broadcast(frequency, small), "term", "left")
+    placed = placed.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("at", "term", F.coalesce("n", F.lit(0)).alias("n")))).alias("placed"))
+    placed = placed.withColumn("length", F.least(F.lit(window), F.size("placed")))
 
+    def rare(s):
+        by_frequency = F.array_sort(F.transform(F.slice("placed", s + 1, F.col("length")), lambda x: F.struct(x["n"].alias("n"), x["at"].alias("at"))))
+        return F.struct(s.alias("start"), by_frequency[0]["n"].alias("n"), F.transform(F.slice(by_frequency, 1, 2), lambda x: x["at"]).alias("rare"))
 
-def phrase_matches(index: Index) -> DataFrame:
-    """doc_id, text_hash, item_id, start (word position in the document), length: every occurrence of a window."""
-    at = _alignments(index).groupBy("doc_id", "text_hash", "key", "digest", "shift").agg(F.collect_list(F.struct("at", "before", "around")).alias("found"))
-    # a window's two rarest words both stand in this alignment: their adjusted posting lists meet
-    joined = at.join(_maybe_broadcast(index.items, index.small), ["key", "digest"])
-    present = F.transform("found", lambda x: x["at"])
-    both = F.filter("windows", lambda w: F.forall(w["rare"], lambda r: F.array_contains(present, r["at"])))
-    hits = joined.withColumn("both", both).where(F.size("both") > 0)
+    windows = F.filter(F.transform(F.sequence(F.lit(0), F.size("placed") - F.col("length")), rare), lambda w: w["n"] > 0)
+    placed = placed.withColumn("windows", windows).where(F.size("windows") > 0)
+    placed = stored(placed.select("item", F.transform("placed", lambda x: x["term"]).alias("words"), "length", "windows"), "item-windows")
 
-    def same_words(w):
-        post = F.filter("found", lambda x: x["at"] == w["rare"][0]["at"])[0]
-        lead = w["rare"][0]["at"] - w["start"]
-        return (lead <= post["before"]) & (F.slice(post["around"], F.greatest(post["before"] - lead, F.lit(0)) + 1, F.col("length")) == F.slice("words", w["start"] + 1, F.col("length")))
+    roles = _terms(placed, 0).select("term", F.lit(True).alias("is_first")).distinct().join(_terms(placed, 1).select("term", F.lit(True).alias("is_second")).distinct(), "term", "full")
+    lead = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    around = F.when(F.col("is_first"), F.slice("words", lead + 1, F.col("pos") - lead + window))
+    spread = tokens.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term")).join(_maybe_broadcast(roles, small), "term")
+    postings = stored(spread.select("term", "doc_id", "text_hash", "pos", (F.col("pos") - lead).alias("before"), around.alias("around"), F.coalesce("is_second", F.lit(False)).alias("is_second")), "postings")
+    first = postings.where("around is not null").select("term", "doc_id", "text_hash", "pos", "before", "around")
+    return Index(first, postings.where("is_second").select("term", "doc_id", "text_hash", "pos"), placed, ids, window, small)
 
-    hits = hits.select("doc_id", "text_hash", "key", "digest", "length", "shift", F.explode(F.filter("both", same_words)).alias("w"))
-    hits = hits.select("doc_id", "text_hash", "key", "digest", (F.col("shift") + F.col("w.start")).alias("start"), "length")
-    return hits.join(_maybe_broadcast(index.ids, index.small), ["key", "digest"]).select("doc_id", "text_hash", "item_id", "start", "length")
+
+def _aligned(postings: DataFrame, index: Index, role: int) -> DataFrame:
+    """Postings with item, at and shift (document position minus item position)."""
+    return postings.join(_maybe_broadcast(_terms(index.items, role), index.small), "term").withColumn("shift", F.col("pos") - F.col("at"))
+
+
+def phrase_matches(index: Index) -> DataFrame:
+    """doc_id, text_hash, item_id, start (word position in the document), length: every occurrence of a window."""
+    pairs = index.items.select("item", "words", "length", F.explode("windows").alias("w"))
+    pairs = pairs.select("item", F.col("w.start").alias("from"), "length", F.get("w.rare", F.lit(0)).alias("at"), F.get("w.rare", F.lit(1)).alias("at2"), F.slice("words", F.col("w.start") + 1, F.col("length")).alias("phrase"))
+    one = _aligned(index.first, index, 0).select("doc_id", "text_hash", "item", "shift", "at", "before", "around")
+    wanted = one.join(_maybe_broadcast(pairs.select("item", "at", "at2").distinct(), index.small), ["item", "at"])
+    # adjusted lists meet: the next rarest word stands in the same alignment (a window of one word has none)
+    two = _aligned(index.second, index, 1).select("doc_id", "text_hash", "item", "shift", F.col("at").alias("at2"))
+    met = wanted.where("at2 is not null").join(two, ["doc_id", "text_hash", "item", "shift", "at2"], "left_semi").unionByName(wanted.where("at2 is null"), allowMissingColumns=True)
+    # the words around the first agree with the whole window
+    lead = F.col("at") - F.col("from")
+    same = (lead <= F.col("before")) & (F.slice("around", F.greatest(F.col("before") - lead, F.lit(0)) + 1, F.col("length")) == F.col("phrase"))
+    hits = met.join(_maybe_broadcast(pairs.withColumnRenamed("at2", "next"), index.small), ["item", "at"]).where(F.col("at2").eqNullSafe(F.col("next")) & same)
+    hits = hits.select("doc_id", "text_hash", "item", (F.col("shift") + F.col("from")).alias("start"), "length")
+    return hits.join(_maybe_broadcast(index.ids, index.small), "item").select("doc_id", "text_hash", "item_id", "start", "length")
 
 
 def proximity_matches(index: Index, slop: int) -> DataFrame:
@@ -122,14 +127,13 @@ def proximity_matches(index: Index, slop: int) -> DataFrame:
 
     The two lists meet by document, item and shift bucket, so a repeated word is not paired with all of its repeats.
     """
-    at = _alignments(index).select("doc_id", "text_hash", "key", "digest", "at", "shift")
-    wins = index.items.select("key", "digest", F.explode("windows").alias("w")).select("key", "digest", F.col("w.start").alias("item_start"), F.col("w.rare")[0]["at"].alias("at1"), F.col("w.rare")[F.size("w.rare") - 1]["at"].alias("at2"))
-    one = at.join(_maybe_broadcast(wins, index.small), ["key", "digest"]).where("at = at1")
+    wins = index.items.select("item", F.explode("windows").alias("w")).select("item", F.col("w.start").alias("item_start"), F.get("w.rare", F.lit(0)).alias("at"), F.get("w.rare", F.lit(1)).alias("at2")).where("at2 is not null")
     wide = slop + 1
+    one = _aligned(index.first, index, 0).select("doc_id", "text_hash", "item", "at", "shift").join(_maybe_broadcast(wins, index.small), ["item", "at"])
     one = one.withColumn("bucket", F.explode(F.array(*(F.floor(F.col("shift") / wide) + k for k in (-1, 0, 1)))))
-    two = at.select("doc_id", "text_hash", "key", "digest", F.col("at").alias("at2"), F.col("shift").alias("other_shift"), F.floor(F.col("shift") / wide).alias("bucket"))
-    near = one.join(two, ["doc_id", "text_hash", "key", "digest", "at2", "bucket"]).where(F.abs(F.col("shift") - F.col("other_shift")) <= slop)
-    return near.join(_maybe_broadcast(index.ids, index.small), ["key", "digest"]).select("doc_id", "text_hash", "item_id", "item_start", "shift", "other_shift")
+    two = _aligned(index.second, index, 1).select("doc_id", "text_hash", "item", F.col("at").alias("at2"), F.col("shift").alias("other_shift"), F.floor(F.col("shift") / wide).alias("bucket"))
+    near = one.join(two, ["doc_id", "text_hash", "item", "at2", "bucket"]).where(F.abs(F.col("shift") - F.col("other_shift")) <= slop)
+    return near.join(_maybe_broadcast(index.ids, index.small), "item").select("doc_id", "text_hash", "item_id", "item_start", "shift", "other_shift")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
