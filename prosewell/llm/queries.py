@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewell.llm import decontam, jaccard, langid, lm, pieces, pii, secrets, urlfilter
+from prosewell.llm import ann, decontam, jaccard, langid, linededup, lm, pieces, pii, secrets, urlfilter
 
 QUERIES, ORACLES = {}, {}
 
@@ -70,6 +70,18 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.where("not held_out"))).drop("text")
 
 
+@_query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector, among all vectors."""
+    return ann.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "id % 20 = 0")
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's repeated lines, exact and within two edits of an earlier one."""
+    return linededup.document_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets reach a Jaccard similarity of 0.75."""
