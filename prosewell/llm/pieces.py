@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words a worker remembers before it starts anew; bounds its memory.
-CACHE_WORDS = 600_000
+#: Words of each of the two generations that a worker remembers; bounds its memory.
+CACHE_WORDS = 250_000
 
 
 class PieceModel:
@@ -58,13 +58,21 @@ class PieceModel:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece of this model crosses words")
-        self.longest = max(map(len, self.ids), default=1)
         # characters that no longer piece holds merge with nothing: a cut on both sides of them is exact
         inner = set("".join(p for p in self.ids if len(p) > 1))
         apart = "".join(re.escape(c) for c in "\n\r\t" if c not in inner)
         self.words = re.compile(f"[{apart}]|{MARK}*[^{MARK}{apart}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.compatible: dict[tuple, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.floor = min(self.score, default=0.0) - 10
+        self.id_bytes = {p: np.array([i], np.int32).tobytes() for p, i in self.ids.items()}
+        self.trie: dict = {}
+        for p in self.ids:
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
         raw = []
         for i, p in enumerate(proto.pieces):
             raw.append(bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type in (2, 3) else p.piece.replace(MARK, " ").encode())
@@ -88,7 +96,7 @@ class PieceModel:
         key = (left, right)
         found = self.compatible.get(key)
         if found is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > 400_000:
                 self.compatible.clear()
             found = self.compatible[key] = self.merged(left + right) == [left, right]
         return found
@@ -101,40 +109,51 @@ class PieceModel:
             return [self.byte[b] for b in piece.encode("utf-8", "replace")]
         return [self.unknown]
 
-    def _extend_bpe(self, word: str, end: int, last: list[str]) -> str:
-        """Last piece of the merge result of word[:end]; last[k] is that of word[:k]."""
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if (piece in self.ids or end - start == 1) and (start == 0 or self.fits(last[start], piece)):
-                if end - start == 1 or self.whole(piece):
-                    return piece
-        raise AssertionError(word[:end])
-
     def whole(self, piece: str) -> bool:
         """Does merging the piece's own text reach it?"""
-        key = (piece, None)
-        found = self.compatible.get(key)
+        found = self.compatible.get(piece)
         if found is None:
-            found = self.compatible[key] = self.merged(piece) == [piece]
+            found = self.compatible[piece] = self.merged(piece) == [piece]
         return found
 
-    def _extend_unigram(self, word: str, end: int, best: list[tuple[float, str]]) -> tuple[float, str]:
-        found = None
-        floor = min(self.score) - 10
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            i = self.ids.get(piece)
-            if i is None and end - start > 1:
+    def _extend_bpe(self, state: tuple, stack: list, end: int, char: str) -> tuple:
+        """State of the prefix that ends with ``char``: the last piece of its merge result, and the open pieces.
+
+        An open piece is (start, trie node) of a piece that may still grow; the longest come first.
+        """
+        grown, last = [], None
+        for start, node in (*state[1], (end - 1, self.trie)):
+            node = node.get(char)
+            if node is None:
                 continue
-            s = (best[start][0] if start else 0.0) + (self.score[i] if i is not None else floor)
-            if found is None or s > found[0]:
-                found = (s, piece)
-        return found
+            grown.append((start, node))
+            if last is None and (piece := node.get("")) is not None and (start == 0 or self.fits(stack[start][0], piece)) and self.whole(piece):
+                last = piece
+        if last is None:
+            last = char  # a character without a piece of its own; it merges with nothing
+        return last, grown
+
+    def _extend_unigram(self, state: tuple, stack: list, end: int, char: str) -> tuple:
+        """State of the prefix that ends with ``char``: the last piece of its best split, the open pieces, its score."""
+        grown, best = [], None
+        for start, node in (*state[1], (end - 1, self.trie)):
+            node = node.get(char)
+            if node is None:
+                continue
+            grown.append((start, node))
+            if (piece := node.get("")) is not None:
+                s = stack[start][2] + self.score[self.ids[piece]]
+                if best is None or s > best[0]:
+                    best = (s, piece)
+        if best is None:
+            best = (stack[end - 1][2] + self.floor, char)
+        return best[1], grown, best[0]
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids (int32 bytes) of each distinct word: one depth-first walk of the words' trie."""
         out: dict[str, bytes] = {}
-        stack: list = [None]  # forward state of each prefix of the previous word
+        extend = self._extend_bpe if self.bpe else self._extend_unigram
+        stack: list = [("", (), 0.0)]  # forward state of each prefix of the previous word
         before = ""
         for word in sorted(words):
             n, same, most = len(word), 0, min(len(word), len(before))
@@ -142,14 +161,14 @@ class PieceModel:
                 same += 1
             del stack[same + 1 :]
             for end in range(same + 1, n + 1):
-                stack.append(self._extend_bpe(word, end, stack) if self.bpe else self._extend_unigram(word, end, stack))
+                stack.append(extend(stack[-1], stack, end, word[end - 1]))
             before = word
             found, at = [], n
             while at:
-                piece = stack[at] if self.bpe else stack[at][1]
+                piece = stack[at][0]
                 found.append(piece)
                 at -= len(piece)
-            out[word] = np.array([i for p in reversed(found) for i in self.ids_of(p)], np.int32).tobytes()
+            out[word] = b"".join([self.id_bytes.get(p) or np.array(self.ids_of(p), np.int32).tobytes() for p in reversed(found)])
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -159,13 +178,17 @@ class PieceModel:
             words = self.words.findall(((" " if self.prefix else "") + t).replace(" ", MARK)) if t else []
             lists.append(words)
             new.update(words)
-        new.difference_update(self.cache)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = {w for words in lists for w in words}
-        self.cache.update(self.encode_words(list(new)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+        cache, older = self.cache, self.older
+        new.difference_update(cache)
+        for w in new & older.keys():  # words of the generation before move on
+            cache[w] = older[w]
+        new.difference_update(older)
+        cache.update(self.encode_words(list(new)))
+        get = cache.__getitem__
+        found = [b"".join(map(get, words)) for words in lists]
+        if len(cache) > CACHE_WORDS:
+            self.cache, self.older = {}, cache
+        return found
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.raw.__getitem__, ids))
@@ -192,7 +215,26 @@ def read_model(path: str = DEFAULT_MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", group: int = 4_000_000) -> DataFrame:
+def _groups(column: pa.Array, m: PieceModel, group: int):
+    """(first row, ids as bytes, texts) of about ``group`` bytes of text at a time."""
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, int)
+    at = 0
+    while at < len(column):
+        end, size = at, 0
+        while end < len(column) and (end == at or size < group):
+            size += int(sizes[end])
+            end += 1
+        texts = column.slice(at, end - at).to_pylist()
+        yield at, m.encode(texts), texts
+        at = end
+
+
+def _id_lists(found: list[bytes], texts: list[str | None]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), np.int32)), mask=pa.array([t is None for t in texts]))
+
+
+def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", group: int = 1_000_000) -> DataFrame:
     """``docs`` with ``ids`` array<int>; a column of that name is replaced."""
     base = docs.drop(*({ids} - {text}))
     kept = [c for c in base.columns if c != ids]
@@ -201,23 +243,30 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
     def run(batches):
         m = _model(sent)
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            at = 0
-            while at < len(texts):  # about ``group`` characters at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < group):
-                    size += len(texts[end] or "")
-                    end += 1
-                found = m.encode(texts[at:end])
-                offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
-                part = b.slice(at, end - at)
-                values = pa.array(np.frombuffer(b"".join(found), np.int32))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.ListArray.from_arrays(offsets, values, mask=pa.array([t is None for t in texts[at:end]]))], [*kept, ids])
-                at = end
+            for at, found, texts in _groups(b.column(b.schema.get_field_index(text)), m, group):
+                part = b.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), _id_lists(found, texts)], [*kept, ids])
 
     return base.mapInArrow(run, T.StructType([*(base.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
+def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", group: int = 1_000_000) -> DataFrame:
+    """``docs`` without its text, with ``ids`` array<int> and round_trip: do the ids decode to the text? One pass."""
+    kept = [c for c in docs.columns if c not in (text, ids, "round_trip")]
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = _model(sent)
+        for b in batches:
+            column = b.column(b.schema.get_field_index(text))
+            for at, found, texts in _groups(column, m, group):
+                same = [(m.decode(np.frombuffer(f, np.int32).tolist()) if t is not None else None) == t for f, t in zip(found, texts, strict=True)]
+                part = b.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), _id_lists(found, texts), pa.array(same)], [*kept, ids, "round_trip"])
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
+
+
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the decoded text; null ids decode to null."""
     base = encoded.drop(*({text} - {ids}))
@@ -227,7 +276,10 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "deco
     def run(batches):
         m = _model(sent)
         for b in batches:
-            found = [None if x is None else m.decode(x) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+            column = b.column(b.schema.get_field_index(ids))
+            values, at, there = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist(), column.is_valid().to_pylist()
+            # one row's ids become Python numbers at a time
+            found = [m.decode(values[s:e].tolist()) if ok else None for s, e, ok in zip(at, at[1:], there, strict=False)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(found, pa.string())], [*kept, text])
 
     return base.mapInArrow(run, T.StructType([*(base.schema[c] for c in kept), T.StructField(text, T.StringType())]))

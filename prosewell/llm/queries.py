@@ -111,10 +111,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
-    model = pieces.read_model()
-    encoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    back = pieces.decode(encoded, model)
-    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    found = pieces.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.read_model())
+    return found.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def _digest(spans):
