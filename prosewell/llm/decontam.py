@@ -147,3 +147,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     every = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = every.join(found, every.doc_id.eqNullSafe(found.d) & (every.text_hash == found.h), "left")
     return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_items: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those that hold windows of ``min_items`` items or more; columns stay as they are."""
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    matches = phrase_matches(build_index(base, items, window)).select("doc_id", "text_hash", "item_id").distinct()
+    bad = stored(matches.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_items).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")), "contaminated")
+    keyed = docs.withColumn("__hash", F.xxhash64(F.col(text).cast("string")))
+    return keyed.join(bad, (keyed["__hash"] == bad["__h"]) & keyed[doc_id].eqNullSafe(bad["__d"]), "left_anti").drop("__hash")

@@ -255,3 +255,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     named = named.join(linked, "component").select(F.col("set").alias("s"), "component_id")
     out = rows.select("doc_id", "n", "set").join(named, F.col("set") == F.col("s"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id; columns stay as they are.
+
+    Rows that share an id stand for one document: they stay or go together, and of equal rows one stays.
+    """
+    found = stored(join(docs, doc_id, text, size, percent).select("doc_id", "n_shingles", "component_id"), "components")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__n"))
+    keep = stored(keep, "keep")
+    repeats = keep.where("__n > 1")
+    kept = docs.join(keep.select("__keep"), F.col(doc_id).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    if repeats.isEmpty():
+        return kept
+    again = F.col(doc_id).cast("long").eqNullSafe(F.col("__keep"))
+    single = kept.join(repeats.select("__keep"), again, "left_anti")
+    return single.unionByName(kept.join(repeats.select("__keep"), again, "left_semi").dropDuplicates([doc_id, text]))

@@ -131,3 +131,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: st
 
     schema = T.StructType([*base.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     return base.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """``docs`` whose language is known: not ``und``, and likelier than all others together (``least``). Columns stay as they are."""
+    named = identify(docs, model, text, "__lang", "__score")
+    return named.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score")
