@@ -39,6 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows go to a Python worker at once: whole texts are long, and a batch lies in memory on both sides.
+
+    This lowers a setting of the session (spark.sql.execution.arrow.maxRecordsPerBatch); it never raises it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def parts(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -86,32 +99,69 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words_hashed(texts: list[str | None], chunk: int = 4_000_000):
-    """Words ``[^\\x20\\x09-\\x0D]+`` of A-Z lower-cased texts, as 64-bit hashes.
+def _trim() -> None:
+    """Gives freed memory back to the system (where the C library can)."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(column, size: int = 2_000_000):
+    """(first row, part) of an Arrow string column, cut between texts into parts of about ``size`` bytes."""
+    ends = _offsets(column)[1:]
+    at = 0
+    while at < len(column):
+        start = ends[at - 1] if at else _offsets(column)[0]
+        end = max(at + 1, int(np.searchsorted(ends, start + size, side="right")))
+        yield at, column.slice(at, end - at)
+        at = end
+    _trim()
+
+
+def _offsets(column) -> np.ndarray:
+    if not len(column):
+        return np.zeros(1, np.int64)
+    kind = np.int64 if str(column.type).startswith("large") else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
+
+
+def words_hashed(texts, chunk: int = 2_000_000):
+    """Words ``[^\\x20\\x09-\\x0D]+`` of A-Z lower-cased texts (a list or an Arrow column), as 64-bit hashes.
 
     Yields (first, n_words, hashes): ``first`` is the index of the chunk's first text, ``n_words`` the
     number of words of each text in it, ``hashes`` the words of all of them in order. A null text has
     no words. A chunk holds whole texts, about ``chunk`` bytes of them.
     """
-    at = 0
-    while at < len(texts):
-        datas, size, first = [], 0, at
-        while at < len(texts) and (not datas or size < chunk):
-            data = (texts[at] or "").encode("utf-8", "replace")
-            datas.append(data)
-            size += len(data) + 1
-            at += 1
-        buf = _LOWER[np.frombuffer(b" ".join(datas) + b" ", np.uint8)]
-        space = _SPACE[buf]
-        edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = _POWERS.get(len(buf) + 1)
+    if isinstance(texts, list):
+        import pyarrow as pa
+
+        texts = pa.array(texts, pa.string())
+    for first, part in slices(texts, chunk):
+        offsets = _offsets(part).astype(np.int64)
+        data = part.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        bounds = offsets - offsets[0]
+        n = len(raw)
+        edge = np.zeros(n + 1, bool)  # a text begins (or all end) here
+        edge[bounds] = True
+        solid = np.zeros(n + 2, bool)
+        solid[1:-1] = ~_SPACE[raw]
+        start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
+        end = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
+        up, down = _POWERS.get(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], dtype=np.uint64)])
-            hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _MULT)
-        bounds = np.cumsum([len(d) + 1 for d in datas])
-        n_words = np.diff(np.concatenate([[0], np.searchsorted(start, bounds)]))
-        yield first, n_words, hashes
+            x = _LOWER[raw].astype(np.uint64)
+            x += np.uint64(1)
+            x *= up[:n]
+            np.cumsum(x, out=sums[1:])
+            del x
+            hashes = sums[end] - sums[start]
+            hashes *= down[start]
+            hashes += (end - start).astype(np.uint64) * _MULT
+        yield first, np.diff(np.searchsorted(start, bounds)), mix(hashes)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

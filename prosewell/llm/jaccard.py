@@ -14,8 +14,9 @@ grains, with different hashes below: (df, h), (log2 df, h'), (log2 df / 2, h'').
    prefix tokens under the second and the third order. Hot lists are not squared: in each list all sets
    are first held against one pivot (the one with the fewest tokens of its own), the links so far give
    components, and only sets outside a list's largest component are held against the rest, until no pair
-   of different components is left unexamined. So no link that could join two components is missed,
-   while near copies cost one comparison each.
+   of different components is left unexamined. There, a 1024-bit parity signature bounds the symmetric
+   difference from below inside the join, so that pairs too far apart never become rows. No link that
+   could join two components is missed, while near copies cost one comparison each.
 
 Tokens are compared by 48 bits of a 64-bit hash: for two sets of 500 tokens the odds of one false agreement
 are about 1e-9. Sets are told apart by their size and a 64-bit sum of token hashes.
@@ -32,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosewell.llm.common import mix, pack_sorted, parts, stored, unpack_sorted, words_hashed
+from prosewell.llm.common import mix, modest_batches, pack_sorted, parts, stored, unpack_sorted, words_hashed
 from prosewell.llm.components import components
 
 SHINGLE, PERCENT, PIVOT_ROUNDS = 5, 75, 2
+#: Columns of the parity signature: bit (token mod 1024) flips with each token.
+SIGNATURE = tuple(f"s{k}" for k in range(16))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -82,7 +85,7 @@ def _blocks(docs: DataFrame, text: str, size: int, shards: int) -> DataFrame:
         base, k = TaskContext.get().partitionId() << 24, 0
         for b in batches:
             ids = b.column(0).to_pylist()
-            for first, n_words, hashes in words_hashed(b.column(1).to_pylist()):
+            for first, n_words, hashes in words_hashed(b.column(1)):
                 own, token = shingles(n_words, hashes, size)
                 n = np.bincount(own, minlength=len(n_words))
                 with np.errstate(over="ignore"):
@@ -146,7 +149,7 @@ def _documents(percent: int):
         table = pdf[pdf["keys"].isna()].iloc[0]
         ids, n, sets = table.ids, np.array(table.sizes, np.int64), np.array(table.sets, np.int64)
         asked = pdf[pdf["keys"].notna()]
-        cols: dict[str, list] = {c: [None] * len(n) for c in ("slack", "one", "two", "three", "tokens")}
+        cols: dict[str, list] = {c: [None] * len(n) for c in ("slack", "one", "two", "three", "tokens", *SIGNATURE)}
         if len(asked):
             key = np.concatenate([unpack_sorted(k) for k in asked["keys"]])
             owner = np.concatenate([_unplane(o) for o in asked["owners"]]).astype(np.int64)
@@ -164,6 +167,9 @@ def _documents(percent: int):
                     cols[c][k] = _u64(key[o[s:e]][: prefix[k]])
                 cols["slack"][k] = int(e - s)
                 cols["tokens"][k] = pack_sorted(key[s:e])
+                parity = np.bincount((key[s:e] % np.uint64(64 * len(SIGNATURE))).astype(np.int64), minlength=64 * len(SIGNATURE)) & 1
+                for c, bits in zip(SIGNATURE, np.packbits(parity.astype(np.uint8)).view(np.int64).tolist(), strict=True):
+                    cols[c][k] = bits
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": n, "set": sets, **cols})
 
     return run
@@ -200,24 +206,29 @@ def _possible(percent: int, a: str, b: str):
     return F.expr(" AND ".join(need.format(x, x) for x in (f"{a}.slack", f"{b}.slack")) + f" AND 100 * {a}.n >= {percent} * {b}.n AND 100 * {b}.n >= {percent} * {a}.n")
 
 
+def _near(percent: int):
+    """The signatures' difference allows the overlap that the bound asks for."""
+    differ = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in SIGNATURE)
+    return F.expr(f"{100 + percent} * (a.slack + b.slack - ({differ})) >= {2 * percent} * (a.n + b.n)")
+
+
 def class_links(active: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (u, v) between sets that together give the components of all links."""
+    columns = ["token", "set", "n", "slack"]
     postings = stored(active.select(F.explode("one").alias("token"), "set", "n", "slack"), "postings")
-    labels, found = None, None
-    seen = None
+    labels, found, seen = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        here = postings
         if labels is None:
-            here = here.withColumn("label", F.col("set"))
+            here = postings.withColumn("label", F.col("set"))
         else:
-            here = here.join(labels, here.set == labels.node, "left").select(*postings.columns, F.coalesce("component", "set").alias("label"))
+            here = postings.join(labels, postings.set == labels.node, "left").select(*columns, F.coalesce("component", "set").alias("label"))
         sizes = here.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
         largest = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("top.label").alias("main"))
-        here = here.join(largest, "token")
-        if turn:
-            here = stored(here, "open-postings")
-            if here.isEmpty():
-                break
+        here = stored(here.join(largest, "token"), "open-postings")
+        if here.isEmpty():
+            if found is None:
+                found = stored(here.select(F.col("set").alias("u"), F.col("set").alias("v")), "links")
+            break
         rest = here.where("label <> main") if turn else here
         if turn < PIVOT_ROUNDS:
             # the set with the fewest tokens of its own, among those outside the largest component
@@ -225,8 +236,10 @@ def class_links(active: DataFrame, percent: int = PERCENT) -> DataFrame:
             a, b = pivot.select("token", "p.set", "p.n", "p.slack", "p.label").alias("a"), here.alias("b")
             pairs = a.join(b, "token").where((F.col("a.label") != F.col("b.label")) & _possible(percent, "a", "b"))
         else:
-            a, b = rest.alias("a"), here.alias("b")
-            pairs = a.join(b, "token").where((F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.set") < F.col("b.set"))) & _possible(percent, "a", "b"))
+            signed = active.select("set", *SIGNATURE)
+            a, b = rest.join(signed, "set").alias("a"), here.join(signed, "set").alias("b")
+            once = (F.col("b.label") == F.col("b.main")) | (F.col("a.set") < F.col("b.set"))
+            pairs = a.join(b, "token").where((F.col("a.label") != F.col("b.label")) & once & _possible(percent, "a", "b") & _near(percent))
         pairs = pairs.select(F.least("a.set", "b.set").alias("u"), F.greatest("a.set", "b.set").alias("v")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["u", "v"], "left_anti")
@@ -234,19 +247,21 @@ def class_links(active: DataFrame, percent: int = PERCENT) -> DataFrame:
         seen = pairs if seen is None else seen.unionByName(pairs)
         links = _links(pairs, active, percent)
         found = links if found is None else found.unionByName(links)
-        labels = stored(components(found), "labels")
+        if turn < PIVOT_ROUNDS:
+            labels = stored(components(found), "labels")
     return found
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and set (its class of equal sets), one row per row of ``docs``."""
     spark = docs.sparkSession
-    shards = max(2, parts(spark))
+    modest_batches(spark)
+    shards = 4 * max(2, parts(spark))  # a task takes several shards, one after the other
     asked = _blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", size, shards)
     answers = asked.groupBy("shard").applyInPandas(_answers, "block long, keys binary, owners binary, df binary, ids array<long>, sizes array<long>, sets array<long>")
-    rows = answers.groupBy("block").applyInPandas(_documents(percent), "doc_id long, n long, set long, slack long, one array<long>, two array<long>, three array<long>, tokens binary")
+    rows = answers.groupBy("block").applyInPandas(_documents(percent), "doc_id long, n long, set long, slack long, one array<long>, two array<long>, three array<long>, tokens binary, " + ", ".join(f"{c} long" for c in SIGNATURE))
     rows = stored(rows, "documents")
-    active = stored(rows.where("one is not null").select("set", "n", "slack", "one", "two", "three", "tokens").dropDuplicates(["set"]), "active")
+    active = stored(rows.where("one is not null").select("set", "n", "slack", "one", "two", "three", "tokens", *SIGNATURE).dropDuplicates(["set"]), "active")
     labels = stored(components(class_links(active, percent)), "labels")
     classes = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels, classes.set == labels.node, "left").select("set", "least", F.coalesce("component", "set").alias("component"))

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prosewell.llm.common import modest_batches, slices
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -74,13 +76,15 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", smoothin
         sums: dict[str, np.ndarray] = {}
         n_docs: dict[str, int] = {}
         for b in batches:
-            rows = [(t or "", y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            names = sorted({y for _, y in rows})
-            for y in names:
-                n_docs[y] = n_docs.get(y, 0) + sum(1 for _, z in rows if z == y)
-                s = sums.setdefault(y, np.zeros(BUCKETS, np.int64))
-                for _, _, _, bucket in _grams([t for t, z in rows if z == y]):
-                    s += np.bincount(bucket, minlength=BUCKETS)
+            for at, part in slices(b.column(0)):
+                labels = b.column(1).slice(at, len(part)).to_pylist()
+                texts = part.to_pylist()
+                for y in sorted(set(labels)):
+                    own = [t or "" for t, z in zip(texts, labels, strict=True) if z == y]
+                    n_docs[y] = n_docs.get(y, 0) + len(own)
+                    s = sums.setdefault(y, np.zeros(BUCKETS, np.int64))
+                    for _, _, _, bucket in _grams(own):
+                        s += np.bincount(bucket, minlength=BUCKETS)
         for y, s in sums.items():
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_pydict(
@@ -88,6 +92,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", smoothin
                 schema=pa.schema([("y", pa.string()), ("b", pa.int32()), ("n", pa.int64())]),
             )
 
+    modest_batches(labelled.sparkSession)
     pairs = labelled.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y")).where("y is not null")
     rows = pairs.mapInArrow(count, "y string, b int, n long").groupBy("y", "b").agg(F.sum("n").alias("n")).toArrow()
     y, b, n = rows["y"].to_pylist(), rows["b"].to_numpy(), rows["n"].to_numpy()
@@ -120,13 +125,15 @@ def classify(texts: list[str | None], model: LanguageModel) -> tuple[list[str],
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the two columns added; a column of ``docs`` with such a name is replaced."""
+    modest_batches(docs.sparkSession)
     base = docs.drop(lang, score)
     at = base.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            names, p = classify(b.column(at).to_pylist(), sent.value)
+            found = [classify(part.to_pylist(), sent.value) for _, part in slices(b.column(at))]
+            names, p = [x for n, _ in found for x in n], np.concatenate([np.zeros(0), *(s for _, s in found)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(p)], [*b.schema.names, lang, score])
 
     schema = T.StructType([*base.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])

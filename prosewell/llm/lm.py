@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prosewell.llm.common import fresh_path, map_array, mix, pack_sorted, parts, stored, summed, unpack_sorted, words_hashed, write_array
+from prosewell.llm.common import fresh_path, map_array, mix, modest_batches, pack_sorted, parts, stored, summed, unpack_sorted, words_hashed, write_array
 
 END = np.uint64(0x5EED0FE2D5E2D111)  # hash that stands for the end of a text
 FLUSH = 3_000_000
@@ -70,7 +70,7 @@ def _pair_shard(pairs: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
     return (mix(np.where(split, pairs, context)) % np.uint64(shards)).astype(np.int64)
 
 
-def _tokens(texts: list[str | None]):
+def _tokens(texts):
     """Yields (first, n_tokens per text, hashes with an end after each text's words)."""
     for first, n, hashes in words_hashed(texts):
         ends = np.cumsum(n)
@@ -210,14 +210,15 @@ def _sequence(model: KneserNey, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text") -> KneserNey:
     """The model of all texts of ``docs``."""
     spark = docs.sparkSession
-    shards = max(2, parts(spark))
+    modest_batches(spark)
+    shards = 2 * max(2, parts(spark))
     uri = fresh_path(spark, "kneser-ney")
     texts = docs.select(F.col(text).cast("string").alias("t"))
 
     def count_words(batches):
         sums = _Sums(lambda keys: _range_shard(keys, shards))
         for b in batches:
-            for _, _, hashes in _tokens(b.column(0).to_pylist()):
+            for _, _, hashes in _tokens(b.column(0)):
                 yield from sums.add(*np.unique(hashes, return_counts=True))
         yield from sums.take()
 
@@ -253,7 +254,7 @@ def train(docs: DataFrame, text: str = "text") -> KneserNey:
         reader = _reader(m)
         sums = _Sums(lambda keys: _pair_shard(keys, shards, m.hot))
         for b in batches:
-            for _, n, hashes in _tokens(b.column(0).to_pylist()):
+            for _, n, hashes in _tokens(b.column(0)):
                 distinct, back = np.unique(hashes, return_inverse=True)
                 ids = reader.words(distinct)[0][back]
                 yield from sums.add(*np.unique((_sequence(m, n, ids) << HALF) | ids, return_counts=True))
@@ -311,7 +312,7 @@ def _discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray
     return np.maximum(counts - np.array([0.0, *d])[np.minimum(counts, 3)], 0)
 
 
-def score_texts(texts: list[str | None], reader: _Reader) -> tuple[np.ndarray, ...]:
+def score_texts(texts, reader: _Reader) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base score and model score (both log10) of each text."""
     m = reader.model
     n_tokens, n_known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -354,7 +355,7 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
         reader = _reader(sent.value)
         reader.model = sent.value
         for b in batches:
-            n, known, by_word, p = score_texts(b.column(b.schema.get_field_index(text)).to_pylist(), reader)
+            n, known, by_word, p = score_texts(b.column(b.schema.get_field_index(text)), reader)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(n), pa.array(known), pa.array(np.full(len(n), sent.value.n_tokens)), pa.array(by_word), pa.array(p)], [*kept, *new])
 
     kinds = [T.LongType()] * 3 + [T.DoubleType()] * 2

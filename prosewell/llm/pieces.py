@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from prosewell.llm.common import modest_batches, slices
+
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of each of the two generations that a worker remembers; bounds its memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 
 class PieceModel:
@@ -96,7 +98,7 @@ class PieceModel:
         key = (left, right)
         found = self.compatible.get(key)
         if found is None:
-            if len(self.compatible) > 400_000:
+            if len(self.compatible) > 250_000:
                 self.compatible.clear()
             found = self.compatible[key] = self.merged(left + right) == [left, right]
         return found
@@ -217,16 +219,9 @@ def read_model(path: str = DEFAULT_MODEL) -> bytes:
 
 def _groups(column: pa.Array, m: PieceModel, group: int):
     """(first row, ids as bytes, texts) of about ``group`` bytes of text at a time."""
-    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, int)
-    at = 0
-    while at < len(column):
-        end, size = at, 0
-        while end < len(column) and (end == at or size < group):
-            size += int(sizes[end])
-            end += 1
-        texts = column.slice(at, end - at).to_pylist()
+    for at, part in slices(column, group):
+        texts = part.to_pylist()
         yield at, m.encode(texts), texts
-        at = end
 
 
 def _id_lists(found: list[bytes], texts: list[str | None]) -> pa.Array:
@@ -236,6 +231,7 @@ def _id_lists(found: list[bytes], texts: list[str | None]) -> pa.Array:
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", group: int = 1_000_000) -> DataFrame:
     """``docs`` with ``ids`` array<int>; a column of that name is replaced."""
+    modest_batches(docs.sparkSession)
     base = docs.drop(*({ids} - {text}))
     kept = [c for c in base.columns if c != ids]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -252,6 +248,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
 
 def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", group: int = 1_000_000) -> DataFrame:
     """``docs`` without its text, with ``ids`` array<int> and round_trip: do the ids decode to the text? One pass."""
+    modest_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (text, ids, "round_trip")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -269,6 +266,7 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "id
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the decoded text; null ids decode to null."""
+    modest_batches(encoded.sparkSession)
     base = encoded.drop(*({text} - {ids}))
     kept = [c for c in base.columns if c != text]
     sent = encoded.sparkSession.sparkContext.broadcast(model)

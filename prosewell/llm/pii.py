@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prosewell.llm.common import modest_batches, slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "check", "gazetteer", "context", "plain")
 #: Patterns of the base spans. A start inside a run that just failed can't match either, so the
@@ -209,7 +211,7 @@ def train(docs: DataFrame, text: str = "text") -> SpanModel:
     def count(batches):
         found: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in (t for _, part in slices(b.column(0)) for t in part.to_pylist()):
                 if t:
                     base = base_spans(t)
                     found.update((k, votes(t, s, k, e, True)) for s, k, e in base)
@@ -219,6 +221,7 @@ def train(docs: DataFrame, text: str = "text") -> SpanModel:
             schema=pa.schema([("kind", pa.int32()), ("votes", pa.list_(pa.int32())), ("n", pa.int64())]),
         )
 
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string")).mapInArrow(count, "kind int, votes array<int>, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
     patterns = {(r.kind, tuple(r.votes)): r.n for r in sorted(rows, key=lambda r: (r.kind, r.votes))}
     post, theta = expectation_maximisation(patterns)
@@ -241,6 +244,7 @@ def all_spans(text: str, model: SpanModel, threshold: float = 0.8) -> tuple[list
 
 def find(docs: DataFrame, model: SpanModel, text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` with ``pii`` array<struct<start, kind, end, base>>; a column of that name is replaced."""
+    modest_batches(docs.sparkSession)
     base = docs.drop(*({"pii"} - {text}))
     kept = [c for c in base.columns if c != "pii"]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -249,7 +253,7 @@ def find(docs: DataFrame, model: SpanModel, text: str = "text", threshold: float
     def run(batches):
         for b in batches:
             found = []
-            for t in b.column(b.schema.get_field_index(text)).to_pylist():
+            for t in (t for _, part in slices(b.column(b.schema.get_field_index(text))) for t in part.to_pylist()):
                 own, every = all_spans(t, sent.value, threshold) if t else ([], [])
                 own_set = set(own)
                 found.append([{"start": s, "kind": KINDS[k], "end": e, "base": (s, k, e) in own_set} for s, k, e in every])
