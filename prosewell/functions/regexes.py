@@ -122,6 +122,8 @@ def holds_one(lowered: Column, literals: list[str] | None) -> Column:
     """Does the lower-cased text hold one of the literals? True where there is nothing to ask."""
     if not literals:
         return F.lit(True)
+    if len(literals) > 8:  # a loop over a constant array keeps the generated code small
+        return F.exists(F.array(*map(F.lit, literals)), lambda x: F.contains(lowered, x))
     out = F.contains(lowered, F.lit(literals[0]))
     for x in literals[1:]:
         out = out | F.contains(lowered, F.lit(x))

@@ -17,10 +17,10 @@ def markdown_files(spark: SparkSession, *paths: str) -> DataFrame:
     """All .md files under the paths (folders or files), each once, as whole texts."""
     frames = []
     for path in paths or (".",):
-        reader = spark.read.option("wholetext", True)
+        reader = spark.read
         if not path.endswith(".md"):
             reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
-        frames.append(reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")))
+        frames.append(reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content")))
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df)

@@ -14,8 +14,8 @@ from prosewell.sources.files import excluded
 
 def watch(spark: SparkSession, path: str) -> DataFrame:
     """New .md files under a folder as a stream of documents (file, content)."""
-    reader = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
-    rows = reader.text(path).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file"), F.col("value").alias("content"))
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
+    rows = reader.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file"), F.col("value").alias("content"))
     return rows.where(~excluded(F.col("file")))
 
 
