@@ -10,9 +10,9 @@ from prosewell.functions.regexes import SPACES, trimmed
 _FENCE = f"^[{SPACES}]*```"
 
 
-def lines(docs: DataFrame, content: str = "content") -> DataFrame:
-    """file, line (from 1), text: cut at line feeds only. A null text has no lines, an empty one has one."""
-    return docs.select("file", F.posexplode(F.split(content, "\n", -1)).alias("__k", "text")).select("file", (F.col("__k") + 1).alias("line"), "text")
+def lines(docs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("file",)) -> DataFrame:
+    """keep, line (from 1), text: cut at line feeds only. A null text has no lines, an empty one has one."""
+    return docs.select(*keep, F.posexplode(F.split(content, "\n", -1)).alias("__k", "text")).select(*keep, (F.col("__k") + 1).alias("line"), "text")
 
 
 def fence_states(content: Column) -> Column:

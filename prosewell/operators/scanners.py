@@ -51,16 +51,20 @@ def _when_possible(lowered: Column, pattern: str, hits: Column) -> Column:
 # -- all languages -----------------------------------------------------------------------------------
 
 
-def placeholders(docs: DataFrame, lang: str) -> DataFrame:
-    """Unfilled placeholders, outside of comment lines and code fences; priority P0 from the start."""
-    found = lines(docs).where(~F.col("text").rlike(f"^[{SPACES}]*<!--") & ~F.contains("text", F.lit("```")))
+def placeholders(docs: DataFrame, lang: str | None = None) -> DataFrame:
+    """Unfilled placeholders, outside of comment lines and code fences; priority P0 from the start.
+
+    Without ``lang``, documents of all languages are read in one pass and their column ``lang`` is taken.
+    """
+    keep = ("file",) if lang else ("file", "lang")
+    found = lines(docs, keep=keep).where(~F.col("text").rlike(f"^[{SPACES}]*<!--") & ~F.contains("text", F.lit("```")))
     found = found.withColumn("__low", F.lower("text"))
     hits = []
     for pattern, ignore in triage.PLACEHOLDERS:
         q = F.transform(_all_matches(F.col("text"), general(pattern, ignore)), lambda m: _hit("p0-placeholder", "critical", m))
         hits.append(_when_possible(F.col("__low"), pattern, q))
-    rows = _exploded(found, hits)
-    return finding(rows, "placeholder", lang, F.col("line"), F.col("severity"), F.col("category"), F.col("quote"), "P0")
+    rows = _exploded(found, hits, (*keep, "line"))
+    return finding(rows, "placeholder", lang or F.col("lang"), F.col("line"), F.col("severity"), F.col("category"), F.col("quote"), "P0")
 
 
 def passes_floor(needle: str) -> bool:

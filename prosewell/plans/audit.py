@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from prosewell.catalogs.languages import LANGS
 from prosewell.functions import language
 from prosewell.operators import report
-from prosewell.operators.scanners import BUILT_IN, union
+from prosewell.operators.scanners import BUILT_IN, placeholders, union
 from prosewell.operators.triage import triage
 from prosewell.schema import TOOLS
 
@@ -40,20 +41,32 @@ def scan(documents: DataFrame, langs: list[str] | None = None, tools: list[str]
     for tool, reads in TOOLS:
         if tool not in BUILT_IN or (tools is not None and tool not in tools):
             continue
+        if tool == "placeholder":  # the same rules for every language: one pass
+            wanted = documents if langs is None else documents.where(F.col("lang").isin(*langs))
+            frames.append(placeholders(wanted.select("file", "content", "lang")))
+            continue
         for lang in reads:
             if langs is None or lang in langs:
                 frames.append(BUILT_IN[tool](documents.where(F.col("lang") == lang).select("file", "content"), lang))
     return union(frames)
 
 
-def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None = None, external: dict[str, DataFrame] | None = None, langs: list[str] | None = None) -> Audit:
+def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None = None, external: dict[str, DataFrame] | None = None, langs: list[str] | None = None, workdir: str | None = None) -> Audit:
     """Audit documents (file, content). ``override`` sets the language of all; ``external`` has findings by outside tool.
 
-    ``langs`` limits the plan to languages known to occur. Language is detected once: every scanner reads
-    the persisted result.
+    ``langs`` limits the plan to languages known to occur. Language is detected once. With ``workdir`` (a
+    folder that all executors share) the documents are written there by language, and each scanner reads
+    the folders of its own languages only; that is the way for large corpora. Without it they are
+    persisted.
     """
     given = external or {}
-    found = language.detect(docs, override=override).persist(StorageLevel.MEMORY_AND_DISK)
+    found = language.detect(docs, override=override)
+    if workdir:
+        path = f"{workdir.rstrip('/')}/documents-{uuid.uuid4().hex}"
+        found.write.partitionBy("lang").parquet(path)
+        found = docs.sparkSession.read.schema(found.schema).parquet(path)
+    else:
+        found = found.persist(StorageLevel.MEMORY_AND_DISK)
     wanted = [override] if override else (langs or LANGS)
     findings = union([scan(found, wanted), *given.values()])
     triaged = triage(findings, rules).persist(StorageLevel.MEMORY_AND_DISK)

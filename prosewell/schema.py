@@ -31,13 +31,13 @@ EXTERNAL = ["avoid-ai-writing", "humanizer-ru", "im-not-ai", "natural-japanese"]
 QUOTE = 200
 
 
-def finding(df: DataFrame, tool: str, lang: str, line: Column | None = None, severity: Column | None = None, category: Column | None = None, quote: Column | None = None, priority: str | None = None) -> DataFrame:
+def finding(df: DataFrame, tool: str, lang: str | Column, line: Column | None = None, severity: Column | None = None, category: Column | None = None, quote: Column | None = None, priority: str | None = None) -> DataFrame:
     """Rows of the finding schema from a frame with ``file`` and the given columns."""
     none = F.lit(None)
     text = lambda c: (none if c is None else c).cast("string")
     return df.select(
         F.lit(tool).alias("tool"),
-        F.lit(lang).alias("lang"),
+        (F.lit(lang) if isinstance(lang, str) else lang).alias("lang"),
         F.col("file"),
         (none if line is None else line).cast("int").alias("line"),
         text(severity).alias("severity"),

@@ -86,7 +86,10 @@ def test_audit_of_files(spark, tmp_path):
     assert json.loads(report.as_json(out.findings, out.runs, out.summary, out.uncertain))["summary"]["p0"] == 1
     report.write_report(out.findings, str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).count() == out.findings.count()
+    again = audit(docs, langs=["en", "ru"], workdir=str(tmp_path / "work"))
+    assert sorted(map(repr, again.findings.collect())) == sorted(map(repr, out.findings.collect()))
     out.close()
+    again.close()
 
 
 def test_report_escapes(spark):
