@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         made = sc._jsc.sc().getCheckpointDir()
         if made.isDefined():
             found = made.get()
+        elif not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="prosewell-")
             sc.setCheckpointDir(found)
