@@ -130,6 +130,26 @@ def holds_one(lowered: Column, literals: list[str] | None) -> Column:
     return out
 
 
+def literal(text: str) -> str:
+    """A text as a Spark SQL literal; catalogs of many rules are built as one SQL expression, which plans far faster."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def holds_one_sql(lowered: str, literals: list[str] | None) -> str:
+    """``holds_one`` as SQL."""
+    if not literals:
+        return "true"
+    if len(literals) > 8:
+        return f"exists(array({', '.join(map(literal, literals))}), x -> contains({lowered}, x))"
+    return "(" + " OR ".join(f"contains({lowered}, {literal(x)})" for x in literals) + ")"
+
+
+def occurrences_sql(text: str, needle: str) -> str:
+    """``occurrences`` as SQL."""
+    n = literal(needle)
+    return f"CASE WHEN contains({text}, {n}) THEN CAST((length({text}) - length(replace({text}, {n}, ''))) / {len(needle)} AS INT) ELSE 0 END"
+
+
 def occurrences(text: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a fixed string."""
     return F.when(F.contains(text, F.lit(needle)), ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")).otherwise(0)

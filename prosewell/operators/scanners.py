@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from prosewell.catalogs import english, others, phrases, triage
 from prosewell.catalogs import metrics as M
 from prosewell.functions import textmetrics
-from prosewell.functions.regexes import SPACES, collapsed, general, holds_one, masked, occurrences, required, trimmed
+from prosewell.functions.regexes import SPACES, collapsed, general, holds_one, holds_one_sql, literal, masked, occurrences, occurrences_sql, required, trimmed
 from prosewell.functions.regexes import english as english_rule
 from prosewell.operators.lines import fenced_lines, lines, paragraphs
-from prosewell.schema import finding, short, weighted
+from prosewell.schema import QUOTE, finding, short, weighted
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -87,14 +87,12 @@ def phrase_needles(lang: str) -> list[tuple[str, str]]:
 def phrase_scan(docs: DataFrame, lang: str, needles: list[tuple[str, str]] | None = None) -> DataFrame:
     """Counted phrases of a document: clichés from one, weak phrases from two, three or more are high."""
     low = docs.select("file", F.lower("content").alias("__low"))
-    hits = []
-    for needle, kind in phrase_needles(lang) if needles is None else needles:
-        n = occurrences(F.col("__low"), needle.lower())
-        hits.append(F.struct(F.lit(needle).alias("needle"), F.lit(kind).alias("kind"), n.alias("n")))
-    if not hits:
+    found = phrase_needles(lang) if needles is None else needles
+    if not found:
         return finding(docs.limit(0), "phrases", lang)
+    hits = ", ".join(f"named_struct('needle', {literal(needle)}, 'kind', {literal(kind)}, 'n', {occurrences_sql('__low', needle.lower())})" for needle, kind in found)
     least = F.when(F.col("h.kind") == "weak", 2).otherwise(1)
-    rows = low.select("file", F.explode(F.filter(F.array(*hits), lambda h: h["n"] > 0)).alias("h")).where(F.col("h.n") >= least)
+    rows = low.select("file", F.explode(F.expr(f"filter(array({hits}), h -> h.n > 0)")).alias("h")).where(F.col("h.n") >= least)
     severity = F.when(F.col("h.n") >= 3, "high").when(F.col("h.kind") == "cliche", "phrase").otherwise("weak")
     return finding(rows, "phrases", lang, None, severity, F.lit("ai-phrase"), counted(F.col("h.needle"), F.col("h.n")))
 
@@ -113,24 +111,22 @@ def english_patterns(docs: DataFrame, categories: list[str] | None = None, rules
     base = lines(docs).where(F.length("text") > 2).withColumn("__masked", masked(F.col("text"))).withColumn("__low", F.lower("__masked"))
     gates = [required(r[3]) for r in rules]
     if all(gates):
-        base = base.where(holds_one(F.col("__low"), sorted({x for g in gates for x in g})))
+        base = base.where(F.expr(holds_one_sql("__low", sorted({x for g in gates for x in g}))))
     hits = []
-    for name, cat, w, rx in rules:
-        pattern = english_rule(rx)
-        found = F.regexp_extract(F.col("__masked"), pattern, 0)
-        quote = F.substring(F.col("text"), F.regexp_instr(F.col("__masked"), F.lit(pattern)), F.length(found))
-        hit = F.when(found != "", _hit(f"zs:{cat}/{name}", weighted(w), short(quote)))
-        gate = required(rx)
-        hits.append(F.when(holds_one(F.col("__low"), gate), hit) if gate else hit)
-    rows = _exploded(base, [F.filter(F.array(*hits), lambda h: h.isNotNull())])
+    for (name, cat, w, rx), gate in zip(rules, gates, strict=True):
+        pattern = literal(english_rule(rx))
+        found = f"regexp_extract(__masked, {pattern}, 0)"
+        quote = f"substring(text, regexp_instr(__masked, {pattern}), length({found}))"
+        hits.append(f"CASE WHEN {holds_one_sql('__low', gate)} AND {found} <> '' THEN named_struct('category', {literal(f'zs:{cat}/{name}')}, 'severity', '{weighted(w)}', 'quote', substring({quote}, 1, {QUOTE})) END")
+    rows = _exploded(base, [F.expr(f"filter(array({', '.join(hits)}), h -> h is not null)")])
     return finding(rows, "patterns-en", "en", F.col("line"), F.col("severity"), F.col("category"), F.col("quote"))
 
 
 def english_lexicon(docs: DataFrame) -> DataFrame:
     """Stems counted over the whole document, one finding per stem."""
     low = docs.select("file", F.lower("content").alias("__low"))
-    hits = [F.struct(F.lit(stem).alias("stem"), F.lit(weighted(w, 5)).alias("severity"), occurrences(F.col("__low"), stem.lower()).alias("n")) for stem, w in english.LEXICON.items()]
-    rows = low.select("file", F.explode(F.filter(F.array(*hits), lambda h: h["n"] > 0)).alias("h"))
+    hits = ", ".join(f"named_struct('stem', {literal(stem)}, 'severity', '{weighted(w, 5)}', 'n', {occurrences_sql('__low', stem.lower())})" for stem, w in english.LEXICON.items())
+    rows = low.select("file", F.explode(F.expr(f"filter(array({hits}), h -> h.n > 0)")).alias("h"))
     return finding(rows, "patterns-en", "en", None, F.col("h.severity"), F.lit("zs:lexicon"), counted(F.col("h.stem"), F.col("h.n")))
 
 
