@@ -108,7 +108,8 @@ def counted(quote: Column, n: Column) -> Column:
 def english_patterns(docs: DataFrame, categories: list[str] | None = None, rules: list | None = None) -> DataFrame:
     """The first non-empty match of each rule on each line, found on masked text and quoted from the line itself."""
     rules = [r for r in (english.RULES if rules is None else rules) if categories is None or r[1] in categories]
-    base = lines(docs).where(F.length("text") > 2).withColumn("__masked", masked(F.col("text"))).withColumn("__low", F.lower("__masked"))
+    base = lines(docs).where(F.length("text") > 2).withColumn("__m", masked(F.col("text")))
+    base = textmetrics.fenced_off(base, ["file", "line"], {"text": F.col("text"), "__masked": F.col("__m"), "__low": F.lower("__m")})
     gates = [required(r[3]) for r in rules]
     if all(gates):
         base = base.where(F.expr(holds_one_sql("__low", sorted({x for g in gates for x in g}))))
@@ -142,7 +143,7 @@ def metric_findings(docs: DataFrame) -> DataFrame:
 
 def catalog_scan(docs: DataFrame, tool: str, lang: str, rules: list, prefix: str = "") -> DataFrame:
     """Every match of every rule. No rule matches across lines, so lines are scanned and give the line number."""
-    base = lines(docs).withColumn("__low", F.lower("text"))
+    base = textmetrics.fenced_off(lines(docs), ["file", "line"], {"text": F.col("text"), "__low": F.lower("text")})
     hits = []
     for _, cat, w, rx in rules:
         q = F.transform(_all_matches(F.col("text"), general(rx)), _as_hit(prefix + cat, weighted(w)))
