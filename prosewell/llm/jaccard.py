@@ -224,7 +224,8 @@ def class_links(active: DataFrame, percent: int = PERCENT) -> DataFrame:
             here = postings.join(labels, postings.set == labels.node, "left").select(*columns, F.coalesce("component", "set").alias("label"))
         sizes = here.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
         largest = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("top.label").alias("main"))
-        here = stored(here.join(largest, "token"), "open-postings")
+        # stored, so that both sides of the join are fresh exchanges and a hot token's postings can be split
+        here = stored(here.join(stored(largest, "open-tokens"), "token"), "open-postings")
         if here.isEmpty():
             if found is None:
                 found = stored(here.select(F.col("set").alias("u"), F.col("set").alias("v")), "links")
@@ -233,7 +234,8 @@ def class_links(active: DataFrame, percent: int = PERCENT) -> DataFrame:
         if turn < PIVOT_ROUNDS:
             # the set with the fewest tokens of its own, among those outside the largest component
             pivot = rest.groupBy("token").agg(F.max(F.struct((F.col("slack") / F.col("n")).alias("share"), F.col("set"), F.col("n"), F.col("slack"), F.col("label"))).alias("p"))
-            a, b = pivot.select("token", "p.set", "p.n", "p.slack", "p.label").alias("a"), here.alias("b")
+            pivot = stored(pivot.select("token", "p.set", "p.n", "p.slack", "p.label"), "pivots")
+            a, b = pivot.alias("a"), here.alias("b")
             pairs = a.join(b, "token").where((F.col("a.label") != F.col("b.label")) & _possible(percent, "a", "b"))
         else:
             signed = active.select("set", *SIGNATURE)
