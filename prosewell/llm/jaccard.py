@@ -149,7 +149,9 @@ def _documents(percent: int):
         table = pdf[pdf["keys"].isna()].iloc[0]
         ids, n, sets = table.ids, np.array(table.sizes, np.int64), np.array(table.sets, np.int64)
         asked = pdf[pdf["keys"].notna()]
-        cols: dict[str, list] = {c: [None] * len(n) for c in ("slack", "one", "two", "three", "tokens", *SIGNATURE)}
+        cols: dict[str, list | np.ndarray] = {c: [None] * len(n) for c in ("one", "two", "three", "tokens")}
+        # whole numbers throughout: a None among 64-bit words would make pandas round them to floats
+        cols |= {c: np.zeros(len(n), np.int64) for c in ("slack", *SIGNATURE)}
         if len(asked):
             key = np.concatenate([unpack_sorted(k) for k in asked["keys"]])
             owner = np.concatenate([_unplane(o) for o in asked["owners"]]).astype(np.int64)
@@ -168,7 +170,7 @@ def _documents(percent: int):
                 cols["slack"][k] = int(e - s)
                 cols["tokens"][k] = pack_sorted(key[s:e])
                 parity = np.bincount((key[s:e] % np.uint64(64 * len(SIGNATURE))).astype(np.int64), minlength=64 * len(SIGNATURE)) & 1
-                for c, bits in zip(SIGNATURE, np.packbits(parity.astype(np.uint8)).view(np.int64).tolist(), strict=True):
+                for c, bits in zip(SIGNATURE, np.packbits(parity.astype(np.uint8)).view(np.int64), strict=True):
                     cols[c][k] = bits
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": n, "set": sets, **cols})
 

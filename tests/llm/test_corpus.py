@@ -219,6 +219,38 @@ def test_components_equal_brute_force(spark, seed):
     assert got == want and len({c for _, c in want.values()}) < len(docs) - 30
 
 
+def test_signatures_are_exact_and_bound_true_pairs(spark):
+    import pandas as pd
+
+    fields = "set long, n long, slack long, " + ", ".join(f"{c} long" for c in jaccard.SIGNATURE)
+    rows, sets = [], {}
+    for block, idle in ((0, 0), (1, 3)):  # without and with documents that share no token
+        rng = np.random.default_rng(4)
+        owned = {}
+        for pair in range(40):
+            both = np.unique(rng.integers(0, 1 << 48, 300).astype(np.uint64))
+            own = np.unique(rng.integers(0, 1 << 48, 98).astype(np.uint64))
+            owned[2 * pair], owned[2 * pair + 1] = np.sort(np.concatenate([both, own[:49]])), np.sort(np.concatenate([both, own[49:]]))
+        n = [len(t) for t in owned.values()] + [7] * idle
+        ids = [1000 * block + k for k in range(len(n))]
+        key, owner = np.concatenate(list(owned.values())), np.repeat(np.arange(len(owned)), [len(t) for t in owned.values()])
+        order = np.argsort(key)
+        plane = lambda x: x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+        asked = {"keys": jaccard.pack_sorted(key[order]), "owners": plane(owner[order]), "df": plane(np.full(len(key), 2))}
+        pdf = pd.DataFrame([{"block": block, "keys": None, "owners": None, "df": None, "ids": ids, "sizes": n, "sets": ids}, {"block": block, **asked, "ids": None, "sizes": None, "sets": None}])
+        out = jaccard._documents(75)(pdf)
+        for r in out[out["one"].notna()].to_dict("records"):
+            tokens = owned[r["set"] % 1000]
+            parity = np.bincount((tokens % np.uint64(1024)).astype(np.int64), minlength=1024) & 1
+            assert [r[c] for c in jaccard.SIGNATURE] == np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+            rows.append((int(r["set"]), int(r["n"]), int(r["slack"]), *(int(r[c]) for c in jaccard.SIGNATURE)))
+            sets[r["set"]] = set(tokens.tolist())
+    df = spark.createDataFrame(rows, fields)
+    near = {(r.u, r.v) for r in df.alias("a").join(df.alias("b"), jaccard._near(75)).selectExpr("a.set AS u", "b.set AS v").collect()}
+    true = {(a, b) for a, x in sets.items() for b, y in sets.items() if 100 * len(x & y) >= 75 * len(x | y)}
+    assert true <= near and len(true) == 4 * len(sets) and len(near) < len(sets) ** 2
+
+
 def test_one_of_each(spark):
     rows = [(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "y"), (7, None, "z"), (None, "q r s", "z"), (8, "other words here", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string")
