@@ -105,6 +105,11 @@ def _aligned(postings: DataFrame, index: Index, role: int) -> DataFrame:
     return postings.join(_maybe_broadcast(_terms(index.items, role), index.small), "term").withColumn("shift", F.col("pos") - F.col("at"))
 
 
+def _same_place(*columns: str) -> Column:
+    """Lists a and b agree in the columns and in doc_id, where null is an id like others."""
+    return F.expr(" AND ".join(["a.doc_id <=> b.doc_id", *(f"a.{c} = b.{c}" for c in columns)]))
+
+
 def phrase_matches(index: Index) -> DataFrame:
     """doc_id, text_hash, item_id, start (word position in the document), length: every occurrence of a window."""
     pairs = index.items.select("item", "words", "length", F.explode("windows").alias("w"))
@@ -113,7 +118,7 @@ def phrase_matches(index: Index) -> DataFrame:
     wanted = one.join(_maybe_broadcast(pairs.select("item", "at", "at2").distinct(), index.small), ["item", "at"])
     # adjusted lists meet: the next rarest word stands in the same alignment (a window of one word has none)
     two = _aligned(index.second, index, 1).select("doc_id", "text_hash", "item", "shift", F.col("at").alias("at2"))
-    met = wanted.where("at2 is not null").join(two, ["doc_id", "text_hash", "item", "shift", "at2"], "left_semi").unionByName(wanted.where("at2 is null"), allowMissingColumns=True)
+    met = wanted.where("at2 is not null").alias("a").join(two.alias("b"), _same_place("text_hash", "item", "shift", "at2"), "left_semi").unionByName(wanted.where("at2 is null"), allowMissingColumns=True)
     # the words around the first agree with the whole window
     lead = F.col("at") - F.col("from")
     same = (lead <= F.col("before")) & (F.slice("around", F.greatest(F.col("before") - lead, F.lit(0)) + 1, F.col("length")) == F.col("phrase"))
@@ -132,7 +137,8 @@ def proximity_matches(index: Index, slop: int) -> DataFrame:
     one = _aligned(index.first, index, 0).select("doc_id", "text_hash", "item", "at", "shift").join(_maybe_broadcast(wins, index.small), ["item", "at"])
     one = one.withColumn("bucket", F.explode(F.array(*(F.floor(F.col("shift") / wide) + k for k in (-1, 0, 1)))))
     two = _aligned(index.second, index, 1).select("doc_id", "text_hash", "item", F.col("at").alias("at2"), F.col("shift").alias("other_shift"), F.floor(F.col("shift") / wide).alias("bucket"))
-    near = one.join(two, ["doc_id", "text_hash", "item", "at2", "bucket"]).where(F.abs(F.col("shift") - F.col("other_shift")) <= slop)
+    near = one.alias("a").join(two.alias("b"), _same_place("text_hash", "item", "at2", "bucket")).where(F.abs(F.col("shift") - F.col("other_shift")) <= slop)
+    near = near.select("a.doc_id", "a.text_hash", "a.item", "item_start", "shift", "other_shift")
     return near.join(_maybe_broadcast(index.ids, index.small), "item").select("doc_id", "text_hash", "item_id", "item_start", "shift", "other_shift")
 
 

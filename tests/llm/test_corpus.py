@@ -69,6 +69,16 @@ def test_repeated_rows_and_proximity(spark):
     assert near >= {1, 2} or near >= {1}
 
 
+def test_rows_without_an_id_are_decontaminated(spark):
+    passage = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(None, f"so {passage} end"), (None, "alpha zeta"), (1, passage), (2, "theta")], "doc_id long, text string")
+    bench = spark.createDataFrame([("q", passage)], "item_id string, text string")
+    rows = decontam.contamination(docs, bench).collect()
+    assert {(r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in rows} == {(None, 10, 8, ("q",)), (None, 2, 0, ()), (1, 8, 8, ("q",)), (2, 1, 0, ())} and len(rows) == 4
+    assert sorted(r.text for r in decontam.clean(docs, bench).collect()) == ["alpha zeta", "theta"]
+    assert {r.doc_id for r in decontam.proximity_matches(decontam.build_index(docs, bench), 0).collect()} == {None, 1}
+
+
 class Plain:
     """Interpolated modified Kneser-Ney over bigrams, from the definition."""
 
