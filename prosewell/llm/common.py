@@ -61,7 +61,6 @@ def parts(spark: SparkSession) -> int:
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,25 +74,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+def _at_place(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A value of its own, in effect random, for each byte at each place of a word."""
+    with np.errstate(over="ignore"):
+        return mix((place.astype(np.uint64) * np.uint64(256) + byte.astype(np.uint64) + np.uint64(1)) * _MULT)
 
-    def __init__(self) -> None:
-        self.n = 0
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            n = max(n, 1 << 16)
-            base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base)]), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse)]), dtype=np.uint64)
-            self.n = n
-        return self.up, self.down
-
-
-_POWERS = _Powers()
+#: The values of the first places, looked up instead of computed.
+_NEAR_PLACES = 64
+_PLACES = _at_place(np.repeat(np.arange(_NEAR_PLACES), 256), np.tile(np.arange(256), _NEAR_PLACES))
 #: ASCII lower case of a byte; other bytes stay.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -136,6 +125,10 @@ def words_hashed(texts, chunk: int = 2_000_000):
     Yields (first, n_words, hashes): ``first`` is the index of the chunk's first text, ``n_words`` the
     number of words of each text in it, ``hashes`` the words of all of them in order. A null text has
     no words. A chunk holds whole texts, about ``chunk`` bytes of them.
+
+    A hash is the sum of one value per (place, byte) of the word, and every value is a mix of its own, so
+    no pattern inside a word makes two words agree (as the powers of one number modulo 2**64 would): two
+    different words agree with odds of 2**-64, some two of n different words with about n * n / 2**65.
     """
     if isinstance(texts, list):
         import pyarrow as pa
@@ -153,17 +146,16 @@ def words_hashed(texts, chunk: int = 2_000_000):
         solid[1:-1] = ~_SPACE[raw]
         start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
         end = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
-        up, down = _POWERS.get(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
+        size = end - start
+        begin = np.cumsum(size) - size  # of each word among the bytes of words
+        byte = _LOWER[raw[solid[1:-1]]]
+        place = np.arange(len(byte), dtype=np.int32) - np.repeat(begin, size).astype(np.int32)
+        x = _PLACES[np.minimum(place, _NEAR_PLACES - 1) * 256 + byte]
+        far = np.flatnonzero(place >= _NEAR_PLACES)
+        x[far] = _at_place(place[far], byte[far])
         with np.errstate(over="ignore"):
-            x = _LOWER[raw].astype(np.uint64)
-            x += np.uint64(1)
-            x *= up[:n]
-            np.cumsum(x, out=sums[1:])
-            del x
-            hashes = sums[end] - sums[start]
-            hashes *= down[start]
-            hashes += (end - start).astype(np.uint64) * _MULT
+            hashes = np.add.reduceat(x, begin) if len(begin) else np.zeros(0, np.uint64)
+            hashes += size.astype(np.uint64) * _MULT
         yield first, np.diff(np.searchsorted(start, bounds)), mix(hashes)
 
 
@@ -207,17 +199,19 @@ def write_array(uri: str, array: np.ndarray) -> None:
 
 
 def map_array(uri: str, dtype) -> np.ndarray:
-    """A file of the shared folder, memory-mapped; one in a remote store is first copied to this worker, and goes with it."""
+    """A file of the shared folder, memory-mapped; one in a remote store is read into a mapping of this process's own. A file that is not there is empty."""
+    import mmap
+
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
-    if system.get_file_info(path).size == 0:
+    size = system.get_file_info(path).size
+    if not size:
         return np.zeros(0, dtype)
     if isinstance(system, fs.LocalFileSystem):
         return np.memmap(path, dtype, "r")
-    with tempfile.NamedTemporaryFile() as local:
-        with system.open_input_stream(path) as src:
-            while block := src.read(1 << 24):
-                local.write(block)
-        local.flush()
-        return np.memmap(local.name, dtype, "r")  # the mapping outlives the name
+    own = mmap.mmap(-1, size)
+    with system.open_input_stream(path) as src:
+        while block := src.read(1 << 24):
+            own.write(block)
+    return np.frombuffer(own, dtype)

@@ -1,30 +1,38 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, memory-mapped by workers.
+"""LM scoring: an interpolated modified Kneser-Ney n-gram model, counted in Spark, memory-mapped by workers.
 
-Every stage is sharded by a hash or id range, so no machine holds a table of all words or pairs:
+Every stage is sharded by a hash, so no machine holds a table of all words or n-grams:
 
-1. words: each task sums its words' 64-bit hashes and sends sorted blocks to hash-range shards, which
-   write sorted hash arrays with counts to the shared folder; a word's id is its place in them;
-2. pairs: each task sums id pairs and sends sorted blocks to shards by context (frequent contexts are
-   split further by the second word); a shard writes its sorted pair array, the context sums (total and
-   numbers of words seen once, twice, more often) and sends distinct-predecessor counts on to the word
-   shards;
-3. scoring: workers memory-map these arrays and look each block's sorted distinct words and pairs up.
+1. words: each task sums its words' 64-bit hashes and sends sorted blocks to hash-range shards, which write
+   sorted hash arrays with counts to the shared folder. Within a shard words are ranked by count; a word's
+   id is its rank and shard, so frequent words have small ids, which compress well;
+2. n-grams of the highest order (``ORDER``): each task sums them and sends them to shards by context; contexts
+   of frequent words only are split further by the whole n-gram, and their sums, one row per shard at most,
+   are added up later. A shard writes its sorted hash array with counts and its contexts' sums (total and
+   numbers of words seen once, twice, more often), and sends the n-grams of the order below, each counted
+   once per word that precedes it, on to the shards of that order; and so on, in one job, down to words;
+3. scoring: workers memory-map these arrays and look each block's distinct words, n-grams and contexts up.
 
-Highest order: discounts D1, D2, D3+ from the pair counts of counts. Lower order: continuation counts with
-discounts of their own, interpolated with the uniform distribution over V + 1 outcomes (the last is any
-unknown word). An unseen context gives the lower order. Only per-shard sums and the frequent contexts
-(fewer than four times the shards) reach the driver.
+Each order has discounts D1, D2, D3+ from its own counts of counts and is interpolated with the order below,
+the lowest with the uniform distribution over V + 1 outcomes (the last is any unknown word). A text starts
+with ORDER - 1 start symbols; n-grams that begin with one keep their plain counts, as nothing precedes them. An
+unseen context gives the lower order. A few numbers per shard, and the frequent words (fewer than eight times
+the shards), reach the driver. Counts of any size are kept (the arrays take the narrowest width that holds them).
 
-Order two is the production order: a third would send 1.3 times the pairs again through the shuffle and
-exceed the disk bound of the check.
+Odds: words are told apart by 64 bits (see ``common.words_hashed``), n-grams by 64 bits while they are counted
+(some two of n agree with n * n / 2**65) and by 48 bits when looked up: an n-gram that was never seen is taken
+for one of the m of its shard with odds of m / 2**48.
+
+A context that was seen once in all is not stored: its n-gram of the order below tells that it was seen.
 
 Defined cases: a null text counts as empty and is one end token; an untrained model (no training rows) has
 N = V = 0, knows no token and gives every token the uniform probability over one outcome (score 0); repeated
-rows count as often as they come; texts are read whole. Other columns pass through.
+rows count as often as they come; texts are read whole. Other columns pass through; those with the names of
+the new ones are replaced.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,29 +41,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prosewell.llm.common import fresh_path, map_array, mix, modest_batches, pack_sorted, parts, stored, summed, unpack_sorted, words_hashed, write_array
+from prosewell.llm.common import fresh_path, map_array, mix, modest_batches, pack_sorted, parts, summed, unpack_sorted, words_hashed, write_array
 
+ORDER = 3
 END = np.uint64(0x5EED0FE2D5E2D111)  # hash that stands for the end of a text
-FLUSH = 3_000_000
-MASK = np.uint64(0xFFFFFFFF)
+#: n-grams that a task gathers before it sends them on; bytes of text that are scored at once; mapped files.
+FLUSH, SCORED, MAPS = 1_500_000, 4_000_000, 4_096
 HALF = np.uint64(32)
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class KneserNey:
-    """Where the arrays lie, and the few numbers that are global."""
+    """Where the arrays lie, and the few numbers that are global. discounts: of each order, the lowest first."""
 
     uri: str
     shards: int
-    offsets: np.ndarray  # first word id of each shard
+    order: int
     n_tokens: int = 0
     n_types: int = 0
     n_pairs: int = 0
-    discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
-    lower_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
+    unknown: int = 0  # the id of any unknown word; the next one is the start symbol
+    discounts: list[tuple[float, float, float]] = field(default_factory=list)
     lower_backoff: float = 1.0
-    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # ids of frequent contexts, sorted
-    hot_sums: np.ndarray = field(default_factory=lambda: np.zeros((0, 4), np.int64))
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # ids of frequent words, sorted
+
+    @property
+    def start(self) -> int:
+        return self.unknown + 1
 
 
 def _range_shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -63,56 +76,92 @@ def _range_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> HALF) * np.uint64(shards) >> HALF).astype(np.int64)
 
 
-def _pair_shard(pairs: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    """By the context's hash; a frequent context's pairs go by the pair's."""
-    context = pairs >> HALF
-    split = np.isin(context, hot)
-    return (mix(np.where(split, pairs, context)) % np.uint64(shards)).astype(np.int64)
-
-
-def _tokens(texts):
+def _tokens(texts, chunk: int = 2_000_000):
     """Yields (first, n_tokens per text, hashes with an end after each text's words)."""
-    for first, n, hashes in words_hashed(texts):
+    for first, n, hashes in words_hashed(texts, chunk):
         ends = np.cumsum(n)
         yield first, n + 1, np.insert(hashes, ends, END)
 
 
-class _Sums:
-    """Counts of 64-bit keys, given out as sorted blocks by shard whenever they reach FLUSH."""
+def _narrow(values: np.ndarray) -> np.ndarray:
+    top = int(values.max()) if values.size else 0
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
+def _write_numbers(uri: str, values: np.ndarray) -> None:
+    """Whole numbers in the narrowest width that holds them; eight bytes in front tell which."""
+    narrow = _narrow(values)
+    write_array(uri, np.concatenate([np.array([narrow.itemsize], np.uint64).view(np.uint8), np.ascontiguousarray(narrow).reshape(-1).view(np.uint8)]))
+
+
+def _write_keys(uri: str, shard: int, keys: np.ndarray) -> None:
+    """The upper 48 bits of sorted hashes."""
+    write_array(f"{uri}-hi/{shard}", (keys >> HALF).astype(np.uint32))
+    write_array(f"{uri}-lo/{shard}", (keys >> np.uint64(16)).astype(np.uint16))
+
+
+def _context(columns: np.ndarray) -> np.ndarray:
+    """Hash of the words of a context (rows of ``columns``)."""
+    h = np.full(columns.shape[1], len(columns), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            h = mix(h * _FOLD + c)
+    return h
+
+
+def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(context * _FOLD + word + np.uint64(1))
+
+
+def _among(hot: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(values.shape, bool)
+    return hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values
+
+
+def _shard(model: KneserNey, columns: np.ndarray, context: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each n-gram, and whether its context is split: by the context's hash, or by the n-gram's where the context has frequent words only."""
+    split = _among(model.hot, columns).all(axis=0)
+    return (mix(np.where(split, gram, context)) % np.uint64(model.shards)).astype(np.int64), split
+
 
-    def __init__(self, shard_of) -> None:
-        self.shard_of, self.keys, self.counts, self.size = shard_of, [], [], 0
+def _packed(columns: np.ndarray, counts: np.ndarray) -> bytes:
+    """Columns of ids and counts, byte plane by byte plane, compressed."""
+    parts_ = [_narrow(columns), _narrow(counts)]
+    planes = b"".join(np.ascontiguousarray(x.reshape(-1, x.shape[-1])).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in parts_)
+    head = np.array([len(planes), columns.shape[0], *(x.itemsize for x in parts_)], np.int64).tobytes()
+    return head + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray):
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.size += len(keys)
-        if self.size > FLUSH:
-            yield from self.take()
 
-    def take(self):
-        if not self.size:
-            return
-        keys, counts = summed(np.concatenate(self.keys), np.concatenate(self.counts))
-        self.keys, self.counts, self.size = [], [], 0
-        shard = self.shard_of(keys)
-        order = np.argsort(shard, kind="stable")  # keys stay sorted within a shard
-        keys, counts, shard = keys[order], counts[order], shard[order]
-        at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-        rows = [(int(shard[s]), pack_sorted(keys[s:e]), np.minimum(counts[s:e], 0xFFFFFFFF).astype(np.uint32).tobytes()) for s, e in zip(at, at[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "keys", "counts"])
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, rows, wide, wide_n = np.frombuffer(data[:32], np.int64).tolist()
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[32:], size, asbytes=True), np.uint8)
+    n = size // (rows * wide + wide_n)
+    own, counts = (np.ascontiguousarray(x.reshape(w, -1).T).view(f"u{w}").reshape(-1) for x, w in ((planes[: rows * n * wide], wide), (planes[rows * n * wide :], wide_n)))
+    return own.reshape(rows, n).astype(np.uint64), counts.astype(np.int64)
 
 
-_BLOCKS = "shard int, keys binary, counts binary"
+def _distinct(key: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their columns and the sums of their counts."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], columns[:, order[first]], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def _merged(pdf) -> tuple[np.ndarray, np.ndarray]:
-    return summed(np.concatenate([unpack_sorted(k) for k in pdf["keys"]]), np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]))
+def _by_shard(shard: np.ndarray, columns: np.ndarray, counts: np.ndarray):
+    """(shard, packed columns and counts) of each shard."""
+    order = np.argsort(shard, kind="stable")
+    shard, columns, counts = shard[order], columns[:, order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
+    for s, e in zip(at, at[1:], strict=False):
+        yield int(shard[s]), _packed(columns[:, s:e], counts[s:e])
 
 
 def _classes(counts: np.ndarray) -> list[int]:
-    """Numbers of entries counted 1, 2, 3 and 4 times."""
-    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+    """Numbers of entries counted 1, 2, 3 and 4 times, and more than twice."""
+    return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), int((counts > 2).sum())]
 
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -124,71 +173,94 @@ def _discounts(n: np.ndarray) -> tuple[float, float, float]:
 
 
 class _Reader:
-    """Memory-mapped arrays of a model, opened as they are needed."""
+    """Memory-mapped arrays of a model, opened as they are needed; the ones longest unused are closed beyond MAPS."""
 
     def __init__(self, model: KneserNey) -> None:
-        self.model, self.open = model, {}
+        self.model, self.open = model, OrderedDict()
 
-    def array(self, name: str, shard: int, dtype) -> np.ndarray:
+    def array(self, name: str, shard: int, dtype=None) -> np.ndarray:
+        """Without a dtype, numbers as _write_numbers leaves them."""
         key = (name, shard)
         if key not in self.open:
-            self.open[key] = map_array(f"{self.model.uri}/{name}/{shard}", dtype)
+            found = map_array(f"{self.model.uri}/{name}/{shard}", dtype or np.uint8)
+            if dtype is None and len(found):
+                found = found[8:].view(f"u{int(found[:8].view(np.uint64)[0])}")
+            self.open[key] = found
+            if len(self.open) > MAPS:
+                self.open.popitem(last=False)
+        self.open.move_to_end(key)
         return self.open[key]
 
-    def words(self, hashes: np.ndarray, *values: str) -> list[np.ndarray]:
-        """Ids of sorted distinct hashes (V where unknown), then each named word array's entries (0 where unknown)."""
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of sorted distinct hashes."""
         m = self.model
-        ids, out = np.full(len(hashes), m.n_types, np.uint64), [np.zeros(len(hashes), np.int64) for _ in values]
+        ids, counts = np.full(len(hashes), m.unknown, np.uint64), np.zeros(len(hashes), np.int64)
         bounds = np.searchsorted(_range_shard(hashes, m.shards), np.arange(m.shards + 1))
         for shard in np.flatnonzero(np.diff(bounds)):
             s, e = bounds[shard], bounds[shard + 1]
             keys = self.array("word-keys", shard, np.uint64)
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, hashes[s:e]), len(keys) - 1)
-            known = keys[at] == hashes[s:e]
-            ids[s:e][known] = (at[known] + m.offsets[shard]).astype(np.uint64)
-            for name, o in zip(values, out, strict=True):
-                o[s:e][known] = self.array(name, shard, np.uint32)[at[known]]
-        return [ids, *out]
-
-    def pairs(self, pairs: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pairs."""
-        m = self.model
-        out = np.zeros(len(pairs), np.int64)
-        shard = _pair_shard(pairs, m.shards, m.hot)
-        order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(m.shards + 1))
-        for k in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[k] : bounds[k + 1]]
-            keys = self.array("pair-keys", k, np.uint64)
             if len(keys):
-                at = np.minimum(np.searchsorted(keys, pairs[own]), len(keys) - 1)
-                out[own] = np.where(keys[at] == pairs[own], self.array("pair-counts", k, np.uint32)[at], 0)
+                at = np.minimum(np.searchsorted(keys, hashes[s:e]), len(keys) - 1)
+                known = keys[at] == hashes[s:e]
+                ids[s:e][known] = self.array("word-ranks", shard)[at[known]].astype(np.uint64) * np.uint64(m.shards) + np.uint64(shard)
+                counts[s:e][known] = self.array("word-counts", shard)[at[known]]
+        return ids, counts
+
+    def preceded(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers of different words before each of the ids."""
+        m = self.model
+        out, shard = np.zeros(len(ids), np.int64), np.where(ids < m.unknown, ids % np.uint64(m.shards), np.uint64(m.shards)).astype(np.int64)
+        for k, own in _groups(shard, m.shards):
+            out[own] = self.array("word-before", k)[(ids[own] // np.uint64(m.shards)).astype(np.int64)]
         return out
 
-    def contexts(self, ids: np.ndarray) -> np.ndarray:
-        """Total, and numbers of words seen once, twice, more often, after each of the sorted distinct contexts."""
+    def places(self, name: str, shard: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes in a sorted array, and which of them are there."""
+        hi = self.array(f"{name}-hi", shard, np.uint32)
+        if not len(hi):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        lo, want = self.array(f"{name}-lo", shard, np.uint16), (keys >> HALF).astype(np.uint32)
+        rest = (keys >> np.uint64(16)).astype(np.uint16)
+        at = np.searchsorted(hi, want)
+        while True:  # past those that agree in the upper half only (there are hardly any)
+            on = np.flatnonzero((at < len(hi)) & (hi[np.minimum(at, len(hi) - 1)] == want))
+            on = on[lo[at[on]] < rest[on]]
+            if not len(on):
+                break
+            at[on] += 1
+        at = np.minimum(at, len(hi) - 1)
+        return at, (hi[at] == want) & (lo[at] == rest)
+
+    def grams(self, order: int, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Counts of n-grams by hash and shard."""
+        out = np.zeros(len(keys), np.int64)
+        for k, own in _groups(shard, self.model.shards):
+            at, known = self.places(f"grams-{order}", k, keys[own])
+            if known.any():
+                out[own[known]] = self.array(f"grams-{order}", k)[at[known]]
+        return out
+
+    def contexts(self, order: int, keys: np.ndarray, split: np.ndarray) -> np.ndarray:
+        """Total, and numbers of words seen once, twice, more often, after each context; 0 where it is not stored."""
         m = self.model
-        out = np.zeros((len(ids), 4), np.int64)
-        if len(m.hot):
-            at = np.minimum(np.searchsorted(m.hot, ids), len(m.hot) - 1)
-            known = m.hot[at] == ids
-            out[known] = m.hot_sums[at[known]]
-        shard = (mix(ids) % np.uint64(m.shards)).astype(np.int64)
-        shard[np.isin(ids, m.hot)] = m.shards
-        order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(m.shards + 1))
-        for k in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[k] : bounds[k + 1]]
-            keys = self.array("context-ids", k, np.uint32)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, ids[own].astype(np.uint32)), len(keys) - 1)
-                known = keys[at] == ids[own]
-                out[own[known]] = self.array("context-sums", k, np.uint32).reshape(-1, 4)[at[known]]
+        out = np.zeros((len(keys), 4), np.int64)
+        shard = (mix(keys) % np.uint64(m.shards)).astype(np.int64)
+        for kind, name in ((False, f"contexts-{order}"), (True, f"split-{order}")):
+            for k, own in _groups(np.where(split == kind, shard, m.shards), m.shards):
+                at, known = self.places(name, k, keys[own])
+                if known.any():
+                    out[own[known]] = self.array(name, k).reshape(-1, 4)[at[known]]
         return out
 
 
+def _groups(shard: np.ndarray, shards: int):
+    """(shard, places in ``shard``) of each shard below ``shards`` that is there."""
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(bounds)):
+        yield int(k), order[bounds[k] : bounds[k + 1]]
+
+
 _READERS: dict[str, _Reader] = {}
 
 
@@ -199,111 +271,205 @@ def _reader(model: KneserNey) -> _Reader:
     return _READERS[model.uri]
 
 
-def _sequence(model: KneserNey, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The context id of each token: the token before it, or the start of the text (id V + 1)."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(n) - n] = model.n_types + 1
-    return before
+def _columns(model: KneserNey, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The ORDER - 1 tokens before each token, the farthest first (the start symbol before a text), and the token."""
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.full((model.order, len(ids)), model.start, np.uint64)
+    for back in range(model.order):
+        has = np.flatnonzero(place >= back)
+        out[model.order - 1 - back, has] = ids[has - back]
+    return out
 
 
-def train(docs: DataFrame, text: str = "text") -> KneserNey:
-    """The model of all texts of ``docs``."""
-    spark = docs.sparkSession
-    modest_batches(spark)
-    shards = 2 * max(2, parts(spark))
-    uri = fresh_path(spark, "kneser-ney")
-    texts = docs.select(F.col(text).cast("string").alias("t"))
+_ROWS = "shard int, kind int, data binary, numbers array<long>"
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    shard, kind, data, numbers = zip(*found, strict=True) if found else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary()), pa.array(numbers, pa.list_(pa.int64()))], ["shard", "kind", "data", "numbers"])
+
+
+def _count_words(docs: DataFrame, shards: int) -> DataFrame:
+    """shard, keys, counts: sorted blocks of word hashes."""
+
+    def run(batches):
+        keys, counts, size = [], [], 0
+
+        def blocks():
+            k, n = summed(np.concatenate(keys), np.concatenate(counts))
+            shard = _range_shard(k, shards)
+            at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+            rows = [(int(shard[s]), pack_sorted(k[s:e]), _packed(np.zeros((0, e - s), np.uint64), n[s:e])) for s, e in zip(at, at[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["shard", "keys", "counts"])
 
-    def count_words(batches):
-        sums = _Sums(lambda keys: _range_shard(keys, shards))
         for b in batches:
             for _, _, hashes in _tokens(b.column(0)):
-                yield from sums.add(*np.unique(hashes, return_counts=True))
-        yield from sums.take()
+                k, n = np.unique(hashes, return_counts=True)
+                keys.append(k)
+                counts.append(n)
+                size += len(k)
+                if size > FLUSH:
+                    yield blocks()
+                    keys, counts, size = [], [], 0
+        if size:
+            yield blocks()
+
+    return docs.mapInArrow(run, "shard int, keys binary, counts binary")
+
 
-    def write_words(pdf):
+def _write_words(uri: str):
+    def run(pdf):
         import pandas as pd
 
-        keys, counts = _merged(pdf)
+        keys, counts = summed(np.concatenate([unpack_sorted(k) for k in pdf["keys"]]), np.concatenate([_unpacked(c)[1] for c in pdf["counts"]]))
         shard = int(pdf["shard"].iloc[0])
+        rank = np.empty(len(keys), np.int64)
+        rank[np.lexsort((keys, -counts))] = np.arange(len(keys))
         write_array(f"{uri}/word-keys/{shard}", keys)
-        write_array(f"{uri}/word-counts/{shard}", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
-        top = np.argsort(-counts, kind="stable")[: 4 * shards]
-        return pd.DataFrame({"shard": [shard], "types": [len(keys)], "tokens": [int(counts.sum())], "at": [top.tolist()], "n": [counts[top].tolist()]})
-
-    rows = texts.mapInArrow(count_words, _BLOCKS).groupBy("shard").applyInPandas(write_words, "shard int, types long, tokens long, at array<long>, n array<long>").collect()
-    types = np.zeros(shards, np.int64)
-    for r in rows:
-        types[r.shard] = r.types
-    model = KneserNey(uri, shards, np.concatenate([[0], np.cumsum(types)])[:-1], sum(r.tokens for r in rows), int(types.sum()))
-    empty = np.zeros(0, np.uint64)
-    for k in set(range(shards)) - {r.shard for r in rows}:
-        write_array(f"{uri}/word-keys/{k}", empty)
-        write_array(f"{uri}/word-counts/{k}", empty)
-    if not model.n_tokens:
-        return model
-    if model.n_types + 2 >= 1 << 32:
-        raise ValueError("more than 2**32 words: ids no longer fit")
-    often = [model.offsets[r.shard] + at for r in rows for at, n in zip(r.at, r.n, strict=True) if n > model.n_tokens / (4 * shards)]
-    model.hot = np.array(sorted([*often, model.n_types + 1]), np.uint64)
-    sent = spark.sparkContext.broadcast(model)
+        _write_numbers(f"{uri}/word-counts/{shard}", counts)
+        _write_numbers(f"{uri}/word-ranks/{shard}", rank)
+        return pd.DataFrame({"types": [len(keys)], "tokens": [int(counts.sum())]})
+
+    return run
+
+
+def _frequent(spark, model: KneserNey) -> np.ndarray:
+    """Ids of the words that are more than one of 4 x shards of all tokens: fewer than 4 x shards, so they fit the driver."""
 
-    def count_pairs(batches):
+    def run(batches):
+        for b in batches:
+            out = []
+            for shard in b.column(0).to_pylist():
+                counts = _Reader(model).array("word-counts", shard)
+                ranks = _Reader(model).array("word-ranks", shard)
+                out += [int(r) * model.shards + shard for r in ranks[counts > model.n_tokens / (4 * model.shards)]]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
+
+    return np.array(sorted(r.id for r in spark.range(0, model.shards, 1, min(model.shards, parts(spark))).mapInArrow(run, "id long").collect()), np.uint64)
+
+
+def _count_grams(docs: DataFrame, sent) -> DataFrame:
+    """Blocks of n-grams of the highest order (kind: the order)."""
+
+    def run(batches):
         m = sent.value
-        reader = _reader(m)
-        sums = _Sums(lambda keys: _pair_shard(keys, shards, m.hot))
+        reader, held, size = _reader(m), [], 0
+
+        def blocks():
+            key, columns, counts = _distinct(*(np.concatenate([h[k] for h in held], axis=-1) for k in range(3)))
+            shard, _ = _shard(m, columns[:-1], _context(columns[:-1]), key)
+            return _rows([(s, m.order, data, None) for s, data in _by_shard(shard, columns, counts)])
+
         for b in batches:
             for _, n, hashes in _tokens(b.column(0)):
                 distinct, back = np.unique(hashes, return_inverse=True)
-                ids = reader.words(distinct)[0][back]
-                yield from sums.add(*np.unique((_sequence(m, n, ids) << HALF) | ids, return_counts=True))
-        yield from sums.take()
+                columns = _columns(m, n, reader.words(distinct)[0][back])
+                key, first, counts = np.unique(_gram(_context(columns[:-1]), columns[-1]), return_index=True, return_counts=True)
+                held.append((key, columns[:, first], counts))
+                size += len(key)
+                if size > FLUSH:
+                    yield blocks()
+                    held, size = [], 0
+        if size:
+            yield blocks()
 
-    def write_pairs(pdf):
-        import pandas as pd
+    return docs.mapInArrow(run, _ROWS)
 
-        m = sent.value
-        keys, counts = _merged(pdf)
-        shard = int(pdf["shard"].iloc[0])
-        write_array(f"{uri}/pair-keys/{shard}", keys)
-        write_array(f"{uri}/pair-counts/{shard}", np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
-        context, first = np.unique(keys >> HALF, return_index=True)
-        sums = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
-        split = np.isin(context, m.hot)
-        write_array(f"{uri}/context-ids/{shard}", context[~split].astype(np.uint32))
-        write_array(f"{uri}/context-sums/{shard}", np.minimum(sums[~split], 0xFFFFFFFF).astype(np.uint32))
-        out = [{"word_shard": -1, "ids": context[split].tobytes(), "n": sums[split].tobytes(), "classes": _classes(counts), "pairs": len(keys)}]
-        word, n = np.unique(keys & MASK, return_counts=True)
-        bounds = np.searchsorted(word, [*m.offsets.tolist(), m.n_types])
-        for k in np.flatnonzero(np.diff(bounds)):
-            s, e = bounds[k], bounds[k + 1]
-            out.append({"word_shard": int(k), "ids": pack_sorted(word[s:e]), "n": n[s:e].astype(np.uint32).tobytes(), "classes": [], "pairs": 0})
-        return pd.DataFrame(out)
-
-    blocks = texts.mapInArrow(count_pairs, _BLOCKS).groupBy("shard").applyInPandas(write_pairs, "word_shard int, ids binary, n binary, classes array<long>, pairs long")
-    blocks = stored(blocks, "predecessors")
-    rows = blocks.where("word_shard < 0").collect()
-    model.n_pairs = sum(r.pairs for r in rows)
-    model.discounts = _discounts(np.sum([r.classes for r in rows], axis=0))
-    model.hot_sums = np.zeros((len(model.hot), 4), np.int64)
-    for r in rows:
-        model.hot_sums[np.searchsorted(model.hot, np.frombuffer(r.ids, np.uint64))] += np.frombuffer(r.n, np.int64).reshape(-1, 4)
-
-    def write_continuations(pdf):
+
+def _write_sums(uri: str, shard: int, context: np.ndarray, sums: np.ndarray) -> None:
+    """Contexts in order, without those that were seen once in all."""
+    own = np.flatnonzero(sums[:, 0] > 1)
+    _write_keys(uri, shard, context[own])
+    _write_numbers(f"{uri}/{shard}", sums[own])
+
+
+def _level(sent, order: int):
+    """Writes a shard's n-grams of an order and the split contexts of the order above; sends the order below on."""
+
+    def run(pdf):
         import pandas as pd
 
-        shard = int(pdf["word_shard"].iloc[0])
-        ids, n = summed(np.concatenate([unpack_sorted(x) for x in pdf["ids"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["n"]]))
         m = sent.value
-        whole = np.zeros(len(_reader(m).array("word-keys", shard, np.uint64)), np.uint32)
-        whole[ids.astype(np.int64) - m.offsets[shard]] = n
-        write_array(f"{uri}/word-before/{shard}", whole)
-        return pd.DataFrame({"classes": [[*_classes(whole), int((whole > 2).sum())]]})
-
-    found = blocks.where("word_shard >= 0").select("word_shard", "ids", "n").groupBy("word_shard").applyInPandas(write_continuations, "classes array<long>").collect()
-    n = np.sum([r.classes for r in found], axis=0)
-    model.lower_discounts = d = _discounts(n[:4])
+        shard = int(pdf["shard"].iloc[0])
+        out = [(shard, 0, None, list(x)) for x in pdf.loc[pdf["kind"] == 0, "numbers"]]
+        partial = [_unpacked(x) for x in pdf.loc[pdf["kind"] == -(order + 1), "data"]]
+        if partial:
+            columns = np.concatenate([c for c, _ in partial], axis=1)
+            _, first, at = np.unique(columns[0], return_index=True, return_inverse=True)
+            sums = np.zeros((len(first), 4), np.int64)
+            np.add.at(sums, at, columns[1:].T.astype(np.int64))
+            _write_sums(f"{m.uri}/split-{order + 1}", shard, columns[0][first], sums)
+        blocks = [_unpacked(x) for x in pdf.loc[pdf["kind"] == order, "data"]]
+        if blocks:
+            columns, counts = (np.concatenate(x, axis=-1) for x in zip(*blocks, strict=True))
+            if order == 1:
+                reader = _Reader(m)
+                whole = np.zeros(len(reader.array("word-keys", shard, np.uint64)), np.int64)
+                np.add.at(whole, (columns[0] // np.uint64(m.shards)).astype(np.int64), counts)
+                _write_numbers(f"{m.uri}/word-before/{shard}", whole)
+                out.append((shard, 0, None, [1, *_classes(whole), int(whole.sum())]))
+            else:
+                out += _grams(m, order, shard, columns, counts)
+        return pd.DataFrame(out, columns=["shard", "kind", "data", "numbers"])
+
+    return run
+
+
+def _grams(m: KneserNey, order: int, shard: int, columns: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """Writes the n-grams of a shard and their contexts; rows of the split contexts, of the order below, and of the counts of counts."""
+    context = _context(columns[:-1])
+    key, columns, counts = _distinct(_gram(context, columns[-1]), columns, counts)
+    name = f"{m.uri}/grams-{order}"
+    _write_keys(name, shard, key)
+    _write_numbers(f"{name}/{shard}", counts)
+    out = [(shard, 0, None, [order, *_classes(counts), int(counts.sum())])]
+
+    context = _context(columns[:-1])
+    _, split = _shard(m, columns[:-1], context, key)
+    by = np.argsort(context, kind="stable")
+    contexts, first = np.unique(context[by], return_index=True)
+    sums = np.stack([np.add.reduceat(x[by].astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1)
+    apart = split[by][first]
+    _write_sums(f"{m.uri}/contexts-{order}", shard, contexts[~apart], sums[~apart])
+    to = (mix(contexts[apart]) % np.uint64(m.shards)).astype(np.int64)
+    pairs = np.concatenate([contexts[apart][None], sums[apart].T.astype(np.uint64)])
+    out += [(s, -order, data, None) for s, data in _by_shard(to, pairs, np.ones(len(to), np.int64))]
+
+    lower = columns[1:]
+    # what begins with a start symbol keeps its plain count
+    each = np.where(lower[0] == m.start, counts, 1) if order > 2 else np.ones(len(counts), np.int64)
+    inner = _context(lower[:-1])
+    key, lower, each = _distinct(_gram(inner, lower[-1]), lower, each)
+    if order > 2:
+        to, _ = _shard(m, lower[:-1], _context(lower[:-1]), key)
+    else:
+        to = (lower[0] % np.uint64(m.shards)).astype(np.int64)
+    return out + [(s, order - 1, data, None) for s, data in _by_shard(to, lower, each)]
+
+
+def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey:
+    """The model of all texts of ``docs``; ``order`` is two or more."""
+    if order < 2:
+        raise ValueError("the order is two or more")
+    spark = docs.sparkSession
+    modest_batches(spark)
+    shards = max(2, parts(spark))
+    uri = fresh_path(spark, "kneser-ney")
+    texts = docs.select(F.col(text).cast("string").alias("t"))
+    rows = _count_words(texts, shards).groupBy("shard").applyInPandas(_write_words(uri), "types long, tokens long").collect()
+    model = KneserNey(uri, shards, order, sum(r.tokens for r in rows), sum(r.types for r in rows), unknown=shards * max((r.types for r in rows), default=0))
+    if not model.n_tokens:
+        return model
+    model.hot = np.append(_frequent(spark, model), np.uint64(model.start))
+    sent = spark.sparkContext.broadcast(model)
+    flow = _count_grams(texts, sent)
+    for level in range(order, 0, -1):
+        flow = flow.groupBy("shard").applyInPandas(_level(sent, level), _ROWS)
+    numbers = np.array([r.numbers for r in flow.where("kind = 0").select("numbers").collect()], np.int64)
+    of = [numbers[numbers[:, 0] == level, 1:].sum(axis=0) for level in range(1, order + 1)]
+    model.discounts = [_discounts(n[:4]) for n in of]
+    model.n_pairs = int(of[0][5])
+    d, n = model.discounts[0], of[0]
     model.lower_backoff = float(d[0] * n[0] + d[1] * n[1] + d[2] * n[4]) / model.n_pairs
     return model
 
@@ -317,36 +483,44 @@ def score_texts(texts, reader: _Reader) -> tuple[np.ndarray, ...]:
     m = reader.model
     n_tokens, n_known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     base, score = np.zeros(len(texts)), np.zeros(len(texts))
-    for first, n, hashes in _tokens(texts):
+    for first, n, hashes in _tokens(texts, SCORED):
         here = slice(first, first + len(n))
         n_tokens[here] = n
         start = np.cumsum(n) - n
         if not m.n_tokens:
-            base[here] = n * np.log10(0.5 / 0.5)
             continue
         distinct, back = np.unique(hashes, return_inverse=True)
-        ids, counts, preceded = reader.words(distinct, "word-counts", "word-before")
+        ids, counts = reader.words(distinct)
         n_known[here] = np.add.reduceat((counts > 0)[back].astype(np.int64), start)
         by_word = np.log10((counts + 0.5) / (m.n_tokens + 0.5 * (m.n_types + 1)))
         base[here] = np.add.reduceat(by_word[back], start)
-        lower = _discounted(preceded, m.lower_discounts) / m.n_pairs + m.lower_backoff / (m.n_types + 1)
-        token = ids[back]
-        before = _sequence(m, n, token)
-        context, at = np.unique(before, return_inverse=True)
-        sums = reader.contexts(context)
-        total = np.maximum(sums[:, 0], 1)
-        d = m.discounts
-        backoff = np.where(sums[:, 0] > 0, (sums[:, 1] * d[0] + sums[:, 2] * d[1] + sums[:, 3] * d[2]) / total, 1.0)
-        pairs, where = np.unique((before << HALF) | token, return_inverse=True)
-        higher = _discounted(reader.pairs(pairs), d)
-        p = higher[where] / total[at] + backoff[at] * lower[back]
+        lower = _discounted(reader.preceded(ids), m.discounts[0]) / m.n_pairs + m.lower_backoff / (m.n_types + 1)
+        p, seen = lower[back], (counts > 0)[back]
+        columns = _columns(m, n, ids[back])
+        for order in range(2, m.order + 1):
+            own = columns[m.order - order :]
+            context = _context(own[:-1])
+            key, one, at = np.unique(_gram(context, own[-1]), return_index=True, return_inverse=True)
+            shard, split = _shard(m, own[:-1, one], context[one], key)
+            count = reader.grams(order, key, shard)[at]
+            _, one, of = np.unique(context, return_index=True, return_inverse=True)
+            sums = reader.contexts(order, context[one], _among(m.hot, own[:-1, one]).all(axis=0))[of]
+            # the context was seen if the n-gram of the order below that ends one token earlier was
+            before = np.empty(len(seen), bool)
+            before[1:] = seen[:-1]
+            before[start] = True
+            sums[before & (sums[:, 0] == 0)] = (1, 1, 0, 0)
+            total, d = np.maximum(sums[:, 0], 1), m.discounts[order - 1]
+            backoff = np.where(sums[:, 0] > 0, (sums[:, 1] * d[0] + sums[:, 2] * d[1] + sums[:, 3] * d[2]) / total, 1.0)
+            p = _discounted(count, d) / total + backoff * p
+            seen = count > 0
         score[here] = np.add.reduceat(np.log10(p), start)
     return n_tokens, n_known, base, score
 
 
 def score(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score; columns of those names are replaced."""
-    new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    """``docs`` with n_tokens, n_known, train_tokens, base_score, score and perplexity; columns of those names are replaced."""
+    new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     base = docs.drop(*(set(new) - {text}))
     kept = [c for c in base.columns if c not in new]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -356,7 +530,8 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
         reader.model = sent.value
         for b in batches:
             n, known, by_word, p = score_texts(b.column(b.schema.get_field_index(text)), reader)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(n), pa.array(known), pa.array(np.full(len(n), sent.value.n_tokens)), pa.array(by_word), pa.array(p)], [*kept, *new])
+            perplexity = 10.0 ** np.minimum(-p / np.maximum(n, 1), 300)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(n), pa.array(known), pa.array(np.full(len(n), sent.value.n_tokens)), pa.array(by_word), pa.array(p), pa.array(perplexity)], [*kept, *new])
 
-    kinds = [T.LongType()] * 3 + [T.DoubleType()] * 2
+    kinds = [T.LongType()] * 3 + [T.DoubleType()] * 3
     return base.mapInArrow(run, T.StructType([*(base.schema[c] for c in kept), *(T.StructField(c, k) for c, k in zip(new, kinds, strict=True))]))
