@@ -5,9 +5,10 @@ the first n - ceil(0.75 n) + 1 tokens of both, under any one global order, share
 are used, all by document frequency first (so passages that many documents share come last), at three
 grains, with different hashes below: (df, h), (log2 df, h'), (log2 df / 2, h'').
 
-1. Tasks hash their texts and send the sorted 48-bit tokens of each block of documents to range shards;
-   a task sends equal sets once. A shard counts each token's documents and answers every block with its
-   tokens that stand in two documents or more. (A token of one document only fills the prefix.)
+1. Tasks hash their texts and send the sorted 48-bit tokens of each block of documents to range shards, each
+   token once a block with the number of its documents there; a block sends equal sets once. So a token that
+   all documents hold is one entry a block, not one a document. A shard adds the numbers up and answers every
+   block with its tokens that stand in two documents or more. (A token of one document only fills the prefix.)
 2. A block keeps, for each document whose prefixes hold such a token, the three prefixes and the set of
    its shared tokens. Nothing is collected: everything is stored in the shared folder.
 3. Candidates share a prefix token under the first order, pass the size and overlap bounds, and share
@@ -18,12 +19,14 @@ grains, with different hashes below: (df, h), (log2 df, h'), (log2 df / 2, h'').
    difference from below inside the join, so that pairs too far apart never become rows. No link that
    could join two components is missed, while near copies cost one comparison each.
 
-Tokens are compared by 48 bits of a 64-bit hash: for two sets of 500 tokens the odds of one false agreement
-are about 1e-9. Sets are told apart by their size and a 64-bit sum of token hashes.
+Words are told apart by 64 bits (see ``common.words_hashed``), tokens by 48 bits of a 64-bit hash: for two sets
+of 500 tokens the odds of one false agreement are about 1e-9. Sets are told apart by their size and a 64-bit sum
+of token hashes.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own component; fewer
 words than five are one token; equal sets are one component; rows of the same doc_id are treated as
-documents of their own with that id; long texts are used whole; an empty table gives no rows.
+documents of their own with that id; long texts are used whole; an empty table gives no rows. doc_id is an
+integer column (others raise ValueError).
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from prosewell.llm.components import components
 SHINGLE, PERCENT, PIVOT_ROUNDS = 5, 75, 2
 #: Columns of the parity signature: bit (token mod 1024) flips with each token.
 SIGNATURE = tuple(f"s{k}" for k in range(16))
+#: Stands for "several documents of the block" where a token's document is asked for.
+SEVERAL = 0xFFFFFFFF
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -76,8 +81,8 @@ def _u64(values: np.ndarray) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, text: str, size: int, shards: int) -> DataFrame:
-    """Rows for shards (keys, owners) and one row per block (ids, sizes, sets)."""
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("sets", pa.list_(pa.int64()))])
+    """Rows for shards (keys, owners; numbers of documents of the tokens of several) and one row per block (ids, sizes, sets; the documents of those tokens)."""
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("several", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("sets", pa.list_(pa.int64()))])
 
     def run(batches):
         from pyspark import TaskContext
@@ -94,50 +99,64 @@ def _blocks(docs: DataFrame, text: str, size: int, shards: int) -> DataFrame:
                 sets = mix(total[ends] - total[ends - n] + n.astype(np.uint64) * _ODD[6])
                 block = base + k
                 k += 1
-                rows = [(int(block % shards), block, None, None, ids[first : first + len(n)], n.tolist(), _u64(sets).tolist())]
                 once = np.zeros(len(n), bool)
                 once[np.unique(sets, return_index=True)[1]] = True
                 keep = once[own]
                 key = token[keep] >> np.uint64(16)
-                order = np.argsort(key)
-                key, who = key[order], own[keep][order]
+                order = np.argsort(key, kind="stable")
+                key, who = key[order], own[keep][order].astype(np.uint32)
+                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                count = np.diff(np.append(at, len(key)))
+                # the documents of tokens of several stay with the block
+                kept = np.repeat(count > 1, count)
+                rows = [(int(block % shards), block, None, who[kept].tobytes(), count[count > 1].astype(np.uint32).tobytes(), ids[first : first + len(n)], n.tolist(), _u64(sets).tolist())]
+                key, who = key[at], np.where(count > 1, np.uint32(SEVERAL), who[at])
                 bounds = np.searchsorted(key, [(s << 48) // shards + (1 if (s << 48) % shards else 0) for s in range(shards + 1)])
                 for s in np.flatnonzero(np.diff(bounds)):
                     i, j = bounds[s], bounds[s + 1]
-                    planes = who[i:j].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-                    rows.append((int(s), block, pack_sorted(key[i:j]), planes, None, None, None))
+                    here = count[i:j]
+                    rows.append((int(s), block, pack_sorted(key[i:j]), _planes(who[i:j]), here[here > 1].astype(np.uint32).tobytes(), None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "shard int, block long, keys binary, owners binary, ids array<long>, sizes array<long>, sets array<long>")
+    return docs.mapInArrow(run, "shard int, block long, keys binary, owners binary, several binary, ids array<long>, sizes array<long>, sets array<long>")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _unplane(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
 
 
+_ANSWERS = "block long, keys binary, owners binary, several binary, df binary, ids array<long>, sizes array<long>, sets array<long>"
+
+
 def _answers(pdf):
-    """A shard's answers: to every block, its tokens that two documents or more hold, and how many."""
+    """A shard's answers: to every block, its tokens that two documents or more hold, and how many (2**32 - 1 at most)."""
     import pandas as pd
 
     tables = pdf[pdf["keys"].isna()]
-    out = [{"block": int(r.block), "keys": None, "owners": None, "df": None, "ids": r.ids, "sizes": r.sizes, "sets": r.sets} for r in tables.itertuples()]
+    out = [{"block": int(r.block), "keys": None, "owners": r.owners, "several": r.several, "df": None, "ids": r.ids, "sizes": r.sizes, "sets": r.sets} for r in tables.itertuples()]
     asked = pdf[pdf["keys"].notna()]
     if len(asked):
         keys = [unpack_sorted(k) for k in asked["keys"]]
         who = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         key, owner = np.concatenate(keys), np.concatenate([_unplane(o) for o in asked["owners"]])
+        number = np.ones(len(key), np.int64)
+        number[owner == SEVERAL] = np.concatenate([np.frombuffer(x, np.uint32) for x in asked["several"]])
         order = np.argsort(key)
         first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        df = np.empty(len(key), np.uint32)
-        df[order] = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
+        df = np.empty(len(key), np.int64)
+        df[order] = np.repeat(np.add.reduceat(number[order], first), np.diff(np.append(first, len(key))))
         bounds = np.searchsorted(who, np.arange(len(keys) + 1))
         for k, block in enumerate(asked["block"]):
             s, e = bounds[k], bounds[k + 1]
             shared = df[s:e] > 1
             if shared.any():
-                planes = [x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for x in (owner[s:e][shared], df[s:e][shared])]
-                out.append({"block": int(block), "keys": pack_sorted(key[s:e][shared]), "owners": planes[0], "df": planes[1], "ids": None, "sizes": None, "sets": None})
-    return pd.DataFrame(out, columns=["block", "keys", "owners", "df", "ids", "sizes", "sets"])
+                # the numbers only order tokens, and all blocks are told the same one
+                out.append({"block": int(block), "keys": pack_sorted(key[s:e][shared]), "owners": _planes(owner[s:e][shared]), "several": None, "df": _planes(np.minimum(df[s:e][shared], SEVERAL)), "ids": None, "sizes": None, "sets": None})
+    return pd.DataFrame(out, columns=["block", "keys", "owners", "several", "df", "ids", "sizes", "sets"])
 
 
 def _documents(percent: int):
@@ -156,6 +175,13 @@ def _documents(percent: int):
             key = np.concatenate([unpack_sorted(k) for k in asked["keys"]])
             owner = np.concatenate([_unplane(o) for o in asked["owners"]]).astype(np.int64)
             df = np.concatenate([_unplane(d) for d in asked["df"]]).astype(np.int64)
+            # tokens of several documents of the block: all of them are answered, and stand in the order of the keys
+            by_key = np.argsort(key)
+            key, owner, df = key[by_key], owner[by_key], df[by_key]
+            times = np.ones(len(key), np.int64)
+            times[owner == SEVERAL] = np.frombuffer(table.several, np.uint32)
+            key, df, owner = np.repeat(key, times), np.repeat(df, times), np.repeat(owner, times)
+            owner[owner == SEVERAL] = np.frombuffer(table.owners, np.uint32)
             order = np.lexsort((key, owner))
             key, owner, df = key[order], owner[order], df[order]
             grain = np.log2(df).astype(np.int64)
@@ -260,18 +286,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """doc_id, n_shingles, component_id and set (its class of equal sets), one row per row of ``docs``."""
     spark = docs.sparkSession
     modest_batches(spark)
+    if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{doc_id} must be an integer column")
     shards = 4 * max(2, parts(spark))  # a task takes several shards, one after the other
     asked = _blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text", size, shards)
-    answers = asked.groupBy("shard").applyInPandas(_answers, "block long, keys binary, owners binary, df binary, ids array<long>, sizes array<long>, sets array<long>")
+    answers = asked.groupBy("shard").applyInPandas(_answers, _ANSWERS)
     rows = answers.groupBy("block").applyInPandas(_documents(percent), "doc_id long, n long, set long, slack long, one array<long>, two array<long>, three array<long>, tokens binary, " + ", ".join(f"{c} long" for c in SIGNATURE))
     rows = stored(rows, "documents")
     active = stored(rows.where("one is not null").select("set", "n", "slack", "one", "two", "three", "tokens", *SIGNATURE).dropDuplicates(["set"]), "active")
     labels = stored(components(class_links(active, percent)), "labels")
-    classes = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
-    named = classes.join(labels, classes.set == labels.node, "left").select("set", "least", F.coalesce("component", "set").alias("component"))
-    # classes without links name themselves; the others take the smallest id of their component
-    linked = named.where(F.col("set").isNotNull()).groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(linked, "component").select(F.col("set").alias("s"), "component_id")
+    classes = stored(rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least")), "classes")
+    # only linked classes take a component's smallest id; stored, so that a large component can be split in the join
+    linked = labels.join(classes, labels.node == classes.set).groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = labels.join(stored(linked, "component-ids"), "component").select(F.col("node").alias("set"), "component_id")
+    named = stored(classes.join(linked, "set", "left").select(F.col("set").alias("s"), F.coalesce("component_id", "least").alias("component_id")), "named")
     out = rows.select("doc_id", "n", "set").join(named, F.col("set") == F.col("s"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "set")
 
@@ -282,12 +310,12 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, do
     Rows that share an id stand for one document: they stay or go together, and of equal rows one stays.
     """
     found = stored(join(docs, doc_id, text, size, percent).select("doc_id", "n_shingles", "component_id"), "components")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__n"))
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept doc_id")).agg(F.count(F.lit(1)).alias("kept rows"))
     keep = stored(keep, "keep")
-    repeats = keep.where("__n > 1")
-    kept = docs.join(keep.select("__keep"), F.col(doc_id).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    repeats = keep.where("`kept rows` > 1")
+    kept = docs.join(keep.select("kept doc_id"), F.col(doc_id).cast("long").eqNullSafe(F.col("kept doc_id")), "left_semi")
     if repeats.isEmpty():
         return kept
-    again = F.col(doc_id).cast("long").eqNullSafe(F.col("__keep"))
-    single = kept.join(repeats.select("__keep"), again, "left_anti")
-    return single.unionByName(kept.join(repeats.select("__keep"), again, "left_semi").dropDuplicates([doc_id, text]))
+    again = F.col(doc_id).cast("long").eqNullSafe(F.col("kept doc_id"))
+    single = kept.join(repeats.select("kept doc_id"), again, "left_anti")
+    return single.unionByName(kept.join(repeats.select("kept doc_id"), again, "left_semi").dropDuplicates([doc_id, text]))
