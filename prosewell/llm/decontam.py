@@ -11,7 +11,8 @@ Three native steps, no Python on the executors:
    ``slop`` at most.
 
 Only test-side tables are broadcast, behind a count of the items' words (``BROADCAST_WORDS``); beyond it
-the same joins shuffle. A window with a term that no text holds is dropped at once.
+the same joins shuffle, and the words around a posting are fetched afterwards by document, so that no row of a
+shuffle by term holds more than its term and place. A window with a term that no text holds is dropped at once.
 
 Defined cases: a null text has no words and no hits; an item without words has no window and matches
 nothing; an item of fewer words than the window is one window. Equal frequencies go to the earlier
@@ -69,7 +70,7 @@ def _terms(items: DataFrame, role: int) -> DataFrame:
 def build_index(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Index:
     """Postings of the two rarest terms of every window of ``items`` (item_id, text) in ``docs`` (doc_id, text)."""
     named = items.select("item_id", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    texts = stored(named.select("words").distinct().coalesce(1).withColumn("item", F.monotonically_increasing_id().cast("int")), "items")
+    texts = stored(named.select("words").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
     ids = named.join(texts, "words").select("item_id", "item")
     total = texts.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     small = total <= BROADCAST_WORDS
@@ -94,7 +95,13 @@ def build_index(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Inde
     roles = _terms(placed, 0).select("term", F.lit(True).alias("is_first")).distinct().join(_terms(placed, 1).select("term", F.lit(True).alias("is_second")).distinct(), "term", "full")
     lead = F.greatest(F.col("pos") - (window - 1), F.lit(0))
     around = F.when(F.col("is_first"), F.slice("words", lead + 1, F.col("pos") - lead + window))
-    spread = tokens.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term")).join(_maybe_broadcast(roles, small), "term")
+    if small:
+        spread = tokens.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term")).join(F.broadcast(roles), "term")
+    else:
+        places = stored(tokens.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "term")).join(roles, "term"), "places")
+        whole = tokens.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "words").dropDuplicates(["d", "h"])
+        # equal rows: the places of each stand in ``places``, so one of their texts is enough
+        spread = places.join(whole, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
     postings = stored(spread.select("term", "doc_id", "text_hash", "pos", (F.col("pos") - lead).alias("before"), around.alias("around"), F.coalesce("is_second", F.lit(False)).alias("is_second")), "postings")
     first = postings.where("around is not null").select("term", "doc_id", "text_hash", "pos", "before", "around")
     return Index(first, postings.where("is_second").select("term", "doc_id", "text_hash", "pos"), placed, ids, window, small)
