@@ -4,7 +4,8 @@ Training counts the hashed 1- to 3-grams of every labelled text, per language, i
 pass; the languages x buckets matrix of log probabilities (its size does not depend on the corpus) is
 broadcast; scoring is sparse, per batch, in numpy.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if no
+Defined cases: a null text or one without a letter (of Unicode's letter categories; numbers such as one half
+are none) is ``und`` with score 0; so is every text if no
 labelled text was there. Rows with a null label do not train. Equal posteriors go to the language
 that sorts first. Repeated rows count as often as they come. Other columns are never read; those of a
 caller are passed through untouched.
@@ -12,7 +13,6 @@ caller are passed through untouched.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,6 @@ from prosewell.llm.common import modest_batches, slices
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.full(128, 32, np.uint32)
 _ASCII[97:123] = np.arange(97, 123)
 
@@ -109,7 +108,7 @@ def classify(texts: list[str | None], model: LanguageModel) -> tuple[list[str],
     """Language and posterior of each text."""
     n_lang = len(model.languages)
     names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    which = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    which = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     if not n_lang or not which:
         return names, score
     total = np.tile(model.log_prior, (len(which), 1))
