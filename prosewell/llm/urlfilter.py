@@ -1,12 +1,13 @@
 """URL filters: host/path rules first, then logistic regression on hashed character n-grams.
 
 The regression is fitted on the driver from a small labelled URL table (at most ``MAX_LABELLED``
-rows are used, a documented bound for the classifier's fit only); its weight vector, of a fixed size,
+rows are used, a documented bound for the classifier's fit only, taken in the order of a hash); its weight vector, of a fixed size,
 is broadcast and urls are scored in Arrow batches, without a shuffle.
 
 Defined cases: a null url, or one without ``://``, has an empty host and an empty path, so no rule
 fits and the classifier sees no n-gram: its verdict is that of the bias alone. Repeated rows are judged
-alike. Other columns are untouched.
+alike; urls of any length are judged whole; an empty table gives no rows. Other columns are untouched, but for
+those with the names of the new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,19 +30,22 @@ BAD_WORDS = ("casino", "casino-win", "poker", "slots", "free-bets", "betting", "
 GOOD_WORDS = ("news", "docs", "library", "museum", "university", "school", "research", "weather", "recipes", "garden", "history", "science", "travel", "music", "health", "sports", "city-hall", "journal", "forum", "wiki")
 
 
+#: Surroundings of the words: (url before, url after); no word tells the label by these.
+_AROUND = (("https://", ".com/"), ("http://www.", ".info/index.php"), ("https://the-", "-site.co.uk/a/b?id=7"), ("http://", "24.biz/start/"), ("https://shop.", ".io"), ("https://blog.", ".net/2021/05/post-1"), ("http://10.0.0.7/", "/page/3.html"), ("https://cdn.media.eu/x/", ".jpg"), ("https://m.", ".example.org/en/12"), ("http://my", ".page/u/~k"))
+
+
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, 1 for block): each word as host, under usual host prefixes, and as path."""
+    """The small labelled table (url, 1 for block): each word as part of a host or a path, in many surroundings; and hosts of pronounceable nonsense."""
     out = []
     for words, label in ((BAD_WORDS, 1), (GOOD_WORDS, 0)):
-        for k, w in enumerate(words):
-            top = ("com", "net", "org")[k % 3]
-            out += [(f"https://{sub}{w}.example.{top}/{lang}/{100 + k}", label) for sub, lang in (("", "en"), ("www.", "de"), ("blog.", "fr"), ("m.", "es"))]
-            out += [(f"http://{w}.{top}/", label), (f"https://site{k}.example.{top}/en/{w}/{k}.html", label)]
-    # everyday hosts made of ordinary syllables, under the same prefixes and paths
-    parts = ("tion", "ther", "ing", "hea", "an", "re", "ou", "en", "st", "ble", "le", "er", "al", "mo", "ra", "in")
-    for k, a in enumerate(parts):
-        for b in parts[k % 4 :: 4]:
-            out.append((f"https://{('', 'blog.', 'm.', 'www.')[k % 4]}{a}{b}.example.{('com', 'net', 'org')[k % 3]}/{('en', 'fr', 'de', 'es')[k % 4]}/{k * 37}", 0))
+        out += [(f"{before}{w}{after}", label) for w in words for before, after in _AROUND]
+    heads = ("b", "br", "c", "d", "f", "gr", "h", "k", "l", "m", "n", "p", "r", "s", "st", "t", "th", "v", "w", "wh")
+    tails = ("a", "ai", "an", "ar", "e", "ea", "en", "er", "i", "in", "ing", "ion", "le", "o", "on", "ou", "re", "ty", "u", "y")
+    for k in range(300):  # everyday hosts: two or three syllables, in the same surroundings
+        n = 2 + k % 2
+        name = "".join(heads[(k * 7 + j * 11) % 20] + tails[(k * 13 + j * 3 + k // 20) % 20] for j in range(n))
+        before, after = _AROUND[k % len(_AROUND)]
+        out.append((f"{before}{name}{after}", 0))
     return out
 
 
@@ -59,7 +63,7 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     Equal lengths go to the rule that is listed first.
     """
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])) if rules else ():
+    for what, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # what comes later wins
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         name = F.when(fits, h + p).otherwise(name)
         verdict = F.when(fits, what).otherwise(verdict)
@@ -125,7 +129,7 @@ def fit(hosts: list[str], paths: list[str], labels: list[int], penalty: float =
 def fit_table(table: DataFrame, url: str = "url", label: str = "label") -> UrlModel:
     """The model of a small labelled table (null urls and labels do not train)."""
     host, path = split_url(F.col(url))
-    rows = table.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(host.alias("h"), path.alias("p"), F.col(label).cast("int").alias("y")).orderBy("h", "p", "y").limit(MAX_LABELLED).collect()
+    rows = table.where(F.col(url).isNotNull() & F.col(label).isNotNull()).select(host.alias("h"), path.alias("p"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("h", "p", "y"), "h", "p", "y").limit(MAX_LABELLED).collect()
     return fit([r.h for r in rows], [r.p for r in rows], [r.y for r in rows])
 
 
@@ -133,19 +137,17 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", thre
     """``pages`` with host, path, rule, verdict and block_score; columns of those names are replaced."""
     new = ("host", "path", "rule", "verdict", "block_score")
     host, path = split_url(F.col(url))
-    base = pages.withColumns({"__host": host, "__path": path}).drop(*(c for c in new if c != url))
-    name, verdict = rule_columns(F.col("__host"), F.col("__path"), rules)
-    base = base.withColumns({"__rule": name, "__by_rule": verdict})
-    sent = pages.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in base.columns if not c.startswith("__")]
+    name, by_rule = rule_columns(host, path, rules)
+    kept = [c for c in pages.columns if c not in new]
+    # read by place below, so that no name of theirs can meet one of ours
+    base = pages.select(*(F.col(f"`{c}`") for c in kept), host.alias("host"), path.alias("path"), name.alias("rule"), by_rule.alias("verdict"))
+    sent, at = pages.sparkSession.sparkContext.broadcast(model), len(kept)
 
     def run(batches):
         for b in batches:
-            hosts, paths, by_rule = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("__host", "__path", "__by_rule"))
-            p = sent.value.block_probability(hosts, paths)
-            verdict = [r or ("block" if x >= threshold else "allow") for r, x in zip(by_rule, p, strict=True)]
-            cols = [b.column(b.schema.get_field_index(c)) for c in (*kept, "__host", "__path", "__rule")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(verdict, pa.string()), pa.array(p)], [*kept, *new])
+            p = sent.value.block_probability(b.column(at).to_pylist(), b.column(at + 1).to_pylist())
+            verdict = [r or ("block" if x >= threshold else "allow") for r, x in zip(b.column(at + 3).to_pylist(), p, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: at + 3], pa.array(verdict, pa.string()), pa.array(p)], [*kept, *new])
 
     schema = T.StructType([*(base.schema[c] for c in kept), *(T.StructField(c, T.StringType()) for c in new[:4]), T.StructField(new[4], T.DoubleType())])
     return base.mapInArrow(run, schema)
