@@ -16,8 +16,9 @@ The vocabulary is read from a model file whose path is a parameter; it is fixed
 Tokenizers are never trained here.
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids and decodes to the
-empty text; characters outside the vocabulary become byte pieces, or the unknown piece where the model
-has none (then the round trip is not exact). A text that holds the mark ``▁`` itself decodes with spaces
+empty text; characters outside the vocabulary become byte pieces, or, where the model has none, the unknown
+piece, one for a run of them (then the round trip is not exact). Models that normalise texts or have pieces
+of the user's own are refused (ValueError). A text that holds the mark ``▁`` itself decodes with spaces
 in its place, as the format cannot tell them apart; ``round_trip`` is false there. Long texts are encoded
 whole. Repeated rows give the same ids. Other columns pass through.
 """
@@ -51,6 +52,8 @@ class PieceModel:
         spec = proto.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces:
             raise ValueError("only models with identity normalisation are supported")
+        if any(p.type == 4 for p in proto.pieces):
+            raise ValueError("models with pieces of the user's own are not supported")
         self.prefix = spec.add_dummy_prefix
         self.bpe = proto.trainer_spec.model_type == 2
         self.text = [p.piece for p in proto.pieces]
@@ -188,10 +191,18 @@ class PieceModel:
         cache.update(self.encode_words(list(new)))
         get = cache.__getitem__
         found = [b"".join(map(get, words)) for words in lists]
+        if not self.byte:
+            found = [self._joined(x) for x in found]
         if len(cache) > CACHE_WORDS:
             self.cache, self.older = {}, cache
         return found
 
+    def _joined(self, ids: bytes) -> bytes:
+        """A run of unknown pieces as one."""
+        x = np.frombuffer(ids, np.int32)
+        again = np.flatnonzero((x[1:] == self.unknown) & (x[:-1] == self.unknown)) + 1
+        return np.delete(x, again).tobytes() if len(again) else ids
+
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.raw.__getitem__, ids))
         if self.prefix and data[:1] == b" ":
