@@ -15,8 +15,9 @@ again at the full radius, so it gets k rows or all candidates.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, as
 queries or candidates; so do those whose dimension isn't the index's (the most common one, the smaller if
-equal). Ties in score go to the smaller id. Equal vectors are separate candidates. Rows that repeat an id
-count once, the first by vector. An empty table gives no rows. Other columns are not read.
+equal; no inner product with the others is defined). Ties in score go to the smaller id. Equal vectors are
+separate candidates. Rows that repeat an id are queries and candidates each for itself: a query leaves out its
+own row only. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -114,47 +115,51 @@ def _masks(reach: int) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """id and vector (double) of the rows that take part."""
+    """row (a number of its own), id and vector (double) of the rows that take part."""
     v = F.col(embedding).cast("array<double>")
     base = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     base = base.where(F.coalesce(good, F.lit(False)))
     common = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    base = base.select(F.monotonically_increasing_id().alias("row"), "id", "v")
     if common is None:
         return base
-    return base.where(F.size("v") == common.d).groupBy("id").agg(F.min("v").alias("v"))
+    return base.where(F.size("v") == common.d)
 
 
 def _cells(queries: DataFrame, index: DataFrame, n_queries: int, n_index: int):
     """Rows of both sides, copied to every pair of a query block and an index block."""
     q_blocks, i_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n_index // INDEX_BLOCK))
-    q = queries.withColumn("qb", F.expr(f"cast(pmod(xxhash64(id), {q_blocks}) as int)")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
-    i = index.withColumn("ib", F.expr(f"cast(pmod(xxhash64(id, 1), {i_blocks}) as int)")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    return q.select("qb", "ib", "id", "v"), i.select("qb", "ib", "id", "v")
+    q = queries.withColumn("qb", F.expr(f"cast(pmod(xxhash64(row), {q_blocks}) as int)")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
+    i = index.withColumn("ib", F.expr(f"cast(pmod(xxhash64(row, 1), {i_blocks}) as int)")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    return q.select("qb", "ib", "row", "id", "v"), i.select("qb", "ib", "row", "id", "v")
+
+
+_FOUND = "query_row long, query_id long, row long, vec_id long, score double"
 
 
 def _searcher(sent, k: int, radius: int | None):
     def run(q, i):
         import pandas as pd
 
+        names = [x.split()[0] for x in _FOUND.split(", ")]
         if not len(q) or not len(i):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({c: np.zeros(0, np.float64 if c == "score" else np.int64) for c in names})
         coder = sent.value
-        ids = i["id"].to_numpy(np.int64)
-        order = np.argsort(ids)  # equal scores then stand by id
-        ids, x = ids[order], np.stack(i["v"].to_numpy())[order]
-        y, q_ids = np.stack(q["v"].to_numpy()), q["id"].to_numpy(np.int64)
+        ids, own = i["id"].to_numpy(np.int64), i["row"].to_numpy(np.int64)
+        order = np.lexsort((own, ids))  # equal scores then stand by id
+        ids, own, x = ids[order], own[order], np.stack(i["v"].to_numpy())[order]
+        y, q_ids, q_rows = np.stack(q["v"].to_numpy()), q["id"].to_numpy(np.int64), q["row"].to_numpy(np.int64)
         index, codes = BlockIndex(coder.encode(x)), coder.encode(y)
-        out_q, out_v, out_s = [], [], []
-        for n, query in enumerate(q_ids):
+        out: list[list[np.ndarray]] = [[] for _ in names]
+        for n, query in enumerate(q_rows):
             rows = index.within(codes[n], coder.bits if radius is None else radius)
-            rows = rows[ids[rows] != query]
+            rows = rows[own[rows] != query]
             s = np.einsum("ij,j->i", x[rows], y[n])
-            best = np.lexsort((ids[rows], -s))[:k] if len(rows) <= 4 * k else _top(s, k)
-            out_q.append(np.full(len(best), query))
-            out_v.append(ids[rows[best]])
-            out_s.append(s[best])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+            best = np.lexsort((rows, -s))[:k] if len(rows) <= 4 * k else _top(s, k)
+            for o, values in zip(out, (np.full(len(best), query), np.full(len(best), q_ids[n]), own[rows[best]], ids[rows[best]], s[best]), strict=True):
+                o.append(values)
+        return pd.DataFrame({c: np.concatenate(o) for c, o in zip(names, out, strict=True)})
 
     return run
 
@@ -172,19 +177,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, radius: int = 58, rotation
     every = stored(_usable(vectors, vec_id, embedding), "vectors")
     queries = every.where(is_query)
     n_index, n_queries = every.count(), queries.count()
-    sample = every.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(FIT_ROWS).select("v").toArrow()["v"].to_pylist() if n_index else [[0.0]]
+    sample = every.orderBy(F.xxhash64("id", F.lit(7)), "id", "row").limit(FIT_ROWS).select("v").toArrow()["v"].to_pylist() if n_index else [[0.0]]
     sent = spark.sparkContext.broadcast(learn(np.array(sample, float), rotations))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
 
     def found(queries: DataFrame, n: int, radius: int | None) -> DataFrame:
         q, i = _cells(queries, every, n, n_index)
-        cells = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(_searcher(sent, k, radius), "query_id long, vec_id long, score double")
+        cells = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(_searcher(sent, k, radius), _FOUND)
         return stored(cells.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "neighbours")
 
     near = found(queries, n_queries, radius)
-    enough = near.where(F.col("rank") == min(k, max(n_index - 1, 0))).select(F.col("query_id").alias("id"))
-    few = stored(queries.join(enough, "id", "left_anti"), "few")
+    enough = near.where(F.col("rank") == min(k, max(n_index - 1, 0))).select(F.col("query_row").alias("row"))
+    few = stored(queries.join(enough, "row", "left_anti"), "few")
     n_few = few.count()
     if n_few and n_index > 1:
-        near = near.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(found(few, n_few, None))
+        near = near.join(few.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(found(few, n_few, None))
     return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
