@@ -4,10 +4,11 @@ Four base patterns (email, ip, card, phone) give spans that always stay. Wider c
 (spelled-out emails, IPv6, national phone numbers, cards with unusual separators) propose further spans.
 Labelers (strict form, checksum and plausibility, gazetteers, context words before and after) vote
 for, against or abstain on every candidate and base span of the whole corpus. Only the counts of distinct
-vote patterns reach the driver; their number is bounded by the labelers and buckets, not by the
-corpus. Expectation-maximisation on these counts estimates every labeler's reliability, its
-posteriors train a logistic span classifier, and a second pass over the texts adds the candidates that
-the classifier accepts and no base span overlaps.
+patterns - kind, votes and the shape of the span (its length, share of digits, separators and longest run of
+digits, in a few classes each) - reach the driver; their number is bounded by the labelers and classes, not by
+the corpus. Expectation-maximisation on the votes estimates every labeler's reliability, its posteriors train
+a logistic span classifier on votes and shape together, and a second pass over the texts adds the candidates
+that the classifier accepts and no base span overlaps.
 
 Defined cases: a null text counts as empty and has no spans; a corpus without candidates adds nothing
 (the classifier then keeps its prior); repeated rows give the same spans; offsets are code points, end
@@ -18,6 +19,7 @@ pass through.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -142,27 +144,45 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
     return form, check, gaz, context, plain
 
 
+#: Numbers of classes of a span's length, share of digits, separators and longest run of digits.
+SHAPE = (4, 4, 3, 4)
+
+
+def shape(text: str, start: int, end: int) -> tuple[int, ...]:
+    """Class of a span in each part of SHAPE."""
+    span = text[start:end]
+    runs = [len(x) for x in re.findall("[0-9]+", span)]
+    other = {c for c in span if not c.isalnum()}
+    return min(max(len(span) - 6, 0) // 6, 3), 3 * sum(runs) // len(span), min(len(other), 2), min((max(runs, default=0) + 1) // 3, 3)
+
+
 @dataclass(frozen=True)
 class SpanModel:
-    """Weights of the span classifier over the one-hot kind and votes; what EM found per labeler."""
+    """Weights of the span classifier over the one-hot kind, votes and shape; what EM found per labeler."""
 
     weights: np.ndarray
     reliability: dict[str, float]
 
-    def probability(self, kind: int, v: tuple[int, ...]) -> float:
-        z = float(self.weights[_hot(kind, v)].sum())
+    def probability(self, kind: int, v: tuple[int, ...], s: tuple[int, ...]) -> float:
+        z = float(self.weights[_hot(kind, v, s)].sum())
         return 1 / (1 + np.exp(-z))
 
 
-def _hot(kind: int, v: tuple[int, ...]) -> list[int]:
-    """Active features: bias, kind, and each labeler's vote within that kind's group."""
-    return [0, 1 + kind, *(5 + 3 * j + x + 1 for j, x in enumerate(v))]
+_VOTES = 5  # the first feature of the votes, behind the bias and the kinds
+_SHAPES = _VOTES + 3 * len(LABELERS)
+_FEATURES = _SHAPES + len(KINDS) * sum(SHAPE)
+
+
+def _hot(kind: int, v: tuple[int, ...], s: tuple[int, ...]) -> list[int]:
+    """Active features: bias, kind, each labeler's vote, and each class of the shape within that kind."""
+    first = _SHAPES + kind * sum(SHAPE)
+    return [0, 1 + kind, *(_VOTES + 3 * j + x + 1 for j, x in enumerate(v)), *(first + sum(SHAPE[:j]) + x for j, x in enumerate(s))]
 
 
 def expectation_maximisation(patterns: dict[tuple, int], rounds: int = 60) -> tuple[dict[tuple, float], np.ndarray]:
     """Posterior of each (kind, votes) pattern, and P(vote | class) of each labeler [labeler, class, vote].
 
-    Vote probabilities carry a prior worth 20 spans that says: labelers are right more often than not.
+    Vote probabilities carry a prior worth 15 spans a class that says: labelers are right more often than not.
     """
     prior = np.array([[[6.0, 8.0, 1.0], [1.0, 8.0, 6.0]]] * len(LABELERS))  # classes no, yes; votes -1, 0, 1
     theta = prior / prior.sum(axis=2, keepdims=True)
@@ -187,20 +207,20 @@ def expectation_maximisation(patterns: dict[tuple, int], rounds: int = 60) -> tu
 
 
 def fit_classifier(patterns: dict[tuple, int], post: dict[tuple, float], theta: np.ndarray, steps: int = 800) -> SpanModel:
-    """Logistic regression on EM's posteriors, each pattern weighted by its count (logarithmically damped)."""
-    w = np.zeros(5 + 3 * len(LABELERS))
+    """Logistic regression of EM's posteriors on (kind, votes, shape) patterns, each weighted by its count (logarithmically damped)."""
+    w = np.zeros(_FEATURES)
     w[0] = -1.0
     keys = list(patterns)
     if keys:
         x = np.zeros((len(keys), len(w)))
-        for i, (kind, v) in enumerate(keys):
-            x[i, _hot(kind, v)] = 1
-        y = np.array([post[k] for k in keys])
+        for i, key in enumerate(keys):
+            x[i, _hot(*key)] = 1
+        y = np.array([post[k[:2]] for k in keys])
         n = np.log1p(np.array([patterns[k] for k in keys], float))
         n /= n.sum()
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-            w = w - 2.0 * (x.T @ (n * (p - y)) + 1e-3 * w)
+            w = w - 1.5 * (x.T @ (n * (p - y)) + 1e-3 * w)
     right = theta[:, 1, 2] / (theta[:, 1, 2] + theta[:, 0, 2])
     return SpanModel(w, dict(zip(LABELERS, right.tolist(), strict=True)))
 
@@ -214,31 +234,51 @@ def train(docs: DataFrame, text: str = "text") -> SpanModel:
             for t in (t for _, part in slices(b.column(0)) for t in part.to_pylist()):
                 if t:
                     base = base_spans(t)
-                    found.update((k, votes(t, s, k, e, True)) for s, k, e in base)
-                    found.update((k, votes(t, s, k, e, False)) for s, k, e in candidate_spans(t) if not _overlaps(base, s, e))
+                    taken = _Taken(base)
+                    found.update((k, votes(t, s, k, e, True), shape(t, s, e)) for s, k, e in base)
+                    found.update((k, votes(t, s, k, e, False), shape(t, s, e)) for s, k, e in candidate_spans(t) if taken.free(s, e))
         yield pa.RecordBatch.from_pydict(
-            {"kind": [k for k, _ in found], "votes": [list(v) for _, v in found], "n": list(found.values())},
-            schema=pa.schema([("kind", pa.int32()), ("votes", pa.list_(pa.int32())), ("n", pa.int64())]),
+            {"kind": [k for k, _, _ in found], "votes": [list(v) for _, v, _ in found], "shape": [list(s) for _, _, s in found], "n": list(found.values())},
+            schema=pa.schema([("kind", pa.int32()), ("votes", pa.list_(pa.int32())), ("shape", pa.list_(pa.int32())), ("n", pa.int64())]),
         )
 
     modest_batches(docs.sparkSession)
-    rows = docs.select(F.col(text).cast("string")).mapInArrow(count, "kind int, votes array<int>, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
-    patterns = {(r.kind, tuple(r.votes)): r.n for r in sorted(rows, key=lambda r: (r.kind, r.votes))}
-    post, theta = expectation_maximisation(patterns)
+    rows = docs.select(F.col(text).cast("string")).mapInArrow(count, "kind int, votes array<int>, shape array<int>, n long").groupBy("kind", "votes", "shape").agg(F.sum("n").alias("n")).collect()
+    patterns = {(r.kind, tuple(r.votes), tuple(r["shape"])): r.n for r in sorted(rows, key=lambda r: (r.kind, r.votes, r["shape"]))}
+    by_votes: Counter = Counter()
+    for key, n in patterns.items():
+        by_votes[key[:2]] += n
+    post, theta = expectation_maximisation(by_votes)
     return fit_classifier(patterns, post, theta)
 
 
-def _overlaps(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, _, e in spans)
+class _Taken:
+    """Spans in order of their starts, with the farthest end so far: what overlaps is found by halving."""
+
+    def __init__(self, spans: list[tuple[int, int, int]] = ()) -> None:
+        self.starts, self.reach = [s for s, _, _ in spans], []
+        for _, _, e in spans:
+            self.reach.append(max(e, self.reach[-1]) if self.reach else e)
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k == 0 or self.reach[k - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        """A span that is free, among spans of which none overlap."""
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.reach.insert(k, end)
 
 
 def all_spans(text: str, model: SpanModel, threshold: float = 0.8) -> tuple[list, list]:
     """Base spans, and base plus accepted spans, each (start, kind index, end) in order."""
     base = base_spans(text)
-    more: list[tuple[int, int, int]] = []
+    taken, more, added = _Taken(base), [], _Taken()
     for s, k, e in candidate_spans(text):
-        if not _overlaps(base, s, e) and not _overlaps(more, s, e) and model.probability(k, votes(text, s, k, e, False)) >= threshold:
+        if taken.free(s, e) and added.free(s, e) and model.probability(k, votes(text, s, k, e, False), shape(text, s, e)) >= threshold:
             more.append((s, k, e))
+            added.add(s, e)
     return base, sorted(base + more)
 
 

@@ -131,4 +131,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.train(docs))
     base = F.filter("pii", lambda s: s["base"])
     counts = [F.size(F.filter(base, _is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
