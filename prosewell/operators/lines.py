@@ -38,7 +38,7 @@ def fenced_lines(docs: DataFrame, content: str = "content") -> DataFrame:
     return docs.select("file", F.inline(fence_states(F.col(content))))
 
 
-#: Lines that are not prose, after trimming: blank, heading, quote, table, comment, bullets, numbers, breaks, underlines.
+#: Lines that are not prose, after trimming: blank, heading, quote, table, comment, bullets, numbers, breaks, underlines.
 STRUCTURAL = [r"^$", r"^#", r"^>", r"^\|", r"^<!--", r"^[-*+] ", rf"^[—–-][{SPACES}]", rf"^[0-9]+[.)][{SPACES}]", r"^={3,}\z"] + [rf"^[{c}][{SPACES}]*([{c}][{SPACES}]*){{2,}}\z" for c in ("—", "–", "_", "*", "-")]
 
 

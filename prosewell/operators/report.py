@@ -22,6 +22,12 @@ def failed_run(error: Column) -> Column:
     return F.substring(error, 1, 300)
 
 
+def without_failed(findings: DataFrame, failures: DataFrame) -> DataFrame:
+    """Findings without those of the failed runs (tool, lang, error); there are as many runs as tools and languages at most."""
+    failed = F.broadcast(failures.select(F.col("tool").alias("failed_tool"), F.col("lang").alias("failed_lang")).distinct())
+    return findings.join(failed, (F.col("tool") == F.col("failed_tool")) & (F.col("lang") == F.col("failed_lang")), "left_anti")
+
+
 def tool_runs(buckets: DataFrame, findings: DataFrame, given: list[str] = (), failures: DataFrame | None = None) -> DataFrame:
     """tool, lang, ok, files, findings, error: a run per language of the corpus and tool that reads it.
 
@@ -103,7 +109,7 @@ def markdown(findings: DataFrame, runs: DataFrame, counts: DataFrame, uncertain:
     out += [f"**P0 (placeholders/broken): {s.p0} · P1 (phrase patterns): {s.p1} · P2 (structural): {s.p2} · FP suppressed: {s.fp_suppressed} · tool failures: {s.tool_failures}**", ""]
     n = uncertain.count()
     if n:
-        out.append(f"> ℹ️ Language auto-detect was inconclusive for {n} file(s):")
+        out.append(f"> ℹ️ Language auto-detect was inconclusive for {n} file(s); they were scanned with EN tools — use `--lang` to override:")
         out += [f"> - {r.f}" for r in uncertain.orderBy("file").limit(10).select(escaped(F.col("file")).alias("f")).collect()] + [""]
     if s.tool_failures:
         out.append("> ⚠️ Some scanners failed — this audit is INCOMPLETE (exit 2):")

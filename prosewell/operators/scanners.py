@@ -206,6 +206,7 @@ def _plain_hit(category: str, severity: str | None):
 # -- Spanish -----------------------------------------------------------------------------------------
 
 _LETTERS = "A-Za-z0-9_áéíóúñüÁÉÍÓÚÑÜ"
+#: Patterns that must match as they are (TRIAD, PODER, INCISO).
 TRIAD = rf"[{_LETTERS}]+,[{SPACES}]+[{_LETTERS}]+[{SPACES}]+[yY][{SPACES}]+[{_LETTERS}]+"
 PODER = r"\b(?:puedo|puedes|puede|podemos|podáis|pueden|podría|podrías|podríamos|podrían|podré|podrás|podréis|podremos|podrán)\s+[\wáéíóúñü]+(?:ar|er|ir)(?:lo|la|le|los|las|nos|se)?\b"
 INCISO = " — [^—\n.!?]+? — "
@@ -345,12 +346,30 @@ def external_korean(results: DataFrame) -> DataFrame:
 
 
 def external_japanese(results: DataFrame) -> DataFrame:
-    """Results (file, stdout): JSON with findings[]; those without a category or excerpt are skipped."""
+    """Results (file, stdout): JSON with findings[]; those without a category or excerpt are skipped. ``japanese_failures`` tells broken ones."""
     parsed = F.from_json("stdout", "findings array<struct<line int, category string, excerpt string, severity string>>")
     rows = results.select("file", F.explode(parsed["findings"]).alias("v")).where("v.category is not null and v.excerpt is not null")
     return finding(rows, "natural-japanese", "ja", F.col("v.line"), F.col("v.severity"), F.concat(F.lit("ja:"), F.col("v.category")), F.col("v.excerpt"))
 
 
+def japanese_errors(results: DataFrame) -> DataFrame:
+    """Results (file, stdout) with ``error``: why the output of the outside Japanese tool can't be read, or null."""
+    value = F.try_parse_json(F.coalesce("stdout", F.lit("")))
+    error = F.when(value.isNull(), F.concat(F.lit("unparseable lint.py JSON on "), F.col("file")))
+    return results.withColumn("error", error.when(F.try_variant_get(value, "$.findings", "array<variant>").isNull(), F.concat(F.lit("missing findings[] on "), F.col("file"))))
+
+
+def failures(results: DataFrame, tool: str, lang: str) -> DataFrame:
+    """tool, lang, error of the run: that of the first file (by name) with an ``error``; no row if none has one."""
+    first = results.where("error is not null").agg(F.min_by("error", "file").alias("error")).where("error is not null")
+    return first.select(F.lit(tool).alias("tool"), F.lit(lang).alias("lang"), "error")
+
+
+def japanese_failures(results: DataFrame) -> DataFrame:
+    """The failed run of the outside Japanese tool, if any of its outputs is broken."""
+    return failures(japanese_errors(results), "natural-japanese", "ja")
+
+
 #: Built-in scanners by tool: (languages, function of documents and language).
 BUILT_IN = {
     "placeholder": placeholders,

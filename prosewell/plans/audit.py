@@ -51,9 +51,11 @@ def scan(documents: DataFrame, langs: list[str] | None = None, tools: list[str]
     return union(frames)
 
 
-def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None = None, external: dict[str, DataFrame] | None = None, langs: list[str] | None = None, workdir: str | None = None) -> Audit:
+def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None = None, external: dict[str, DataFrame] | None = None, langs: list[str] | None = None, workdir: str | None = None, failures: DataFrame | None = None) -> Audit:
     """Audit documents (file, content). ``override`` sets the language of all; ``external`` has findings by outside tool.
 
+    ``failures`` (tool, lang, error) has the runs that failed: their findings don't count, and the audit is incomplete.
+
     ``langs`` limits the plan to languages known to occur. Language is detected once. With ``workdir`` (a
     folder that all executors share) the documents are written there by language, and each scanner reads
     the folders of its own languages only; that is the way for large corpora. Without it they are
@@ -69,7 +71,9 @@ def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None
         found = found.persist(StorageLevel.MEMORY_AND_DISK)
     wanted = [override] if override else (langs or LANGS)
     findings = union([scan(found, wanted), *given.values()])
+    if failures is not None:
+        findings = report.without_failed(findings, failures)
     triaged = triage(findings, rules).persist(StorageLevel.MEMORY_AND_DISK)
-    runs = report.tool_runs(language.buckets(found), triaged, list(given))
+    runs = report.tool_runs(language.buckets(found), triaged, list(given), failures)
     unsure = language.uncertain(found) if override is None else language.uncertain(found).limit(0)
     return Audit(found, triaged, runs, report.summary(triaged, runs), unsure)

@@ -104,7 +104,7 @@ runs AS (SELECT *, sum(CAST(stop AS INTEGER)) OVER (PARTITION BY file ORDER BY l
 grouped AS (SELECT file, run, min(line) AS start_line, list(text ORDER BY line) AS ls, string_agg(text, chr(10) ORDER BY line) AS text FROM runs WHERE NOT stop GROUP BY file, run),
 paras AS (SELECT file, start_line, ls, text, lead(start_line) OVER (PARTITION BY file ORDER BY start_line) AS next_start, lead(text) OVER (PARTITION BY file ORDER BY start_line) AS next_text FROM grouped)"""
 _RU = (LINES, FENCED, _PARAGRAPHS)
-ORACLES["fence_mask"] = with_corpus("es", "SELECT file, line, fence, inside FROM fenced WHERE file IN (SELECT file FROM corpus WHERE contains(content, '```'))", LINES, FENCED)
+ORACLES["fence_mask"] = with_corpus("es", "SELECT file, line, fence, inside FROM fenced", LINES, FENCED)
 ORACLES["line_counts"] = with_corpus("ru", f"SELECT file, count(*) AS n_lines, count(*) FILTER ({_IS_STRUCTURAL}) AS n_structural FROM lines GROUP BY file", LINES)
 ORACLES["ru_paragraphs"] = with_corpus("ru", "SELECT file, start_line, CAST(len(ls) AS BIGINT) AS n_lines, CAST(length(text) AS BIGINT) AS n_chars, next_start FROM paras", *_RU)
 
@@ -319,7 +319,8 @@ _SCORED = f"scored AS (SELECT *, {_TOTAL} AS raw, CAST(floor({_TOTAL} + 0.5::DOU
 _VERDICT = f"CASE WHEN word_count = 0 THEN {q(M.NO_TEXT)} " + " ".join(f"WHEN score <= {b} THEN {q(n)}" for b, n in M.VERDICTS) + f" ELSE {q(M.LAST_VERDICT)} END"
 _SCORE = (_BASE, _SIGNALS, _SCORED)
 ORACLES["score_verdict"] = with_corpus("metrics", "SELECT file, " + ", ".join(f"{_rounded(f'{w}::DOUBLE * {k}_norm * 100', 3)} AS {k}_points" for k, w in M.WEIGHTS.items()) + f", {_rounded('raw', 6)} AS score_raw, score, {_VERDICT} AS verdict FROM scored", *_SCORE)
-ORACLES["metrics_findings"] = with_corpus("metrics", f"SELECT file, CASE WHEN score >= {M.HIGH} THEN 'high' ELSE 'medium' END AS severity, 'humanizer-score' AS category FROM scored WHERE score >= {M.FINDING}", *_SCORE)
+_POINTS = " || ".join(f"' {k}=' || regexp_replace(printf('%.3f', {_rounded(f'{w}::DOUBLE * {k}_norm * 100', 3)}), '\\.?0+$', '')" for k, w in M.WEIGHTS.items())
+ORACLES["metrics_findings"] = with_corpus("metrics", f"SELECT file, CASE WHEN score >= {M.HIGH} THEN 'high' ELSE 'medium' END AS severity, 'humanizer-score' AS category, substr('score=' || score || '/100' || {_POINTS}, 1, 200) AS quote FROM scored WHERE score >= {M.FINDING}", *_SCORE)
 
 # -- findings from outside ---------------------------------------------------------------------------
 
@@ -417,6 +418,20 @@ ORACLES["tool_runs"] = " UNION ALL ".join(
         f"SELECT 'humanizer-ru', 'ru', FALSE, (SELECT count(*) FROM documents), 0, {q(NOT_AVAILABLE)}",
     ]
 )
+_JA_KINDS = """['{"findings":[]}', 'not json', '{"x":1}', '{"findings":{}}', '', '{"findings":[{"category":"a","excerpt":"b"}]} ', '{"findings":[']"""
+ORACLES["ext_ja_errors"] = f"""SELECT file, CASE WHEN NOT json_valid(stdout) THEN 'unparseable lint.py JSON on ' || file WHEN json_type(TRY_CAST(stdout AS JSON), '$.findings') IS DISTINCT FROM 'ARRAY' THEN 'missing findings[] on ' || file END AS error
+FROM (SELECT 'p-' || page_id AS file, {_JA_KINDS}[CAST(page_id % 7 AS INTEGER) + 1] AS stdout FROM pages)"""
+_JA_FAILED = """(SELECT CASE WHEN doc_id % 50 = 7 THEN 'unparseable lint.py JSON on ' ELSE 'missing findings[] on ' END || 'doc-' || doc_id || '.md' FROM documents WHERE doc_id % 50 IN (7, 9) ORDER BY 'doc-' || doc_id || '.md' LIMIT 1)"""
+_JA_RUN = "SELECT {0} AS tool, 'ja' AS lang, {1} AS ok, (SELECT count(*) FROM documents) AS files, CAST(0 AS BIGINT) AS findings, CAST({2} AS VARCHAR) AS error"
+ORACLES["tool_runs_failed"] = " UNION ALL ".join(
+    [
+        _counted("placeholder", "ja", "placeholder", _P0_ROWS, LINES, _SHOWN),
+        _JA_RUN.format("'phrases'", "TRUE", "NULL"),
+        _JA_RUN.format("'ja-lint'", "TRUE", "NULL"),
+        _JA_RUN.format("'natural-japanese'", "FALSE", _JA_FAILED),
+    ]
+)
+ORACLES["summary_failed"] = f"SELECT n AS p0, CAST(0 AS BIGINT) AS p1, CAST(0 AS BIGINT) AS p2, CAST(0 AS BIGINT) AS fp_suppressed, CAST(1 AS BIGINT) AS tool_failures, CAST(2 AS INTEGER) AS exit_code FROM (WITH {', '.join([seeded('placeholder'), LINES, _SHOWN])} SELECT count(*) AS n FROM ({_P0_ROWS}))"
 _SPANISH = (
     "found AS ("
     + " UNION ALL ".join(

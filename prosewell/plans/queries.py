@@ -99,9 +99,8 @@ def lang_conversations(spark, sf_dir):
 
 @query
 def fence_mask(spark, sf_dir):
-    """Fence state of the lines of documents that have fences."""
-    docs = corpus(spark, sf_dir, "es").where(F.contains("content", F.lit("```")))
-    return line_ops.fenced_lines(docs).select("file", "line", "fence", "inside")
+    """Fence state of every line of every document."""
+    return line_ops.fenced_lines(corpus(spark, sf_dir, "es")).select("file", "line", "fence", "inside")
 
 
 @query
@@ -161,7 +160,7 @@ def patterns_en_not_re2(spark, sf_dir):
 
 @query
 def patterns_en_counts(spark, sf_dir):
-    """All English rules at once, counted by category."""
+    """The English rules that RE2 can express (all but ``NOT_RE2``) at once, counted by category."""
     found = scanners.english_patterns(corpus(spark, sf_dir, "en"), rules=[r for r in english.RULES if r[0] not in NOT_RE2])
     return found.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
 
@@ -236,7 +235,7 @@ def score_verdict(spark, sf_dir):
 @query
 def metrics_findings(spark, sf_dir):
     """Documents whose score is a finding."""
-    return scanners.metric_findings(corpus(spark, sf_dir, "metrics")).select("file", "severity", "category")
+    return scanners.metric_findings(corpus(spark, sf_dir, "metrics")).select("file", "severity", "category", "quote")
 
 
 # -- findings from outside ---------------------------------------------------------------------------
@@ -287,6 +286,44 @@ def ext_ja_adapter(spark, sf_dir):
     return scanners.external_japanese(pages.select(F.concat(F.lit("p-"), F.col("page_id").cast("string")).alias("file"), value.alias("stdout"))).select("file", "line", "severity", "category", "quote")
 
 
+@query
+def ext_ja_errors(spark, sf_dir):
+    """Which outputs of the outside Japanese tool can't be read, and why."""
+    pages = table(spark, sf_dir, "pages")
+    kinds = F.array(*map(F.lit, ['{"findings":[]}', "not json", '{"x":1}', '{"findings":{}}', "", '{"findings":[{"category":"a","excerpt":"b"}]} ', '{"findings":[']))
+    results = pages.select(F.concat(F.lit("p-"), F.col("page_id").cast("string")).alias("file"), F.get(kinds, (F.col("page_id") % 7).cast("int")).alias("stdout"))
+    return scanners.japanese_errors(results).select("file", "error")
+
+
+def _japanese_results(spark, sf_dir):
+    """Synthetic outputs of the outside Japanese tool, of which some are broken."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"))
+    stdout = F.when(F.col("doc_id") % 50 == 7, "Traceback").when(F.col("doc_id") % 50 == 9, '{"x":1}').otherwise('{"findings":[{"category":"a","excerpt":"b"}]}')
+    return docs.select("file", stdout.alias("stdout"))
+
+
+def _failed(spark, sf_dir):
+    """Findings and runs of a Japanese audit in which the outside tool failed on some files."""
+    results = _japanese_results(spark, sf_dir)
+    failed = scanners.japanese_failures(results)
+    docs = corpus(spark, sf_dir, "placeholder")
+    found = report.without_failed(scanners.union([scanners.placeholders(docs, "ja"), scanners.external_japanese(results)]), failed)
+    return found, report.tool_runs(language.buckets(language.detect(docs, override="ja")), found, ["natural-japanese"], failed)
+
+
+@query
+def tool_runs_failed(spark, sf_dir):
+    """Runs of an audit in which an outside tool gave broken output: it failed, and its findings don't count."""
+    return _failed(spark, sf_dir)[1]
+
+
+@query
+def summary_failed(spark, sf_dir):
+    """Summary of that audit: it is incomplete, exit code 2."""
+    found, runs = _failed(spark, sf_dir)
+    return report.summary(triage(found), runs)
+
+
 @query
 def json_values(spark, sf_dir):
     """JSON values written one after the other, taken apart (no oracle: DuckDB has no such parser)."""

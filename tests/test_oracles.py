@@ -8,7 +8,7 @@ from prosewell.plans.oracles import ORACLES
 from prosewell.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["lang_detect", "lang_path", "fence_mask", "ru_paragraphs", "p0_placeholders", "phrases_ja", "patterns_en_contrast", "lexicon_en", "es_mente", "id_lint", "ru_fragment_lead", "score_verdict", "triage_priority", "report_summary", "audit_spanish"]
+NAMES = ["lang_detect", "lang_path", "fence_mask", "ru_paragraphs", "p0_placeholders", "phrases_ja", "patterns_en_contrast", "lexicon_en", "es_mente", "id_lint", "ru_fragment_lead", "text_metrics", "score_verdict", "metrics_findings", "ext_ja_errors", "tool_runs_failed", "summary_failed", "triage_priority", "report_summary", "audit_spanish"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")

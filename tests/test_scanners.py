@@ -2,6 +2,7 @@
 
 import pytest
 
+from prosewell.plans.audit import audit
 from prosewell.operators import scanners
 from prosewell.operators.lines import fenced_lines, paragraphs
 
@@ -95,3 +96,19 @@ def test_outside_findings(spark):
     assert {r.file: r.quote for r in scanners.external_korean(ko).collect()} == {"a": "risk_band=high risk_score=7 route_hint=x", "c": "risk_band=? risk_score=? route_hint=?"}
     ja = spark.createDataFrame([("a", '{"findings":[{"line":3,"category":"x","excerpt":"y"},{"category":"z"}]}'), ("b", "broken")], "file string, stdout string")
     assert [(r.file, r.line, r.category, r.quote) for r in scanners.external_japanese(ja).collect()] == [("a", 3, "ja:x", "y")]
+
+
+def test_broken_outside_output_is_a_failed_run(spark):
+    rows = [("c", "broken"), ("a", '{"findings":[{"category":"x","excerpt":"y"}]}'), ("b", '{"x":1}'), ("d", None), ("e", '{"findings":null}')]
+    ja = spark.createDataFrame(rows, "file string, stdout string")
+    errors = {r.file: r.error for r in scanners.japanese_errors(ja).collect()}
+    assert errors == {"a": None, "b": "missing findings[] on b", "c": "unparseable lint.py JSON on c", "d": "unparseable lint.py JSON on d", "e": "missing findings[] on e"}
+    assert [tuple(r) for r in scanners.japanese_failures(ja).collect()] == [("natural-japanese", "ja", "missing findings[] on b")]
+    assert scanners.japanese_failures(ja.where("file = 'a'")).count() == 0
+
+    docs = spark.createDataFrame([("a", "text")], "file string, content string")
+    out = audit(docs, override="ja", external={"natural-japanese": scanners.external_japanese(ja)}, failures=scanners.japanese_failures(ja))
+    run = out.runs.where("tool = 'natural-japanese'").first()
+    assert (run.ok, run.findings, run.error) == (False, 0, "missing findings[] on b")
+    assert out.findings.where("tool = 'natural-japanese'").count() == 0 and out.summary.first().exit_code == 2
+    out.close()
