@@ -25,16 +25,26 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _parts(text: Column) -> Column:
+    """White space collapsed, cut after . ! ? before a space."""
+    return F.split(trimmed(collapsed(text)), r"(?<=[.!?]) +")
+
+
 def sentences(text: Column) -> Column:
-    """Sentences that hold a token: white space collapsed, cut after . ! ? before a space."""
-    parts = F.split(trimmed(collapsed(text)), r"(?<=[.!?]) +")
-    return F.filter(F.transform(parts, trimmed), lambda s: F.lower(s).rlike("[a-z0-9]"))
+    """Sentences that hold a token."""
+    return F.filter(F.transform(_parts(text), trimmed), lambda s: F.lower(s).rlike("[a-z0-9]"))
+
+
+def sentence_lengths(text: Column) -> Column:
+    """Tokens of each sentence that holds one, counted without building them."""
+    return F.filter(F.transform(_parts(text), lambda s: F.regexp_count(F.lower(s), F.lit(TOKEN))), lambda n: n > 0)
 
 
 def syllables(word: Column) -> Column:
-    """Heuristic syllables of a lower-case word."""
-    letters = F.regexp_replace(word, "[^a-z]", "")
-    stem = F.regexp_replace(F.regexp_replace(letters, r"(?:[^laeiouy]es|ed|[^laeiouy]e)\z", ""), "^y", "")
+    """Heuristic syllables of a token."""
+    letters = F.translate(word, "0123456789'", "")
+    stem = F.regexp_replace(letters, r"(?:[^laeiouy]es|ed|[^laeiouy]e)\z", "")
+    stem = F.when(F.startswith(stem, F.lit("y")), F.substring(stem, F.lit(2), F.length(stem))).otherwise(stem)
     return F.when(letters == "", 0).when(F.length(letters) <= 3, 1).otherwise(F.greatest(F.regexp_count(stem, F.lit("[aeiouy]{1,2}")), F.lit(1)))
 
 
@@ -60,17 +70,33 @@ def type_token_ratio(tokens: Column) -> Column:
     return F.when(n > 0, F.size(F.array_distinct(tokens)) / n).otherwise(0.0)
 
 
-def mattr(tokens: Column, window: int = M.WINDOW) -> Column:
-    """Mean type-token ratio of all windows; of the whole text where it is no longer than one."""
-    n = F.size(tokens)
-    total = F.aggregate(F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1))), F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice(tokens, i, window))))
-    return F.when(n <= window, type_token_ratio(tokens)).otherwise(total / (window * (n - (window - 1))).cast("double"))
+def sorted_tokens(tokens: Column) -> Column:
+    """array<struct<t, i>>: the tokens with their places, in order, so that equal ones stand together."""
+    return F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+
+def mattr(n: Column, ordered: Column, ratio: Column, window: int = M.WINDOW) -> Column:
+    """Mean type-token ratio of all windows; of the whole text where it is no longer than one.
+
+    A token counts in the windows in which it is the first of its kind: those that begin after the same token's
+    place before it. So the sum over all windows is one pass over the places, not one per window.
+    """
+    windows = n - (window - 1)
+    before = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("t"), F.lit(-1).alias("i"))), ordered)
+
+    def fresh(b, x):
+        begins = F.greatest(F.when(b["t"] == x["t"], b["i"] + 1).otherwise(0), x["i"] - (window - 1), F.lit(0))
+        # x is null where the longer of the two lists ends
+        return F.when(x.isNull(), 0).otherwise(F.greatest(F.least(x["i"], n - window) - begins + 1, F.lit(0)))
+
+    total = F.aggregate(F.zip_with(before, ordered, fresh), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(n <= window, ratio).otherwise(total / (window * windows).cast("double"))
 
 
 def trigram_repetition(tokens: Column) -> Column:
     """Share of word trigrams that repeat an earlier one."""
     n = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2)))
+    grams = F.transform(F.slice(tokens, 1, F.greatest(n - 2, F.lit(0))), lambda t, i: F.concat_ws(" ", t, F.get(tokens, i + 1), F.get(tokens, i + 2)))
     return F.when(n >= 3, 1 - F.size(F.array_distinct(grams)) / (n - 2)).otherwise(0.0)
 
 
@@ -93,8 +119,8 @@ def analyze(docs: DataFrame, content: str = "content", ignore_code: bool = False
     """``docs`` with the columns of METRICS. A null text counts as empty."""
     kept = docs.columns
     d = docs.withColumn("__text", strip_marked(F.coalesce(F.col(content), F.lit("")), ignore_code, ignore_quotes))
-    d = d.withColumns({"tokens": word_tokens(F.col("__text")), "lengths": F.transform(sentences(F.col("__text")), lambda s: F.size(word_tokens(s)))})
-    d = vocabulary(d)
+    d = d.withColumns({"tokens": word_tokens(F.col("__text")), "lengths": sentence_lengths(F.col("__text"))})
+    d = vocabulary(d.withColumn("ordered", sorted_tokens(F.col("tokens"))))
     d = d.withColumns({"words": F.size("tokens"), "parts": F.size("lengths"), "m": mean(F.col("lengths")), "syllables": F.aggregate("tokens", F.lit(0), lambda a, w: a + syllables(w))})
     d = d.withColumn("s", stdev(F.col("lengths"), F.col("m")))
     words, parts, m, s = (F.col(c) for c in ("words", "parts", "m", "s"))
@@ -110,7 +136,7 @@ def analyze(docs: DataFrame, content: str = "content", ignore_code: bool = False
         "burstiness": cov,
         "burstiness_gb": rounded(F.when(s + m != 0, (s - m) / (s + m)).otherwise(0.0), 3),
         "type_token_ratio": rounded(type_token_ratio(F.col("tokens")), 3),
-        "mattr": rounded(mattr(F.col("tokens")), 3),
+        "mattr": rounded(mattr(words, F.col("ordered"), type_token_ratio(F.col("tokens"))), 3),
         "trigram_repetition": rounded(trigram_repetition(F.col("tokens")), 3),
         "fk_grade": rounded(F.when(words > 0, 0.39 * wps + 11.8 * spw - 15.59).otherwise(0.0), 1),
         "fk_ease": rounded(F.when(words > 0, 206.835 - 1.015 * wps - 84.6 * spw).otherwise(0.0), 1),
