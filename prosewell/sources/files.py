@@ -13,6 +13,12 @@ def excluded(path: Column) -> Column:
     return path.rlike(EXCLUDED)
 
 
+def true_path(uri: Column) -> Column:
+    """The name of a local file as it is, from the encoded form in which Spark gives it; other stores keep their scheme."""
+    plain = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))  # a plus sign is no space in a path
+    return F.regexp_replace(plain, "^file:/+", "/")
+
+
 def markdown_files(spark: SparkSession, *paths: str) -> DataFrame:
     """All .md files under the paths (folders or files), each once, as whole texts."""
     frames = []
@@ -24,8 +30,7 @@ def markdown_files(spark: SparkSession, *paths: str) -> DataFrame:
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df)
-    bare = F.regexp_replace("file", "^file:/+", "/")
-    out = out.withColumn("file", bare).where(~excluded(F.col("file")))
+    out = out.withColumn("file", true_path(F.col("file"))).where(~excluded(F.col("file")))
     return out.dropDuplicates(["file"]) if len(frames) > 1 else out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import warnings
 
+from pyspark.sql import SparkSession
+
 KEYS = ("file", "tool", "category", "quoteContains", "reason")
 SELECTORS = KEYS[:4]
 
@@ -54,3 +56,25 @@ def parse(text: str, source: str = "") -> list[dict]:
 def load(*texts: tuple[str, str] | None) -> list[dict]:
     """Rules of several (source, text) pairs in order; a missing one (None) is skipped."""
     return [rule for pair in texts if pair is not None for rule in parse(pair[1], pair[0])]
+
+
+#: Name of a project's own rules, in the folder that is audited.
+PROJECT_FILE = ".prosewell.yaml"
+
+
+def read(spark: SparkSession, *paths: str) -> list[dict]:
+    """Rules of the files that are there, in order, from any store of the session. Rules are small: they become literals of the plan.
+
+    Spark's readers skip names that begin with a dot, so the file is opened through the file system itself.
+    """
+    jvm, found = spark._jvm, []
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if system.exists(path):
+            stream = system.open(path)
+            try:
+                found.append((name, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return load(*found)

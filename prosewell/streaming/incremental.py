@@ -9,13 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 from prosewell.functions import language
 from prosewell.operators.triage import triage
 from prosewell.plans.audit import scan
-from prosewell.sources.files import excluded
+from prosewell.sources.files import excluded, true_path
 
 
 def watch(spark: SparkSession, path: str) -> DataFrame:
     """New .md files under a folder as a stream of documents (file, content)."""
     reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
-    rows = reader.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file"), F.col("value").alias("content"))
+    rows = reader.text(path, wholetext=True).select(true_path(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("content"))
     return rows.where(~excluded(F.col("file")))
 
 
