@@ -29,9 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this driver has made; ``forget`` removes them.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def forget(spark: SparkSession) -> int:
+    """Removes the intermediate tables and models made so far, once no result that reads them is needed any more; returns their number."""
+    made, gone = spark._jvm.org.apache.hadoop.fs, 0
+    while _MADE:
+        path = made.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True))
+    return gone
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -400,3 +401,12 @@ def test_every_stage_takes_nulls_and_any_columns(spark, tmp_path):
         assert name == "encode" or out.columns == docs.columns
         assert sorted((r.doc_id for r in out.collect()), key=lambda k: (k is None, k or 0)) == want[name], name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_intermediate_tables_are_forgotten(spark):
+    from prosewell.llm import common
+
+    common.forget(spark)
+    path = common.stored(spark.range(3), "three").inputFiles()[0]
+    assert common.forget(spark) == 1 and common.forget(spark) == 0
+    assert not Path(path.removeprefix("file://")).exists()
