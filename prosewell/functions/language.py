@@ -21,20 +21,27 @@ def sample(content: Column) -> Column:
 
 
 def _count(text: Column, letters: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{letters}]", ""))
+    return F.when(text == "", 0).otherwise(F.length(F.regexp_replace(text, f"[^{letters}]+", "")))
 
 
-def _words(lowered: Column, letters: str, words: list[str]) -> Column:
-    """Whole words; a word is a maximal run of the letters, so membership equals a guarded match."""
-    return F.size(F.filter(F.regexp_extract_all(lowered, F.lit(f"[{letters}]+"), F.lit(0)), lambda w: w.isin(*words)))
+def _is_one_of(words: list[str]):
+    return lambda w: w.isin(*words)
 
 
 def with_markers(docs: DataFrame, content: str = "content") -> DataFrame:
-    """``docs`` with one count per script and word list, over the sample of each text. A null text counts as empty."""
+    """``docs`` with one count per script and word list, over the sample of each text. A null text counts as empty.
+
+    All scripts but the Latin letters lie outside of ASCII, so they are counted in what is left without it. A
+    word is a maximal run of its list's letters, so membership equals a guarded match; lists over the same
+    letters share their words.
+    """
     text = sample(F.coalesce(F.col(content), F.lit("")))
-    named = docs.withColumn("__sample", text).withColumn("__lower", F.lower("__sample"))
-    counts = {k: _count(F.col("__sample"), v) for k, v in SCRIPTS.items()}
-    counts |= {k: _words(F.col("__lower"), letters, words) for k, (letters, words) in WORDS.items()}
+    named = docs.withColumn("__sample", text)
+    named = named.withColumns({"__lower": F.lower("__sample"), "__foreign": F.regexp_replace("__sample", r"[\x00-\x7F]+", "")})
+    runs = {letters: f"__words_{k}" for k, letters in enumerate(dict.fromkeys(letters for letters, _ in WORDS.values()))}
+    named = named.withColumns({c: F.regexp_extract_all("__lower", F.lit(f"[{letters}]+"), F.lit(0)) for letters, c in runs.items()})
+    counts = {k: _count(F.col("__sample" if k == "latin" else "__foreign"), v) for k, v in SCRIPTS.items()}
+    counts |= {k: F.size(F.filter(runs[letters], _is_one_of(words))) for k, (letters, words) in WORDS.items()}
     return fenced_off(named, docs.columns, counts)
 
 
