@@ -21,7 +21,8 @@ from prosewell.schema import TOOLS
 class Audit:
     """Lazy results: documents with language, triaged findings, runs, summary, uncertain files.
 
-    ``documents`` and ``findings`` are persisted (memory and disk); ``close`` lets them go.
+    ``documents`` and ``findings`` are stored in a work folder, or persisted (memory and disk) where there is
+    none; ``close`` lets persisted ones go.
     """
 
     documents: DataFrame
@@ -56,24 +57,31 @@ def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None
 
     ``failures`` (tool, lang, error) has the runs that failed: their findings don't count, and the audit is incomplete.
 
-    ``langs`` limits the plan to languages known to occur. Language is detected once. With ``workdir`` (a
-    folder that all executors share) the documents are written there by language, and each scanner reads
-    the folders of its own languages only; that is the way for large corpora. Without it they are
-    persisted.
+    ``langs`` limits the plan to languages known to occur. Language is detected once. The documents are written
+    by language to ``workdir`` (a folder that all executors share; ``spark.checkpoint.dir`` of the session if none
+    is given), and each scanner reads the folders of its own languages only; findings are written beside them.
+    Where neither is set (a local session) both are persisted instead.
     """
     given = external or {}
     found = language.detect(docs, override=override)
-    if workdir:
-        path = f"{workdir.rstrip('/')}/documents-{uuid.uuid4().hex}"
-        found.write.partitionBy("lang").parquet(path)
-        found = docs.sparkSession.read.schema(found.schema).parquet(path)
+    spark = docs.sparkSession
+    folder = workdir or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{folder.rstrip('/')}/audit-{uuid.uuid4().hex}" if folder else None
+    if path:
+        found.write.partitionBy("lang").parquet(f"{path}/documents")
+        found = spark.read.schema(found.schema).parquet(f"{path}/documents")
     else:
         found = found.persist(StorageLevel.MEMORY_AND_DISK)
     wanted = [override] if override else (langs or LANGS)
     findings = union([scan(found, wanted), *given.values()])
     if failures is not None:
         findings = report.without_failed(findings, failures)
-    triaged = triage(findings, rules).persist(StorageLevel.MEMORY_AND_DISK)
+    triaged = triage(findings, rules)
+    if path:
+        triaged.write.parquet(f"{path}/findings")
+        triaged = spark.read.schema(triaged.schema).parquet(f"{path}/findings")
+    else:
+        triaged = triaged.persist(StorageLevel.MEMORY_AND_DISK)
     runs = report.tool_runs(language.buckets(found), triaged, list(given), failures)
     unsure = language.uncertain(found) if override is None else language.uncertain(found).limit(0)
     return Audit(found, triaged, runs, report.summary(triaged, runs), unsure)
