@@ -19,8 +19,8 @@ unseen context gives the lower order. A few numbers per shard, and the frequent
 the shards), reach the driver. Counts of any size are kept (the arrays take the narrowest width that holds them).
 
 Odds: words are told apart by 64 bits (see ``common.words_hashed``), n-grams by 64 bits while they are counted
-(some two of n agree with n * n / 2**65) and by 48 bits when looked up: an n-gram that was never seen is taken
-for one of the m of its shard with odds of m / 2**48.
+(some two of n agree with n * n / 2**65). A shard's sorted hashes lie in buckets of 8 to 16, of which each keeps
+its next 32 bits: an n-gram that was never seen is taken for one that was with odds of 16 / 2**32.
 
 A context that was seen once in all is not stored: its n-gram of the order below tells that it was seen.
 
@@ -94,10 +94,23 @@ def _write_numbers(uri: str, values: np.ndarray) -> None:
     write_array(uri, np.concatenate([np.array([narrow.itemsize], np.uint64).view(np.uint8), np.ascontiguousarray(narrow).reshape(-1).view(np.uint8)]))
 
 
+def _bucket_bits(n: int) -> int:
+    """So that a bucket has 8 to 16 of n keys."""
+    return max(n.bit_length() - 4, 0)
+
+
+def _bucketed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (the upper bits) and the next 32 bits of hashes."""
+    bucket = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+    return bucket.astype(np.int64), (keys << np.uint64(bits) >> HALF).astype(np.uint32)
+
+
 def _write_keys(uri: str, shard: int, keys: np.ndarray) -> None:
-    """The upper 48 bits of sorted hashes."""
-    write_array(f"{uri}-hi/{shard}", (keys >> HALF).astype(np.uint32))
-    write_array(f"{uri}-lo/{shard}", (keys >> np.uint64(16)).astype(np.uint16))
+    """Sorted hashes: where each bucket starts, and 32 bits of each."""
+    bits = _bucket_bits(len(keys))
+    bucket, rest = _bucketed(keys, bits)
+    _write_numbers(f"{uri}-starts/{shard}", np.searchsorted(bucket, np.arange((1 << bits) + 1)))
+    write_array(f"{uri}-keys/{shard}", rest)
 
 
 def _context(columns: np.ndarray) -> np.ndarray:
@@ -216,20 +229,19 @@ class _Reader:
 
     def places(self, name: str, shard: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of hashes in a sorted array, and which of them are there."""
-        hi = self.array(f"{name}-hi", shard, np.uint32)
-        if not len(hi):
+        rest = self.array(f"{name}-keys", shard, np.uint32)
+        if not len(rest):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        lo, want = self.array(f"{name}-lo", shard, np.uint16), (keys >> HALF).astype(np.uint32)
-        rest = (keys >> np.uint64(16)).astype(np.uint16)
-        at = np.searchsorted(hi, want)
-        while True:  # past those that agree in the upper half only (there are hardly any)
-            on = np.flatnonzero((at < len(hi)) & (hi[np.minimum(at, len(hi) - 1)] == want))
-            on = on[lo[at[on]] < rest[on]]
-            if not len(on):
-                break
-            at[on] += 1
-        at = np.minimum(at, len(hi) - 1)
-        return at, (hi[at] == want) & (lo[at] == rest)
+        starts = self.array(f"{name}-starts", shard)
+        bucket, want = _bucketed(keys, _bucket_bits(len(rest)))
+        low, high = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+        end = high
+        while (low < high).any():  # by halving, all at once; a bucket is small
+            middle = (low + high) >> 1
+            less = rest[np.minimum(middle, len(rest) - 1)] < want
+            open_ = low < high
+            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        return np.minimum(low, len(rest) - 1), (low < end) & (rest[np.minimum(low, len(rest) - 1)] == want)
 
     def grams(self, order: int, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Counts of n-grams by hash and shard."""
@@ -453,7 +465,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey:
         raise ValueError("the order is two or more")
     spark = docs.sparkSession
     modest_batches(spark)
-    shards = 2 * max(2, parts(spark))
+    shards = max(2, parts(spark))
     uri = fresh_path(spark, "kneser-ney")
     texts = docs.select(F.col(text).cast("string").alias("t"))
     rows = _count_words(texts, shards).groupBy("shard").applyInPandas(_write_words(uri), "types long, tokens long").collect()
@@ -478,6 +490,14 @@ def _discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray
     return np.maximum(counts - np.array([0.0, *d])[np.minimum(counts, 3)], 0)
 
 
+def _one_earlier(of: np.ndarray, start: np.ndarray, first: int) -> np.ndarray:
+    """Each token's predecessor's entry; ``first`` at the start of a text."""
+    out = np.empty_like(of)
+    out[1:] = of[:-1]
+    out[start] = first
+    return out
+
+
 def score_texts(texts, reader: _Reader) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base score and model score (both log10) of each text."""
     m = reader.model
@@ -495,25 +515,27 @@ def score_texts(texts, reader: _Reader) -> tuple[np.ndarray, ...]:
         by_word = np.log10((counts + 0.5) / (m.n_tokens + 0.5 * (m.n_types + 1)))
         base[here] = np.add.reduceat(by_word[back], start)
         lower = _discounted(reader.preceded(ids), m.discounts[0]) / m.n_pairs + m.lower_backoff / (m.n_types + 1)
-        p, seen = lower[back], (counts > 0)[back]
-        columns = _columns(m, n, ids[back])
+        p, token = lower[back], ids[back]
+        # the different contexts, the start symbol last; each token's; and whether a context was seen
+        contexts, of, seen = np.append(ids, np.uint64(m.start))[None], _one_earlier(back, start, len(ids)), np.append(counts > 0, True)
         for order in range(2, m.order + 1):
-            own = columns[m.order - order :]
-            context = _context(own[:-1])
-            key, one, at = np.unique(_gram(context, own[-1]), return_index=True, return_inverse=True)
-            shard, split = _shard(m, own[:-1, one], context[one], key)
-            count = reader.grams(order, key, shard)[at]
-            _, one, of = np.unique(context, return_index=True, return_inverse=True)
-            sums = reader.contexts(order, context[one], _among(m.hot, own[:-1, one]).all(axis=0))[of]
-            # the context was seen if the n-gram of the order below that ends one token earlier was
-            before = np.empty(len(seen), bool)
-            before[1:] = seen[:-1]
-            before[start] = True
-            sums[before & (sums[:, 0] == 0)] = (1, 1, 0, 0)
-            total, d = np.maximum(sums[:, 0], 1), m.discounts[order - 1]
+            context, split = _context(contexts), _among(m.hot, contexts).all(axis=0)
+            sums = reader.contexts(order, context, split)
+            sums[seen & (sums[:, 0] == 0)] = (1, 1, 0, 0)  # not stored, but seen: once in all
+            key, last = _gram(context[of], token), order == m.order
+            one, at = slice(None), slice(None)
+            if not last:
+                key, one, at = np.unique(key, return_index=True, return_inverse=True)
+            own = of[one]
+            count = reader.grams(order, key, (mix(np.where(split[own], key, context[own])) % np.uint64(m.shards)).astype(np.int64))
+            d = m.discounts[order - 1]
+            total = np.maximum(sums[:, 0], 1)
             backoff = np.where(sums[:, 0] > 0, (sums[:, 1] * d[0] + sums[:, 2] * d[1] + sums[:, 3] * d[2]) / total, 1.0)
-            p = _discounted(count, d) / total + backoff * p
-            seen = count > 0
+            p = _discounted(count, d)[at] / total[of] + backoff[of] * p
+            if not last:  # the n-gram that ends one token earlier is the next order's context
+                contexts = np.concatenate([contexts[:, own], token[one][None]])
+                contexts = np.concatenate([contexts, np.full((order, 1), m.start, np.uint64)], axis=1)
+                of, seen = _one_earlier(at, start, len(key)), np.append(count > 0, True)
         score[here] = np.add.reduceat(np.log10(p), start)
     return n_tokens, n_known, base, score
 
