@@ -410,3 +410,31 @@ def test_intermediate_tables_are_forgotten(spark):
     path = common.stored(spark.range(3), "three").inputFiles()[0]
     assert common.forget(spark) == 1 and common.forget(spark) == 0
     assert not Path(path.removeprefix("file://")).exists()
+
+
+def test_partitioning_changes_nothing(spark):
+    """Near copies in one block or in many: the same components, lines and scores."""
+    from prosewell.llm import linededup
+
+    rnd = random.Random(21)
+    say = lambda n: " ".join(f"w{rnd.randrange(400)}" for _ in range(n))
+    base = [[say(12) for _ in range(5)] for _ in range(6)]
+    rows = []
+    for k in range(90):
+        lines = list(rnd.choice(base))
+        if k % 3:
+            at = rnd.randrange(5)
+            w = lines[at].split()
+            w[rnd.randrange(12)] = f"v{k}"
+            lines[at] = " ".join(w)
+        rows.append((k, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for n in (1, 3, 17):
+        own = docs.repartition(n)
+        components_ = sorted(map(tuple, jaccard.join(own).select("doc_id", "n_shingles", "component_id").collect()))
+        kept = sorted(map(tuple, linededup.deduplicated(own).collect()))
+        scores = sorted((r.doc_id, round(r.score, 9)) for r in lm.score(own, lm.train(own)).collect())
+        found.append((components_, kept, scores))
+    assert found[0] == found[1] == found[2]
+    assert len({c for _, _, c in found[0][0]}) < 30 and len(found[0][1]) < 90
