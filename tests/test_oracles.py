@@ -29,3 +29,55 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_without_sql_is_meant_to_be():
     assert set(QUERIES) - set(ORACLES) == {"patterns_en_not_re2", "json_values", "audit_full"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_rules_beyond_sql_equal_python(spark):
+    """The three English rules that have no SQL, line by line with Python's own patterns."""
+    import re
+
+    from prosewell.catalogs import english
+    from prosewell.plans.queries import NOT_RE2, corpus
+    from prosewell.schema import weighted
+
+    rules = [r for r in english.RULES if r[0] in NOT_RE2]
+    want = []
+    for doc in corpus(spark, SF, "en").collect():
+        for k, line in enumerate(doc.content.split("\n")):
+            for name, category, weight, pattern in rules:
+                found = re.search(re.sub(r"\(\?<(\w+)>", r"(?P<\1>", pattern), line, re.IGNORECASE | re.ASCII) if len(line) > 2 else None
+                if found and found[0]:
+                    want.append((doc.file, k + 1, weighted(weight), f"zs:{category}/{name}", found[0][:200]))
+    got = [tuple(r) for r in QUERIES["patterns_en_not_re2"](spark, SF).select("file", "line", "severity", "category", "quote").collect()]
+    assert sorted(got) == sorted(want) and {r[3] for r in got} == {f"zs:{r[1]}/{r[0]}" for r in rules}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_json_values_are_those_that_were_written(spark):
+    for r in QUERIES["json_values"](spark, SF).collect():
+        assert (r.n_values, r.broken) == ((0, True) if r.page_id % 10 == 0 else (4, False))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_the_full_audit_is_the_scanners_of_each_language(spark):
+    """Counts of the full audit against each scanner run by itself on the documents of its own languages."""
+    from collections import Counter
+
+    from prosewell.functions import language
+    from prosewell.operators.scanners import BUILT_IN, placeholders
+    from prosewell.operators.triage import triage
+    from prosewell.plans.queries import corpus
+    from prosewell.schema import TOOLS
+
+    docs = language.detect(corpus(spark, SF, "audit", True)).cache()
+    want = Counter()
+    for tool, reads in TOOLS:
+        if tool not in BUILT_IN:
+            continue
+        for lang in reads:
+            own = docs.where(docs.lang == lang).select("file", "content")
+            found = placeholders(own, lang) if tool == "placeholder" else BUILT_IN[tool](own, lang)
+            want.update((lang, tool, r.priority) for r in triage(found).select("priority").collect())
+    docs.unpersist()
+    got = {(r.lang, r.tool, r.priority): r.n for r in QUERIES["audit_full"](spark, SF).collect()}
+    assert got == dict(want) and len(got) > 20
