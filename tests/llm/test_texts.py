@@ -408,3 +408,41 @@ def test_folds_and_base_scores_equal_sql(spark, tmp_path):
         text = texts[r.doc_id]
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
         assert (r.lang_pred == "und") == (text is None or not any(c.isalpha() for c in text)) and 0 <= r.score <= 1
+
+
+def plain_grams(text):
+    """Buckets of the 1- to 3-grams that hold a letter, one by one."""
+    code = [32 if ord(c) < 128 and not "a" <= c <= "z" else ord(c) for c in f" {text.lower()} "]
+    for n in (1, 2, 3):
+        for i in range(len(code) - n + 1):
+            if any(c != 32 for c in code[i : i + n]):
+                h = 0x811C9DC5 + n
+                for c in code[i : i + n]:
+                    h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+                    h ^= h >> 13
+                yield (h * 0x85EBCA6B & 0xFFFFFFFF) >> 16
+
+
+def test_language_posteriors_equal_the_formula(spark):
+    import math
+    from collections import Counter
+
+    rnd = random.Random(12)
+    train = [(sentence(rnd, lang, 12), lang) for lang in ("en", "fr", "de") for _ in range(rnd.randrange(2, 6))] + [(None, "en"), ("x", None)]
+    model = langid.train(spark.createDataFrame(train, "text string, lang string").repartition(2))
+    counts, docs = {}, Counter(lang for _, lang in train if lang)
+    for text, lang in train:
+        if lang:
+            counts.setdefault(lang, Counter()).update(plain_grams(text or ""))
+    texts = [*(sentence(rnd, lang, 3) for lang in ("en", "fr", "de") for _ in range(8)), "Ünd É 5", "à", None, "½"]
+    names, scores = langid.classify(texts, model)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (name, score) == ("und", 0)
+            continue
+        log = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + 0.5 * langid.BUCKETS
+            log[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((c[g] + 0.5) / total) for g in plain_grams(text))
+        top = max(log.values())
+        assert log[name] == pytest.approx(top) and score == pytest.approx(1 / sum(math.exp(x - top) for x in log.values()))
