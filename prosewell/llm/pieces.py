@@ -38,7 +38,7 @@ from prosewell.llm.common import modest_batches, slices
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of each of the two generations that a worker remembers; bounds its memory.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 
 
 class PieceModel:
@@ -70,6 +70,7 @@ class PieceModel:
         self.compatible: dict[tuple, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.lost: set[str] = set()  # remembered words whose ids do not decode to them
         self.floor = min(self.score, default=0.0) - 10
         self.id_bytes = {p: np.array([i], np.int32).tobytes() for p, i in self.ids.items()}
         self.trie: dict = {}
@@ -176,8 +177,12 @@ class PieceModel:
             out[word] = b"".join([self.id_bytes.get(p) or np.array(self.ids_of(p), np.int32).tobytes() for p in reversed(found)])
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts, as int32 bytes."""
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bool]]:
+        """Ids of whole texts, as int32 bytes; and whether these decode to the text.
+
+        Decoding joins the bytes of the pieces, so a text comes back exactly if each of its words does and it holds
+        no mark of its own; each different word is decoded once.
+        """
         lists, new = [], set()
         for t in texts:
             words = self.words.findall(((" " if self.prefix else "") + t).replace(" ", MARK)) if t else []
@@ -188,14 +193,19 @@ class PieceModel:
         for w in new & older.keys():  # words of the generation before move on
             cache[w] = older[w]
         new.difference_update(older)
-        cache.update(self.encode_words(list(new)))
+        fresh = self.encode_words(list(new))
+        self.lost.update(w for w, ids in fresh.items() if self.bytes_of(memoryview(ids).cast("i")) != w.replace(MARK, " ").encode("utf-8", "replace"))
+        cache.update(fresh)
         get = cache.__getitem__
         found = [b"".join(map(get, words)) for words in lists]
         if not self.byte:
             found = [self._joined(x) for x in found]
+        lost = self.lost
+        same = [not t or (MARK not in t and (not lost or lost.isdisjoint(words))) for t, words in zip(texts, lists, strict=True)]
         if len(cache) > CACHE_WORDS:
             self.cache, self.older = {}, cache
-        return found
+            self.lost = {w for w in lost if w in cache}
+        return found, same
 
     def _joined(self, ids: bytes) -> bytes:
         """A run of unknown pieces as one."""
@@ -203,8 +213,11 @@ class PieceModel:
         again = np.flatnonzero((x[1:] == self.unknown) & (x[:-1] == self.unknown)) + 1
         return np.delete(x, again).tobytes() if len(again) else ids
 
+    def bytes_of(self, ids) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
-        data = b"".join(map(self.raw.__getitem__, ids))
+        data = self.bytes_of(ids)
         if self.prefix and data[:1] == b" ":
             data = data[1:]
         return data.decode("utf-8", "replace")
@@ -229,10 +242,11 @@ def read_model(path: str = DEFAULT_MODEL) -> bytes:
 
 
 def _groups(column: pa.Array, m: PieceModel, group: int):
-    """(first row, ids as bytes, texts) of about ``group`` bytes of text at a time."""
+    """(first row, ids as bytes, texts, do they decode to them) of about ``group`` bytes of text at a time."""
     for at, part in slices(column, group):
         texts = part.to_pylist()
-        yield at, m.encode(texts), texts
+        found, same = m.encode(texts)
+        yield at, found, texts, same
 
 
 def _id_lists(found: list[bytes], texts: list[str | None]) -> pa.Array:
@@ -250,7 +264,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
     def run(batches):
         m = _model(sent)
         for b in batches:
-            for at, found, texts in _groups(b.column(b.schema.get_field_index(text)), m, group):
+            for at, found, texts, _ in _groups(b.column(b.schema.get_field_index(text)), m, group):
                 part = b.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), _id_lists(found, texts)], [*kept, ids])
 
@@ -267,8 +281,7 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "id
         m = _model(sent)
         for b in batches:
             column = b.column(b.schema.get_field_index(text))
-            for at, found, texts in _groups(column, m, group):
-                same = [(m.decode(np.frombuffer(f, np.int32).tolist()) if t is not None else None) == t for f, t in zip(found, texts, strict=True)]
+            for at, found, texts, same in _groups(column, m, group):
                 part = b.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), _id_lists(found, texts), pa.array(same)], [*kept, ids, "round_trip"])
 

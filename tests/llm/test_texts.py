@@ -170,6 +170,16 @@ def test_the_mark_itself_does_not_come_back(spark):
     assert pieces.encode(docs, pieces.read_model()).columns == ["text", "ids"]
 
 
+def test_the_round_trip_is_that_of_whole_texts():
+    """Checked word by word, over several generations of remembered words, against decoding each text."""
+    m = pieces.PieceModel(pieces.read_model())
+    rnd = random.Random(3)
+    for _ in range(60):
+        texts = [None, "", "▁", "a▁ b", *("".join(rnd.choice("ab \n▁éß😀\t") for _ in range(rnd.randrange(40))) for _ in range(20))]
+        found, same = m.encode(texts)
+        assert same == [t is None or m.decode(np.frombuffer(x, np.int32).tolist()) == t for t, x in zip(texts, found, strict=True)]
+
+
 def test_unigram_walk_finds_the_best_split(tmp_path):
     from itertools import product
 
@@ -209,8 +219,9 @@ def test_runs_of_unknown_characters_are_one_piece():
     library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     m = pieces.PieceModel(proto.SerializeToString())
     texts = ["azzza", "zz a zz", "z", "z z", "xyab zzb  yy", "b", "za\nz", "", "zzz"]
-    for text, ids in zip(texts, m.encode(texts), strict=True):
+    for text, ids, same in zip(texts, *m.encode(texts), strict=True):
         assert np.frombuffer(ids, np.int32).tolist() == library.encode(text), text
+        assert same == (m.decode(library.encode(text)) == text) == (not set(text) - set("ab "))
     proto.pieces.add(piece="<user>", score=0, type=4)
     with pytest.raises(ValueError):
         pieces.PieceModel(proto.SerializeToString())
