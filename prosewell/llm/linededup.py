@@ -11,14 +11,16 @@ right. So
    pairs are in proportion to the probe rows, whatever a group's size. Which keys are shared so is told by a
    bitmap of fixed size (a proven bound), the same for both sides;
 3. the lines that share such a crowded key are all compared with one of them only, the pivot: of a sample of
-   ``SAMPLE`` the one that agrees with the others the longest. From left to right, a line is read along the
-   pivot; where it deviates, up to ``edits`` edits take it on, in each possible way. If that reaches the end,
-   the line is a near copy of the pivot. Each deviation met (its place in the pivot, and the line's character
-   there) is a new key of the line, at most 1 + 3 + ... + 3 ** edits of them, and so is being near. Any two near
-   copies share a new key: read along with their edits, they come to a deviation that both have, or both reach
-   the end and are near the pivot. New keys that many lines share get pivots of their own (the earliest line
-   where all are near), for ``ROUNDS`` rounds; lines that have found an earlier near copy seek no more. What is
-   left then, or once it makes no more pairs than there were lines at first, is compared in full;
+   ``SAMPLE`` the one that agrees with the others the longest; keys with the same pivot are one group. From left
+   to right, a line is read along the pivot; where it deviates, up to ``edits`` edits take it on, in each possible
+   way. Any two near copies, read so with the edits that turn one into the other, come to a deviation (place in the
+   pivot, the line's character there) that both have, or both to the end, and then their rests are as near as the
+   edits left allow. So a deviation met with edits left is a new key, under which the rests are read along pivots
+   of their own, and the rest itself after any edits is a key, too: equal rests make near copies if the edits of
+   both are ``edits`` at most, else only with an edit at the same place. A line has one key without edits and
+   1 + 3 + ... in all, whatever the size of its group; pairs are made within keys of ``MANY`` rows or fewer and
+   within equal rests, for ``ROUNDS`` rounds. What is left then, or once it makes no more pairs than there were
+   lines at first, is compared in full;
 4. texts are fetched for lines of such pairs and keys only - a bitmap marks them, so the others never leave
    their task - and a banded bit-parallel edit distance decides.
 
@@ -40,6 +42,8 @@ doc_id is an integer column (others raise ValueError). A document whose lines al
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -351,11 +355,21 @@ def _decided(pairs: DataFrame, edits: int, name: str) -> DataFrame:
     return stored(rows.mapInArrow(_verify, "a binary, b binary, distance int"), name)
 
 
-def _repeating(links: DataFrame, first: DataFrame) -> DataFrame:
-    """id of every line that a link shows to have an earlier near copy."""
-    x, y = (first.select(F.col("id").alias(c), F.col("first").alias(f"of_{c}")) for c in "ab")
-    named = links.join(x, "a").join(y, "b")
-    return named.select(F.when(F.col("of_a") > F.col("of_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+def _states(line: str, at: int, pivot: str, pivot_at: int, edits: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(i, j, places edited) wherever ``line``, read from ``at`` along ``pivot`` from ``pivot_at``, deviates from it or ends with it, with up to ``edits`` edits where it deviates."""
+    out, seen = [], set()
+    open_ = [(at, pivot_at, ())]
+    for i, j, edited in open_:
+        i, j = _agree(line, i, pivot, j)
+        out.append((i, j, edited))
+        if len(edited) == edits or (i == len(line) and j == len(pivot)):
+            continue
+        for di, dj in ((1, 1), (1, 0), (0, 1)):
+            step = (i + di, j + dj, (*edited, j))
+            if step[0] <= len(line) and step[1] <= len(pivot) and step not in seen:
+                seen.add(step)
+                open_.append(step)
+    return out
 
 
 def deviations(line: str, pivot: str, edits: int) -> tuple[int | None, set[tuple[int, int]]]:
@@ -363,21 +377,12 @@ def deviations(line: str, pivot: str, edits: int) -> tuple[int | None, set[tuple
 
     A deviation is its place in the pivot and the code of the line's character there (-1 at its end).
     """
-    best, met, seen = None, set(), set()
-    open_ = [(0, 0, 0)]
-    for i, j, used in open_:
-        i, j = _agree(line, i, pivot, j)
+    best, met = None, set()
+    for i, j, edited in _states(line, 0, pivot, 0, edits):
         if i == len(line) and j == len(pivot):
-            best = used if best is None else min(best, used)
-            continue
-        met.add((j, ord(line[i]) if i < len(line) else -1))
-        if used == edits:
-            continue
-        for di, dj in ((1, 1), (1, 0), (0, 1)):
-            step = (i + di, j + dj, used + 1)
-            if step[0] <= len(line) and step[1] <= len(pivot) and step not in seen:
-                seen.add(step)
-                open_.append(step)
+            best = len(edited) if best is None else min(best, len(edited))
+        else:
+            met.add((j, ord(line[i]) if i < len(line) else -1))
     return best, met
 
 
@@ -398,82 +403,96 @@ def _agree(a: str, i: int, b: str, j: int) -> tuple[int, int]:
 
 
 def _central(batches):
-    """Rows key, sample (id, words): the id of the sample's line that agrees with the others the longest."""
+    """Rows key, sample (id, at, words): the place (id, at) of the sample that agrees with the others the longest."""
     for b in batches:
         best = []
         for sample in b.column(1).to_pylist():
-            lines = sorted((x["words"], x["id"]) for x in sample)
-            best.append(max(lines, key=lambda x: sum(_agree(x[0], 0, y, 0)[0] for y, _ in lines if y != x[0]))[1])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.binary())], ["key", "b"])
+            rests = sorted((x["words"][x["at"] :], x["id"], x["at"]) for x in sample)
+            best.append(max(rests, key=lambda x: sum(_agree(x[0], 0, y[0], 0)[0] for y in rests if y[0] != x[0])))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[1] for x in best], pa.binary()), pa.array([x[2] for x in best], pa.int32())], ["key", "b", "pivot_at"])
 
 
 def _pivots(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """key, b: the pivot of each key (members: key, id, close, first)."""
-    # one line of each of SAMPLE classes, so that no group is gathered
-    drawn = members.where("not close").groupBy("key", F.expr(f"pmod(xxhash64(id, key), {SAMPLE})").alias("class")).agg(F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("x"))
-    drawn = drawn.select("key", F.col("x.id").alias("id")).join(texts.select("id", "words"), "id")
-    central = drawn.groupBy("key").agg(F.collect_list(F.struct("id", "words")).alias("sample")).mapInArrow(_central, "key long, b binary")
-    earliest = members.where("close").groupBy("key").agg(F.min(F.struct("first", "id")).alias("x")).select("key", F.col("x.id").alias("b"))
-    return stored(central.unionByName(earliest), "pivots")
+    """key, b, pivot_at: the pivot of each key (members: key, id, at)."""
+    # one line of each of SAMPLE classes, so that no group is gathered; keys of the same lines draw the same ones
+    drawn = members.groupBy("key", F.expr(f"pmod(xxhash64(id), {SAMPLE})").alias("class")).agg(F.min(F.struct(F.xxhash64("id"), "id", "at")).alias("x"))
+    drawn = drawn.select("key", F.col("x.id").alias("id"), F.col("x.at").alias("at")).join(texts.select("id", "words"), "id")
+    return stored(drawn.groupBy("key").agg(F.collect_list(F.struct("id", "at", "words")).alias("sample")).mapInArrow(_central, "key long, b binary, pivot_at int"), "pivots")
 
 
-def _along_pivots(batches):
-    """Rows key, a, text_a, b, text_b, edits: the distance if the pivot b is near, and the keys of the line a (a deviation, or being near)."""
-    for b in batches:
-        distances, keys, close = [], [], []
-        for key, words, pivot, edits in zip(*(b.column(k).to_pylist() for k in (0, 2, 4, 5)), strict=True):
-            near, met = deviations(words, pivot, edits)
-            distances.append(near)
-            place = np.array([*sorted(met), *([(-1, -1)] if near is not None else [])], np.int64).reshape(-1, 2).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                keys.append(mix(mix(np.full(len(place), key, np.int64).view(np.uint64) * _C[0] + place[:, 0]) * _C[1] + place[:, 1]).view(np.int64))
-            close.append([False] * len(met) + [True] * (near is not None))
-        found = [[{"key": k, "close": c} for k, c in zip(x.tolist(), y, strict=True)] for x, y in zip(keys, close, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(distances, pa.int32()), pa.array(found, pa.list_(pa.struct([("key", pa.int64()), ("close", pa.bool_())])))], ["a", "b", "distance", "keys"])
+def _hashed(kind: str, key: int, place: int, rest: str | int) -> int:
+    h = xxhash.xxh3_64_intdigest(f"{kind} {key} {place} {rest}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _crowded_links(members: DataFrame, texts: DataFrame, first: DataFrame, links: DataFrame, edits: int) -> DataFrame:
-    """``links``, and those between lines that share a crowded key (members: key, id), until each has one to an earlier near copy if there is any."""
-    settled = stored(_repeating(links, first), "settled")
-    first = stored(first.join(members.select("id").distinct(), "id"), "crowded-first")
-    members = stored(members.withColumn("close", F.lit(False)).join(first, "id"), "members")
-    x, y = (texts.select(F.col("id").alias(c), F.col("words").alias(f"text_{c}")) for c in "ab")
+_STATES = "key long, exact boolean, id binary, at int, used int, edited array<long>"
+
+
+def _along_pivots(batches):
+    """Rows id, key, at, used, edited, words, pivot_at, pivot, edits: the new keys of each line, read on from ``at`` along the pivot of its key."""
+    for b in batches:
+        out = []
+        for id_, key, at, used, edited, words, pivot_at, pivot, edits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found: dict[tuple, list] = {}
+            for i, j, places in _states(words, at, pivot, pivot_at, edits - used):
+                n = used + len(places)
+                keys = [(_hashed("rest", key, j, words[i:]), True, 0)]
+                if n < edits and (i < len(words) or j < len(pivot)):
+                    keys.append((_hashed("next", key, j, ord(words[i]) if i < len(words) else -1), False, i))
+                for k in keys:
+                    had = found.setdefault(k, [n, set(edited)])
+                    had[0] = min(had[0], n)
+                    had[1].update(_hashed("edit", key, place, "") for place in places)
+            out.extend((k, exact, id_, i, n, sorted(e)) for (k, exact, i), (n, e) in found.items())
+        types = (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["key", "exact", "id", "at", "used", "edited"])
+
+
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], which: str = "true") -> DataFrame:
+    """a, b: rows of two tables (id, used) that agree in ``on``, a the smaller id."""
+    same = " and ".join(f"x.{c} = y.{c}" for c in on)
+    return left.alias("x").join(right.alias("y"), F.expr(f"{same} and x.id < y.id and {which}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _crowded_links(members: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """All links between lines that share a crowded key (members: key, id)."""
+    members = stored(members.select("key", "id", F.lit(0).alias("at"), F.lit(0).alias("used"), F.expr("cast(array() as array<bigint>)").alias("edited")).distinct(), "members")
+    words, pivot = texts.select("id", "words"), texts.select(F.col("id").alias("b"), F.col("words").alias("pivot"))
     at_first = members.count()
+    pairs = []
     for turn in range(ROUNDS + 1):
         left = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0]
         if not left:
             break
-        last = turn == ROUNDS or left <= at_first
-        if last:
-            light = members
-        else:
-            rows = members.join(_pivots(members, texts), "key").where("id <> b").select("key", F.col("id").alias("a"), "b").join(x, "a").join(y, "b")
-            found = stored(rows.select("key", "a", "text_a", "b", "text_b", F.lit(edits).alias("edits")).mapInArrow(_along_pivots, "a binary, b binary, distance int, keys array<struct<key: bigint, close: boolean>>"), "deviations")
-            near = found.where("distance is not null").select("a", "b", "distance").distinct()
-            links = links.unionByName(near)
-            settled = stored(settled.unionByName(_repeating(near, first)).distinct(), "settled")
-            # only keys of two lines or more, of which one still seeks
-            keys = stored(found.select(F.inline("keys"), F.col("a").alias("id")).distinct(), "deviation-keys")
-            open_ = keys.join(settled.withColumn("done", F.lit(True)), "id", "left")
-            several = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("done").isNull()).alias("open")).where("n > 1 and open > 0")
-            several = stored(several.select("key", (F.col("n") > MANY).alias("crowded")), "shared")
-            shared = stored(keys.join(several, "key").join(first, "id"), "members")
-            light, members = shared.where("not crowded"), shared.where("crowded").drop("crowded")
-        seek = light.join(settled, "id", "left_anti")
-        pairs = seek.alias("x").join(light.alias("y"), "key").where("x.first > y.first").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        more = _decided(stored(pairs, "pairs").join(x, "a").join(y, "b"), edits, "links")
-        links = links.unionByName(more)
-        settled = settled.unionByName(more.select(F.col("a").alias("id"))).distinct()
-        if last:
+        if turn == ROUNDS or left <= at_first:
+            pairs.append(_pairs(members, members, ["key"]))
             break
-    return links
+        rows = members.join(_pivots(members, texts), "key")
+        if not turn:  # keys with the same pivot are one group: any two of its lines may be near
+            rows = rows.withColumn("key", F.xxhash64("b")).dropDuplicates(["key", "id"])
+        rows = rows.join(words, "id").join(pivot, "b").select("id", "key", "at", "used", "edited", "words", "pivot_at", "pivot", F.lit(edits).alias("edits"))
+        states = stored(rows.mapInArrow(_along_pivots, _STATES), "states")
+        several = states.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+        shared = stored(states.join(several.select("key", (F.col("n") > MANY).alias("crowded")), "key"), "members")
+        light, dense, members = (shared.where(x).drop("crowded") for x in ("not crowded", "crowded and exact", "crowded and not exact"))
+        pairs.append(_pairs(light, light, ["key"]))
+        # the same rest: near if the edits of both are few enough, else only if both have one at the same place
+        up_to, own = dense.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(edits) - F.col("used")))), dense.withColumn("v", F.col("used"))
+        pairs.append(_pairs(up_to, own, ["key", "v"]))
+        places = dense.withColumn("v", F.explode("edited"))
+        pairs.append(_pairs(places, places, ["key", "v"], f"x.used + y.used > {edits}"))
+    if not pairs:
+        return texts.sparkSession.createDataFrame([], "a binary, b binary, distance int")
+    every = stored(functools.reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
+    x, y = (texts.select(F.col("id").alias(c), F.col("words").alias(f"text_{c}")) for c in "ab")
+    return _decided(every.join(x, "a").join(y, "b"), edits, "links")
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Places (id, doc_id, text_hash, number, long) of all lines that take part; where each line first stands and its number of places (id, first, n); links (a, b, distance) between different lines.
 
-    ``docs`` has doc_id, text_hash and text. With ``every`` the places of shorter lines are there, too. Every
-    line with an earlier near copy has a link to one, and all its links that do not lie in crowded keys.
+    ``docs`` has doc_id, text_hash and text. With ``every`` the places of shorter lines are there, too. All
+    links are there, in crowded keys as well; equal lines are one line and have none.
     """
     lines = stored(_lines(docs, edits, min_chars, every), "lines")
     places = lines.drop("line", "keys")
@@ -488,7 +507,7 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     x, y = (texts.select(F.col("line").alias(c), F.col("id").alias(f"id_{c}"), F.col("words").alias(f"text_{c}")) for c in "ab")
     links = _decided(pairs.join(x, "a").join(y, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b"), edits, "links")
     if crowded:
-        links = _crowded_links(texts.select(F.explode("keys").alias("key"), "id"), texts, first.select("id", "first"), links, edits)
+        links = links.unionByName(_crowded_links(texts.select(F.explode("keys").alias("key"), "id"), texts, edits))
         links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct(), "links")
     return places, first, links
 

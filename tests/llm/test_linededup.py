@@ -99,6 +99,40 @@ def test_crowded_keys_lose_no_near_copy(spark, monkeypatch, many, rounds):
     assert found == brute(rows)
 
 
+def test_crowded_groups_lose_no_link(spark):
+    """Every link between different lines, not only one to an earlier near copy."""
+    rnd = random.Random(4)
+    lines = {f"12:{rnd.randrange(60):02d}:{rnd.randrange(60):02d} INFO the service has started" for _ in range(60)}
+    lines |= {edited(rnd, "one line of which there are many near copies in the corpus", rnd.randrange(5)) for _ in range(60)}
+    lines |= {" ".join(rnd.choice([w, w, w, w + "s", "no"]) for w in "some words of this sentence are exchanged for other ones here".split()) for _ in range(60)}
+    lines = sorted(lines, key=lambda x: rnd.random())
+    near = {a: [b for b in range(len(lines)) if a != b and levenshtein(lines[a], lines[b]) <= 2] for a in range(len(lines))}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    report = {r.doc_id: (r.n_links, r.class_id) for r in linededup.document_report(docs).collect()}
+    assert report == {a: (len(near[a]), min([a, *near[a]])) for a in near}
+    assert max(n for n, _ in report.values()) > 5
+
+
+def test_rests_that_two_near_lines_share_show_their_link():
+    rnd = random.Random(12)
+    for _ in range(4000):
+        pivot = "".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 25)))
+        x = edited(rnd, pivot, rnd.randrange(5))
+        y = edited(rnd, x, rnd.randrange(1, 3)) if x else "b"
+        if x == y or levenshtein(x, y) > 2:
+            continue
+        found = False
+        for i, j, e in linededup._states(x, 0, pivot, 0, 2):
+            for k, m, f in linededup._states(y, 0, pivot, 0, 2):
+                if j != m:
+                    continue
+                if x[i:] == y[k:]:
+                    found |= len(e) + len(f) <= 2 or bool({*e} & {*f})
+                elif x[i : i + 1] == y[k : k + 1] and len(e) < 2 and len(f) < 2:
+                    found |= levenshtein(x[i:], y[k:]) <= 2 - max(len(e), len(f))
+        assert found
+
+
 def thue_morse(n, flip):
     return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
 
