@@ -18,8 +18,9 @@ right. So
    edits left allow. So a deviation met with edits left is a new key, under which the rests are read along pivots
    of their own, and the rest itself after any edits is a key, too: equal rests make near copies if the edits of
    both are ``edits`` at most, else only with an edit at the same place. A line has one key without edits and
-   1 + 3 + ... in all, whatever the size of its group; pairs are made within keys of ``MANY`` rows or fewer and
-   within equal rests, for ``ROUNDS`` rounds. What is left then, or once it makes no more pairs than there were
+   1 + 3 + ... in all, whatever the size of its group. Most are its own; a first reading packs all keys into a bitmap
+   of those that are made twice, and only these become rows. Pairs are made within keys of ``MANY`` rows or fewer
+   and within equal rests, for ``ROUNDS`` rounds. What is left then, or once it makes no more pairs than there were
    lines at first, is compared in full;
 4. texts are fetched for lines of such pairs and keys only - a bitmap marks them, so the others never leave
    their task - and a banded bit-parallel edit distance decides.
@@ -50,12 +51,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosewell.llm.common import mix, modest_batches, slices, stored
+from prosewell.llm.common import mix, modest_batches, pack_sorted, slices, stored, unpack_sorted
 
 EDITS, MIN_CHARS = 2, 30
 MANY, ROUNDS, SAMPLE = 8, 6, 16
-#: Bits of the bitmaps.
-BITMAP = 1 << 27
+#: Bits of the bitmaps; parts in which one of them is made.
+BITMAP, PARTS = 1 << 27, 64
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 
@@ -428,24 +429,68 @@ def _hashed(kind: str, key: int, place: int, rest: str | int) -> int:
 _STATES = "key long, exact boolean, id binary, at int, used int, edited array<long>"
 
 
-def _along_pivots(batches):
-    """Rows id, key, at, used, edited, words, pivot_at, pivot, edits: the new keys of each line, read on from ``at`` along the pivot of its key."""
+def _read_on(b: pa.RecordBatch):
+    """For each row (id, key, at, used, edited, words, pivot_at, pivot, edits): its id, its key, its edits so far and its new keys, {(key, exact, at): [edits used, their places]}, the line read on from ``at`` along the pivot of its key."""
+    for id_, key, at, used, edited, words, pivot_at, pivot, edits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        found: dict[tuple, list] = {}
+        for i, j, places in _states(words, at, pivot, pivot_at, edits - used):
+            n = used + len(places)
+            keys = [(_hashed("rest", key, j, words[i:]), True, 0)]
+            if n < edits and (i < len(words) or j < len(pivot)):
+                keys.append((_hashed("next", key, j, ord(words[i]) if i < len(words) else -1), False, i))
+            for k in keys:
+                had = found.setdefault(k, [n, set()])
+                had[0] = min(had[0], n)
+                had[1].update(places)
+        yield id_, key, edited, found
+
+
+def _packed(batches):
+    """Rows part, bits: the bits of the new keys of a batch's lines, packed for each part of the bitmap; the bit of keys that two lines or more make is there twice."""
+    for b in batches:
+        keys = [k for *_, found in _read_on(b) for k in {k for k, _, _ in found}]
+        bit, n = np.unique(np.mod(np.array(keys, np.int64), BITMAP), return_counts=True)
+        bit = np.repeat(bit, np.minimum(n, 2)).astype(np.uint64)
+        part, first = np.unique(bit // np.uint64(BITMAP // PARTS), return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([pack_sorted(x) for x in np.split(bit, first[1:])][: len(part)], pa.binary())], ["part", "bits"])
+
+
+def _set_twice(batches):
+    """Rows bits: of rows (part, lists of packed bits) the bits that are there twice, packed."""
     for b in batches:
         out = []
-        for id_, key, at, used, edited, words, pivot_at, pivot, edits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            found: dict[tuple, list] = {}
-            for i, j, places in _states(words, at, pivot, pivot_at, edits - used):
-                n = used + len(places)
-                keys = [(_hashed("rest", key, j, words[i:]), True, 0)]
-                if n < edits and (i < len(words) or j < len(pivot)):
-                    keys.append((_hashed("next", key, j, ord(words[i]) if i < len(words) else -1), False, i))
-                for k in keys:
-                    had = found.setdefault(k, [n, set(edited)])
-                    had[0] = min(had[0], n)
-                    had[1].update(_hashed("edit", key, place, "") for place in places)
-            out.extend((k, exact, id_, i, n, sorted(e)) for (k, exact, i), (n, e) in found.items())
-        types = (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["key", "exact", "id", "at", "used", "edited"])
+        for lists in b.column(1).to_pylist():
+            bit, n = np.unique(np.concatenate([unpack_sorted(x) for x in lists]), return_counts=True)
+            out.append(pack_sorted(bit[n > 1]))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["bits"])
+
+
+def _made_twice(rows: DataFrame):
+    """Broadcast bitmap of the new keys (see ``_read_on``) that two of the rows or more make; most keys are one line's own."""
+    by_part = rows.mapInArrow(_packed, "part int, bits binary").groupBy("part").agg(F.collect_list("bits").alias("lists"))
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    for x in by_part.mapInArrow(_set_twice, "bits binary").toArrow()["bits"].to_pylist():
+        bit = unpack_sorted(x)
+        np.bitwise_or.at(bits, bit >> np.uint64(3), np.left_shift(1, (bit & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def _along_pivots(rows: DataFrame) -> DataFrame:
+    """The new keys (_STATES) of the rows, but for those that only one of them makes."""
+    twice = _made_twice(rows)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for id_, key, edited, found in _read_on(b):
+                shared = _is_set(twice.value, np.array([k for k, _, _ in found], np.int64))
+                for ((k, exact, i), (n, places)), keep in zip(found.items(), shared.tolist(), strict=True):
+                    if keep:
+                        out.append((k, exact, id_, i, n, sorted({*edited, *(_hashed("edit", key, place, "") for place in places)})))
+            types = (pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["key", "exact", "id", "at", "used", "edited"])
+
+    return rows.mapInArrow(run, _STATES)
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str], which: str = "true") -> DataFrame:
@@ -471,7 +516,7 @@ def _crowded_links(members: DataFrame, texts: DataFrame, edits: int) -> DataFram
         if not turn:  # keys with the same pivot are one group: any two of its lines may be near
             rows = rows.withColumn("key", F.xxhash64("b")).dropDuplicates(["key", "id"])
         rows = rows.join(words, "id").join(pivot, "b").select("id", "key", "at", "used", "edited", "words", "pivot_at", "pivot", F.lit(edits).alias("edits"))
-        states = stored(rows.mapInArrow(_along_pivots, _STATES), "states")
+        states = stored(_along_pivots(rows), "states")
         several = states.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
         shared = stored(states.join(several.select("key", (F.col("n") > MANY).alias("crowded")), "key"), "members")
         light, dense, members = (shared.where(x).drop("crowded") for x in ("not crowded", "crowded and exact", "crowded and not exact"))

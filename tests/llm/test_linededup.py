@@ -113,6 +113,28 @@ def test_crowded_groups_lose_no_link(spark):
     assert max(n for n, _ in report.values()) > 5
 
 
+def test_keys_that_one_line_makes_are_no_rows(spark, monkeypatch):
+    """Lines that share a crowded segment and little else: their links need few rows, whatever their number."""
+    made = []
+    stored = linededup.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "states":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "stored", counted)
+    rnd = random.Random(8)
+    some = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n))
+    lines = [some(20) + "this part they share" + some(20) for _ in range(300)]
+    lines += [line[:k] + "é" + line[k + 1 :] for k, line in enumerate(lines[:5])]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    links = {r.doc_id: r.n_links for r in linededup.document_report(docs).collect()}
+    assert links == {k: int(k < 5 or k >= 300) for k in range(305)}
+    assert made and sum(made) < 300
+
+
 def test_rests_that_two_near_lines_share_show_their_link():
     rnd = random.Random(12)
     for _ in range(4000):
