@@ -115,6 +115,14 @@ def _trim() -> None:
         trim(0)
 
 
+def give_back() -> None:
+    """Gives freed memory, that of Arrow's buffers included, back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
 def slices(column, size: int = 2_000_000):
     """(first row, part) of an Arrow string column, cut between texts into parts of about ``size`` bytes."""
     ends = _offsets(column)[1:]

@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from prosewell.llm.common import modest_batches, slices
+from prosewell.llm.common import give_back, modest_batches, slices
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words of each of the two generations that a worker remembers; bounds its memory.
+#: Words of each of the two generations that a task remembers; bounds its memory.
 CACHE_WORDS = 300_000
 
 
@@ -207,6 +207,11 @@ class PieceModel:
             self.lost = {w for w in lost if w in cache}
         return found, same
 
+    def forget(self) -> None:
+        """Drops the words and pairs remembered so far; the vocabulary stays."""
+        self.cache, self.older, self.lost, self.compatible = {}, {}, set(), {}
+        give_back()
+
     def _joined(self, ids: bytes) -> bytes:
         """A run of unknown pieces as one."""
         x = np.frombuffer(ids, np.int32)
@@ -263,10 +268,13 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
 
     def run(batches):
         m = _model(sent)
-        for b in batches:
-            for at, found, texts, _ in _groups(b.column(b.schema.get_field_index(text)), m, group):
-                part = b.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), _id_lists(found, texts)], [*kept, ids])
+        try:
+            for b in batches:
+                for at, found, texts, _ in _groups(b.column(b.schema.get_field_index(text)), m, group):
+                    part = b.slice(at, len(texts))
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), _id_lists(found, texts)], [*kept, ids])
+        finally:  # the worker lives on, and other operators' tasks run in it
+            m.forget()
 
     return base.mapInArrow(run, T.StructType([*(base.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -279,11 +287,14 @@ def round_trip(docs: DataFrame, model: bytes, text: str = "text", ids: str = "id
 
     def run(batches):
         m = _model(sent)
-        for b in batches:
-            column = b.column(b.schema.get_field_index(text))
-            for at, found, texts, same in _groups(column, m, group):
-                part = b.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), _id_lists(found, texts), pa.array(same)], [*kept, ids, "round_trip"])
+        try:
+            for b in batches:
+                column = b.column(b.schema.get_field_index(text))
+                for at, found, texts, same in _groups(column, m, group):
+                    part = b.slice(at, len(texts))
+                    yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), _id_lists(found, texts), pa.array(same)], [*kept, ids, "round_trip"])
+        finally:
+            m.forget()
 
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
 

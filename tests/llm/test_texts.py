@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,23 @@ def test_the_mark_itself_does_not_come_back(spark):
     assert pieces.encode(docs, pieces.read_model()).columns == ["text", "ids"]
 
 
+@pytest.mark.parametrize("encode", [pieces.encode, pieces.round_trip])
+def test_words_are_remembered_for_one_task_only(spark, encode):
+    """The workers go on with tasks of other operators; what they remember of words would stay in their memory."""
+
+    def remembered(batches):
+        for _ in batches:
+            held = list(pieces._LOADED.values())
+            n = sum(len(x) for m in held for x in (m.cache, m.older, m.lost, m.compatible))
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)]), pa.array([n])], ["models", "remembered"])
+
+    docs = spark.range(2000).repartition(4).selectExpr("concat('words of a text ', id, ' and more', id * 7) AS text")
+    assert encode(docs, pieces.read_model()).where("size(ids) > 3").count() == 2000
+    found = spark.range(8, numPartitions=8).mapInArrow(remembered, "models long, remembered long").collect()
+    assert any(r.models for r in found)
+    assert all(r.remembered == 0 for r in found)
+
+
 def test_the_round_trip_is_that_of_whole_texts():
     """Checked word by word, over several generations of remembered words, against decoding each text."""
     m = pieces.PieceModel(pieces.read_model())
