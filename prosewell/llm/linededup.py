@@ -6,10 +6,11 @@ right. So
 
 1. tasks hash the segments of every line under its own length (the index side) and the substrings that could
    meet the segments of a line up to ``edits`` shorter (the probe side, multi-match-aware), all from prefix
-   sums in numpy; a task sends equal lines once;
-2. index and probe rows meet by key in a hash join, but for keys that more than about ``MANY`` lines share: the
-   pairs are in proportion to the probe rows, whatever a group's size. Which keys are shared so is told by a
-   bitmap of fixed size (a proven bound), the same for both sides;
+   sums in numpy; a task sends equal lines once. Keys go out sorted and packed, a row for each range of keys;
+2. index and probe keys of a range meet in one sorted pass, after equal lines of different tasks have become one
+   (else a line that stands in t tasks would meet itself and its near copies t * t times). Keys that more than
+   ``MANY`` lines share make no pairs there, but a row for each of their lines: the rows are in proportion to the
+   probe keys, whatever a group's size;
 3. the lines that share such a crowded key are all compared with one of them only, the pivot: of a sample of
    ``SAMPLE`` the one that agrees with the others the longest; keys with the same pivot are one group. From left
    to right, a line is read along the pivot; where it deviates, up to ``edits`` edits take it on, in each possible
@@ -22,8 +23,8 @@ right. So
    of those that are made twice, and only these become rows. Pairs are made within keys of ``MANY`` rows or fewer
    and within equal rests, for ``ROUNDS`` rounds. What is left then, or once it makes no more pairs than there were
    lines at first, is compared in full;
-4. texts are fetched for lines of such pairs and keys only - a bitmap marks them, so the others never leave
-   their task - and a banded bit-parallel edit distance decides.
+4. texts are fetched for lines of such pairs and keys only - a bitmap of fixed size marks them, so the others never
+   leave their task - and a banded bit-parallel edit distance decides.
 
 A line goes if the same line stands earlier (smaller doc_id, then smaller line number), or if a near copy of
 it first stands earlier. Lines under ``min_chars`` (30) characters stay and have no near copies: headings,
@@ -51,10 +52,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosewell.llm.common import mix, modest_batches, pack_sorted, slices, stored, unpack_sorted
+from prosewell.llm.common import mix, modest_batches, pack_sorted, parts, slices, stored, unpack_sorted
 
 EDITS, MIN_CHARS = 2, 30
 MANY, ROUNDS, SAMPLE = 8, 6, 16
+#: Keys that a task holds before it sends them, and that a range of keys has at most, or about so many.
+KEYS = 1_000_000
 #: Bits of the bitmaps; parts in which one of them is made.
 BITMAP, PARTS = 1 << 27, 64
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -133,21 +136,21 @@ class _Lines:
         return np.flatnonzero(ok)
 
 
-def _keys(lines: _Lines, own: np.ndarray, edits: int, min_chars: int, probe: bool):
-    """(line, key) of the segments of lines, or (``probe``) of the substrings that could meet a segment of a line as long or up to ``edits`` shorter.
+def _keys(lines: _Lines, which: np.ndarray, edits: int, min_chars: int):
+    """(line, key, own) of the segments of lines (``own``), and of the other substrings that could meet a segment of a line as long or up to ``edits`` shorter.
 
     Segment i is sought at shifts that leave at most i edits to its left and edits - i to its right.
     """
-    for less in range(edits + 1 if probe else 1):
-        length = lines.length[own] - less
+    for less in range(edits + 1):
+        length = lines.length[which] - less
         ok = length >= min_chars
-        which, length = own[ok], length[ok]
+        some, length = which[ok], length[ok]
         for i, (start, size) in enumerate(_segments(length, edits)):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1) if probe else (0,):
+            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 fits = np.flatnonzero((start + shift >= 0) & (start + shift + size <= length + less))
-                part = lines.hashes((lines.start[which] + start + shift)[fits], size[fits])
+                part = lines.hashes((lines.start[some] + start + shift)[fits], size[fits])
                 with np.errstate(over="ignore"):
-                    yield which[fits], mix(part + np.uint64(i) * _C[1] + length[fits].astype(np.uint64) * _C[2]).view(np.int64)
+                    yield some[fits], mix(part + np.uint64(i) * _C[1] + length[fits].astype(np.uint64) * _C[2]).view(np.int64), less == shift == 0
 
 
 def _is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -178,8 +181,8 @@ def _new(ids: np.ndarray, ok: np.ndarray, sent: set[int]) -> np.ndarray:
     return np.sort(at[first[new]])
 
 
-def _scan(docs: DataFrame, min_chars: int, schema: str, rows) -> DataFrame:
-    """``rows(batch, first row, lines, which, their ids)`` over all texts; a task sees a line once."""
+def _scan(docs: DataFrame, min_chars: int, schema: str, rows, rest=lambda: ()) -> DataFrame:
+    """``rows(batch, first row, lines, which, their ids)`` over all texts, then ``rest()``; a task sees a line once."""
 
     def run(batches):
         sent: set[int] = set()
@@ -191,34 +194,25 @@ def _scan(docs: DataFrame, min_chars: int, schema: str, rows) -> DataFrame:
                 new = _new(ids, np.ones(len(ids), bool), sent)
                 if len(new):
                     yield from rows(b, at, lines, which[new], ids[new])
+        yield from rest()
 
     return docs.mapInArrow(run, schema)
 
 
-def _lines(docs: DataFrame, edits: int, min_chars: int, every: bool) -> DataFrame:
-    """id, doc_id, text_hash, number, long (of ``min_chars`` or more) of every place of a line; line and keys: the index side, once a task."""
+def _lines(docs: DataFrame, min_chars: int, every: bool) -> DataFrame:
+    """id, doc_id, text_hash, number, long (of ``min_chars`` or more) of every place of a line."""
 
     def run(batches):
-        sent: set[int] = set()
         for b in batches:
             for at, texts in _chunks(b.column(2)):
                 lines = _Lines(texts)
                 which = lines.taking_part(min_chars, every)
                 if not len(which):
                     continue
-                ids = lines.ids(which)
-                long = lines.length[which] >= min_chars
-                new = _new(ids, long, sent)
-                found = list(_keys(lines, which[new], edits, min_chars, False))
-                line, keys = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-                keys = keys[np.argsort(line, kind="stable")]  # each of the new lines has edits + 1
-                sizes = np.zeros(len(which), np.int64)
-                sizes[new] = edits + 1
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(keys))
                 owner = pa.array(lines.owner[which] + at)
-                yield pa.RecordBatch.from_arrays([_binary(ids), b.column(0).take(owner), b.column(1).take(owner), pa.array(lines.number[which].astype(np.int32)), pa.array(long), pa.array(ids[:, 0], mask=sizes == 0), lists], ["id", "doc_id", "text_hash", "number", "long", "line", "keys"])
+                yield pa.RecordBatch.from_arrays([_binary(lines.ids(which)), b.column(0).take(owner), b.column(1).take(owner), pa.array(lines.number[which].astype(np.int32)), pa.array(lines.length[which] >= min_chars)], ["id", "doc_id", "text_hash", "number", "long"])
 
-    return docs.mapInArrow(run, "id binary, doc_id long, text_hash long, number int, long boolean, line long, keys array<long>")
+    return docs.mapInArrow(run, "id binary, doc_id long, text_hash long, number int, long boolean")
 
 
 def _marked(values: DataFrame) -> np.ndarray | None:
@@ -231,61 +225,93 @@ def _marked(values: DataFrame) -> np.ndarray | None:
     return bits.view(np.uint8)
 
 
-def _shared_by_many(keys: DataFrame):
-    """Broadcast bitmap of the keys (key, line) that more than about MANY different lines share, or None."""
-    # a line sets one of 64 bits, so repeats of a line count once wherever they stand
-    several = keys.groupBy(F.col("key").alias("v")).agg(F.bit_or(F.expr("shiftleft(1L, cast(line & 63 as int))")).alias("lines")).where(F.bit_count("lines") > MANY)
-    bits = _marked(several.select("v"))
-    return None if bits is None else keys.sparkSession.sparkContext.broadcast(bits)
-
-
-def _uncrowded(keys: DataFrame, crowded) -> DataFrame:
-    """Rows (key, line) whose key is not marked."""
-
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(~_is_set(crowded.value, b.column(0).to_numpy(zero_copy_only=False))))
-
-    return keys.mapInArrow(run, "key long, line long")
-
-
-def _probes(docs: DataFrame, edits: int, min_chars: int, crowded) -> DataFrame:
-    """key, line: the probe side, without crowded keys."""
+def _first_of_each(*columns: np.ndarray) -> np.ndarray:
+    """Indices of the different rows, in the order of the columns."""
+    order = np.lexsort(columns[::-1])
+    differ = np.zeros(max(len(order) - 1, 0), bool)
+    for c in columns:
+        differ |= c[order[1:]] != c[order[:-1]]
+    return order[np.concatenate([[True], differ])] if len(order) else order
+
+
+def _sent_keys(docs: DataFrame, edits: int, min_chars: int, ranges: int) -> DataFrame:
+    """part, own, keys, lines: the keys of all lines, packed for each of ``ranges`` even ranges of them."""
+    bounds = np.array([k * (1 << 64) // ranges for k in range(1, ranges)], np.uint64)
+    held = []  # each task has its own
+
+    def packed():
+        for own in (True, False):
+            found = [x for x in held if x[2] == own]
+            if not found:
+                continue
+            key, line = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+            order = np.argsort(key)
+            key, line = key[order], line[order]
+            cuts = np.concatenate([[0], np.searchsorted(key, bounds), [len(key)]])
+            at = pa.array(np.flatnonzero(np.diff(cuts)).astype(np.int32))
+            offsets = pa.py_buffer((8 * cuts).astype(np.int32).tobytes())
+            columns = [pa.Array.from_buffers(pa.binary(), ranges, [None, offsets, pa.py_buffer(x.tobytes())]).take(at) for x in (key, line)]
+            yield pa.RecordBatch.from_arrays([at, pa.array(np.full(len(at), own)), *columns], ["part", "own", "keys", "lines"])
+        held.clear()
 
     def rows(b, at, lines, which, ids):
         of = np.zeros(len(lines.start), np.int64)
         of[which] = ids[:, 0]
-        for line, key in _keys(lines, which, edits, min_chars, True):
-            if crowded:
-                free = ~_is_set(crowded.value, key)
-                line, key = line[free], key[free]
-            if len(line):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(of[line])], ["key", "line"])
-
-    return _scan(docs, min_chars, "key long, line long", rows)
-
-
-def _texts_of(docs: DataFrame, wanted: DataFrame, edits: int, min_chars: int, crowded) -> DataFrame:
-    """line, id, words, keys: the lines whose 64-bit part is wanted (column v), and those that have a crowded key on either side (these keys)."""
+        held.extend((key.view(np.uint64), of[line], own) for line, key, own in _keys(lines, which, edits, min_chars))
+        if sum(len(x[0]) for x in held) > KEYS:
+            yield from packed()
+
+    return _scan(docs, min_chars, "part int, own boolean, keys binary, lines binary", rows, packed)
+
+
+def _met(sent: DataFrame) -> DataFrame:
+    """a, b, key: of packed keys (see ``_sent_keys``) the pairs (a, b) of different lines that share one; no pairs of a key that more than MANY lines share, but a row (a, key) for each line with it on either side."""
+    many = MANY
+
+    def meet(table):
+        own = np.array(table["own"].to_pylist(), bool)
+        side = lambda name, which, kind: np.frombuffer(b"".join(x for x, o in zip(table[name].to_pylist(), own, strict=True) if o == which), kind)
+        key, line = side("keys", True, np.uint64), side("lines", True, np.int64)
+        one = _first_of_each(key, line)
+        key, line = key[one], line[one]
+        each, first, n = np.unique(key, return_index=True, return_counts=True)
+        probe, of = side("keys", False, np.uint64), side("lines", False, np.int64)
+        at = np.searchsorted(each, probe)
+        hit = np.flatnonzero(at < len(each))
+        hit = hit[each[at[hit]] == probe[hit]]
+        group, of = np.concatenate([np.repeat(np.arange(len(each)), n), at[hit]]), np.concatenate([line, of[hit]])
+        some = np.flatnonzero((n[group] > min(many, 1)) | (of != line[first[group]]))  # not: a line alone with its key
+        some = some[_first_of_each(group[some], of[some])]
+        group, of = group[some], of[some]
+        crowded = n[group] > many
+        members = of[crowded], each[group[crowded]].view(np.int64)
+        group, of = group[~crowded], of[~crowded]
+        size = n[group]
+        other = line[np.repeat(first[group], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        of = np.repeat(of, size)
+        a, b = np.minimum(of, other), np.maximum(of, other)
+        pairs = np.flatnonzero(a != b)
+        pairs = pairs[_first_of_each(a[pairs], b[pairs])]
+        found = [a[pairs], b[pairs], None], [members[0], None, members[1]]
+        return pa.concat_tables([pa.table([pa.nulls(len(x[0]), pa.int64()) if c is None else pa.array(c) for c in x], ["a", "b", "key"]) for x in found])
+
+    return sent.groupBy("part").applyInArrow(meet, "a long, b long, key long")
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
+    """line, id, words: the lines whose 64-bit part is wanted (column v)."""
     marks = _marked(wanted)
     sent = None if marks is None else docs.sparkSession.sparkContext.broadcast(marks)
 
     def rows(b, at, lines, which, ids):
-        hot: dict[int, set[int]] = {}
-        # the probe side's keys include those of the index side
-        for line, key in _keys(lines, which, edits, min_chars, True) if crowded else ():
-            own = _is_set(crowded.value, key)
-            for k, x in zip(line[own].tolist(), key[own].tolist(), strict=True):
-                hot.setdefault(k, set()).add(x)
-        keep = np.array([k in hot for k in which.tolist()], bool) | (_is_set(sent.value, ids[:, 0]) if sent else False)
+        keep = _is_set(sent.value, ids[:, 0]) if sent else np.zeros(len(ids), bool)
         which, ids = which[keep], ids[keep]
         if len(which):
             values = [lines.raw[k].decode("utf-8", "surrogatepass") for k in which.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), _binary(ids), pa.array(values, pa.string()), pa.array([sorted(hot.get(k, ())) for k in which.tolist()], pa.list_(pa.int64()))], ["line", "id", "words", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), _binary(ids), pa.array(values, pa.string())], ["line", "id", "words"])
 
-    lines = _scan(docs, min_chars, "line long, id binary, words string, keys array<long>", rows)
-    own = wanted.select(F.col("v").alias("line")).withColumn("wanted", F.lit(True))
-    return lines.join(own, "line", "left").where("size(keys) > 0 or wanted").dropDuplicates(["id"]).select("line", "id", "words", "keys")
+    lines = _scan(docs, min_chars, "line long, id binary, words string", rows)
+    return lines.join(wanted.select(F.col("v").alias("line")), "line").dropDuplicates(["id"])
 
 
 def within(a: str, b: str, edits: int) -> int:
@@ -539,20 +565,20 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     ``docs`` has doc_id, text_hash and text. With ``every`` the places of shorter lines are there, too. All
     links are there, in crowded keys as well; equal lines are one line and have none.
     """
-    lines = stored(_lines(docs, edits, min_chars, every), "lines")
-    places = lines.drop("line", "keys")
+    places = stored(_lines(docs, min_chars, every), "lines")
     first = stored(places.groupBy("id").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")), "first")
-    index = lines.where("line is not null").select(F.explode("keys").alias("key"), "line")
-    crowded = _shared_by_many(index)
-    meet = F.expr("i.key = p.key AND i.line <> p.line")
-    pairs = _probes(docs, edits, min_chars, crowded).alias("p").join((_uncrowded(index, crowded) if crowded else index).hint("shuffle_hash").alias("i"), meet)
-    pairs = stored(pairs.select(F.least("i.line", "p.line").alias("a"), F.greatest("i.line", "p.line").alias("b")).distinct(), "pairs")
-    wanted = stored(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), "wanted")
-    texts = stored(_texts_of(docs, wanted, edits, min_chars, crowded), "texts")
+    keys_each = (edits + 1) * (edits + 2)  # of a line, at most: 12 for two edits
+    ranges = max(2 * parts(docs.sparkSession), keys_each * first.count() // KEYS + 1)
+    met = stored(_met(_sent_keys(docs, edits, min_chars, ranges)), "met")
+    pairs = stored(met.where("key is null").select("a", "b").distinct(), "pairs")
+    crowded = met.where("key is not null").select("key", F.col("a").alias("line"))
+    every_line = [x.select(F.col(c).alias("v")) for x, c in ((pairs, "a"), (pairs, "b"), (crowded, "line"))]
+    wanted = stored(functools.reduce(DataFrame.unionByName, every_line).distinct(), "wanted")
+    texts = stored(_texts_of(docs, wanted, min_chars), "texts")
     x, y = (texts.select(F.col("line").alias(c), F.col("id").alias(f"id_{c}"), F.col("words").alias(f"text_{c}")) for c in "ab")
     links = _decided(pairs.join(x, "a").join(y, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b"), edits, "links")
-    if crowded:
-        links = links.unionByName(_crowded_links(texts.select(F.explode("keys").alias("key"), "id"), texts, edits))
+    if not crowded.isEmpty():
+        links = links.unionByName(_crowded_links(crowded.join(texts, "line").select("key", "id"), texts, edits))
         links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct(), "links")
     return places, first, links
 

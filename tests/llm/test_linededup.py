@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from prosewell.llm import linededup
 
@@ -135,6 +136,24 @@ def test_keys_that_one_line_makes_are_no_rows(spark, monkeypatch):
     assert made and sum(made) < 300
 
 
+def test_equal_lines_of_many_tasks_meet_once(spark, monkeypatch):
+    """Two near lines that stand in each of t tasks make no t * t pairs."""
+    made = []
+    frame = type(spark.range(1))
+    distinct = frame.distinct
+
+    def counted(df):
+        made.append(df.count())
+        return distinct(df)
+
+    monkeypatch.setattr(frame, "distinct", counted)
+    text = "a line that stands in each of many tasks, like\na line that stands in each of many tasks, luke"
+    docs = spark.range(0, 32, 1, 32).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    report = {r.doc_id: (r.n_exact, r.n_near, r.n_links, r.class_id) for r in linededup.document_report(docs).collect()}
+    assert report == {0: (0, 1, 2, 0)} | {k: (2, 0, 2, 0) for k in range(1, 32)}
+    assert made and max(made) <= 64  # the places
+
+
 def test_rests_that_two_near_lines_share_show_their_link():
     rnd = random.Random(12)
     for _ in range(4000):
