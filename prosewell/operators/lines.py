@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosewell.functions.regexes import SPACES, trimmed
@@ -15,22 +15,31 @@ def lines(docs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("f
     return docs.select(*keep, F.posexplode(F.split(content, "\n", -1)).alias("__k", "text")).select(*keep, (F.col("__k") + 1).alias("line"), "text")
 
 
-def fence_states(content: Column) -> Column:
-    """array<struct<line, text, fence, inside>> of a text: one pass over its lines, no shuffle.
+#: A fence line of a whole text; ``(?d)``: only a line feed ends a line.
+_FENCE_LINE = f"(?md)^[{SPACES.replace('\\n', '')}]*```.*$"
+
 
-    A fence line toggles; the opening one is outside, the closing one inside.
+def coded_lines(content: Column) -> Column:
+    """array<string> of a text's lines, each behind one more character: ``I`` if inside of a fence, else ``O``.
+
+    A fence line toggles; the opening one is outside, the closing one inside. Linear in the text: it is cut at its
+    fence lines, the line feeds of every second piece are coded as inside, and the whole is put together and split again.
     """
-    split = F.split(content, "\n", -1)
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<boolean>").alias("inside"))
-    inside = F.aggregate(
-        F.transform(split, lambda x: x.rlike(_FENCE)),
-        start,
-        lambda acc, fence: F.struct((acc["open"] != fence).alias("open"), F.array_append(acc["inside"], acc["open"]).alias("inside")),
-    )["inside"]
-    # texts without a fence are the rule: they skip the running state
-    none = F.transform(split, lambda x: F.lit(False))
-    states = F.when(F.contains(content, F.lit("```")), inside).otherwise(none)
-    return F.transform(F.arrays_zip(split.alias("text"), states.alias("inside")), lambda x, k: F.struct((k + 1).alias("line"), x["text"].alias("text"), x["text"].rlike(_FENCE).alias("fence"), x["inside"].alias("inside")))
+    fences = F.regexp_extract_all(content, F.lit(_FENCE_LINE), F.lit(0))
+    pieces = F.arrays_zip(F.split(content, _FENCE_LINE, -1).alias("between"), fences.alias("fence"))
+    coded = F.transform(pieces, lambda x, k: F.concat(F.replace(x["between"], F.lit("\n"), F.when(k % 2 == 1, "\nI").otherwise("\nO")), F.coalesce(x["fence"], F.lit(""))))
+    # texts without a fence are the rule
+    whole = F.when(F.contains(content, F.lit("```")), F.array_join(coded, "")).otherwise(F.replace(content, F.lit("\n"), F.lit("\nO")))
+    return F.split(F.concat(F.lit("O"), whole), "\n", -1)
+
+
+def _uncoded(x: Column) -> Column:
+    return F.substring(x, 2, 1 << 30)
+
+
+def fence_states(content: Column) -> Column:
+    """array<struct<line, text, fence, inside>> of a text, without a shuffle."""
+    return F.transform(coded_lines(content), lambda x, k: F.struct((k + 1).alias("line"), _uncoded(x).alias("text"), x.rlike(f"^.[{SPACES}]*```").alias("fence"), F.startswith(x, F.lit("I")).alias("inside")))
 
 
 def fenced_lines(docs: DataFrame, content: str = "content") -> DataFrame:
@@ -47,19 +56,32 @@ def is_structural(line: Column) -> Column:
     return F.startswith(line, F.lit("    ")) | F.startswith(line, F.lit("\t")) | bare.rlike("|".join(STRUCTURAL))
 
 
-def paragraphs(docs: DataFrame, content: str = "content") -> DataFrame:
-    """file, start_line, lines, text, and the next paragraph's start and text: maximal runs of prose lines.
+#: Digits of a line's number in front of it, while runs are cut.
+_PLACES = 10
+
 
-    A fence line, a fenced line and a structural line each end a run. One exchange by file serves the run
-    numbers, the grouping and the look ahead.
+def prose_runs(content: Column) -> Column:
+    """array<struct<start_line, lines, text>>: the maximal runs of prose lines of a text, in order, in linear time.
+
+    A fence line, a fenced line and a structural line each end a run. Such lines become a bare ``S``, prose lines
+    get a ``P`` and their number; the text of all is then cut at the ``S`` lines.
     """
-    breaks = lambda x: x["fence"] | x["inside"] | is_structural(x["text"])
-    marked = docs.select("file", F.transform(fence_states(F.col(content)), lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"), breaks(x).alias("stop"))).alias("__lines"))
-    flat = marked.select("file", F.inline("__lines"))
-    w = Window.partitionBy("file").orderBy("line")
-    grouped = flat.withColumn("__run", F.sum(F.col("stop").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(~F.col("stop"))
-    # the window has dealt the rows by file, so this aggregation needs no further exchange
-    out = grouped.groupBy("file", "__run").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("__rows"))
-    out = out.select("file", F.get("__rows.line", F.lit(0)).alias("start_line"), F.col("__rows.text").alias("lines"), F.array_join("__rows.text", "\n").alias("text"))
-    n = Window.partitionBy("file").orderBy("start_line")
-    return out.withColumns({"next_start": F.lead("start_line").over(n), "next_text": F.lead("text").over(n)})
+    stops = lambda x: F.startswith(x, F.lit("I")) | x.rlike(f"^.[{SPACES}]*```") | is_structural(_uncoded(x))
+    marked = F.transform(coded_lines(content), lambda x, k: F.when(stops(x), "S").otherwise(F.concat(F.lit("P"), F.lpad((k + 1).cast("string"), _PLACES, "0"), _uncoded(x))))
+    runs = F.filter(F.split(F.array_join(marked, "\n"), r"(?:\A|\n)S(?=\n|\z)", -1), lambda x: x != "")
+    rows = F.transform(runs, lambda x: F.split(F.regexp_replace(x, r"\A\n", ""), "\n", -1))
+    bare = lambda x: F.substring(x, _PLACES + 2, 1 << 30)
+    return F.transform(rows, lambda r: F.struct(F.substring(F.get(r, F.lit(0)), 2, _PLACES).cast("int").alias("start_line"), F.transform(r, bare).alias("lines"), F.array_join(F.transform(r, bare), "\n").alias("text")))
+
+
+def with_next(runs: Column) -> Column:
+    """The runs of a text with ``next_start`` and ``next_text`` of the one behind each."""
+    pairs = F.arrays_zip(runs.alias("run"), F.slice(runs, 2, 1 << 30).alias("next"))
+    return F.transform(pairs, lambda x: F.struct(x["run"]["start_line"].alias("start_line"), x["run"]["lines"].alias("lines"), x["run"]["text"].alias("text"), x["next"]["start_line"].alias("next_start"), x["next"]["text"].alias("next_text")))
+
+
+def paragraphs(docs: DataFrame, content: str = "content") -> DataFrame:
+    """file, start_line, lines, text, and the next paragraph's start and text: maximal runs of prose lines, without a shuffle."""
+    # a generator of one row keeps the runs from being computed again for every use
+    once = docs.select("file", F.explode(F.array(prose_runs(F.col(content)))).alias("__runs"))
+    return once.select("file", F.inline(with_next(F.col("__runs"))))

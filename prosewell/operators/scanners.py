@@ -298,11 +298,29 @@ def dash_density(paras: DataFrame) -> DataFrame:
 
 
 def prose_arrows(line: Column) -> Column:
-    """Arrows of a line that don't stand between two tokens with digits."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(line), F.lit(1))), lambda i: F.substring(line, i, F.lit(1)) == "→")
-    left = lambda i: F.regexp_extract(F.substring(line, F.lit(1), i - 1), f"([^{SPACES}]+)[{SPACES}]*\\z", 1)
-    right = lambda i: F.regexp_extract(F.substring(line, i + 1, F.length(line)), f"^[{SPACES}]*([^{SPACES}]+)", 1)
-    return F.when(F.contains(line, F.lit("→")), F.size(F.filter(at, lambda i: ~(left(i).rlike("[0-9]") & right(i).rlike("[0-9]"))))).otherwise(0)
+    """Arrows of a line that don't stand between two tokens with digits, in one pass over its tokens.
+
+    A token is what stands between white space. The left token of an arrow is the part of its own token before
+    it or, if there is none, the token before; the right one likewise. So of a token's arrows those between its first and its
+    last digit are flanked by digits, and its first and last character, if they are arrows, ask the neighbours.
+    """
+    digit = lambda x: F.coalesce(x.rlike("[0-9]"), F.lit(False))
+    arrows = lambda x: F.regexp_count(x, F.lit("→"))
+    tokens = F.filter(F.split(line, f"[{SPACES}]+", -1), lambda t: t != "")
+    near = F.arrays_zip(tokens.alias("t"), F.concat(F.array(F.lit("")), tokens).alias("before"), F.slice(tokens, 2, 1 << 30).alias("after"))
+    near = F.filter(near, lambda x: F.coalesce(F.contains(x["t"], F.lit("→")), F.lit(False)))
+
+    def flanked(x: Column) -> Column:
+        t, own = x["t"], digit(x["t"])
+        first, last = F.startswith(t, F.lit("→")), F.endswith(t, F.lit("→"))
+        alone = t == "→"
+        between = F.when(own, arrows(t) - arrows(F.regexp_extract(t, "^[^0-9]*", 0)) - arrows(F.regexp_extract(t, r"[0-9]([^0-9]*+)\z", 1))).otherwise(0)
+        at_start = first & digit(x["before"]) & F.when(alone, digit(x["after"])).otherwise(own)
+        at_end = last & ~alone & own & digit(x["after"])
+        return between + at_start.cast("int") + at_end.cast("int")
+
+    exempt = F.aggregate(F.transform(near, flanked), F.lit(0), lambda a, n: a + n)
+    return F.when(F.contains(line, F.lit("→")), arrows(line) - exempt).otherwise(0)
 
 
 def arrow_prose(paras: DataFrame) -> DataFrame:
