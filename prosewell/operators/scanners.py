@@ -1,7 +1,8 @@
 """Scanners: documents (file, content) of one language in, findings out.
 
-Each scanner is a projection and an explode; rules are compiled into the plan as literals. Only the
-paragraph scanner needs an exchange.
+Each scanner is a projection and an explode, without an exchange; rules are compiled into the plan as literals. The
+hits of a scanner are a column expression over a line, a paragraph or a document, so that ``plans.fused`` can put
+those of all scanners of a language into one pass.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from prosewell.catalogs import metrics as M
 from prosewell.functions import textmetrics
 from prosewell.functions.regexes import SPACES, collapsed, general, holds_one, holds_one_sql, literal, masked, occurrences, occurrences_sql, required, trimmed
 from prosewell.functions.regexes import english as english_rule
-from prosewell.operators.lines import fenced_lines, lines, paragraphs
+from prosewell.operators.lines import fence_states, fenced_lines, lines, paragraphs
 from prosewell.schema import QUOTE, finding, short, weighted
 
 
@@ -24,10 +25,18 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _exploded(base: DataFrame, hits: list[Column], keep: tuple[str, ...] = ("file", "line")) -> DataFrame:
-    """One row per non-empty entry of the arrays of struct<category, severity, quote>."""
-    every = hits[0] if len(hits) == 1 else F.flatten(F.array(*hits))
-    return base.select(*keep, F.explode(every).alias("h")).select(*keep, "h.category", "h.severity", "h.quote")
+def _together(hits: list[Column]) -> Column:
+    return hits[0] if len(hits) == 1 else F.flatten(F.array(*hits))
+
+
+def _exploded(base: DataFrame, hits: Column, keep: tuple[str, ...] = ("file", "line")) -> DataFrame:
+    """One row per entry of an array of hits."""
+    return base.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.category", "h.severity", "h.quote", "h.seq")
+
+
+def _line_findings(base: DataFrame, hits: Column, tool: str, lang: str) -> DataFrame:
+    rows = _exploded(base, hits)
+    return finding(rows, tool, lang, F.col("line"), F.col("severity"), F.col("category"), F.col("quote"), seq=F.col("seq"))
 
 
 def _all_matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -35,36 +44,55 @@ def _all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda q: q != "")
 
 
-def _hit(category: str, severity: str | None, quote: Column) -> Column:
-    return F.struct(F.lit(category).alias("category"), F.lit(severity).cast("string").alias("severity"), quote.alias("quote"))
+def _seq(*places: int | Column) -> Column:
+    return F.array(*((F.lit(x) if isinstance(x, int) else x).cast("int") for x in places))
+
 
+def _hit(category: str | Column, severity: str | Column | None, quote: Column, *places: int | Column) -> Column:
+    """A hit, and its place in the order in which its tool goes through a document."""
+    text = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
+    return F.struct(text(category).alias("category"), text(severity).alias("severity"), quote.alias("quote"), _seq(*places).alias("seq"))
 
-_NO_HITS = "array<struct<category string, severity string, quote string>>"
+
+_NO_HITS = "array<struct<category string, severity string, quote string, seq array<int>>>"
+
+
+def _no_hits() -> Column:
+    return F.array().cast(_NO_HITS)
 
 
 def _when_possible(lowered: Column, pattern: str, hits: Column) -> Column:
     """The hits, looked for only where a literal that every match holds is there."""
     literals = required(pattern)
-    return hits if not literals else F.when(holds_one(lowered, literals), hits).otherwise(F.array().cast(_NO_HITS))
+    return hits if not literals else F.when(holds_one(lowered, literals), hits).otherwise(_no_hits())
 
 
 # -- all languages -----------------------------------------------------------------------------------
 
 
+def placeholder_hits(text: Column, low: Column, line: Column) -> Column:
+    hits = []
+    for n, (pattern, ignore) in enumerate(triage.PLACEHOLDERS):
+        q = F.transform(_all_matches(text, general(pattern, ignore)), _numbered("p0-placeholder", "critical", lambda m: m, n, line))
+        hits.append(_when_possible(low, pattern, q))
+    shown = ~text.rlike(f"^[{SPACES}]*<!--") & ~F.contains(text, F.lit("```"))
+    return F.when(shown, _together(hits)).otherwise(_no_hits())
+
+
+def _numbered(category: str, severity: str | None, cut, *places: int | Column):
+    """A match and its number as a hit."""
+    return lambda m, k: _hit(category, severity, cut(m), *places, k)
+
+
 def placeholders(docs: DataFrame, lang: str | None = None) -> DataFrame:
     """Unfilled placeholders, outside of comment lines and code fences; priority P0 from the start.
 
     Without ``lang``, documents of all languages are read in one pass and their column ``lang`` is taken.
     """
     keep = ("file",) if lang else ("file", "lang")
-    found = lines(docs, keep=keep).where(~F.col("text").rlike(f"^[{SPACES}]*<!--") & ~F.contains("text", F.lit("```")))
-    found = found.withColumn("__low", F.lower("text"))
-    hits = []
-    for pattern, ignore in triage.PLACEHOLDERS:
-        q = F.transform(_all_matches(F.col("text"), general(pattern, ignore)), lambda m: _hit("p0-placeholder", "critical", m))
-        hits.append(_when_possible(F.col("__low"), pattern, q))
-    rows = _exploded(found, hits, (*keep, "line"))
-    return finding(rows, "placeholder", lang or F.col("lang"), F.col("line"), F.col("severity"), F.col("category"), F.col("quote"), "P0")
+    found = lines(docs, keep=keep).withColumn("__low", F.lower("text"))
+    rows = _exploded(found, placeholder_hits(F.col("text"), F.col("__low"), F.col("line")), (*keep, "line"))
+    return finding(rows, "placeholder", lang or F.col("lang"), F.col("line"), F.col("severity"), F.col("category"), F.col("quote"), "P0", F.col("seq"))
 
 
 def passes_floor(needle: str) -> bool:
@@ -84,17 +112,23 @@ def phrase_needles(lang: str) -> list[tuple[str, str]]:
     return list(out.items())
 
 
+def phrase_hits(low: str, needles: list[tuple[str, str]]) -> Column:
+    """Hits on the column ``low`` of lower-cased texts, in the order of the needles."""
+    if not needles:
+        return _no_hits()
+    found = ", ".join(f"named_struct('needle', {literal(needle)}, 'kind', {literal(kind)}, 'at', {at}, 'n', {occurrences_sql(low, needle.lower())})" for at, (needle, kind) in enumerate(needles))
+    severity = lambda h: F.when(h["n"] >= 3, "high").when(h["kind"] == "cliche", "phrase").otherwise("weak")
+    counts = F.expr(f"filter(array({found}), h -> h.n > 0 AND (h.n > 1 OR h.kind <> 'weak'))")
+    return F.transform(counts, lambda h: _hit("ai-phrase", severity(h), counted(h["needle"], h["n"]), h["at"]))
+
+
 def phrase_scan(docs: DataFrame, lang: str, needles: list[tuple[str, str]] | None = None) -> DataFrame:
     """Counted phrases of a document: clichés from one, weak phrases from two, three or more are high."""
-    low = docs.select("file", F.lower("content").alias("__low"))
+    low = docs.select("file", F.lower("content").alias("__low"), F.lit(None).cast("int").alias("line"))
     found = phrase_needles(lang) if needles is None else needles
     if not found:
         return finding(docs.limit(0), "phrases", lang)
-    hits = ", ".join(f"named_struct('needle', {literal(needle)}, 'kind', {literal(kind)}, 'n', {occurrences_sql('__low', needle.lower())})" for needle, kind in found)
-    least = F.when(F.col("h.kind") == "weak", 2).otherwise(1)
-    rows = low.select("file", F.explode(F.expr(f"filter(array({hits}), h -> h.n > 0)")).alias("h")).where(F.col("h.n") >= least)
-    severity = F.when(F.col("h.n") >= 3, "high").when(F.col("h.kind") == "cliche", "phrase").otherwise("weak")
-    return finding(rows, "phrases", lang, None, severity, F.lit("ai-phrase"), counted(F.col("h.needle"), F.col("h.n")))
+    return _line_findings(low, phrase_hits("__low", found), "phrases", lang)
 
 
 def counted(quote: Column, n: Column) -> Column:
@@ -105,55 +139,71 @@ def counted(quote: Column, n: Column) -> Column:
 # -- English -----------------------------------------------------------------------------------------
 
 
-def english_patterns(docs: DataFrame, categories: list[str] | None = None, rules: list | None = None) -> DataFrame:
-    """The first non-empty match of each rule on each line, found on masked text and quoted from the line itself."""
-    rules = [r for r in (english.RULES if rules is None else rules) if categories is None or r[1] in categories]
-    base = lines(docs).where(F.length("text") > 2).withColumn("__m", masked(F.col("text")))
-    base = textmetrics.fenced_off(base, ["file", "line"], {"text": F.col("text"), "__masked": F.col("__m"), "__low": F.lower("__m")})
+def english_gate(rules: list) -> str:
+    """Does a line's lower-cased masked text ``__low`` hold anything that a rule needs?"""
     gates = [required(r[3]) for r in rules]
-    if all(gates):
-        base = base.where(F.expr(holds_one_sql("__low", sorted({x for g in gates for x in g}))))
+    return holds_one_sql("__low", sorted({x for g in gates for x in g})) if all(gates) else "true"
+
+
+def english_hits(rules: list) -> Column:
+    """Hits on the columns text, __masked, __low and line."""
     hits = []
-    for (name, cat, w, rx), gate in zip(rules, gates, strict=True):
+    for n, (name, cat, w, rx) in enumerate(rules):
         pattern = literal(english_rule(rx))
         found = f"regexp_extract(__masked, {pattern}, 0)"
         quote = f"substring(text, regexp_instr(__masked, {pattern}), length({found}))"
-        hits.append(f"CASE WHEN {holds_one_sql('__low', gate)} AND {found} <> '' THEN named_struct('category', {literal(f'zs:{cat}/{name}')}, 'severity', '{weighted(w)}', 'quote', substring({quote}, 1, {QUOTE})) END")
-    rows = _exploded(base, [F.expr(f"filter(array({', '.join(hits)}), h -> h is not null)")])
-    return finding(rows, "patterns-en", "en", F.col("line"), F.col("severity"), F.col("category"), F.col("quote"))
+        hits.append(f"CASE WHEN {holds_one_sql('__low', required(rx))} AND {found} <> '' THEN named_struct('category', {literal(f'zs:{cat}/{name}')}, 'severity', '{weighted(w)}', 'quote', substring({quote}, 1, {QUOTE}), 'seq', array({n}, line)) END")
+    return F.expr(f"filter(array({', '.join(hits)}), h -> h is not null)")
+
+
+def english_patterns(docs: DataFrame, categories: list[str] | None = None, rules: list | None = None) -> DataFrame:
+    """The first non-empty match of each rule on each line, found on masked text and quoted from the line itself."""
+    rules = [r for r in (english.RULES if rules is None else rules) if categories is None or r[1] in categories]
+    base = lines(docs).where(F.length("text") > 2).withColumn("__m", masked(F.col("text")))
+    base = textmetrics.fenced_off(base, ["file", "line"], {"text": F.col("text"), "__masked": F.col("__m"), "__low": F.lower("__m")})
+    return _line_findings(base.where(F.expr(english_gate(rules))), english_hits(rules), "patterns-en", "en")
+
+
+def lexicon_hits(low: str) -> Column:
+    first = len(english.RULES)  # stems come behind the rules
+    found = ", ".join(f"named_struct('stem', {literal(stem)}, 'severity', '{weighted(w, 5)}', 'at', {first + at}, 'n', {occurrences_sql(low, stem.lower())})" for at, (stem, w) in enumerate(english.LEXICON.items()))
+    return F.transform(F.expr(f"filter(array({found}), h -> h.n > 0)"), lambda h: _hit("zs:lexicon", h["severity"], counted(h["stem"], h["n"]), h["at"]))
 
 
 def english_lexicon(docs: DataFrame) -> DataFrame:
     """Stems counted over the whole document, one finding per stem."""
-    low = docs.select("file", F.lower("content").alias("__low"))
-    hits = ", ".join(f"named_struct('stem', {literal(stem)}, 'severity', '{weighted(w, 5)}', 'n', {occurrences_sql('__low', stem.lower())})" for stem, w in english.LEXICON.items())
-    rows = low.select("file", F.explode(F.expr(f"filter(array({hits}), h -> h.n > 0)")).alias("h"))
-    return finding(rows, "patterns-en", "en", None, F.col("h.severity"), F.lit("zs:lexicon"), counted(F.col("h.stem"), F.col("h.n")))
+    low = docs.select("file", F.lower("content").alias("__low"), F.lit(None).cast("int").alias("line"))
+    return _line_findings(low, lexicon_hits("__low"), "patterns-en", "en")
+
+
+def metric_hits() -> Column:
+    """The hit of a document with the columns of ``textmetrics.signals``, if its score reaches the bound."""
+    quote = F.concat(F.lit("score="), F.col("score").cast("string"), F.lit("/100"), *(F.concat(F.lit(f" {k}="), F.expr(f"format_number({k}_points, '0.###')")) for k in M.WEIGHTS))
+    hit = _hit("humanizer-score", F.when(F.col("score") >= M.HIGH, "high").otherwise("medium"), short(quote), 0)
+    return F.when(F.col("score") >= M.FINDING, F.array(hit)).otherwise(_no_hits())
 
 
 def metric_findings(docs: DataFrame) -> DataFrame:
     """Documents whose composite score reaches the bound, with the points of each contributor."""
     scored = textmetrics.signals(textmetrics.analyze(docs.select("file", "content"))).where(F.col("score") >= M.FINDING)
-    quote = F.concat(F.lit("score="), F.col("score").cast("string"), F.lit("/100"), *(F.concat(F.lit(f" {k}="), F.expr(f"format_number({k}_points, '0.###')")) for k in M.WEIGHTS))
-    return finding(scored, "metrics", "en", None, F.when(F.col("score") >= M.HIGH, "high").otherwise("medium"), F.lit("humanizer-score"), short(quote))
+    return _line_findings(scored.withColumn("line", F.lit(None).cast("int")), metric_hits(), "metrics", "en")
 
 
 # -- rule catalogs -----------------------------------------------------------------------------------
 
 
-def catalog_scan(docs: DataFrame, tool: str, lang: str, rules: list, prefix: str = "") -> DataFrame:
-    """Every match of every rule. No rule matches across lines, so lines are scanned and give the line number."""
-    base = textmetrics.fenced_off(lines(docs), ["file", "line"], {"text": F.col("text"), "__low": F.lower("text")})
+def catalog_hits(rules: list, text: Column, low: Column, line: Column, prefix: str = "") -> Column:
     hits = []
-    for _, cat, w, rx in rules:
-        q = F.transform(_all_matches(F.col("text"), general(rx)), _as_hit(prefix + cat, weighted(w)))
-        hits.append(_when_possible(F.col("__low"), rx, q))
-    rows = _exploded(base, hits)
-    return finding(rows, tool, lang, F.col("line"), F.col("severity"), F.col("category"), F.col("quote"))
+    for n, (_, cat, w, rx) in enumerate(rules):
+        q = F.transform(_all_matches(text, general(rx)), _numbered(prefix + cat, weighted(w), lambda m: short(trimmed(m)), n, line))
+        hits.append(_when_possible(low, rx, q))
+    return _together(hits) if hits else _no_hits()
 
 
-def _as_hit(category: str, severity: str | None, cut: bool = True):
-    return lambda m: _hit(category, severity, short(trimmed(m)) if cut else trimmed(m))
+def catalog_scan(docs: DataFrame, tool: str, lang: str, rules: list, prefix: str = "") -> DataFrame:
+    """Every match of every rule. No rule matches across lines, so lines are scanned and give the line number."""
+    base = textmetrics.fenced_off(lines(docs), ["file", "line"], {"text": F.col("text"), "__low": F.lower("text")})
+    return _line_findings(base, catalog_hits(rules, F.col("text"), F.col("__low"), F.col("line"), prefix), tool, lang)
 
 
 def thai(docs: DataFrame) -> DataFrame:
@@ -168,39 +218,41 @@ def indonesian(docs: DataFrame) -> DataFrame:
     return catalog_scan(docs, "id-lint", "id", others.INDONESIAN)
 
 
+def japanese_hits(rules: list, text: Column, line: Column) -> Column:
+    hits = []
+    for n, (rule, severity, patterns, needles) in enumerate(rules):
+        for at, rx in enumerate(patterns):
+            hits.append(F.transform(_all_matches(text, general(rx, False)), _numbered(rule, severity, trimmed, line, n, at)))
+        for at, needle in enumerate(needles, len(patterns)):
+            times = F.array_repeat(F.lit(needle), occurrences(text, needle))
+            hits.append(F.transform(times, _numbered(rule, severity, lambda m: m, line, n, at)))
+    return _together(hits)
+
+
 def japanese(docs: DataFrame, rules: list | None = None) -> DataFrame:
     """Every match of a rule's patterns and every occurrence of its phrases, line by line."""
-    base = lines(docs)
-    hits = []
-    for rule, severity, patterns, needles in others.JAPANESE if rules is None else rules:
-        for rx in patterns:
-            hits.append(F.transform(_all_matches(F.col("text"), general(rx, False)), _as_hit(rule, severity, cut=False)))
-        for needle in needles:
-            hits.append(F.array_repeat(_hit(rule, severity, F.lit(needle)), occurrences(F.col("text"), needle)))
-    rows = _exploded(base, hits)
-    return finding(rows, "ja-lint", "ja", F.col("line"), F.col("severity"), F.col("category"), F.col("quote"))
+    return _line_findings(lines(docs), japanese_hits(others.JAPANESE if rules is None else rules, F.col("text"), F.col("line")), "ja-lint", "ja")
 
 
-def vietnamese(docs: DataFrame, rules: list | None = None) -> DataFrame:
-    """Matches of a rule's patterns; only where there is none, the first of its phrases that the line holds."""
-    base = lines(docs).withColumn("__low", F.lower("text"))
+def vietnamese_hits(rules: list, text: Column, low: Column, line: Column) -> Column:
     hits = []
-    for rule, severity, patterns, needles in phrases.VIETNAMESE if rules is None else rules:
+    for n, (rule, severity, patterns, needles) in enumerate(rules):
         if not rule.startswith("VI-HUM"):
             continue
         quotes = F.array().cast("array<string>")
         if patterns:
-            quotes = F.flatten(F.array(*(_all_matches(F.col("text"), general(rx)) for rx in patterns)))
+            quotes = F.flatten(F.array(*(_all_matches(text, general(rx)) for rx in patterns)))
         if needles:
-            first = F.coalesce(*(F.when(F.contains("__low", F.lit(n.lower())), n.lower()) for n in needles))
+            first = F.coalesce(*(F.when(F.contains(low, F.lit(x.lower())), x.lower()) for x in needles))
             quotes = F.when(F.size(quotes) > 0, quotes).otherwise(F.filter(F.array(first), lambda q: q.isNotNull()))
-        hits.append(F.transform(quotes, _plain_hit(rule, severity)))
-    rows = _exploded(base, hits)
-    return finding(rows, "viet-lint", "vi", F.col("line"), F.col("severity"), F.col("category"), F.col("quote"))
+        hits.append(F.transform(quotes, _numbered(rule, severity, short, n, line)))
+    return _together(hits) if hits else _no_hits()
 
 
-def _plain_hit(category: str, severity: str | None):
-    return lambda m: _hit(category, severity, short(m))
+def vietnamese(docs: DataFrame, rules: list | None = None) -> DataFrame:
+    """Matches of a rule's patterns; only where there is none, the first of its phrases that the line holds."""
+    base = lines(docs).withColumn("__low", F.lower("text"))
+    return _line_findings(base, vietnamese_hits(phrases.VIETNAMESE if rules is None else rules, F.col("text"), F.col("__low"), F.col("line")), "viet-lint", "vi")
 
 
 # -- Spanish -----------------------------------------------------------------------------------------
@@ -217,28 +269,49 @@ def spanish_catalog(docs: DataFrame) -> DataFrame:
     return catalog_scan(docs, "es-lint", "es", others.SPANISH, "es:")
 
 
+def density_counts(states: Column) -> dict[str, Column]:
+    """Triads and poder + infinitive on the lines outside of fences."""
+    free = F.filter(states, lambda x: ~x["inside"])
+    total = lambda count: F.aggregate(F.transform(free, lambda x: count(x["text"])), F.lit(0).cast("long"), lambda a, n: a + n)
+    triads = total(lambda t: F.when(F.contains(t, F.lit(",")), F.regexp_count(t, F.lit(TRIAD))).otherwise(0))
+    poder = total(lambda t: F.when(F.contains(F.lower(t), F.lit("p")), F.regexp_count(t, F.lit(general(PODER, True)))).otherwise(0))
+    return {"__triads": triads, "__poder": poder}
+
+
+def density_hits() -> Column:
+    """Hits of a document with the columns of ``density_counts``; three or more are a finding."""
+    first = len(others.SPANISH)  # behind the rules
+    times = lambda what, n: F.concat(F.lit(what), F.lit(" ×"), n.cast("string"))
+    triads = F.when(F.col("__triads") >= DENSE, _hit("es:triads", "high", times("triads", F.col("__triads")), first))
+    poder = F.when(F.col("__poder") >= DENSE, _hit("es:poder_infinitivo", "medium", times("poder+infinitivo", F.col("__poder")), first + 1))
+    return F.filter(F.array(triads, poder), lambda h: h.isNotNull())
+
+
+def mente_hits(text: Column, line: Column) -> Column:
+    adverbs = lambda s: F.filter(F.regexp_extract_all(s, F.lit(f"[{_LETTERS}]+"), F.lit(0)), lambda w: F.lower(w).rlike(r"...mente\z"))
+    chains = F.filter(F.transform(F.split(text, f"[.!?][{SPACES}]", -1), adverbs), lambda a: F.size(a) >= 2)
+    hits = F.transform(F.slice(chains, 1, 1), lambda a: _hit("es:mente_adverb_chain", "medium", short(F.array_join(F.slice(a, 1, 3), ", ")), len(others.SPANISH) + 2, line))
+    return F.when(F.contains(F.lower(text), F.lit("mente")), hits).otherwise(_no_hits())
+
+
+def inciso_hits(text: Column, line: Column) -> Column:
+    return F.when(text.rlike(INCISO), F.array(_hit("es:em_dash_inciso", "medium", short(trimmed(text)), len(others.SPANISH) + 3, line))).otherwise(_no_hits())
+
+
 def spanish_density(docs: DataFrame) -> DataFrame:
     """Triads and poder + infinitive, counted per document outside of fences; three or more are a finding."""
-    free = fenced_lines(docs).where(~F.col("inside"))
-    poder = general(PODER, True)
-    counts = free.where(F.contains("text", F.lit(",")) | F.lower("text").contains("p")).groupBy("file").agg(F.sum(F.regexp_count("text", F.lit(TRIAD))).alias("t"), F.sum(F.regexp_count("text", F.lit(poder))).alias("p"))
-    rows = counts.select("file", F.explode(F.array(F.struct(F.lit("es:triads").alias("c"), F.lit("high").alias("s"), F.lit("triads").alias("q"), F.col("t").alias("n")), F.struct(F.lit("es:poder_infinitivo").alias("c"), F.lit("medium").alias("s"), F.lit("poder+infinitivo").alias("q"), F.col("p").alias("n")))).alias("h")).where(F.col("h.n") >= DENSE)
-    return finding(rows, "es-lint", "es", None, F.col("h.s"), F.col("h.c"), F.concat(F.col("h.q"), F.lit(" ×"), F.col("h.n").cast("string")))
+    counts = textmetrics.fenced_off(docs, ["file"], density_counts(fence_states(F.col("content"))))
+    return _line_findings(counts.withColumn("line", F.lit(None).cast("int")), density_hits(), "es-lint", "es")
 
 
 def spanish_mente(docs: DataFrame) -> DataFrame:
     """A line's first sentence with two adverbs in -mente or more; it quotes the first three."""
-    free = fenced_lines(docs).where(~F.col("inside") & F.contains(F.lower("text"), F.lit("mente")))
-    adverbs = lambda s: F.filter(F.regexp_extract_all(s, F.lit(f"[{_LETTERS}]+"), F.lit(0)), lambda w: F.lower(w).rlike(r"...mente\z"))
-    chains = F.filter(F.transform(F.split("text", f"[.!?][{SPACES}]", -1), adverbs), lambda a: F.size(a) >= 2)
-    rows = free.select("file", "line", F.get(chains, F.lit(0)).alias("a")).where("a is not null")
-    return finding(rows, "es-lint", "es", F.col("line"), F.lit("medium"), F.lit("es:mente_adverb_chain"), short(F.array_join(F.slice("a", 1, 3), ", ")))
+    return _line_findings(fenced_lines(docs).where("not inside"), mente_hits(F.col("text"), F.col("line")), "es-lint", "es")
 
 
 def spanish_inciso(docs: DataFrame) -> DataFrame:
     """Lines with a clause between spaced dashes."""
-    rows = fenced_lines(docs).where(~F.col("inside") & F.col("text").rlike(INCISO))
-    return finding(rows, "es-lint", "es", F.col("line"), F.lit("medium"), F.lit("es:em_dash_inciso"), short(trimmed(F.col("text"))))
+    return _line_findings(fenced_lines(docs).where("not inside"), inciso_hits(F.col("text"), F.col("line")), "es-lint", "es")
 
 
 def spanish(docs: DataFrame) -> DataFrame:
@@ -271,30 +344,72 @@ def first_sentence_end(text: Column, within: int | None = None) -> Column:
     return F.get(F.filter(at, lambda i: is_boundary(text, i)), F.lit(0))
 
 
-def fragment_leads(paras: DataFrame) -> DataFrame:
-    """Paragraphs that open with a stub sentence of a few words before a long rest."""
+def paragraph_columns() -> dict[str, Column]:
+    """What the hits of a paragraph (start_line, lines, text) ask for."""
     start = F.regexp_replace("text", f"^[{SPACES}]+", "")
     # a stub ends before position 35 of the left-trimmed text; later ends cannot give one
-    p = paras.withColumn("__t", start).withColumn("__end", first_sentence_end(F.col("__t"), LEAD - 1)).where("__end is not null")
-    p = p.withColumns({"__stub": trimmed(F.substring("__t", F.lit(1), F.col("__end"))), "__rest": trimmed(F.substring("__t", F.col("__end") + 1, F.length("__t")))})
-    rows = p.where((F.length("__stub") < LEAD) & (F.length("__stub") > 0) & (word_count(F.col("__stub")) >= LEAD_WORDS) & (F.length("__rest") >= BODY))
-    return finding(rows, "ru-structural", "ru", F.col("start_line"), F.lit("medium"), F.lit("ru:fragment-lead"), short(F.col("__stub")))
+    end = first_sentence_end(F.substring(start, 1, LEAD), LEAD - 1)
+    per_line = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, f"^[{SPACES}]*—", ""), "[^—]", ""))
+    dashes = F.aggregate(F.transform("lines", per_line), F.lit(0), lambda a, n: a + n)
+    return {"__start": start, "__end": end, "__trimmed": trimmed(F.col("text")), "__dashes": dashes}
+
+
+def _in_paragraph(category: str, severity: str | Column, quote: Column, detector: int, line: Column | None = None) -> Column:
+    """A hit whose last place is its line."""
+    first = F.col("start_line")
+    return _hit(category, severity, short(quote), first, detector, first if line is None else line)
+
+
+def _if(condition: Column, hit: Column) -> Column:
+    return F.when(condition, F.array(hit)).otherwise(_no_hits())
+
+
+def lead_hits() -> Column:
+    stub = trimmed(F.substring(F.col("__start"), F.lit(1), F.col("__end")))
+    rest = trimmed(F.substring(F.col("__start"), F.col("__end") + 1, F.length("__start")))
+    fits = F.col("__end").isNotNull() & (F.length(stub) < LEAD) & (F.length(stub) > 0) & (word_count(stub) >= LEAD_WORDS) & (F.length(rest) >= BODY)
+    return _if(fits, _in_paragraph("ru:fragment-lead", "medium", stub, 0))
+
+
+def stub_hits() -> Column:
+    t = F.col("__trimmed")
+    near = F.col("next_start") - (F.col("start_line") + F.size("lines") - 1) == 2
+    fits = (F.length(t) < LEAD) & t.rlike(r"[.!?…]\z") & (word_count(t) >= LEAD_WORDS) & near & (F.length(trimmed(F.col("next_text"))) >= BODY)
+    return _if(fits, _in_paragraph("ru:fragment-lead", "medium", t, 1))
+
+
+def dash_hits() -> Column:
+    n = F.col("__dashes")
+    quote = F.concat(F.lit("×"), n.cast("string"), F.lit(" "), trimmed(collapsed(F.col("text"))))
+    return _if(n >= DASHES, _in_paragraph("ru:dash-density", F.when(n >= MANY_DASHES, "high").otherwise("medium"), quote, 2))
+
+
+def arrow_hits() -> Column:
+    counts = F.filter(F.transform("lines", lambda x, k: F.struct(x.alias("x"), k.alias("k"), prose_arrows(x).alias("n"))), lambda c: c["n"] > 0)
+    severity = lambda n: F.when(n >= 2, "high").otherwise("medium")
+    hits = F.transform(counts, lambda c: _in_paragraph("ru:arrow-prose", severity(c["n"]), counted(trimmed(c["x"]), c["n"]), 3, F.col("start_line") + c["k"]))
+    return F.when(F.contains("text", F.lit("→")), hits).otherwise(_no_hits())
+
+
+def _paragraph_findings(paras: DataFrame, hits: Column) -> DataFrame:
+    base = textmetrics.fenced_off(paras, paras.columns, paragraph_columns())
+    rows = base.select("file", F.explode(hits).alias("h")).select("file", "h.*")
+    return finding(rows, "ru-structural", "ru", F.get("seq", F.lit(2)), F.col("severity"), F.col("category"), F.col("quote"), seq=F.col("seq"))
+
+
+def fragment_leads(paras: DataFrame) -> DataFrame:
+    """Paragraphs that open with a stub sentence of a few words before a long rest."""
+    return _paragraph_findings(paras, lead_hits())
 
 
 def stub_paragraphs(paras: DataFrame) -> DataFrame:
     """Stub paragraphs with a long one right after a single line between."""
-    p = paras.withColumn("__t", trimmed(F.col("text")))
-    near = F.col("next_start") - (F.col("start_line") + F.size("lines") - 1) == 2
-    rows = p.where((F.length("__t") < LEAD) & F.col("__t").rlike(r"[.!?…]\z") & (word_count(F.col("__t")) >= LEAD_WORDS) & near & (F.length(trimmed(F.col("next_text"))) >= BODY))
-    return finding(rows, "ru-structural", "ru", F.col("start_line"), F.lit("medium"), F.lit("ru:fragment-lead"), short(F.col("__t")))
+    return _paragraph_findings(paras, stub_hits())
 
 
 def dash_density(paras: DataFrame) -> DataFrame:
     """Paragraphs of three em-dashes or more; one that opens a line does not count."""
-    per_line = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, f"^[{SPACES}]*—", ""), "[^—]", ""))
-    p = paras.withColumn("__n", F.aggregate(F.transform("lines", per_line), F.lit(0), lambda a, n: a + n)).where(F.col("__n") >= DASHES)
-    quote = F.concat(F.lit("×"), F.col("__n").cast("string"), F.lit(" "), trimmed(collapsed(F.col("text"))))
-    return finding(p, "ru-structural", "ru", F.col("start_line"), F.when(F.col("__n") >= MANY_DASHES, "high").otherwise("medium"), F.lit("ru:dash-density"), short(quote))
+    return _paragraph_findings(paras, dash_hits())
 
 
 def prose_arrows(line: Column) -> Column:
@@ -324,13 +439,15 @@ def prose_arrows(line: Column) -> Column:
 
 
 def arrow_prose(paras: DataFrame) -> DataFrame:
-    flat = paras.select("file", "start_line", F.posexplode("lines").alias("__k", "__line")).withColumn("__n", prose_arrows(F.col("__line"))).where("__n > 0")
-    return finding(flat, "ru-structural", "ru", F.col("start_line") + F.col("__k"), F.when(F.col("__n") >= 2, "high").otherwise("medium"), F.lit("ru:arrow-prose"), short(counted(trimmed(F.col("__line")), F.col("__n"))))
+    return _paragraph_findings(paras, arrow_hits())
+
+
+def paragraph_hits() -> Column:
+    return _together([lead_hits(), stub_hits(), dash_hits(), arrow_hits()])
 
 
 def russian(docs: DataFrame) -> DataFrame:
-    p = paragraphs(docs)
-    return union([fragment_leads(p), stub_paragraphs(p), dash_density(p), arrow_prose(p)])
+    return _paragraph_findings(paragraphs(docs), paragraph_hits())
 
 
 # -- findings from outside ---------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINDING = "tool string, lang string, file string, line int, severity string, category string, quote string, priority string, fp_suppressed boolean, fp_reason string"
+FINDING = "tool string, lang string, file string, line int, severity string, category string, quote string, priority string, fp_suppressed boolean, fp_reason string, seq array<int>"
 TOOL_RUN = "tool string, lang string, ok boolean, files long, findings long, error string"
 
 #: Tools in the order in which they run, and the languages that each reads.
@@ -31,8 +31,12 @@ EXTERNAL = ["avoid-ai-writing", "humanizer-ru", "im-not-ai", "natural-japanese"]
 QUOTE = 200
 
 
-def finding(df: DataFrame, tool: str, lang: str | Column, line: Column | None = None, severity: Column | None = None, category: Column | None = None, quote: Column | None = None, priority: str | None = None) -> DataFrame:
-    """Rows of the finding schema from a frame with ``file`` and the given columns."""
+def finding(df: DataFrame, tool: str, lang: str | Column, line: Column | None = None, severity: Column | None = None, category: Column | None = None, quote: Column | None = None, priority: str | None = None, seq: Column | None = None) -> DataFrame:
+    """Rows of the finding schema from a frame with ``file`` and the given columns.
+
+    ``seq`` orders the findings of one tool and file (rule, line and occurrence, as the tool goes through them); it is null
+    where a finding comes from outside.
+    """
     none = F.lit(None)
     text = lambda c: (none if c is None else c).cast("string")
     return df.select(
@@ -46,6 +50,7 @@ def finding(df: DataFrame, tool: str, lang: str | Column, line: Column | None =
         F.lit(priority).cast("string").alias("priority"),
         F.lit(False).alias("fp_suppressed"),
         none.cast("string").alias("fp_reason"),
+        (none if seq is None else seq).cast("array<int>").alias("seq"),
     )
 
 
