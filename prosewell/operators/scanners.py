@@ -57,14 +57,14 @@ def _hit(category: str | Column, severity: str | Column | None, quote: Column, *
 _NO_HITS = "array<struct<category string, severity string, quote string, seq array<int>>>"
 
 
-def _no_hits() -> Column:
+def no_hits() -> Column:
     return F.array().cast(_NO_HITS)
 
 
 def _when_possible(lowered: Column, pattern: str, hits: Column) -> Column:
     """The hits, looked for only where a literal that every match holds is there."""
     literals = required(pattern)
-    return hits if not literals else F.when(holds_one(lowered, literals), hits).otherwise(_no_hits())
+    return hits if not literals else F.when(holds_one(lowered, literals), hits).otherwise(no_hits())
 
 
 # -- all languages -----------------------------------------------------------------------------------
@@ -76,7 +76,7 @@ def placeholder_hits(text: Column, low: Column, line: Column) -> Column:
         q = F.transform(_all_matches(text, general(pattern, ignore)), _numbered("p0-placeholder", "critical", lambda m: m, n, line))
         hits.append(_when_possible(low, pattern, q))
     shown = ~text.rlike(f"^[{SPACES}]*<!--") & ~F.contains(text, F.lit("```"))
-    return F.when(shown, _together(hits)).otherwise(_no_hits())
+    return F.when(shown, _together(hits)).otherwise(no_hits())
 
 
 def _numbered(category: str, severity: str | None, cut, *places: int | Column):
@@ -115,7 +115,7 @@ def phrase_needles(lang: str) -> list[tuple[str, str]]:
 def phrase_hits(low: str, needles: list[tuple[str, str]]) -> Column:
     """Hits on the column ``low`` of lower-cased texts, in the order of the needles."""
     if not needles:
-        return _no_hits()
+        return no_hits()
     found = ", ".join(f"named_struct('needle', {literal(needle)}, 'kind', {literal(kind)}, 'at', {at}, 'n', {occurrences_sql(low, needle.lower())})" for at, (needle, kind) in enumerate(needles))
     severity = lambda h: F.when(h["n"] >= 3, "high").when(h["kind"] == "cliche", "phrase").otherwise("weak")
     counts = F.expr(f"filter(array({found}), h -> h.n > 0 AND (h.n > 1 OR h.kind <> 'weak'))")
@@ -180,7 +180,7 @@ def metric_hits() -> Column:
     """The hit of a document with the columns of ``textmetrics.signals``, if its score reaches the bound."""
     quote = F.concat(F.lit("score="), F.col("score").cast("string"), F.lit("/100"), *(F.concat(F.lit(f" {k}="), F.expr(f"format_number({k}_points, '0.###')")) for k in M.WEIGHTS))
     hit = _hit("humanizer-score", F.when(F.col("score") >= M.HIGH, "high").otherwise("medium"), short(quote), 0)
-    return F.when(F.col("score") >= M.FINDING, F.array(hit)).otherwise(_no_hits())
+    return F.when(F.col("score") >= M.FINDING, F.array(hit)).otherwise(no_hits())
 
 
 def metric_findings(docs: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def catalog_hits(rules: list, text: Column, low: Column, line: Column, prefix: s
     for n, (_, cat, w, rx) in enumerate(rules):
         q = F.transform(_all_matches(text, general(rx)), _numbered(prefix + cat, weighted(w), lambda m: short(trimmed(m)), n, line))
         hits.append(_when_possible(low, rx, q))
-    return _together(hits) if hits else _no_hits()
+    return _together(hits) if hits else no_hits()
 
 
 def catalog_scan(docs: DataFrame, tool: str, lang: str, rules: list, prefix: str = "") -> DataFrame:
@@ -246,7 +246,7 @@ def vietnamese_hits(rules: list, text: Column, low: Column, line: Column) -> Col
             first = F.coalesce(*(F.when(F.contains(low, F.lit(x.lower())), x.lower()) for x in needles))
             quotes = F.when(F.size(quotes) > 0, quotes).otherwise(F.filter(F.array(first), lambda q: q.isNotNull()))
         hits.append(F.transform(quotes, _numbered(rule, severity, short, n, line)))
-    return _together(hits) if hits else _no_hits()
+    return _together(hits) if hits else no_hits()
 
 
 def vietnamese(docs: DataFrame, rules: list | None = None) -> DataFrame:
@@ -291,11 +291,11 @@ def mente_hits(text: Column, line: Column) -> Column:
     adverbs = lambda s: F.filter(F.regexp_extract_all(s, F.lit(f"[{_LETTERS}]+"), F.lit(0)), lambda w: F.lower(w).rlike(r"...mente\z"))
     chains = F.filter(F.transform(F.split(text, f"[.!?][{SPACES}]", -1), adverbs), lambda a: F.size(a) >= 2)
     hits = F.transform(F.slice(chains, 1, 1), lambda a: _hit("es:mente_adverb_chain", "medium", short(F.array_join(F.slice(a, 1, 3), ", ")), len(others.SPANISH) + 2, line))
-    return F.when(F.contains(F.lower(text), F.lit("mente")), hits).otherwise(_no_hits())
+    return F.when(F.contains(F.lower(text), F.lit("mente")), hits).otherwise(no_hits())
 
 
 def inciso_hits(text: Column, line: Column) -> Column:
-    return F.when(text.rlike(INCISO), F.array(_hit("es:em_dash_inciso", "medium", short(trimmed(text)), len(others.SPANISH) + 3, line))).otherwise(_no_hits())
+    return F.when(text.rlike(INCISO), F.array(_hit("es:em_dash_inciso", "medium", short(trimmed(text)), len(others.SPANISH) + 3, line))).otherwise(no_hits())
 
 
 def spanish_density(docs: DataFrame) -> DataFrame:
@@ -361,7 +361,7 @@ def _in_paragraph(category: str, severity: str | Column, quote: Column, detector
 
 
 def _if(condition: Column, hit: Column) -> Column:
-    return F.when(condition, F.array(hit)).otherwise(_no_hits())
+    return F.when(condition, F.array(hit)).otherwise(no_hits())
 
 
 def lead_hits() -> Column:
@@ -388,7 +388,7 @@ def arrow_hits() -> Column:
     counts = F.filter(F.transform("lines", lambda x, k: F.struct(x.alias("x"), k.alias("k"), prose_arrows(x).alias("n"))), lambda c: c["n"] > 0)
     severity = lambda n: F.when(n >= 2, "high").otherwise("medium")
     hits = F.transform(counts, lambda c: _in_paragraph("ru:arrow-prose", severity(c["n"]), counted(trimmed(c["x"]), c["n"]), 3, F.col("start_line") + c["k"]))
-    return F.when(F.contains("text", F.lit("→")), hits).otherwise(_no_hits())
+    return F.when(F.contains("text", F.lit("→")), hits).otherwise(no_hits())
 
 
 def _paragraph_findings(paras: DataFrame, hits: Column) -> DataFrame:

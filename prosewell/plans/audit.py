@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from prosewell.catalogs.languages import LANGS
 from prosewell.functions import language
 from prosewell.operators import report
-from prosewell.operators.scanners import BUILT_IN, placeholders, union
+from prosewell.operators.scanners import union
 from prosewell.operators.triage import triage
+from prosewell.plans.fused import HITS, fused
 from prosewell.schema import TOOLS
 
 
@@ -37,18 +38,12 @@ class Audit:
 
 
 def scan(documents: DataFrame, langs: list[str] | None = None, tools: list[str] | None = None) -> DataFrame:
-    """Findings of the built-in scanners on documents (file, content, lang); each reads its own languages only."""
+    """Findings of the built-in scanners on documents (file, content, lang); each document is read once, by all tools of its language."""
     frames = []
-    for tool, reads in TOOLS:
-        if tool not in BUILT_IN or (tools is not None and tool not in tools):
-            continue
-        if tool == "placeholder":  # the same rules for every language: one pass
-            wanted = documents if langs is None else documents.where(F.col("lang").isin(*langs))
-            frames.append(placeholders(wanted.select("file", "content", "lang")))
-            continue
-        for lang in reads:
-            if langs is None or lang in langs:
-                frames.append(BUILT_IN[tool](documents.where(F.col("lang") == lang).select("file", "content"), lang))
+    for lang in LANGS if langs is None else langs:
+        mine = [tool for tool, reads in TOOLS if tool in HITS and lang in reads and (tools is None or tool in tools)]
+        if mine:
+            frames.append(fused(documents.where(F.col("lang") == lang), lang, mine))
     return union(frames)
 
 

@@ -31,7 +31,7 @@ EXTERNAL = ["avoid-ai-writing", "humanizer-ru", "im-not-ai", "natural-japanese"]
 QUOTE = 200
 
 
-def finding(df: DataFrame, tool: str, lang: str | Column, line: Column | None = None, severity: Column | None = None, category: Column | None = None, quote: Column | None = None, priority: str | None = None, seq: Column | None = None) -> DataFrame:
+def finding(df: DataFrame, tool: str | Column, lang: str | Column, line: Column | None = None, severity: Column | None = None, category: Column | None = None, quote: Column | None = None, priority: str | Column | None = None, seq: Column | None = None) -> DataFrame:
     """Rows of the finding schema from a frame with ``file`` and the given columns.
 
     ``seq`` orders the findings of one tool and file (rule, line and occurrence, as the tool goes through them); it is null
@@ -40,14 +40,14 @@ def finding(df: DataFrame, tool: str, lang: str | Column, line: Column | None =
     none = F.lit(None)
     text = lambda c: (none if c is None else c).cast("string")
     return df.select(
-        F.lit(tool).alias("tool"),
+        (F.lit(tool) if isinstance(tool, str) else tool).alias("tool"),
         (F.lit(lang) if isinstance(lang, str) else lang).alias("lang"),
         F.col("file"),
         (none if line is None else line).cast("int").alias("line"),
         text(severity).alias("severity"),
         text(category).alias("category"),
         text(quote).alias("quote"),
-        F.lit(priority).cast("string").alias("priority"),
+        (priority if isinstance(priority, Column) else F.lit(priority)).cast("string").alias("priority"),
         F.lit(False).alias("fp_suppressed"),
         none.cast("string").alias("fp_reason"),
         (none if seq is None else seq).cast("array<int>").alias("seq"),
