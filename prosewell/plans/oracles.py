@@ -136,6 +136,16 @@ LOWS = "lows AS (SELECT file, lower(content) AS low FROM corpus)"
 for _lang in L.LANGS:
     ORACLES[f"phrases_{_lang}"] = with_corpus("phrases", phrase_sql(S.phrase_needles(_lang)), LOWS)
 
+ORACLES["phrases_dictionary"] = with_corpus(
+    "phrases",
+    f"""SELECT file, CASE WHEN n >= 3 THEN 'high' WHEN kind = 'cliche' THEN 'phrase' ELSE 'weak' END AS severity, 'ai-phrase' AS category, needle || CASE WHEN n > 1 THEN ' ×' || n ELSE '' END AS quote
+    FROM (SELECT file, needle, kind, CAST((length(low) - length(replace(low, needle, ''))) / length(needle) AS BIGINT) AS n FROM lows JOIN dict ON contains(low, needle)) WHERE n >= CASE kind WHEN 'weak' THEN 2 ELSE 1 END""",
+    LOWS,
+    r"""w AS (SELECT regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark)""",
+    r"""listed AS (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS needle, 'weak' AS kind FROM conversations UNION ALL SELECT w[i] || ' ' || w[i + 1], 'cliche' FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))""",
+    f"dict AS (SELECT needle, min(kind) AS kind FROM listed WHERE length(needle) >= 4 OR regexp_matches(needle, '[가-\\x{{D7AF}}\\x{{1EA0}}-\\x{{1EF9}}ăâêôơưđ]') GROUP BY needle)",
+)
+
 
 def english_sql(rules: list) -> str:
     one = [f"SELECT file, line, {q(weighted(w))} AS severity, {q(f'zs:{cat}/{name}')} AS category, substr(regexp_extract(text, {q(re2(rx, True))}), 1, 200) AS quote FROM lines" for name, cat, w, rx in rules]

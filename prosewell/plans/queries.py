@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from prosewell.catalogs import english
 from prosewell.functions import language, textmetrics
 from prosewell.operators import lines as line_ops
-from prosewell.operators import report, scanners
+from prosewell.operators import dictionary, report, scanners
 from prosewell.operators.triage import triage, with_gate
 from prosewell.plans.audit import audit
 from prosewell.plans.seeds import SEEDS
@@ -138,6 +138,16 @@ for _lang in ("en", "ru", "ko", "vi", "ja", "es", "th", "my", "id"):
     _phrases(_lang)
 
 
+@query
+def phrases_dictionary(spark, sf_dir):
+    """Phrases of a dictionary of any size, given as a table: every word of the conversations and every word pair of the benchmark."""
+    words = lambda name: table(spark, sf_dir, name).select(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    listed = words("conversations").select(F.explode("w").alias("needle"), F.lit("weak").alias("kind"))
+    listed = listed.unionByName(words("benchmark").where("size(w) > 1").select(F.explode(pairs).alias("needle"), F.lit("cliche").alias("kind")))
+    return hits(dictionary.dictionary_scan(corpus(spark, sf_dir, "phrases"), listed.distinct(), "en")).drop("line")
+
+
 def _english(category):
     def run(spark, sf_dir):
         rules = [r for r in english.RULES if r[1] == category and r[0] not in NOT_RE2]
