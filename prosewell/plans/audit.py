@@ -16,6 +16,7 @@ from prosewell.operators.scanners import union
 from prosewell.operators.triage import triage
 from prosewell.plans.fused import HITS, fused
 from prosewell.schema import TOOLS
+from prosewell.sources.splits import spread
 
 
 @dataclass
@@ -58,7 +59,7 @@ def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None
     Where neither is set (a local session) both are persisted instead.
     """
     given = external or {}
-    found = language.detect(docs, override=override)
+    found = language.detect(spread(docs), override=override)
     spark = docs.sparkSession
     folder = workdir or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     path = f"{folder.rstrip('/')}/audit-{uuid.uuid4().hex}" if folder else None

@@ -18,6 +18,7 @@ from prosewell.plans.audit import audit
 from prosewell.plans.seeds import SEEDS
 from prosewell.sources.files import excluded
 from prosewell.sources.json_values import concatenated
+from prosewell.sources.splits import spread
 
 QUERIES = {}
 #: English rules that RE2 can't express; they have a query without an oracle.
@@ -33,9 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def corpus(spark: SparkSession, sf_dir: str, seed: str, front: bool = False) -> DataFrame:
     """Documents (file, content) with their seed block behind (or before) the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     blocks = F.array(*map(F.lit, SEEDS[seed]))
     block = F.get(blocks, (F.col("doc_id") % len(SEEDS[seed])).cast("int"))
     text = F.coalesce("text", F.lit(""))
