@@ -12,9 +12,9 @@ from prosewell.schema import EXTERNAL, TOOLS
 NOT_AVAILABLE = "scanner not available (its findings come from outside and none were given)"
 
 
-def dispatch(spark: SparkSession) -> DataFrame:
-    """tool, lang, tool_ord: which tool reads which language, in order."""
-    return spark.createDataFrame([(t, lang, k) for k, (t, langs) in enumerate(TOOLS) for lang in langs], "tool string, lang string, tool_ord int")
+def dispatch(spark: SparkSession, more: list[tuple[str, list[str]]] = ()) -> DataFrame:
+    """tool, lang, tool_ord: which tool reads which language, in order; tools of one's own (``more``) come last."""
+    return spark.createDataFrame([(t, lang, k) for k, (t, langs) in enumerate([*TOOLS, *more]) for lang in langs], "tool string, lang string, tool_ord int")
 
 
 def failed_run(error: Column) -> Column:
@@ -28,7 +28,7 @@ def without_failed(findings: DataFrame, failures: DataFrame) -> DataFrame:
     return findings.join(failed, (F.col("tool") == F.col("failed_tool")) & (F.col("lang") == F.col("failed_lang")), "left_anti")
 
 
-def tool_runs(buckets: DataFrame, findings: DataFrame, given: list[str] = (), failures: DataFrame | None = None) -> DataFrame:
+def tool_runs(buckets: DataFrame, findings: DataFrame, given: list[str] = (), failures: DataFrame | None = None, more: list[tuple[str, list[str]]] = ()) -> DataFrame:
     """tool, lang, ok, files, findings, error: a run per language of the corpus and tool that reads it.
 
     Tools from outside that aren't in ``given`` have failed; so has a (tool, lang) with a row in ``failures``
@@ -36,7 +36,7 @@ def tool_runs(buckets: DataFrame, findings: DataFrame, given: list[str] = (), fa
     """
     spark = buckets.sparkSession
     counts = findings.groupBy("tool", "lang").agg(F.count(F.lit(1)).alias("n"))
-    runs = buckets.select("lang", "files").join(F.broadcast(dispatch(spark)), "lang").join(counts, ["tool", "lang"], "left")
+    runs = buckets.select("lang", "files").join(F.broadcast(dispatch(spark, more)), "lang").join(counts, ["tool", "lang"], "left")
     missing = [t for t in EXTERNAL if t not in given]
     error = F.when(F.col("tool").isin(*missing), F.lit(NOT_AVAILABLE)) if missing else F.lit(None).cast("string")
     if failures is not None:

@@ -84,11 +84,101 @@ def suppressed(findings: DataFrame, rules: list[dict]) -> DataFrame:
     return named.withColumns({"fp_suppressed": F.col("fp_suppressed") | F.col("__reason").isNotNull(), "fp_reason": F.coalesce("__reason", "fp_reason")}).drop("__reason")
 
 
-def triage(findings: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """Findings with priority and suppression. The built-in rules come first where none are given."""
+def triage(findings: DataFrame, rules: list[dict] | DataFrame | None = None) -> DataFrame:
+    """Findings with priority and suppression, by the built-in rules where none are given.
+
+    Rules are a list or a table (``RULES``); a long list is treated as a table.
+    """
     ranked = with_gate(findings).withColumn("priority", priority()).drop("gate_broken")
-    return suppressed(ranked, T.SUPPRESS if rules is None else rules)
+    rules = T.SUPPRESS if rules is None else rules
+    if isinstance(rules, list) and len(rules) > LITERAL_RULES:
+        rules = rule_table(findings.sparkSession, rules)
+    return suppressed(ranked, rules) if isinstance(rules, list) else suppressed_by(ranked, rules)
 
 
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FINDING)
+
+
+# -- rules as a table --------------------------------------------------------------------------------
+
+RULES = "ord long, file string, tool string, category string, quoteContains string, reason string"
+#: So many rules, at most, are literals of the plan.
+LITERAL_RULES = 64
+_WILD = r"[*?]"
+
+
+def glob_regex_of(pattern: Column) -> Column:
+    """``glob_regex`` of a column of globs."""
+
+    def one(glob: Column) -> Column:
+        plain = F.regexp_replace(glob, r"([\\.+^$()\[\]{}|])", r"\\$1")
+        # the two stars wait as a character that no regex has
+        for mark, regex in ((r"\*\*", "\u0001"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\u0001", ".*")):
+            plain = F.regexp_replace(plain, mark, regex)
+        return plain
+
+    inner = F.when(F.startswith(pattern, F.lit("**/")), F.concat(F.lit("|"), one(F.substring(pattern, 4, 1 << 30)))).otherwise("")
+    return F.concat(F.lit(r"\A(?s:"), one(pattern), inner, F.lit(r")\z"))
+
+
+#: The selectors that are compared as a whole and so can be hashed, by bit.
+_HASHED = ("tool", "category", "file")
+
+
+def _key(bits: int, columns: dict[str, Column]) -> Column:
+    """A hash of the selectors in ``bits``."""
+    return F.xxhash64(F.lit(bits), *(columns[name] for k, name in enumerate(_HASHED) if bits >> k & 1))
+
+
+def rule_lists(rules: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Rules by the hash of their whole selectors: key, list of rules; and which combinations of selectors occur.
+
+    A file without a wildcard is compared as a whole, a glob becomes a regex. Rules without a reason or without any selector are
+    left out; an empty selector is none.
+    """
+    given = {c: F.nullif(F.col(c), F.lit("")) for c in ("file", "tool", "category", "quoteContains", "reason")}
+    rows = rules.select("ord", *(v.alias(k) for k, v in given.items()))
+    rows = rows.where("reason is not null and coalesce(file, tool, category, quoteContains) is not null")
+    whole = F.when(~F.col("file").rlike(_WILD), F.col("file"))
+    rows = rows.withColumns({"glob": F.when(F.col("file").rlike(_WILD), glob_regex_of(F.col("file"))), "file": whole, "low": F.lower("quoteContains")})
+    bits = sum((F.col(name).isNotNull().cast("int") * (1 << k) for k, name in enumerate(_HASHED)), F.lit(0))
+    rows = rows.withColumn("bits", bits)
+    used = sorted(r.bits for r in rows.select("bits").distinct().collect())  # eight at most
+    key = F.lit(None).cast("long")
+    for b in used:
+        key = F.when(F.col("bits") == b, _key(b, {name: F.col(name) for name in _HASHED})).otherwise(key)
+    rule = F.struct("ord", "reason", "tool", "category", "file", "low", "glob")
+    return rows.select(key.alias("__key"), rule.alias("r")).groupBy("__key").agg(F.collect_list("r").alias("__rules")), used
+
+
+def suppressed_by(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """``suppressed`` for rules given as a table (``RULES``), of any number: the first that fits, by ``ord``.
+
+    Rules are joined by the hash of the selectors that are compared as a whole, once for each combination of selectors that
+    occurs; what is left (globs, parts of quotes, and the selectors again, as hashes can agree) is checked on the few
+    rules of the key. Findings are neither copied nor grouped. Spark broadcasts the lists of rules if they are small and
+    shuffles both sides else.
+    """
+    lists, used = rule_lists(rules)
+    columns = {name: F.col(name) for name in _HASHED}
+    quote = F.lower(F.coalesce("quote", F.lit("")))
+    same = lambda r, c: r[c].isNull() | F.coalesce(r[c] == F.col(c), F.lit(False))
+
+    def fits(r: Column) -> Column:
+        return same(r, "tool") & same(r, "category") & same(r, "file") & (r["low"].isNull() | F.contains(quote, r["low"])) & (r["glob"].isNull() | F.coalesce(F.rlike(F.col("file"), r["glob"]), F.lit(False)))
+
+    out = findings
+    for b in used:
+        out = out.withColumn("__key", _key(b, columns)).join(lists.withColumnRenamed("__rules", f"__rules{b}"), "__key", "left").drop("__key")
+    first = [F.array_min(F.transform(F.filter(f"__rules{b}", fits), lambda r: F.struct(r["ord"], r["reason"]))) for b in used]
+    if not first:
+        return findings
+    reason = (first[0] if len(first) == 1 else F.least(*first))["reason"]
+    named = out.withColumn("__reason", reason).drop(*(f"__rules{b}" for b in used))
+    return named.withColumns({"fp_suppressed": F.col("fp_suppressed") | F.col("__reason").isNotNull(), "fp_reason": F.coalesce("__reason", "fp_reason")}).drop("__reason")
+
+
+def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
+    """Rules of suppression files as a table, in their order."""
+    return spark.createDataFrame([(k, *(r.get(c) for c in ("file", "tool", "category", "quoteContains", "reason"))) for k, r in enumerate(rules)], RULES)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prosewell.catalogs.languages import LANGS
 from prosewell.functions import language
 from prosewell.operators import report
+from prosewell.operators.registry import Registry
 from prosewell.operators.scanners import union
 from prosewell.operators.triage import triage
 from prosewell.plans.fused import HITS, fused
@@ -48,11 +49,13 @@ def scan(documents: DataFrame, langs: list[str] | None = None, tools: list[str]
     return union(frames)
 
 
-def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None = None, external: dict[str, DataFrame] | None = None, langs: list[str] | None = None, workdir: str | None = None, failures: DataFrame | None = None) -> Audit:
+def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | DataFrame | None = None, external: dict[str, DataFrame] | None = None, langs: list[str] | None = None, workdir: str | None = None, failures: DataFrame | None = None, registry: Registry | None = None) -> Audit:
     """Audit documents (file, content). ``override`` sets the language of all; ``external`` has findings by outside tool.
 
     ``failures`` (tool, lang, error) has the runs that failed: their findings don't count, and the audit is incomplete.
 
+    ``registry`` has scanners of one's own, which run behind the built-in ones; one that can't run is a failed run.
+
     ``langs`` limits the plan to languages known to occur. Language is detected once. The documents are written
     by language to ``workdir`` (a folder that all executors share; ``spark.checkpoint.dir`` of the session if none
     is given), and each scanner reads the folders of its own languages only; findings are written beside them.
@@ -70,6 +73,11 @@ def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None
         found = found.persist(StorageLevel.MEMORY_AND_DISK)
     wanted = [override] if override else (langs or LANGS)
     findings = union([scan(found, wanted), *given.values()])
+    if registry is not None:
+        own, broken = registry.scan(found, wanted)
+        findings = findings if own is None else findings.unionByName(own)
+        if broken is not None:
+            failures = broken if failures is None else failures.unionByName(broken)
     if failures is not None:
         findings = report.without_failed(findings, failures)
     triaged = triage(findings, rules)
@@ -78,6 +86,6 @@ def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | None
         triaged = spark.read.schema(triaged.schema).parquet(f"{path}/findings")
     else:
         triaged = triaged.persist(StorageLevel.MEMORY_AND_DISK)
-    runs = report.tool_runs(language.buckets(found), triaged, list(given), failures)
+    runs = report.tool_runs(language.buckets(found), triaged, list(given), failures, registry.tools() if registry else ())
     unsure = language.uncertain(found) if override is None else language.uncertain(found).limit(0)
     return Audit(found, triaged, runs, report.summary(triaged, runs), unsure)

@@ -388,6 +388,71 @@ ORACLES["triage_priority"] = f"WITH {_FOUND}, {_TRIAGED} SELECT tool, file, line
 ORACLES["suppression"] = f"WITH {_FOUND}, {_TRIAGED} SELECT tool, file, category, quote, reason AS fp_reason FROM triaged WHERE reason IS NOT NULL"
 
 
+def _rule_rows() -> str:
+    of = lambda names: f"[{', '.join(map(q, names))}][CAST(doc_id % {len(names)} AS INTEGER) + 1]"
+    rules = [
+        ("'doc-' || doc_id || '.md' = file", "NULL", of(["tier1", "em-dash", "ai-phrase", "formatting", "ru:dash-density"]), "NULL"),
+        ("regexp_full_match(file, '(.*/)?doc-' || doc_id || '[^/][.]md')", "'th-lint'", "NULL", "NULL"),
+        ("regexp_full_match(file, 'doc-[^/]*' || doc_id || '[.]md')", "NULL", "'odd'", "'a–'"),
+        ("true", "'avoid-ai-writing'", "NULL", f"lower({of(['member', 'title', 'PLAIN', 'know'])} || {of(['', 'x', ' me', ''])})"),
+        ("true", "NULL", "NULL", "doc_id || ' ' || doc_id"),
+    ]
+    parts = []
+    for k, (on_file, tool, category, part) in enumerate(rules):
+        parts.append(f"SELECT n, doc_id * {len(rules)} + {k} AS ord, 'rule ' || doc_id || '/{k}' AS reason FROM numbered JOIN documents ON coalesce({tool}, tool) = tool AND coalesce({category}, category) = category AND contains(lower(coalesce(quote, '')), coalesce({part}, '')) AND {on_file}")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["suppression_table"] = f"WITH {_FOUND}, numbered AS (SELECT *, row_number() OVER () AS n FROM found), fit AS (SELECT n, min_by(reason, ord) AS reason FROM ({_rule_rows()}) GROUP BY n) SELECT tool, file, line, category, quote, reason AS fp_reason FROM numbered JOIN fit USING (n)"
+
+
+def _ordered() -> str:
+    parts = []
+    for lang in L.LANGS:
+        for k, (needle, kind) in enumerate(S.phrase_needles(lang)):
+            n = occurrences("low", needle.lower())
+            parts.append(f"SELECT lang, 'phrases' AS tool, 1 AS tool_ord, file, CAST(NULL AS INTEGER) AS line, 'ai-phrase' AS category, {q(needle)} || CASE WHEN {n} > 1 THEN ' ×' || {n} ELSE '' END AS quote, {k} AS s1, 0 AS s2, 0 AS s3, 0 AS s4 FROM their_lows WHERE lang = {q(lang)} AND {n} >= {2 if kind == 'weak' else 1}")
+    each = "FROM (SELECT lang, file, line, m, unnest(range(1, len(m) + 1)) AS k FROM (SELECT lang, file, line, {0} AS m FROM their_lines WHERE lang = {1}))"
+    for k, (cat, _, rx, _) in enumerate(catalog(others.THAI)):
+        found = f"list_filter(regexp_extract_all(text, {q(rx)}), lambda x: x <> '')"
+        parts.append(f"SELECT lang, 'th-lint', 12, file, line, {q(cat)}, substr({trim('m[k]')}, 1, 200), {k}, line, k, 0 " + each.format(found, "'th'"))
+    for k, (rule, _, patterns, needles) in enumerate(others.JAPANESE):
+        for at, rx in enumerate(patterns):
+            if "(?=" in rx:
+                head = re2(rx[: rx.index("(?:\\s*[:")], False)
+                found = f"list_filter([CASE WHEN regexp_extract(text, {q(head + f'[{WS}]*[:：]')}) <> '' THEN regexp_extract(text, {q(head + f'[{WS}]*[:：]')}) ELSE regexp_extract(text, {q('(' + head + f'[{WS}]+[-—–])[{WS}]')}, 1) END], lambda x: x <> '')"
+            else:
+                found = f"list_filter(regexp_extract_all(text, {q(re2(rx, False))}), lambda x: x <> '')"
+            parts.append(f"SELECT lang, 'ja-lint', 9, file, line, {q(rule)}, {trim('m[k]')}, line, {k}, {at}, k " + each.format(found, "'ja'"))
+        for at, needle in enumerate(needles, len(patterns)):
+            times = f"list_transform(range({occurrences('text', needle)}), lambda x: {q(needle)})"
+            parts.append(f"SELECT lang, 'ja-lint', 9, file, line, {q(rule)}, m[k], line, {k}, {at}, k " + each.format(times, "'ja'"))
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["findings_order"] = with_corpus(
+    "audit",
+    "SELECT row_number() OVER (ORDER BY first_file, lang, tool_ord, file, s1, s2, s3, s4) AS position, lang, tool, file, line, category, quote FROM ordered JOIN (SELECT lang, min(file) AS first_file FROM named GROUP BY lang) USING (lang)",
+    *_LANG,
+    LINES,
+    LOWS,
+    "named AS MATERIALIZED (SELECT file, lang FROM detected)",
+    "their_lows AS MATERIALIZED (SELECT lang, file, low FROM lows JOIN named USING (file))",
+    "their_lines AS MATERIALIZED (SELECT lang, file, line, text FROM lines JOIN named USING (file) WHERE lang IN ('th', 'ja'))",
+    f"ordered AS ({_ordered()})",
+    front=True,
+)
+#: The rules of the sample catalog that compile, as they are for RE2.
+_SAMPLE = [
+    ("own:boilerplate", "high", r"\bLicensed under the \w+ License\b", 0),
+    ("own:contact", "medium", r"\+[0-9]{1,3} \([0-9]{3}\)", 0),
+    ("own:repetition", "medium", r"(?i)\b(?:the the|and and|very very)\b", 0),
+    ("own:markup", "high", r"\|[ \t]*[0-9]+[ \t]*\|", 0),
+    ("own:contact", "high", r"[A-Za-z0-9.]+@[A-Za-z0-9]+\.[a-z]+", 0),
+]
+ORACLES["catalog_runtime"] = with_corpus("en", all_matches(_SAMPLE), LINES)
+
+
 def _esc(x: str) -> str:
     return f"regexp_replace(regexp_replace(coalesce({x}, ''), '[\\n\\r]+', ' ⏎ ', 'g'), '([*_`#>|])', '\\\\\\1', 'g')"
 

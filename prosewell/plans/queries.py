@@ -6,16 +6,19 @@ that each scanner has something to find; language and metric queries read the te
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewell.catalogs import english
 from prosewell.functions import language, textmetrics
 from prosewell.operators import lines as line_ops
-from prosewell.operators import dictionary, report, scanners
+from prosewell.operators import dictionary, order, registry, report, scanners
 from prosewell.operators.triage import triage, with_gate
-from prosewell.plans.audit import audit
+from prosewell.plans.audit import audit, scan
 from prosewell.plans.seeds import SEEDS
+from prosewell.sources import catalogs
 from prosewell.sources.files import excluded
 from prosewell.sources.json_values import concatenated
 from prosewell.sources.splits import spread
@@ -374,6 +377,48 @@ def suppression(spark, sf_dir):
     return triage(_findings(spark, sf_dir)).where("fp_suppressed").select("tool", "file", "category", "quote", "fp_reason")
 
 
+def _rule_table(spark, sf_dir):
+    """Five suppression rules for each document: by file, by glob, by part of the quote, with tools and categories."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"))
+    of = lambda names: F.get(F.array(*map(F.lit, names)), (F.col("d") % len(names)).cast("int"))
+    name, text = F.col("d").cast("string"), lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    category = of(["tier1", "em-dash", "ai-phrase", "formatting", "ru:dash-density"])
+    rules = [
+        {"file": text("doc-", name, ".md"), "category": category},
+        {"file": text("**/doc-", name, "?.md"), "tool": F.lit("th-lint")},
+        {"file": text("doc-*", name, ".md"), "category": F.lit("odd"), "quoteContains": F.lit("A–")},
+        {"tool": F.lit("avoid-ai-writing"), "quoteContains": text(of(["member", "title", "PLAIN", "know"]), of(["", "x", " me", ""]))},
+        {"quoteContains": text(name, " ", name)},
+    ]
+    none = F.lit(None).cast("string")
+    row = lambda k, r: F.struct((F.col("d") * len(rules) + k).alias("ord"), *(r.get(c, none).cast("string").alias(c) for c in ("file", "tool", "category", "quoteContains")), text("rule ", name, "/", str(k)).alias("reason"))
+    return docs.select(F.inline(F.array(*(row(k, r) for k, r in enumerate(rules)))))
+
+
+@query
+def suppression_table(spark, sf_dir):
+    """Findings that a large table of rules suppresses, and the first rule that fits each."""
+    return triage(_findings(spark, sf_dir), _rule_table(spark, sf_dir)).where("fp_suppressed").select("tool", "file", "line", "category", "quote", "fp_reason")
+
+
+@query
+def findings_order(spark, sf_dir):
+    """The place of every finding of phrases, Thai and Japanese rules in the order of a report, with detected languages."""
+    found = language.detect(corpus(spark, sf_dir, "audit", True))
+    findings = scan(found, tools=["phrases", "th-lint", "ja-lint"])
+    return order.positions(findings, language.buckets(found)).select("position", "lang", "tool", "file", "line", "category", "quote")
+
+
+@query
+def catalog_runtime(spark, sf_dir):
+    """Rules of a catalog that is read at run time, two of which are broken and dropped."""
+    text = resources.files("prosewell.catalogs").joinpath("sample.json").read_text("utf-8")
+    rules = catalogs.parse(spark, text, "sample.json")
+    own = registry.Registry(registry.catalog_scanner("sample", ("en",), rules, "own:"))
+    docs = corpus(spark, sf_dir, "en").withColumn("lang", F.lit("en"))
+    return hits(own.scan(docs, ["en"])[0])
+
+
 @query
 def report_lines(spark, sf_dir):
     """The report's lines."""
