@@ -81,28 +81,33 @@ def suppressed_line() -> Column:
 def report_lines(findings: DataFrame) -> DataFrame:
     """section (P0, P1, P2, suppressed), the sort keys of a report, and text, one row per finding.
 
-    Sorting is left to the sink: lang, tool, file, category, line, quote.
+    Sorting is left to the sink: by ``position`` (``order.positions``) where it is there, else lang, tool, file, category, line, quote.
     """
     section = F.when(F.col("fp_suppressed"), "suppressed").otherwise(F.col("priority"))
-    return findings.select(section.alias("section"), "lang", "tool", "file", "category", "line", "quote", F.when(F.col("fp_suppressed"), suppressed_line()).otherwise(finding_line()).alias("text"))
+    place = ["position"] if "position" in findings.columns else []
+    return findings.select(section.alias("section"), *place, "lang", "tool", "file", "category", "line", "quote", F.when(F.col("fp_suppressed"), suppressed_line()).otherwise(finding_line()).alias("text"))
+
+
+def _order(findings: DataFrame) -> list[str]:
+    return ["position"] if "position" in findings.columns else ["lang", "tool", "file", "line", "category", "quote"]
 
 
 def write_report(findings: DataFrame, path: str) -> None:
     """The report's lines as sorted text files: a range sort, so no task holds the whole report."""
-    rows = report_lines(findings).orderBy("section", "lang", "tool", "file", "line", "category", "quote")
+    rows = report_lines(findings).orderBy("section", *_order(findings))
     rows.select("text").write.text(path)
 
 
 def write_json(findings: DataFrame, runs: DataFrame, counts: DataFrame, path: str) -> None:
     """The report as JSON lines in three folders: findings, tool_runs, summary."""
-    for name, df in (("findings", findings), ("tool_runs", runs), ("summary", counts)):
+    for name, df in (("findings", findings.drop("seq")), ("tool_runs", runs), ("summary", counts)):
         df.write.json(f"{path}/{name}")
 
 
 def markdown(findings: DataFrame, runs: DataFrame, counts: DataFrame, uncertain: DataFrame, most: int = 1000) -> str:
     """The whole report as one text, for small audits; each section shows ``most`` lines at most and says so.
 
-    ``write_report`` has no such bound.
+    ``sinks.markdown_lines`` has no such bound.
     """
     s = counts.first()
     out = ["# prosewell report", ""]
@@ -118,7 +123,7 @@ def markdown(findings: DataFrame, runs: DataFrame, counts: DataFrame, uncertain:
     for section, title in (("P0", "P0"), ("P1", "P1"), ("P2", "P2"), ("suppressed", "Suppressed as documented false positives")):
         total = {"P0": s.p0, "P1": s.p1, "P2": s.p2, "suppressed": s.fp_suppressed}[section]
         if total:
-            shown = rows.where(F.col("section") == section).orderBy("lang", "tool", "file", "line", "category", "quote").limit(most).collect()
+            shown = rows.where(F.col("section") == section).orderBy(*_order(findings)).limit(most).collect()
             out += [f"## {title} — {total}", "", *(r.text for r in shown), *([f"… and {total - most} more"] if total > most else []), ""]
     if not s.p0 + s.p1 + s.p2 + s.fp_suppressed:
         out.append("No findings. 🎉")
@@ -126,6 +131,6 @@ def markdown(findings: DataFrame, runs: DataFrame, counts: DataFrame, uncertain:
 
 
 def as_json(findings: DataFrame, runs: DataFrame, counts: DataFrame, uncertain: DataFrame) -> str:
-    """The whole report as one JSON text, for small audits."""
+    """The whole report as one JSON text, for small audits; ``sinks.json_lines`` has no such bound."""
     rows = lambda df: [r.asDict() for r in df.collect()]
-    return json.dumps({"schema_version": 1, "tool_runs": rows(runs), "findings": rows(findings), "summary": counts.first().asDict(), "language_uncertain": [r.file for r in uncertain.orderBy("file").collect()]}, ensure_ascii=False, indent=2)
+    return json.dumps({"schema_version": 1, "tool_runs": rows(runs), "findings": rows(findings.orderBy(*_order(findings)).drop("position", "seq")), "summary": counts.first().asDict(), "language_uncertain": [r.file for r in uncertain.orderBy("file").collect()]}, ensure_ascii=False, indent=2)

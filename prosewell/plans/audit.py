@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prosewell.catalogs.languages import LANGS
 from prosewell.functions import language
 from prosewell.operators import report
+from prosewell.operators.order import positions
 from prosewell.operators.registry import Registry
 from prosewell.operators.scanners import union
 from prosewell.operators.triage import triage
@@ -33,6 +34,12 @@ class Audit:
     runs: DataFrame
     summary: DataFrame
     uncertain: DataFrame
+    buckets: DataFrame
+    tools: list
+
+    def ordered(self) -> DataFrame:
+        """The findings with their ``position`` in the order of a report."""
+        return positions(self.findings, self.buckets, self.tools)
 
     def close(self) -> None:
         self.documents.unpersist()
@@ -86,6 +93,7 @@ def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | Data
         triaged = spark.read.schema(triaged.schema).parquet(f"{path}/findings")
     else:
         triaged = triaged.persist(StorageLevel.MEMORY_AND_DISK)
-    runs = report.tool_runs(language.buckets(found), triaged, list(given), failures, registry.tools() if registry else ())
+    buckets = language.buckets(found)
+    runs = report.tool_runs(buckets, triaged, list(given), failures, registry.tools() if registry else ())
     unsure = language.uncertain(found) if override is None else language.uncertain(found).limit(0)
-    return Audit(found, triaged, runs, report.summary(triaged, runs), unsure)
+    return Audit(found, triaged, runs, report.summary(triaged, runs), unsure, buckets, [*TOOLS, *(registry.tools() if registry else ())])

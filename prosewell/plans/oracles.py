@@ -343,6 +343,10 @@ ORACLES["ext_ru_adapter"] = f"WITH p AS ({_SITE}) SELECT file, genre, 'hard-ban'
 ORACLES["ext_ko_adapter"] = "SELECT 'p-' || page_id AS file, band AS severity, 'ko:risk_band' AS category, 'risk_band=' || band || ' risk_score=' || s || ' route_hint=' || r AS quote FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '?' ELSE ['low', 'medium', 'high'][CAST(page_id % 3 AS INTEGER) + 1] END AS band, CASE WHEN page_id % 7 = 0 THEN '?' ELSE CAST(page_id % 100 AS VARCHAR) END AS s, CASE WHEN page_id % 7 = 0 THEN '?' ELSE 'r1' END AS r FROM pages) WHERE band <> 'low'"
 ORACLES["ext_ja_adapter"] = "SELECT 'p-' || page_id AS file, CAST(page_id % 9 AS INTEGER) AS line, 'warn' AS severity, 'ja:no_chain' AS category, 'x' AS quote FROM pages UNION ALL SELECT 'p-' || page_id, NULL, NULL, 'ja:kanji_run', CAST(page_id AS VARCHAR) FROM pages"
 
+_BROKEN = "page_id % 10 IN (1, 3, 4, 8, 9)"
+ORACLES["json_values"] = f"""SELECT page_id, CAST(CASE WHEN {_BROKEN} THEN 0 ELSE 3 + [1, 0, 1, 0, 0, 0, 2, 0, 0, 0][CAST(page_id % 10 AS INTEGER) + 1] END AS BIGINT) AS n_values, {_BROKEN} AS broken,
+  CASE WHEN {_BROKEN} THEN '' ELSE '{{"a":"}}' || regexp_replace(coalesce(url, ''), '["\\\\\\x00-\\x1F]', '', 'g') || '"}} 1 {{"b":[2,3]}}' || CASE page_id % 10 WHEN 0 THEN ' 3' WHEN 2 THEN ' "s}}{{["' WHEN 6 THEN ' {{"q":"\\\\\\"}} [{{\\\\"}} true' ELSE '' END END AS joined FROM pages"""
+
 # -- triage and report -------------------------------------------------------------------------------
 
 _IS_P0 = "(" + " OR ".join(f"regexp_matches(coalesce(quote, ''), {q(re2(p, i))})" for p, i in T.PLACEHOLDERS) + ")"

@@ -344,10 +344,13 @@ def summary_failed(spark, sf_dir):
 
 @query
 def json_values(spark, sf_dir):
-    """JSON values written one after the other, taken apart (no oracle: DuckDB has no such parser)."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    raw = F.concat(F.lit(' {"a":"}'), F.regexp_replace("url", '["\\\\]', ""), F.lit('"} [1,{"b":[2]}]\n'), F.when(F.col("page_id") % 10 == 0, '{"x":').otherwise("3"))
-    return concatenated(pages.select("page_id", raw.alias("raw")), "raw").select("page_id", F.size("values").cast("long").alias("n_values"), F.col("error").isNotNull().alias("broken"))
+    """JSON values written one after the other, taken apart; some texts are broken in one way or another."""
+    pages = table(spark, sf_dir, "pages")
+    ends = ["3", '{"x":', ' "s}{[" ', "[{\"a\":1} {\"b\":2}]", "3 {\"a\":1}", "[]", '{"q":"\\\\\\"} [{\\\\"}true', " ", "] {}", '"open']
+    url = F.regexp_replace(F.coalesce("url", F.lit("")), r'["\\\x00-\x1F]', "")
+    raw = F.concat(F.lit(' {"a":"}'), url, F.lit('"} [1,{"b":[2, 3]}]\n'), F.get(F.array(*map(F.lit, ends)), (F.col("page_id") % len(ends)).cast("int")))
+    found = concatenated(pages.select("page_id", raw.alias("raw")), "raw")
+    return found.select("page_id", F.size("values").cast("long").alias("n_values"), F.col("error").isNotNull().alias("broken"), F.array_join("values", " ").alias("joined"))
 
 
 # -- triage and report -------------------------------------------------------------------------------

@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_without_sql_is_meant_to_be():
-    assert set(QUERIES) - set(ORACLES) == {"patterns_en_not_re2", "json_values", "audit_full"}
+    assert set(QUERIES) - set(ORACLES) == {"patterns_en_not_re2", "audit_full"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -52,12 +52,6 @@ def test_rules_beyond_sql_equal_python(spark):
     assert sorted(got) == sorted(want) and {r[3] for r in got} == {f"zs:{r[1]}/{r[0]}" for r in rules}
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-def test_json_values_are_those_that_were_written(spark):
-    for r in QUERIES["json_values"](spark, SF).collect():
-        assert (r.n_values, r.broken) == ((0, True) if r.page_id % 10 == 0 else (4, False))
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_the_full_audit_is_the_scanners_of_each_language(spark):
     """Counts of the full audit against each scanner run by itself on the documents of its own languages."""

@@ -9,11 +9,11 @@ from prosewell.plans.audit import audit
 from prosewell.schema import FINDING
 from prosewell.sources import suppression
 from prosewell.sources.files import markdown_files
-from prosewell.sources.json_values import concatenated, split_values
+from prosewell.sources.json_values import concatenated
 
 
 def findings(spark, *rows):
-    full = [(tool, "en", file, None, severity, category, quote, None, False, None) for tool, file, severity, category, quote in rows]
+    full = [(tool, "en", file, None, severity, category, quote, None, False, None, None) for tool, file, severity, category, quote in rows]
     return spark.createDataFrame(full, FINDING)
 
 
@@ -63,11 +63,50 @@ def test_suppression_file():
     assert len(seen) == 2
 
 
+def json_brute_force(raw: str):
+    """Values one after the other, as a scan over brackets and quotes; None where the text is broken."""
+    spaces = "\t\n\x0b\x0c\r \xa0\ufeff"
+    out, s, at = [], raw.strip(spaces), 0
+    while at < len(s):
+        while s[at] in spaces:
+            at += 1
+        start, depth, inside, escaped = at, 0, False, False
+        while at < len(s):
+            c = s[at]
+            at += 1
+            if inside:
+                inside, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
+            elif c == '"':
+                inside = True
+            elif c in "{[":
+                depth += 1
+            elif c in "}]":
+                depth -= 1
+                if depth == 0:
+                    break
+        if depth:
+            return None
+        try:
+            value = json.loads(s[start:at])
+        except ValueError:
+            return None
+        out += value if isinstance(value, list) else [value]
+    return out
+
+
 def test_json_values(spark):
-    assert split_values(' {"a":"}{"} [1,{"b":[2]}]\n3 ') == ['{"a":"}{"}', "1", '{"b":[2]}', "3"]
-    df = spark.createDataFrame([(1, '{"a":1}{"b":2}'), (2, '{"a":'), (3, None)], "k int, raw string")
-    got = {r.k: (r["values"], r.error is None) for r in concatenated(df, "raw").collect()}
-    assert got == {1: (['{"a":1}', '{"b":2}'], True), 2: ([], False), 3: ([], True)}
+    import random
+
+    rng = random.Random(5)
+    bits = ['{"a":1}', "[1,[2]]", '{"b":"}{\\"["}', '"x"', "3", "true", "]", "}", "{", ",", " ", "\n", '"\\\\"', '{"k":[{"m":null}]}', '"', "\\", "[]", "-1.5", "\u00a0", ":"]
+    texts = ["", " ", '{"a":1}{"b":2}', '{"a":', '3 {"a":1}', '{"a":1} 3', '[{"a":1} {"b":2}]', ' {"a":"}{"} [1,{"b":[2]}]\n3 ', '1,"w":2', "1}]", '{"a":1}]', "[1]]", '{"a":"' + "x\\n" * 30000 + '"} []'] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(600)]
+    df = spark.createDataFrame([(k, t, "kept") for k, t in enumerate(texts)] + [(-1, None, "kept")], "k int, raw string, error string")
+    got = {r.k: (r["values"], r.error) for r in concatenated(df, "raw").collect()}
+    assert got.pop(-1) == ([], None)
+    for k, t in enumerate(texts):
+        want = json_brute_force(t)
+        assert ([json.loads(v) for v in got[k][0]], got[k][1] is not None) == (want or [], want is None), t
+    assert concatenated(df.limit(0), "raw").collect() == []
 
 
 def test_audit_of_files(spark, tmp_path):
