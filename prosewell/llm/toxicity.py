@@ -33,7 +33,7 @@ from prosewell.llm.common import modest_batches, slices, stored
 BITS, DIMENSION = 18, 8
 ORDERS = (3, 4, 5, 6)
 FIT_ROWS, FIT_BYTES = 4_000, 24_000_000
-EPOCHS, BATCH, RATE, PENALTY = 8, 256, 0.3, 1e-6
+EPOCHS, BATCHES, BATCH, RATE, PENALTY = 8, 32, 256, 0.3, 1e-6
 STRIPPED = ".,;:!?()[]{}\"'«»“”|-"
 #: Words that a task remembers the value of, and the longest such word.
 REMEMBERED, SHORT_WORD = 100_000, 64
@@ -141,12 +141,12 @@ def fit(texts: list[str | None], labels: list[int], weights: tuple[float, float]
     share = np.concatenate([c / max(c.sum(), 1) for _, c in bags])
     trained = (vectors, softmax, bias)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in trained]
-    step = 0
+    step, size = 0, min(BATCH, max(BATCH // 8, len(y) // BATCHES))  # few rows make as many steps as many
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
-        for k in range(0, len(order), BATCH):
+        for k in range(0, len(order), size):
             step += 1
-            rows = order[k : k + BATCH]
+            rows = order[k : k + size]
             at, row = _spread(words_at[rows], n_words[rows]), np.repeat(np.arange(len(rows)), n_words[rows])
             used, which = np.unique(word[at], return_inverse=True)
             grams = bucket[_spread(grams_at[used], n_grams[used])]
