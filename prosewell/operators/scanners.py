@@ -19,6 +19,7 @@ from prosewell.functions.regexes import SPACES, collapsed, general, holds_one, h
 from prosewell.functions.regexes import english as english_rule
 from prosewell.operators.lines import fence_states, fenced_lines, lines, paragraphs
 from prosewell.schema import QUOTE, finding, short, weighted
+from prosewell.sources.json_values import concatenated
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -472,6 +473,29 @@ def external_russian(results: DataFrame) -> DataFrame:
     return finding(rows, "humanizer-ru", "ru", None, F.when(banned, "hard-ban").otherwise("marker"), F.concat(F.lit("ru:"), F.col("m.category")), short(quote))
 
 
+def russian_results(results: DataFrame) -> DataFrame:
+    """Results (file, stdout, and ``code`` and ``stderr`` if they are there) of the outside Russian detector, read: file, markers, hard_bans, error.
+
+    The first JSON value of the output counts; no output is no result. Output that is no JSON is an error, and so is an
+    exit code other than 0 (clean) and 1 (findings).
+    """
+    read = concatenated(results.withColumnRenamed("error", "__given") if "error" in results.columns else results, "stdout")
+    value = F.from_json(F.get("values", F.lit(0)), "markers array<array<string>>, hard_bans array<array<string>>")
+    item = lambda a, k: F.get(a, F.lit(k))
+    markers = F.transform(value["markers"], lambda m: F.struct(item(m, 0).alias("category"), item(m, 1).alias("quote"), item(m, 2).cast("int").alias("count")))
+    bans = F.transform(value["hard_bans"], lambda b: F.struct(item(b, 0).alias("category"), item(b, 1).cast("int").alias("count")))
+    error = F.when(F.col("error").isNotNull(), F.concat(F.lit("parse error on "), F.col("file"), F.lit(": "), F.col("error")))
+    if "code" in results.columns:
+        said = F.nullif(F.col("stderr"), F.lit("")) if "stderr" in results.columns else F.lit(None).cast("string")
+        error = F.when(~F.col("code").isin(0, 1), F.coalesce(said, F.concat(F.lit("exit "), F.col("code").cast("string"), F.lit(" on "), F.col("file")))).otherwise(error)
+    return read.select("file", F.when(error.isNull(), markers).alias("markers"), F.when(error.isNull(), bans).alias("hard_bans"), error.alias("error"))
+
+
+def russian_failures(results: DataFrame) -> DataFrame:
+    """The failed run of the outside Russian tool, if any of its outputs (``russian_results``) is broken."""
+    return failures(results, "humanizer-ru", "ru")
+
+
 def external_korean(results: DataFrame) -> DataFrame:
     """Results (file, stdout): the risk band, score and route printed there; a band other than low is a finding."""
     part = lambda name, chars: F.coalesce(F.nullif(F.regexp_extract("stdout", f"{name}=({chars})", 1), F.lit("")), F.lit("?"))

@@ -152,6 +152,37 @@ def english_sql(rules: list) -> str:
     return "SELECT * FROM (" + " UNION ALL ".join(one) + ") WHERE quote <> ''"
 
 
+_BEYOND = {r[0]: r for r in english.RULES if r[0] in NOT_RE2}
+
+
+def _beyond_re2() -> str:
+    """The three rules without look-ahead and back references: their places are tried one by one, or their branches one by one."""
+
+    def rows(name: str, source: str) -> str:
+        _, cat, w, _ = _BEYOND[name]
+        return f"SELECT file, line, {q(weighted(w))} AS severity, {q(f'zs:{cat}/{name}')} AS category, substr(quote, 1, 200) AS quote FROM ({source}) WHERE quote IS NOT NULL"
+
+    starts = "list_filter(range(1, length(text) + 1), lambda i: (i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[A-Za-z0-9_]')) AND {0})"
+    chain = r"(?i)^(\w+) becomes (\w+)\. (\w+) becomes\b"
+    part = lambda k: f"lower(regexp_extract(substr(text, i), {q(chain)}, {k}))"
+    at = starts.format(f"regexp_matches(substr(text, i), {q(chain)}) AND {part(2)} = {part(3)}")
+    first = f"SELECT file, line, regexp_extract(substr(text, spot), {q(chain)}) AS quote FROM (SELECT file, line, text, {at}[1] AS spot FROM lines WHERE contains(lower(text), 'becomes')) WHERE spot IS NOT NULL"
+    rx = _BEYOND["isocolon-ditransitive"][3]
+    verbs = rx[rx.index("(") + 1 : rx.index(")")].split("|")
+    tail = rx[rx.index(")") + 1 :]
+    found = ", ".join(f"regexp_extract(text, {q(re2(f'{chr(92)}b{v}{tail}'.replace(chr(92) + '1', v), True))})" for v in verbs)
+    second = f"SELECT file, line, list_sort(list_transform(list_filter([{found}], lambda m: m <> ''), lambda m: {{'at': strpos(text, m), 'm': m}}))[1].m AS quote FROM lines WHERE contains(lower(text), ' you')"
+    rx = _BEYOND["generic-benefit-stack"][3].replace("(?is)", "")
+    word = rx[: rx.index("(?=")].removeprefix("\\b")
+    needs = [x.removesuffix(")") for x in re.split(r"\(\?=", rx[rx.index("(?=") :].removesuffix(".{0,260}"))[1:]]
+    head = q("(?is)^" + re2(word))
+    rest = f"substr(text, i + length(regexp_extract(substr(text, i), {head})))"
+    at = starts.format(f"regexp_matches(substr(text, i), {head}) AND " + " AND ".join(f"regexp_matches({rest}, {q('(?is)^' + re2(n))})" for n in needs))
+    third = f"SELECT file, line, regexp_extract(substr(text, spot), {q('(?is)^' + re2(word) + '.{0,260}')}) AS quote FROM (SELECT file, line, text, {at}[1] AS spot FROM lines WHERE regexp_matches(text, {q('(?i)' + re2(word))})) WHERE spot IS NOT NULL"
+    return " UNION ALL ".join(rows(n, s) for n, s in zip(NOT_RE2, (first, second, third), strict=True))
+
+
+ORACLES["patterns_en_not_re2"] = with_corpus("en", _beyond_re2(), LINES)
 _RE2_RULES = [r for r in english.RULES if r[0] not in NOT_RE2]
 for _category in dict.fromkeys(r[1] for r in _RE2_RULES):
     ORACLES[f"patterns_en_{_category}"] = with_corpus("en", english_sql([r for r in _RE2_RULES if r[1] == _category]), LINES)
@@ -340,6 +371,11 @@ _OUTSIDE = """outside AS (SELECT 'doc-' || doc_id || '.md' AS file, ['tier1', 'e
 ORACLES["ext_en_adapter"] = f"WITH {_OUTSIDE} SELECT 'avoid-ai-writing' AS tool, 'en' AS lang, file, severity, category, quote FROM outside"
 _SITE = "SELECT page_id, '/site/' || CASE WHEN page_id % 3 = 0 THEN 'docs/' ELSE 'blog/' END || page_id || '.md' AS file, CASE WHEN page_id % 3 = 0 THEN 'academic' ELSE 'marketing' END AS genre FROM pages"
 ORACLES["ext_ru_adapter"] = f"WITH p AS ({_SITE}) SELECT file, genre, 'hard-ban' AS severity, 'ru:Тире' AS category, 'a — b' || CASE WHEN page_id % 3 <> 0 THEN ' ×' || (page_id % 3) ELSE '' END AS quote FROM p UNION ALL SELECT file, genre, 'marker', 'ru:Канцелярит', ' ×2' FROM p"
+_PRINTED = """printed AS (SELECT page_id, 'p-' || page_id AS file, regexp_replace(coalesce(url, ''), '["\\\\\\x00-\\x1F]', '', 'g') AS u,
+  CASE WHEN page_id % 13 = 4 THEN CASE WHEN page_id % 26 = 4 THEN 'no module' ELSE 'exit 2 on p-' || page_id END
+       WHEN page_id % 11 IN (3, 7) THEN 'parse error on p-' || page_id || ': unbalanced JSON: value 1' END AS error FROM pages)"""
+ORACLES["ext_ru_errors"] = f"WITH {_PRINTED} SELECT file, error FROM printed"
+ORACLES["ext_ru_output"] = f"WITH {_PRINTED}, good AS (SELECT * FROM printed WHERE error IS NULL AND page_id % 11 NOT IN (5, 9)) SELECT file, 'hard-ban' AS severity, 'ru:Тире' AS category, substr(u || ' ×2', 1, 200) AS quote FROM good UNION ALL SELECT file, 'marker', 'ru:Канцелярит', '' FROM good"
 ORACLES["ext_ko_adapter"] = "SELECT 'p-' || page_id AS file, band AS severity, 'ko:risk_band' AS category, 'risk_band=' || band || ' risk_score=' || s || ' route_hint=' || r AS quote FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '?' ELSE ['low', 'medium', 'high'][CAST(page_id % 3 AS INTEGER) + 1] END AS band, CASE WHEN page_id % 7 = 0 THEN '?' ELSE CAST(page_id % 100 AS VARCHAR) END AS s, CASE WHEN page_id % 7 = 0 THEN '?' ELSE 'r1' END AS r FROM pages) WHERE band <> 'low'"
 ORACLES["ext_ja_adapter"] = "SELECT 'p-' || page_id AS file, CAST(page_id % 9 AS INTEGER) AS line, 'warn' AS severity, 'ja:no_chain' AS category, 'x' AS quote FROM pages UNION ALL SELECT 'p-' || page_id, NULL, NULL, 'ja:kanji_run', CAST(page_id AS VARCHAR) FROM pages"
 
@@ -520,3 +556,32 @@ _SPANISH = (
     + ")"
 )
 ORACLES["audit_spanish"] = f"WITH {_SPANISH}, {_TRIAGED} SELECT lang, tool, priority, reason IS NOT NULL AS fp_suppressed, count(*) AS n, count(DISTINCT file) AS files FROM triaged GROUP BY ALL"
+
+
+def _audited() -> str:
+    """All built-in tools on the documents of their own languages, from the SQL of each."""
+
+    def own(tool: str, lang: str, name: str, seed: str, preset: str = "NULL") -> str:
+        body = ORACLES[name].removeprefix("WITH " + seeded(seed))
+        return f"SELECT {q(tool)} AS tool, {q(lang)} AS lang, file, CAST(NULL AS INTEGER) AS line, severity, category, quote, CAST({preset} AS VARCHAR) AS preset FROM (WITH corpus AS (SELECT file, content FROM whole WHERE lang = {q(lang)}){body})"
+
+    parts = []
+    for lang in L.LANGS:
+        parts += [own("placeholder", lang, "p0_placeholders", "placeholder", "'P0'"), own("phrases", lang, f"phrases_{lang}", "phrases")]
+    parts += [own("patterns-en", "en", f"patterns_en_{c}", "en") for c in [*dict.fromkeys(r[1] for r in _RE2_RULES), "not_re2"]]
+    parts += [own("patterns-en", "en", "lexicon_en", "en"), own("metrics", "en", "metrics_findings", "metrics"), own("viet-lint", "vi", "viet_lint", "vi"), own("ja-lint", "ja", "ja_lint", "ja")]
+    parts += [own("ru-structural", "ru", f"ru_{x}", "ru") for x in ("fragment_lead", "stub_paragraph", "dash_density", "arrow_prose")]
+    parts += [own("es-lint", "es", f"es_{x}", "es") for x in ("catalog", "density", "mente", "inciso")]
+    parts += [own(f"{lang}-lint", lang, f"{lang}_lint", lang) for lang in ("th", "my", "id")]
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["audit_full"] = with_corpus(
+    "audit",
+    "SELECT lang, tool, priority, count(*) AS n, count(DISTINCT file) AS files FROM triaged GROUP BY ALL",
+    *_LANG,
+    "whole AS MATERIALIZED (SELECT lang, file, content FROM corpus JOIN detected USING (file))",
+    f"found AS ({_audited()})",
+    _TRIAGED,
+    front=True,
+)

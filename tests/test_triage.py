@@ -150,3 +150,14 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r.tool, r.quote, r.priority) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     batch = triage(scan(language.detect(markdown_files(spark, str(tmp_path / "in"))), ["en"]))
     assert got == sorted((r.tool, r.quote, r.priority) for r in batch.collect()) and len(got) == 5
+
+
+def test_outputs_of_the_outside_russian_tool(spark):
+    from prosewell.operators import scanners
+
+    rows = [("a", '{"markers":[["k","q",2],["n",null,null]],"hard_bans":[["k",1]]} {"markers":[["x","y",1]]}', 1, ""), ("b", "", 0, ""), ("c", "oops", 0, ""), ("d", "{}", 3, ""), ("e", "{}", 3, "no python"), ("f", "7", 0, None), ("g", None, None, None)]
+    results = scanners.russian_results(spark.createDataFrame(rows, "file string, stdout string, code int, stderr string"))
+    assert {r.file: r.error for r in results.collect()} == {"a": None, "b": None, "c": "parse error on c: unbalanced JSON: value 1", "d": "exit 3 on d", "e": "no python", "f": None, "g": None}
+    assert sorted((r.file, r.severity, r.category, r.quote) for r in scanners.external_russian(results).collect()) == [("a", "hard-ban", "ru:k", "q ×2"), ("a", "marker", "ru:n", "")]
+    assert [tuple(r) for r in scanners.russian_failures(results).collect()] == [("humanizer-ru", "ru", "parse error on c: unbalanced JSON: value 1")]
+    assert scanners.russian_failures(results.where("file in ('a', 'b')")).count() == 0
