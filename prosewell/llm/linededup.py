@@ -10,7 +10,8 @@ right. So
 2. index and probe keys of a range meet in one sorted pass, after equal lines of different tasks have become one
    (else a line that stands in t tasks would meet itself and its near copies t * t times). Keys that more than
    ``MANY`` lines share make no pairs there, but a row for each of their lines: the rows are in proportion to the
-   probe keys, whatever a group's size;
+   probe keys, whatever a group's size. What a task already knows to be crowded goes past the ranges, so that a key which
+   very many lines share is no one task's work;
 3. the lines that share such a crowded key are all compared with one of them only, the pivot: of a sample of
    ``SAMPLE`` the one that agrees with the others the longest; keys with the same pivot are one group. From left
    to right, a line is read along the pivot; where it deviates, up to ``edits`` edits take it on, in each possible
@@ -23,7 +24,7 @@ right. So
    of those that are made twice, and only these become rows. Pairs are made within keys of ``MANY`` rows or fewer
    and within equal rests, for ``ROUNDS`` rounds. What is left then, or once it makes no more pairs than there were
    lines at first, is compared in full;
-4. texts are fetched for lines of such pairs and keys only - a bitmap of fixed size marks them, so the others never
+4. texts are fetched for lines of such pairs and keys only - a bitmap marks them, so the others never
    leave their task - and a banded bit-parallel edit distance decides.
 
 A line goes if the same line stands earlier (smaller doc_id, then smaller line number), or if a near copy of
@@ -58,8 +59,17 @@ EDITS, MIN_CHARS = 2, 30
 MANY, ROUNDS, SAMPLE = 8, 6, 16
 #: Keys that a task holds before it sends them, and that a range of keys has at most, or about so many.
 KEYS = 1_000_000
-#: Bits of the bitmaps; parts in which one of them is made.
-BITMAP, PARTS = 1 << 27, 64
+#: Members of crowded keys that go out as one row.
+MEMBERS = 50_000
+#: Bits of a bitmap for each value, and of a bitmap at least and at most; bits of a part in which one of them is made.
+BITS_EACH, LEAST_BITS, MOST_BITS, PART_BITS = 16, 1 << 20, 1 << 31, 1 << 21
+
+
+def _bits(n: int) -> int:
+    """Bits of a bitmap of n values: 16 for each, so that it stays sparse, up to 256 MB (then more values than wanted pass, no fewer)."""
+    return min(max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length() if n else 0), MOST_BITS)
+
+
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
 
@@ -154,7 +164,7 @@ def _keys(lines: _Lines, which: np.ndarray, edits: int, min_chars: int):
 
 
 def _is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    bit = np.mod(values, BITMAP)
+    bit = np.mod(values, 8 * len(bits))
     return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -216,11 +226,12 @@ def _lines(docs: DataFrame, min_chars: int, every: bool) -> DataFrame:
 
 
 def _marked(values: DataFrame) -> np.ndarray | None:
-    """Bits of the 64-bit values in column v, of a fixed size, whatever their number. None if there are none."""
-    words = values.select(F.expr(f"cast(pmod(v, {BITMAP}) as long)").alias("bit")).select(F.expr("bit div 64").cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    """Bits of the 64-bit values in column v. None if there are none."""
+    size = _bits(values.count())
+    words = values.select(F.expr(f"cast(pmod(v, {size}) as long)").alias("bit")).select(F.expr("bit div 64").cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     if not len(words):
         return None
-    bits = np.zeros(BITMAP // 64, np.int64)
+    bits = np.zeros(size // 64, np.int64)
     bits[words["w"].to_numpy()] = words["m"].to_numpy()
     return bits.view(np.uint8)
 
@@ -234,12 +245,47 @@ def _first_of_each(*columns: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], differ])] if len(order) else order
 
 
-def _sent_keys(docs: DataFrame, edits: int, min_chars: int, ranges: int) -> DataFrame:
-    """part, own, keys, lines: the keys of all lines, packed for each of ``ranges`` even ranges of them."""
+def _crowded_here(key: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys that more than MANY different lines of sorted ``key`` share, in order; which rows are of such a key and not among its first MANY + 1)."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([starts, [len(key)]]))
+    often, spare = [], np.zeros(len(key), bool)
+    for k in np.flatnonzero(size > MANY).tolist():
+        at = np.arange(starts[k], starts[k] + size[k])
+        first = at[np.unique(line[at], return_index=True)[1]]
+        if len(first) > MANY:
+            often.append(key[starts[k]])
+            spare[at] = True
+            spare[first[: MANY + 1]] = False
+    return np.array(often, np.uint64), spare
+
+
+def _labels(spark, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for ranges of keys and for as many parts of members, such that a shuffle by them gives each of its partitions as many as any other."""
+    n = parts(spark)
+    each = -(-2 * ranges // n)
+    of: dict[int, list[int]] = {}
+    more = 8 * (each + 8)
+    for r in spark.range(n * more).select(F.col("id").cast("int").alias("k"), F.expr(f"pmod(hash(cast(id as int)), {n})").alias("p")).collect():  # in proportion to the ranges
+        of.setdefault(r.p, []).append(r.k)
+    dealt = [of[k % n][k // n] if len(of.get(k % n, ())) > k // n else n * more + k for k in range(2 * ranges)]
+    return np.array(dealt[:ranges], np.int32), np.array(dealt[ranges:], np.int32)
+
+
+def _sent_keys(docs: DataFrame, edits: int, min_chars: int, ranges: int, labels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """part, own, keys, lines: the keys of all lines, packed for each of ``ranges`` even ranges of them.
+
+    A key that is crowded within what a task holds is crowded for good: the task sends MANY + 1 of its lines to the
+    range, which mark it there, and all others as members (``own`` is null), to parts that any task can take. So what a range
+    gets of one key does not grow with the lines that share it, but with the number of tasks.
+    """
     bounds = np.array([k * (1 << 64) // ranges for k in range(1, ranges)], np.uint64)
     held = []  # each task has its own
+    turn = [0]
+    names = ["part", "own", "keys", "lines"]
 
     def packed():
+        often, spared = np.zeros(0, np.uint64), []
         for own in (True, False):
             found = [x for x in held if x[2] == own]
             if not found:
@@ -247,12 +293,25 @@ def _sent_keys(docs: DataFrame, edits: int, min_chars: int, ranges: int) -> Data
             key, line = (np.concatenate([x[k] for x in found]) for k in (0, 1))
             order = np.argsort(key)
             key, line = key[order], line[order]
+            if own:
+                often, spare = _crowded_here(key, line)
+            else:
+                at = np.minimum(np.searchsorted(often, key), max(len(often) - 1, 0))
+                spare = often[at] == key if len(often) else np.zeros(len(key), bool)
+            spared.append((key[spare], line[spare]))
+            key, line = key[~spare], line[~spare]
             cuts = np.concatenate([[0], np.searchsorted(key, bounds), [len(key)]])
-            at = pa.array(np.flatnonzero(np.diff(cuts)).astype(np.int32))
+            at = np.flatnonzero(np.diff(cuts))
             offsets = pa.py_buffer((8 * cuts).astype(np.int32).tobytes())
-            columns = [pa.Array.from_buffers(pa.binary(), ranges, [None, offsets, pa.py_buffer(x.tobytes())]).take(at) for x in (key, line)]
-            yield pa.RecordBatch.from_arrays([at, pa.array(np.full(len(at), own)), *columns], ["part", "own", "keys", "lines"])
+            columns = [pa.Array.from_buffers(pa.binary(), ranges, [None, offsets, pa.py_buffer(x.tobytes())]).take(pa.array(at)) for x in (key, line)]
+            yield pa.RecordBatch.from_arrays([pa.array(labels[0][at]), pa.array(np.full(len(at), own)), *columns], names)
         held.clear()
+        key, line = (np.concatenate([np.zeros(0, t), *(x[k] for x in spared)]) for k, t in ((0, np.uint64), (1, np.int64)))
+        for start in range(0, len(key), MEMBERS):
+            some = slice(start, start + MEMBERS)
+            turn[0] += 1
+            part = labels[1][(turn[0] * 7919 + int(line[start]) % 104729) % ranges]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.bool_()), pa.array([key[some].tobytes()], pa.binary()), pa.array([line[some].tobytes()], pa.binary())], names)
 
     def rows(b, at, lines, which, ids):
         of = np.zeros(len(lines.start), np.int64)
@@ -269,8 +328,8 @@ def _met(sent: DataFrame) -> DataFrame:
     many = MANY
 
     def meet(table):
-        own = np.array(table["own"].to_pylist(), bool)
-        side = lambda name, which, kind: np.frombuffer(b"".join(x for x, o in zip(table[name].to_pylist(), own, strict=True) if o == which), kind)
+        own = table["own"].to_pylist()
+        side = lambda name, which, kind: np.frombuffer(b"".join(x for x, o in zip(table[name].to_pylist(), own, strict=True) if o is which), kind)
         key, line = side("keys", True, np.uint64), side("lines", True, np.int64)
         one = _first_of_each(key, line)
         key, line = key[one], line[one]
@@ -292,7 +351,8 @@ def _met(sent: DataFrame) -> DataFrame:
         a, b = np.minimum(of, other), np.maximum(of, other)
         pairs = np.flatnonzero(a != b)
         pairs = pairs[_first_of_each(a[pairs], b[pairs])]
-        found = [a[pairs], b[pairs], None], [members[0], None, members[1]]
+        direct = side("lines", None, np.int64), side("keys", None, np.uint64).view(np.int64)
+        found = [a[pairs], b[pairs], None], [members[0], None, members[1]], [direct[0], None, direct[1]]
         return pa.concat_tables([pa.table([pa.nulls(len(x[0]), pa.int64()) if c is None else pa.array(c) for c in x], ["a", "b", "key"]) for x in found])
 
     return sent.groupBy("part").applyInArrow(meet, "a long, b long, key long")
@@ -471,14 +531,17 @@ def _read_on(b: pa.RecordBatch):
         yield id_, key, edited, found
 
 
-def _packed(batches):
-    """Rows part, bits: the bits of the new keys of a batch's lines, packed for each part of the bitmap; the bit of keys that two lines or more make is there twice."""
-    for b in batches:
-        keys = [k for *_, found in _read_on(b) for k in {k for k, _, _ in found}]
-        bit, n = np.unique(np.mod(np.array(keys, np.int64), BITMAP), return_counts=True)
-        bit = np.repeat(bit, np.minimum(n, 2)).astype(np.uint64)
-        part, first = np.unique(bit // np.uint64(BITMAP // PARTS), return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([pack_sorted(x) for x in np.split(bit, first[1:])][: len(part)], pa.binary())], ["part", "bits"])
+def _packer(size: int):
+    def run(batches):
+        """Rows part, bits: the bits of the new keys of a batch's lines, packed for each part of the bitmap; the bit of keys that two lines or more make is there twice."""
+        for b in batches:
+            keys = [k for *_, found in _read_on(b) for k in {k for k, _, _ in found}]
+            bit, n = np.unique(np.mod(np.array(keys, np.int64), size), return_counts=True)
+            bit = np.repeat(bit, np.minimum(n, 2)).astype(np.uint64)
+            part, first = np.unique(bit // np.uint64(PART_BITS), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([pack_sorted(x) for x in np.split(bit, first[1:])][: len(part)], pa.binary())], ["part", "bits"])
+
+    return run
 
 
 def _set_twice(batches):
@@ -491,19 +554,20 @@ def _set_twice(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["bits"])
 
 
-def _made_twice(rows: DataFrame):
+def _made_twice(rows: DataFrame, edits: int):
     """Broadcast bitmap of the new keys (see ``_read_on``) that two of the rows or more make; most keys are one line's own."""
-    by_part = rows.mapInArrow(_packed, "part int, bits binary").groupBy("part").agg(F.collect_list("bits").alias("lists"))
-    bits = np.zeros(BITMAP // 8, np.uint8)
+    size = _bits(rows.count() * sum(3**k for k in range(edits + 1)))
+    by_part = rows.mapInArrow(_packer(size), "part int, bits binary").groupBy("part").agg(F.collect_list("bits").alias("lists"))
+    bits = np.zeros(size // 8, np.uint8)
     for x in by_part.mapInArrow(_set_twice, "bits binary").toArrow()["bits"].to_pylist():
         bit = unpack_sorted(x)
         np.bitwise_or.at(bits, bit >> np.uint64(3), np.left_shift(1, (bit & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
     return rows.sparkSession.sparkContext.broadcast(bits)
 
 
-def _along_pivots(rows: DataFrame) -> DataFrame:
+def _along_pivots(rows: DataFrame, edits: int) -> DataFrame:
     """The new keys (_STATES) of the rows, but for those that only one of them makes."""
-    twice = _made_twice(rows)
+    twice = _made_twice(rows, edits)
 
     def run(batches):
         for b in batches:
@@ -542,7 +606,8 @@ def _crowded_links(members: DataFrame, texts: DataFrame, edits: int) -> DataFram
         if not turn:  # keys with the same pivot are one group: any two of its lines may be near
             rows = rows.withColumn("key", F.xxhash64("b")).dropDuplicates(["key", "id"])
         rows = rows.join(words, "id").join(pivot, "b").select("id", "key", "at", "used", "edited", "words", "pivot_at", "pivot", F.lit(edits).alias("edits"))
-        states = stored(_along_pivots(rows), "states")
+        rows = stored(rows, "along")
+        states = stored(_along_pivots(rows, edits), "states")
         several = states.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
         shared = stored(states.join(several.select("key", (F.col("n") > MANY).alias("crowded")), "key"), "members")
         light, dense, members = (shared.where(x).drop("crowded") for x in ("not crowded", "crowded and exact", "crowded and not exact"))
@@ -569,7 +634,7 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     first = stored(places.groupBy("id").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")), "first")
     keys_each = (edits + 1) * (edits + 2)  # of a line, at most: 12 for two edits
     ranges = max(2 * parts(docs.sparkSession), keys_each * first.count() // KEYS + 1)
-    met = stored(_met(_sent_keys(docs, edits, min_chars, ranges)), "met")
+    met = stored(_met(_sent_keys(docs, edits, min_chars, ranges, _labels(docs.sparkSession, ranges))), "met")
     pairs = stored(met.where("key is null").select("a", "b").distinct(), "pairs")
     crowded = met.where("key is not null").select("key", F.col("a").alias("line"))
     every_line = [x.select(F.col(c).alias("v")) for x, c in ((pairs, "a"), (pairs, "b"), (crowded, "line"))]
@@ -634,9 +699,13 @@ def document_report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     return out.select("doc_id", "n_lines", (F.size(gone) - near + F.size(short)).cast("long").alias("n_exact"), near.cast("long").alias("n_near"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least(F.coalesce("first_doc_id", "doc_id"), F.col("doc_id")).alias("class_id"), gone.alias("dropped"), short.alias("short_repeats"))
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without their repeated lines; documents of which no character is left go. Columns stay as they are."""
-    drop, _ = repeated_lines(docs, edits, min_chars, doc_id, text)
+def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text", short_repeats: bool = False) -> DataFrame:
+    """``docs`` without their repeated lines; documents of which no character is left go. Columns stay as they are.
+
+    With ``short_repeats`` exact repeats of lines under ``min_chars`` that are not blank go, too.
+    """
+    found = _decisions(docs, edits, min_chars, doc_id, text, short_repeats)
+    drop = found.where("drop or short" if short_repeats else "drop")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # so no name of theirs meets one of ours
     whole = whole.select("row", F.col("row")[doc_id].cast("long").alias("doc_id"), F.col("row")[text].cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     per = _per_document(drop).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "dropped")

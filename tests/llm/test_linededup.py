@@ -226,3 +226,41 @@ def test_every_pair_within_two_edits_meets(spark, length):
     variants = [v for v in variants if len(v) >= 30 and linededup.within(line, v, 2) <= 2]
     docs = spark.createDataFrame([(0, line), *((k + 1, v) for k, v in enumerate(variants))], "doc_id long, text string")
     assert sum(len(r.dropped) for r in linededup.document_report(docs).collect()) == len(variants)
+
+
+def test_a_segment_that_all_lines_share(spark):
+    """More lines than a task keeps of one key: what goes past the ranges gives the same links, from one task or many."""
+    rnd = random.Random(11)
+    head = "2026-01-01 00:00:00 INFO prefix of every line "
+    tails = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(20, 24))) for _ in range(260)]
+    near = [t[:5] + rnd.choice("XYZ") + t[6:] for t in tails[:40]]
+    lines = [head + t for t in tails] + [head + t for t in near]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = {(i, k) for i in range(len(lines)) for k in range(i + 1, len(lines)) if abs(len(lines[i]) - len(lines[k])) <= 2 and linededup.within(lines[i], lines[k], 2) <= 2}
+    assert len(want) >= 40
+    for n in (1, 7):
+        report = linededup.document_report(docs.repartition(n)).collect()
+        links = {r.doc_id: r.n_links for r in report}
+        assert links == {i: sum(i in pair for pair in want) for i in range(len(lines))}
+        assert {r.doc_id for r in report if r.dropped} == {k for _, k in want}
+
+
+def test_short_repeats_go_where_asked(spark):
+    rows = [(1, "# Notes\n}\n\n"), (2, "}\n# notes\n# Notes\n\nown"), (3, "}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, linededup.deduplicated(docs).collect())) == rows
+    assert sorted(map(tuple, linededup.deduplicated(docs, short_repeats=True).collect())) == [(1, "# Notes\n}\n\n"), (2, "# notes\n\nown")]
+
+
+def test_labels_deal_ranges_out_evenly(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    for ranges in (3, 25, 102):
+        own, members = linededup._labels(spark, ranges)
+        assert len({*own.tolist(), *members.tolist()}) == 2 * ranges
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for some in (own, members):
+            dealt = Counter(r.p for r in spark.createDataFrame([(int(k),) for k in some], "k int").select(F.expr(f"pmod(hash(k), {n})").alias("p")).collect())
+            assert max(dealt.values()) <= -(-ranges // n) + 1
