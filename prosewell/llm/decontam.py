@@ -10,7 +10,7 @@ Three native steps, no Python on the executors:
    same alignment and the words around agree, and a proximity match where their alignments differ by
    ``slop`` at most.
 
-Only test-side tables are broadcast, behind a count of the items' words (``BROADCAST_WORDS``); beyond it
+Only test-side tables are broadcast, behind a count of the items and their words (``BROADCAST_WORDS``); beyond it
 the same joins shuffle, and the words around a posting are fetched afterwards by document, so that no row of a
 shuffle by term holds more than its term and place. A window with a term that no text holds is dropped at once.
 
@@ -73,7 +73,7 @@ def build_index(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Inde
     texts = stored(named.select("words").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
     ids = named.join(texts, "words").select("item_id", "item")
     total = texts.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    small = total <= BROADCAST_WORDS
+    small = max(total, named.count()) <= BROADCAST_WORDS  # many items can have one text
     terms = texts.select(F.explode("words").alias("term")).distinct()
     tokens = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
     frequency = tokens.select(F.explode("words").alias("term")).join(_maybe_broadcast(terms, small), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
