@@ -7,7 +7,7 @@ broadcast; scoring is sparse, per batch, in numpy.
 Defined cases: a null text or one without a letter (of Unicode's letter categories; numbers such as one half
 are none) is ``und`` with score 0; so is every text if no
 labelled text was there. Rows with a null label do not train. Equal posteriors go to the language
-that sorts first. Repeated rows count as often as they come. Other columns are never read; those of a
+that sorts first. More than ``MAX_LANGUAGES`` labels raise ValueError. Repeated rows count as often as they come. Other columns are never read; those of a
 caller are passed through untouched.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 from prosewell.llm.common import modest_batches, slices
 
 BUCKETS = 1 << 16
+#: Labels at most: the matrix has a row of half a megabyte for each.
+MAX_LANGUAGES = 256
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 _ASCII = np.full(128, 32, np.uint32)
@@ -92,6 +94,9 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", smoothin
             )
 
     modest_batches(labelled.sparkSession)
+    some = labelled.select(F.col(label).cast("string").alias("y")).where("y is not null").distinct().limit(MAX_LANGUAGES + 1).count()
+    if some > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     pairs = labelled.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y")).where("y is not null")
     rows = pairs.mapInArrow(count, "y string, b int, n long").groupBy("y", "b").agg(F.sum("n").alias("n")).toArrow()
     y, b, n = rows["y"].to_pylist(), rows["b"].to_numpy(), rows["n"].to_numpy()
