@@ -13,7 +13,7 @@ against all rows), which returns at most k rows per query, and a last step keeps
 vectors are ever rows of a shuffle. A query for which fewer than k rows lie within the radius is searched
 again at the full radius, so it gets k rows or all candidates.
 
-Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, as
+Defined cases: rows with a null id, and vectors that are null, empty, zero or hold a null or non-finite component take no part, as
 queries or candidates; so do those whose dimension isn't the index's (the most common one, the smaller if
 equal; no inner product with the others is defined). Ties in score go to the smaller id. Equal vectors are
 separate candidates. Rows that repeat an id are queries and candidates each for itself: a query leaves out its

@@ -21,7 +21,9 @@ grains, with different hashes below: (df, h), (log2 df, h'), (log2 df / 2, h'').
 
 Words are told apart by 64 bits (see ``common.words_hashed``), tokens by 48 bits of a 64-bit hash: for two sets
 of 500 tokens the odds of one false agreement are about 1e-9. Sets are told apart by their size and a 64-bit sum
-of token hashes.
+of token hashes: some two of n different sets of one size agree with odds of about n * n / 2**65 (1e-7 for two million,
+0.03 for a billion), and would then be one; sets of different sizes are mixed with them, so all of n documents count only
+if they are of one size.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own component; fewer
 words than five are one token; equal sets are one component; rows of the same doc_id are treated as
