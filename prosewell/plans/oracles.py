@@ -585,3 +585,8 @@ ORACLES["audit_full"] = with_corpus(
     _TRIAGED,
     front=True,
 )
+for _name, _corpus in (
+    ("audit_conversations", "SELECT 'conv-' || conv_id || '-' || turn AS file, coalesce(text, '') AS content FROM conversations"),
+    ("audit_pages", "SELECT 'page-' || page_id || '.md' AS file, coalesce(html, '') AS content FROM pages"),
+):
+    ORACLES[_name] = ORACLES["audit_full"].replace(seeded("audit", True), f"corpus AS ({_corpus})", 1).replace("SELECT lang, tool, priority, count", "SELECT lang, tool, category, priority, count")

@@ -19,7 +19,7 @@ from prosewell.operators.triage import triage, with_gate
 from prosewell.plans.audit import audit, scan
 from prosewell.plans.seeds import SEEDS
 from prosewell.sources import catalogs
-from prosewell.sources.files import excluded
+from prosewell.sources.files import excluded, table_documents
 from prosewell.sources.json_values import concatenated
 from prosewell.sources.splits import spread
 
@@ -478,3 +478,21 @@ def audit_full(spark, sf_dir):
     """The full audit with detected languages, by language, tool and priority."""
     found = audit(corpus(spark, sf_dir, "audit", True)).findings
     return found.groupBy("lang", "tool", "priority").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
+
+
+def _audit_of(docs: DataFrame) -> DataFrame:
+    found = audit(docs).findings
+    return found.groupBy("lang", "tool", "category", "priority").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
+
+
+@query
+def audit_conversations(spark, sf_dir):
+    """The audit of every turn of every conversation, as it is."""
+    turns = spread(table(spark, sf_dir, "conversations"))
+    return _audit_of(turns.select(F.concat_ws("-", F.lit("conv"), "conv_id", "turn").alias("file"), F.coalesce("text", F.lit("")).alias("content")))
+
+
+@query
+def audit_pages(spark, sf_dir):
+    """The audit of every page's markup, as it is."""
+    return _audit_of(table_documents(spread(table(spark, sf_dir, "pages")), "page_id", "html", "page"))
