@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -48,12 +49,11 @@ class Audit:
 
 def scan(documents: DataFrame, langs: list[str] | None = None, tools: list[str] | None = None) -> DataFrame:
     """Findings of the built-in scanners on documents (file, content, lang); each document is read once, by all tools of its language."""
-    frames = []
-    for lang in LANGS if langs is None else langs:
-        mine = [tool for tool, reads in TOOLS if tool in HITS and lang in reads and (tools is None or tool in tools)]
-        if mine:
-            frames.append(fused(documents.where(F.col("lang") == lang), lang, mine))
-    return union(frames)
+    asked = [(lang, [tool for tool, reads in TOOLS if tool in HITS and lang in reads and (tools is None or tool in tools)]) for lang in (LANGS if langs is None else langs)]
+    asked = [(lang, mine) for lang, mine in asked if mine]
+    # building and analysing a plan of so many rules takes longer than starting it: languages side by side
+    with ThreadPoolExecutor(len(asked) or 1) as pool:
+        return union(list(pool.map(lambda x: fused(documents.where(F.col("lang") == x[0]), *x), asked)))
 
 
 def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | DataFrame | None = None, external: dict[str, DataFrame] | None = None, langs: list[str] | None = None, workdir: str | None = None, failures: DataFrame | None = None, registry: Registry | None = None) -> Audit:
