@@ -8,7 +8,7 @@ from prosewell.plans.oracles import ORACLES
 from prosewell.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["lang_detect", "lang_path", "fence_mask", "ru_paragraphs", "p0_placeholders", "phrases_ja", "patterns_en_contrast", "lexicon_en", "es_mente", "id_lint", "ru_fragment_lead", "text_metrics", "score_verdict", "metrics_findings", "ext_ja_errors", "tool_runs_failed", "summary_failed", "triage_priority", "report_summary", "audit_spanish"]
+NAMES = ["lang_detect", "lang_path", "fence_mask", "ru_paragraphs", "p0_placeholders", "phrases_ja", "patterns_en_contrast", "lexicon_en", "es_mente", "id_lint", "ru_fragment_lead", "text_metrics", "score_verdict", "metrics_findings", "ext_ja_errors", "tool_runs_failed", "summary_failed", "triage_priority", "report_summary", "audit_spanish", "phrases_dictionary", "suppression_table", "findings_order", "catalog_runtime", "json_values", "ext_ru_output", "ext_ru_errors", "patterns_en_not_re2"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
