@@ -77,6 +77,8 @@ def _multiplier(exact: bool):
         names = [x.split()[0] for x in _PARTIAL.split(", ")]
         if not len(a) or not len(b):
             return pd.DataFrame({c: [] for c in names})
+        # rows of a shuffled group come in any order: the chunks of a cell must agree on one, or their tiles add up products of different rows
+        a, b = a.sort_values("row"), b.sort_values("row")
         x, y = np.stack(a["q"].to_numpy()), np.stack(b["q"].to_numpy())
         # products in double precision are exact below 2**53, and faster
         tile = (x.astype(float) @ y.astype(float).T).astype(np.int64) if exact else x.astype(np.int64) @ y.astype(np.int64).T

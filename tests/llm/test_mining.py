@@ -81,6 +81,24 @@ def test_partial_tiles_survive_their_bytes():
     assert hardnegatives.first_of(s, 5).tolist() == [1, 2, 4, 21, 0]
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_the_chunks_of_a_cell_agree_on_the_order_of_rows(exact):
+    """A shuffle over several executors hands a cell's rows over in another order for each chunk of dimensions."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-300, 300, (6, 64)), rng.integers(-300, 300, (9, 64))
+
+    def side(q, first, chunk, **more):
+        rows = pd.DataFrame({"ab": 0, "rb": 0, "chunk": chunk, "row": range(first, first + len(q)), "label": 1, "q": list(q[:, 32 * chunk : 32 * chunk + 32]), **{k: list(v) for k, v in more.items()}})
+        return rows.sample(frac=1, random_state=chunk + first)
+
+    partial = pd.concat([hardnegatives._multiplier(exact)(side(a, 100, c, positives=[[]] * 6), side(b, 200, c, id=range(200, 209))) for c in (0, 1)])
+    got = hardnegatives._reducer(3, False)(partial)
+    want = [(100 + n, 200 + int(k), int(s[k])) for n, s in enumerate(a @ b.T) for k in np.argsort(-s, kind="stable")[:3]]
+    assert [tuple(map(int, r)) for r in got[["anchor_row", "id", "score"]].to_numpy()] == want
+
+
 def test_hard_negatives_of_long_integers(spark):
     """Products beyond 2**53, where doubles are no longer exact."""
     rng = random.Random(9)
