@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosewell.catalogs.languages import LANGS
@@ -56,6 +56,24 @@ def scan(documents: DataFrame, langs: list[str] | None = None, tools: list[str]
         return union(list(pool.map(lambda x: fused(documents.where(F.col("lang") == x[0]), *x), asked)))
 
 
+def work_path(spark: SparkSession, workdir: str | None = None) -> str | None:
+    """A new folder of an audit under ``workdir`` (or ``spark.checkpoint.dir``), or None where neither is set."""
+    folder = workdir or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{folder.rstrip('/')}/audit-{uuid.uuid4().hex}" if folder else None
+
+
+def routed(docs: DataFrame, override: str | None = None, path: str | None = None) -> DataFrame:
+    """``docs`` with their language, detected once: written by language to the folder ``path``, or persisted where there is none.
+
+    The scanners of each language then read their own documents; without this, each would detect all of them again.
+    """
+    found = language.detect(spread(docs), override=override)
+    if not path:
+        return found.persist(StorageLevel.MEMORY_AND_DISK)
+    found.write.partitionBy("lang").parquet(f"{path}/documents")
+    return docs.sparkSession.read.schema(found.schema).parquet(f"{path}/documents")
+
+
 def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | DataFrame | None = None, external: dict[str, DataFrame] | None = None, langs: list[str] | None = None, workdir: str | None = None, failures: DataFrame | None = None, registry: Registry | None = None) -> Audit:
     """Audit documents (file, content). ``override`` sets the language of all; ``external`` has findings by outside tool.
 
@@ -69,15 +87,9 @@ def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | Data
     Where neither is set (a local session) both are persisted instead.
     """
     given = external or {}
-    found = language.detect(spread(docs), override=override)
     spark = docs.sparkSession
-    folder = workdir or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{folder.rstrip('/')}/audit-{uuid.uuid4().hex}" if folder else None
-    if path:
-        found.write.partitionBy("lang").parquet(f"{path}/documents")
-        found = spark.read.schema(found.schema).parquet(f"{path}/documents")
-    else:
-        found = found.persist(StorageLevel.MEMORY_AND_DISK)
+    path = work_path(spark, workdir)
+    found = routed(docs, override, path)
     wanted = [override] if override else (langs or LANGS)
     findings = union([scan(found, wanted), *given.values()])
     if registry is not None:

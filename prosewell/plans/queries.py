@@ -16,7 +16,7 @@ from prosewell.functions import language, textmetrics
 from prosewell.operators import lines as line_ops
 from prosewell.operators import dictionary, order, registry, report, scanners
 from prosewell.operators.triage import triage, with_gate
-from prosewell.plans.audit import audit, scan
+from prosewell.plans.audit import audit, routed, scan, work_path
 from prosewell.plans.seeds import SEEDS
 from prosewell.sources import catalogs
 from prosewell.sources.files import excluded, table_documents
@@ -430,8 +430,9 @@ def suppression_table(spark, sf_dir):
 @query
 def findings_order(spark, sf_dir):
     """The place of every finding of phrases, Thai and Japanese rules in the order of a report, with detected languages."""
-    found = language.detect(corpus(spark, sf_dir, "audit", True))
-    findings = scan(found, tools=["phrases", "th-lint", "ja-lint"])
+    found = routed(corpus(spark, sf_dir, "audit", True), path=work_path(spark))
+    # a range sort reads its input twice, once for the sample of its bounds
+    findings = order.kept(scan(found, tools=["phrases", "th-lint", "ja-lint"]), "findings")
     return order.positions(findings, language.buckets(found)).select("position", "lang", "tool", "file", "line", "category", "quote")
 
 
