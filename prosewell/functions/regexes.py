@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: White space as the rules mean it, as the inside of a character class.
 SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 #: Non-ASCII letters, digits and marks would be word characters to Spark.
-_MASKED = r"[\p{L}\p{N}\p{Mn}&&[^\x00-\x7F\uFE0F]]"
+_MASKED = r"[[^\x00-\x7F\uFE0F]&&[\p{L}\p{N}\p{Mn}]]"
 _FLAGS = re.compile(r"\(\?([a-z]+)\)")
 
 
@@ -30,13 +30,22 @@ def masked(text: Column) -> Column:
     return F.regexp_replace(text, _MASKED, "\uFFFC")
 
 
+#: The characters of ``SPACES``, one by one.
+WHITE = "\t\n\x0B\f\r \u00A0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
+
 def trimmed(text: Column) -> Column:
-    """Text without white space at its ends."""
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+\\z", "")
+    """Text without white space at its ends; only the ends are looked at, where a regex would be tried at every place."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def trimmed_left(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WHITE))
 
 
 def collapsed(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACES}]+", " ")
+    """Each run of white space as one space; single spaces, the rule, are not replaced by themselves."""
+    return F.regexp_replace(text, f"[{SPACES.replace(' ', '')}][{SPACES}]*| [{SPACES}]+", " ")
 
 
 def flags_of(pattern: str) -> tuple[str, set[str]]:
@@ -144,6 +153,31 @@ def holds_one_sql(lowered: str, literals: list[str] | None) -> str:
     return "(" + " OR ".join(f"contains({lowered}, {literal(x)})" for x in literals) + ")"
 
 
+def _trie(literals: list[str], crowded: int = 6) -> str:
+    """A regex of the longest of the literals that stand at a place, by their common beginnings."""
+    heads: dict[str, list[str]] = {}
+    for x in literals:
+        if x:
+            heads.setdefault(x[0], []).append(x[1:])
+    options = [(c, re.escape(c) + (_trie(rest) if rest != [""] else "")) for c, rest in sorted(heads.items())]
+    if len(options) > crowded:  # branches are tried one after the other, so many of them stand behind classes
+        groups = [options[k : k + crowded] for k in range(0, len(options), crowded)]
+        found = [f"(?=[{''.join(re.escape(c) for c, _ in g)}])(?:{'|'.join(x for _, x in g)})" for g in groups]
+    else:
+        found = [x for _, x in options]
+    return f"(?:{'|'.join(found + ([''] if '' in literals else []))})"
+
+
+def literals_sql(lowered: str, literals: list[str]) -> str:
+    """array<string>: at each place of the lower-cased text the longest of the literals that stands there, all in one pass."""
+    return f"array_distinct(regexp_extract_all({lowered}, {literal('(?=(' + _trie(literals) + '))')}, 1))"
+
+
+def holds_one_of_sql(found: str, wanted: list[str], literals: list[str]) -> str:
+    """``holds_one_sql`` on the array of ``literals_sql``: a literal is there if one that begins with it was found."""
+    return f"arrays_overlap({found}, array({', '.join(literal(x) for x in literals if x.startswith(tuple(wanted)))}))"
+
+
 def occurrences_sql(text: str, needle: str) -> str:
     """``occurrences`` as SQL."""
     n = literal(needle)

@@ -27,7 +27,7 @@ def word_tokens(text: Column) -> Column:
 
 def _parts(text: Column) -> Column:
     """White space collapsed, cut after . ! ? before a space."""
-    return F.split(trimmed(collapsed(text)), r"(?<=[.!?]) +")
+    return F.split(F.trim(collapsed(text)), r"(?<=[.!?]) +")
 
 
 def sentences(text: Column) -> Column:
@@ -35,9 +35,9 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(_parts(text), trimmed), lambda s: F.lower(s).rlike("[a-z0-9]"))
 
 
-def sentence_lengths(text: Column) -> Column:
-    """Tokens of each sentence that holds one, counted without building them."""
-    return F.filter(F.transform(_parts(text), lambda s: F.regexp_count(F.lower(s), F.lit(TOKEN))), lambda n: n > 0)
+def sentence_lengths(lowered: Column) -> Column:
+    """Tokens of each sentence of a lower-cased text that holds one, counted without building them."""
+    return F.filter(F.transform(_parts(lowered), lambda s: F.regexp_count(s, F.lit(TOKEN))), lambda n: n > 0)
 
 
 def syllables(word: Column) -> Column:
@@ -93,6 +93,20 @@ def mattr(n: Column, ordered: Column, ratio: Column, window: int = M.WINDOW) ->
     return F.when(n <= window, ratio).otherwise(total / (window * windows).cast("double"))
 
 
+def total_syllables(tokens: Column) -> Column:
+    """The sum of ``syllables`` over tokens, counted on all of them at once.
+
+    Digits and apostrophes go; then words of one to three letters count one each, and of the others those without
+    a vowel behind the cut of their ends count one, too.
+    """
+    letters = F.translate(F.array_join(tokens, " "), "0123456789'", "")
+    long = F.regexp_replace(letters, r"(?<![a-z])[a-z]{1,3}(?![a-z])", "")
+    stems = F.regexp_replace(F.regexp_replace(long, r"(?:[bcdfghjkmnpqrstvwxz]es|ed|[bcdfghjkmnpqrstvwxz]e)(?![a-z])", ""), r"(?<![a-z])y", "")
+    short = F.regexp_count(letters, F.lit(r"(?<![a-z])[a-z]{1,3}(?![a-z])"))
+    voiced = F.regexp_count(stems, F.lit(r"(?<![a-z])[a-z]*?[aeiouy][a-z]*+"))
+    return short + F.regexp_count(long, F.lit("[a-z]++")) - voiced + F.regexp_count(stems, F.lit("[aeiouy]{1,2}"))
+
+
 def trigram_repetition(tokens: Column) -> Column:
     """Share of word trigrams that repeat an earlier one."""
     n = F.size(tokens)
@@ -103,7 +117,8 @@ def trigram_repetition(tokens: Column) -> Column:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """Adds tier1, tier2, phrase_tells and density from __text and tokens."""
     n = F.size("tokens")
-    count = lambda words: F.size(F.filter("tokens", lambda t: t.isin(*words)))
+    # a look for any of the words is fast, a count goes through all tokens
+    count = lambda words: F.when(F.arrays_overlap("tokens", F.array(*map(F.lit, words))), F.size(F.filter("tokens", lambda t: t.isin(*words)))).otherwise(0)
     lowered = F.lower("__text")
     phrases = sum((occurrences(lowered, p) for p in M.PHRASES[1:]), occurrences(lowered, M.PHRASES[0]))
     docs = docs.withColumns({"tier1": count(M.TIER1), "tier2": count(M.TIER2), "phrase_tells": phrases})
@@ -119,9 +134,10 @@ def analyze(docs: DataFrame, content: str = "content", ignore_code: bool = False
     """``docs`` with the columns of METRICS. A null text counts as empty."""
     kept = docs.columns
     d = docs.withColumn("__text", strip_marked(F.coalesce(F.col(content), F.lit("")), ignore_code, ignore_quotes))
-    d = d.withColumns({"tokens": word_tokens(F.col("__text")), "lengths": sentence_lengths(F.col("__text"))})
+    d = d.withColumn("__lowered", F.lower("__text"))
+    d = d.withColumns({"tokens": F.regexp_extract_all("__lowered", F.lit(TOKEN), F.lit(0)), "lengths": sentence_lengths(F.col("__lowered"))})
     d = vocabulary(d.withColumn("ordered", sorted_tokens(F.col("tokens"))))
-    d = d.withColumns({"words": F.size("tokens"), "parts": F.size("lengths"), "m": mean(F.col("lengths")), "syllables": F.aggregate("tokens", F.lit(0), lambda a, w: a + syllables(w))})
+    d = d.withColumns({"words": F.size("tokens"), "parts": F.size("lengths"), "m": mean(F.col("lengths")), "ratio": type_token_ratio(F.col("tokens")), "syllables": total_syllables(F.col("tokens"))})
     d = d.withColumn("s", stdev(F.col("lengths"), F.col("m")))
     words, parts, m, s = (F.col(c) for c in ("words", "parts", "m", "s"))
     wps = F.when(parts > 0, words / parts).otherwise(0.0)
@@ -135,8 +151,8 @@ def analyze(docs: DataFrame, content: str = "content", ignore_code: bool = False
         "sentence_length_cov": cov,
         "burstiness": cov,
         "burstiness_gb": rounded(F.when(s + m != 0, (s - m) / (s + m)).otherwise(0.0), 3),
-        "type_token_ratio": rounded(type_token_ratio(F.col("tokens")), 3),
-        "mattr": rounded(mattr(words, F.col("ordered"), type_token_ratio(F.col("tokens"))), 3),
+        "type_token_ratio": rounded(F.col("ratio"), 3),
+        "mattr": rounded(mattr(words, F.col("ordered"), F.col("ratio")), 3),
         "trigram_repetition": rounded(trigram_repetition(F.col("tokens")), 3),
         "fk_grade": rounded(F.when(words > 0, 0.39 * wps + 11.8 * spw - 15.59).otherwise(0.0), 1),
         "fk_ease": rounded(F.when(words > 0, 206.835 - 1.015 * wps - 84.6 * spw).otherwise(0.0), 1),
@@ -153,8 +169,9 @@ def fenced_off(df: DataFrame, kept: list[str], found: dict[str, Column]) -> Data
     They pass through a generator of one row, which no filter crosses: a filter on a score would else be pushed
     below and evaluate every metric once for each place that mentions it.
     """
-    row = F.array(F.struct(*(v.alias(k) for k, v in found.items())))
-    return df.select(*kept, F.inline(row))
+    # a generator interprets what it is given, so the row is made by a projection below it
+    row = F.struct(*(v.alias(k) for k, v in found.items()))
+    return df.select(*kept, row.alias("__row")).select(*kept, F.inline(F.array("__row")))
 
 
 def signals(metrics: DataFrame) -> DataFrame:

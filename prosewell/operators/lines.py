@@ -39,7 +39,7 @@ def _uncoded(x: Column) -> Column:
 
 def fence_states(content: Column) -> Column:
     """array<struct<line, text, fence, inside>> of a text, without a shuffle."""
-    return F.transform(coded_lines(content), lambda x, k: F.struct((k + 1).alias("line"), _uncoded(x).alias("text"), x.rlike(f"^.[{SPACES}]*```").alias("fence"), F.startswith(x, F.lit("I")).alias("inside")))
+    return F.transform(coded_lines(content), lambda x, k: F.struct((k + 1).alias("line"), _uncoded(x).alias("text"), _is_fence(x).alias("fence"), F.startswith(x, F.lit("I")).alias("inside")))
 
 
 def fenced_lines(docs: DataFrame, content: str = "content") -> DataFrame:
@@ -51,9 +51,18 @@ def fenced_lines(docs: DataFrame, content: str = "content") -> DataFrame:
 STRUCTURAL = [r"^$", r"^#", r"^>", r"^\|", r"^<!--", r"^[-*+] ", rf"^[—–-][{SPACES}]", rf"^[0-9]+[.)][{SPACES}]", r"^={3,}\z"] + [rf"^[{c}][{SPACES}]*([{c}][{SPACES}]*){{2,}}\z" for c in ("—", "–", "_", "*", "-")]
 
 
+#: What a structural line that is not blank begins with, after trimming; ``rlike`` would try each pattern at every place of the others.
+_FIRST = [*"#>|<-*+—–=_0123456789"]
+
+
 def is_structural(line: Column) -> Column:
     bare = trimmed(line)
-    return F.startswith(line, F.lit("    ")) | F.startswith(line, F.lit("\t")) | bare.rlike("|".join(STRUCTURAL))
+    return F.startswith(line, F.lit("    ")) | F.startswith(line, F.lit("\t")) | (bare == "") | (F.substring(bare, 1, 1).isin(*_FIRST) & bare.rlike("|".join(STRUCTURAL)))
+
+
+def _is_fence(coded: Column) -> Column:
+    """Is a line of ``coded_lines`` a fence?"""
+    return F.contains(coded, F.lit("```")) & coded.rlike(f"^.[{SPACES}]*```")
 
 
 #: Digits of a line's number in front of it, while runs are cut.
@@ -66,10 +75,10 @@ def prose_runs(content: Column) -> Column:
     A fence line, a fenced line and a structural line each end a run. Such lines become a bare ``S``, prose lines
     get a ``P`` and their number; the text of all is then cut at the ``S`` lines.
     """
-    stops = lambda x: F.startswith(x, F.lit("I")) | x.rlike(f"^.[{SPACES}]*```") | is_structural(_uncoded(x))
+    stops = lambda x: F.startswith(x, F.lit("I")) | _is_fence(x) | is_structural(_uncoded(x))
     marked = F.transform(coded_lines(content), lambda x, k: F.when(stops(x), "S").otherwise(F.concat(F.lit("P"), F.lpad((k + 1).cast("string"), _PLACES, "0"), _uncoded(x))))
     runs = F.filter(F.split(F.array_join(marked, "\n"), r"(?:\A|\n)S(?=\n|\z)", -1), lambda x: x != "")
-    rows = F.transform(runs, lambda x: F.split(F.regexp_replace(x, r"\A\n", ""), "\n", -1))
+    rows = F.transform(runs, lambda x: F.split(F.when(F.startswith(x, F.lit("\n")), F.substring(x, 2, 1 << 30)).otherwise(x), "\n", -1))
     bare = lambda x: F.substring(x, _PLACES + 2, 1 << 30)
     return F.transform(rows, lambda r: F.struct(F.substring(F.get(r, F.lit(0)), 2, _PLACES).cast("int").alias("start_line"), F.transform(r, bare).alias("lines"), F.array_join(F.transform(r, bare), "\n").alias("text")))
 
@@ -83,5 +92,5 @@ def with_next(runs: Column) -> Column:
 def paragraphs(docs: DataFrame, content: str = "content") -> DataFrame:
     """file, start_line, lines, text, and the next paragraph's start and text: maximal runs of prose lines, without a shuffle."""
     # a generator of one row keeps the runs from being computed again for every use
-    once = docs.select("file", F.explode(F.array(prose_runs(F.col(content)))).alias("__runs"))
-    return once.select("file", F.inline(with_next(F.col("__runs"))))
+    once = docs.select("file", prose_runs(F.col(content)).alias("__runs")).select("file", F.explode(F.array("__runs")).alias("__runs"))
+    return once.select("file", with_next(F.col("__runs")).alias("__runs")).select("file", F.inline("__runs"))

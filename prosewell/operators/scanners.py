@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from prosewell.catalogs import english, others, phrases, triage
 from prosewell.catalogs import metrics as M
 from prosewell.functions import textmetrics
-from prosewell.functions.regexes import SPACES, collapsed, general, holds_one, holds_one_sql, literal, masked, occurrences, occurrences_sql, required, trimmed
+from prosewell.functions.regexes import SPACES, collapsed, general, holds_one, holds_one_of_sql, literal, literals_sql, masked, occurrences, occurrences_sql, required, trimmed, trimmed_left
 from prosewell.functions.regexes import english as english_rule
 from prosewell.operators.lines import fence_states, fenced_lines, lines, paragraphs
 from prosewell.schema import QUOTE, finding, short, weighted
@@ -32,7 +32,8 @@ def _together(hits: list[Column]) -> Column:
 
 def _exploded(base: DataFrame, hits: Column, keep: tuple[str, ...] = ("file", "line")) -> DataFrame:
     """One row per entry of an array of hits."""
-    return base.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.category", "h.severity", "h.quote", "h.seq")
+    # a generator interprets what it is given, so the hits are made by a projection below it
+    return base.select(*keep, hits.alias("__h")).select(*keep, F.explode("__h").alias("h")).select(*keep, "h.category", "h.severity", "h.quote", "h.seq")
 
 
 def _line_findings(base: DataFrame, hits: Column, tool: str, lang: str) -> DataFrame:
@@ -140,20 +141,29 @@ def counted(quote: Column, n: Column) -> Column:
 # -- English -----------------------------------------------------------------------------------------
 
 
+def _english_literals(rules: list) -> list[str]:
+    return sorted({x for r in rules for x in required(r[3]) or []})
+
+
+def english_literals(rules: list) -> Column:
+    """The literals that rules need and that a line's lower-cased masked text ``__low`` holds; looked for at once, not one by one."""
+    literals = _english_literals(rules)
+    return F.expr(literals_sql("__low", literals)) if literals else F.array().cast("array<string>")
+
+
 def english_gate(rules: list) -> str:
-    """Does a line's lower-cased masked text ``__low`` hold anything that a rule needs?"""
-    gates = [required(r[3]) for r in rules]
-    return holds_one_sql("__low", sorted({x for g in gates for x in g})) if all(gates) else "true"
+    """Does a line with its ``__literals`` hold anything that a rule needs?"""
+    return "size(__literals) > 0" if all(required(r[3]) for r in rules) else "true"
 
 
 def english_hits(rules: list) -> Column:
-    """Hits on the columns text, __masked, __low and line."""
-    hits = []
+    """Hits on the columns text, __masked, __literals and line."""
+    hits, literals = [], _english_literals(rules)
     for n, (name, cat, w, rx) in enumerate(rules):
         pattern = literal(english_rule(rx))
         found = f"regexp_extract(__masked, {pattern}, 0)"
         quote = f"substring(text, regexp_instr(__masked, {pattern}), length({found}))"
-        hits.append(f"CASE WHEN {holds_one_sql('__low', required(rx))} AND {found} <> '' THEN named_struct('category', {literal(f'zs:{cat}/{name}')}, 'severity', '{weighted(w)}', 'quote', substring({quote}, 1, {QUOTE}), 'seq', array({n}, line)) END")
+        hits.append(f"CASE WHEN {holds_one_of_sql('__literals', required(rx), literals) if required(rx) else 'true'} AND {found} <> '' THEN named_struct('category', {literal(f'zs:{cat}/{name}')}, 'severity', '{weighted(w)}', 'quote', substring({quote}, 1, {QUOTE}), 'seq', array({n}, line)) END")
     return F.expr(f"filter(array({', '.join(hits)}), h -> h is not null)")
 
 
@@ -162,6 +172,7 @@ def english_patterns(docs: DataFrame, categories: list[str] | None = None, rules
     rules = [r for r in (english.RULES if rules is None else rules) if categories is None or r[1] in categories]
     base = lines(docs).where(F.length("text") > 2).withColumn("__m", masked(F.col("text")))
     base = textmetrics.fenced_off(base, ["file", "line"], {"text": F.col("text"), "__masked": F.col("__m"), "__low": F.lower("__m")})
+    base = textmetrics.fenced_off(base, ["file", "line", "text", "__masked"], {"__literals": english_literals(rules)})
     return _line_findings(base.where(F.expr(english_gate(rules))), english_hits(rules), "patterns-en", "en")
 
 
@@ -347,10 +358,13 @@ def first_sentence_end(text: Column, within: int | None = None) -> Column:
 
 def paragraph_columns() -> dict[str, Column]:
     """What the hits of a paragraph (start_line, lines, text) ask for."""
-    start = F.regexp_replace("text", f"^[{SPACES}]+", "")
-    # a stub ends before position 35 of the left-trimmed text; later ends cannot give one
-    end = first_sentence_end(F.substring(start, 1, LEAD), LEAD - 1)
-    per_line = lambda x: F.length(F.regexp_replace(F.regexp_replace(x, f"^[{SPACES}]*—", ""), "[^—]", ""))
+    start = trimmed_left(F.col("text"))
+    # a stub ends before position 35 of the left-trimmed text; later ends cannot give one. A digit behind the white space after the
+    # punctuation tells that it ends nothing, so the first character behind that space is looked at, too, wherever it stands.
+    behind = F.substring(trimmed_left(F.substring(start, LEAD + 1, 1 << 30)), 1, 1)
+    head = F.array(F.concat(F.substring(start, 1, LEAD), behind))
+    end = F.get(F.transform(head, lambda h: F.when(h.rlike("[.!?…]"), first_sentence_end(h, LEAD - 1))), F.lit(0))
+    per_line = lambda x: F.when(F.contains(x, F.lit("—")), F.length(F.regexp_replace(F.regexp_replace(x, f"^[{SPACES}]*—", ""), "[^—]", ""))).otherwise(0)
     dashes = F.aggregate(F.transform("lines", per_line), F.lit(0), lambda a, n: a + n)
     return {"__start": start, "__end": end, "__trimmed": trimmed(F.col("text")), "__dashes": dashes}
 
@@ -394,7 +408,7 @@ def arrow_hits() -> Column:
 
 def _paragraph_findings(paras: DataFrame, hits: Column) -> DataFrame:
     base = textmetrics.fenced_off(paras, paras.columns, paragraph_columns())
-    rows = base.select("file", F.explode(hits).alias("h")).select("file", "h.*")
+    rows = base.select("file", hits.alias("__h")).select("file", F.explode("__h").alias("h")).select("file", "h.*")
     return finding(rows, "ru-structural", "ru", F.get("seq", F.lit(2)), F.col("severity"), F.col("category"), F.col("quote"), seq=F.col("seq"))
 
 

@@ -73,13 +73,18 @@ def _rows(docs: DataFrame, tools: list[str]) -> DataFrame:
         base = textmetrics.fenced_off(base, base.columns, S.density_counts(F.col("__states")))
         units.append(F.transform("__states", lambda x: _unit(LINE, line=x["line"], text=x["text"], __low=F.lower(x["text"]), inside=x["inside"])))
     elif LINE in kinds:
-        mask = masked if "patterns-en" in tools else lambda x: x
-        units.append(F.transform(F.split("content", "\n", -1), lambda x, k: _unit(LINE, line=k + 1, text=x, __low=F.lower(mask(x)), **({"__masked": mask(x)} if mask is masked else {}))))
+        if "patterns-en" in tools:  # a mask leaves line feeds alone, so the whole text is masked once
+            pairs = F.arrays_zip(F.split("content", "\n", -1).alias("x"), F.split(masked(F.col("content")), "\n", -1).alias("m"))
+            units.append(F.transform(pairs, lambda p, k: _unit(LINE, line=k + 1, text=p["x"], __low=F.lower(p["m"]), __masked=p["m"])))
+        else:
+            units.append(F.transform(F.split("content", "\n", -1), lambda x, k: _unit(LINE, line=k + 1, text=x, __low=F.lower(x))))
     if PARAGRAPH in kinds:
         base = textmetrics.fenced_off(base, base.columns, {"__runs": prose_runs(F.col("content"))})
         units.append(F.transform(with_next(F.col("__runs")), lambda p: _unit(PARAGRAPH, line=p["start_line"], text=p["text"], lines=p["lines"], next_start=p["next_start"], next_text=p["next_text"])))
     carried = [c for c in base.columns if c not in ("content", "__states", "__runs")]
-    rows = base.select(*carried, F.explode(F.concat(*units)).alias("__u")).select(*carried, "__u.*")
+    rows = base.select(*carried, F.concat(*units).alias("__u")).select(*carried, F.explode("__u").alias("__u")).select(*carried, "__u.*")
+    if "patterns-en" in tools:
+        rows = textmetrics.fenced_off(rows, rows.columns, {"__literals": F.when((F.col("kind") == LINE) & (F.length("text") > 2), S.english_literals(english.RULES))})
     if PARAGRAPH in kinds:
         rows = rows.withColumn("start_line", F.col("line"))
         rows = textmetrics.fenced_off(rows, rows.columns, {k: F.when(F.col("kind") == PARAGRAPH, v) for k, v in S.paragraph_columns().items()})
@@ -97,7 +102,7 @@ def fused(docs: DataFrame, lang: str, tools: list[str]) -> DataFrame:
         mine = [F.transform(HITS[tool][kind](lang), _named(tool)) for tool in tools if kind in HITS[tool]]
         if mine:
             hits = F.when(F.col("kind") == kind, F.concat(*mine)).otherwise(hits)
-    rows = _rows(docs, tools).select("file", "kind", "line", F.explode(hits).alias("__h")).select("file", "kind", "line", "__h.*")
+    rows = _rows(docs, tools).select("file", "kind", "line", hits.alias("__h")).select("file", "kind", "line", F.explode("__h").alias("__h")).select("file", "kind", "line", "__h.*")
     # the last place of a paragraph's hit is its line
     line = F.when(F.col("kind") == PARAGRAPH, F.get("seq", F.lit(2))).otherwise(F.col("line"))
     priority = F.when(F.col("tool") == "placeholder", "P0")
