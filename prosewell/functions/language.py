@@ -28,12 +28,13 @@ def _is_one_of(words: list[str]):
     return lambda w: w.isin(*words)
 
 
-def with_markers(docs: DataFrame, content: str = "content") -> DataFrame:
+def with_markers(docs: DataFrame, content: str = "content", if_read: bool = False) -> DataFrame:
     """``docs`` with one count per script and word list, over the sample of each text. A null text counts as empty.
 
     All scripts but the Latin letters lie outside of ASCII, so they are counted in what is left without it. A
     word is a maximal run of its list's letters, so membership equals a guarded match; lists over the same
-    letters share their words.
+    letters share their words. With ``if_read``, counts that nothing reads are not made, and those that are read twice may be
+    made twice.
     """
     text = sample(F.coalesce(F.col(content), F.lit("")))
     named = docs.withColumn("__sample", text)
@@ -42,7 +43,7 @@ def with_markers(docs: DataFrame, content: str = "content") -> DataFrame:
     named = named.withColumns({c: F.regexp_extract_all("__lower", F.lit(f"[{letters}]+"), F.lit(0)) for letters, c in runs.items()})
     counts = {k: _count(F.col("__sample" if k == "latin" else "__foreign"), v) for k, v in SCRIPTS.items()}
     counts |= {k: F.size(F.filter(runs[letters], _is_one_of(words))) for k, (letters, words) in WORDS.items()}
-    return fenced_off(named, docs.columns, counts)
+    return named.select(*docs.columns, *(v.alias(k) for k, v in counts.items())) if if_read else fenced_off(named, docs.columns, counts)
 
 
 #: The decision ladder, in order: condition on the counts, language.
@@ -75,7 +76,7 @@ def detect(docs: DataFrame, file: str = "file", content: str = "content", overri
     if override is not None and override not in LANGS:
         raise ValueError(f"language must be one of {', '.join(LANGS)}")
     kept = docs.columns
-    named = with_markers(docs, content).withColumn("__by_path", path_language(F.coalesce(F.col(file), F.lit(""))))
+    named = with_markers(docs, content, override is not None).withColumn("__by_path", path_language(F.coalesce(F.col(file), F.lit(""))))
     lang = F.lit(override) if override else F.coalesce("__by_path", F.expr(ladder_sql()))
     confident = F.col("__by_path").isNotNull() | F.expr(certain_sql())
     return named.select(*kept, lang.alias("lang"), confident.alias("confident"))

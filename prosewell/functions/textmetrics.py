@@ -174,6 +174,16 @@ def fenced_off(df: DataFrame, kept: list[str], found: dict[str, Column]) -> Data
     return df.select(*kept, row.alias("__row")).select(*kept, F.inline(F.array("__row")))
 
 
+def each(df: DataFrame, kept: list[str] | tuple[str, ...], values: Column, name: str) -> DataFrame:
+    """``kept`` and ``name``: one row per entry of an array, which is computed once. Entries are never null.
+
+    Below a plain explode, Spark puts a filter on the array's size, which moves below the projection that makes the array
+    and makes it a second time. An outer explode has no such filter.
+    """
+    # a generator interprets what it is given, so the array is made by a projection below it
+    return df.select(*kept, values.alias(name)).select(*kept, F.explode_outer(name).alias(name)).where(F.col(name).isNotNull())
+
+
 def signals(metrics: DataFrame) -> DataFrame:
     """Adds the four contributors: <name>_norm (0 to 1) and <name>_points, then score_raw, score and verdict."""
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))

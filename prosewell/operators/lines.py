@@ -93,4 +93,5 @@ def paragraphs(docs: DataFrame, content: str = "content") -> DataFrame:
     """file, start_line, lines, text, and the next paragraph's start and text: maximal runs of prose lines, without a shuffle."""
     # a generator of one row keeps the runs from being computed again for every use
     once = docs.select("file", prose_runs(F.col(content)).alias("__runs")).select("file", F.explode(F.array("__runs")).alias("__runs"))
-    return once.select("file", with_next(F.col("__runs")).alias("__runs")).select("file", F.inline("__runs"))
+    rows = once.select("file", with_next(F.col("__runs")).alias("__runs")).select("file", F.inline_outer("__runs"))
+    return rows.where("start_line is not null")  # see textmetrics.each

@@ -32,8 +32,7 @@ def _together(hits: list[Column]) -> Column:
 
 def _exploded(base: DataFrame, hits: Column, keep: tuple[str, ...] = ("file", "line")) -> DataFrame:
     """One row per entry of an array of hits."""
-    # a generator interprets what it is given, so the hits are made by a projection below it
-    return base.select(*keep, hits.alias("__h")).select(*keep, F.explode("__h").alias("h")).select(*keep, "h.category", "h.severity", "h.quote", "h.seq")
+    return textmetrics.each(base, keep, hits, "h").select(*keep, "h.category", "h.severity", "h.quote", "h.seq")
 
 
 def _line_findings(base: DataFrame, hits: Column, tool: str, lang: str) -> DataFrame:
@@ -77,7 +76,7 @@ def placeholder_hits(text: Column, low: Column, line: Column) -> Column:
     for n, (pattern, ignore) in enumerate(triage.PLACEHOLDERS):
         q = F.transform(_all_matches(text, general(pattern, ignore)), _numbered("p0-placeholder", "critical", lambda m: m, n, line))
         hits.append(_when_possible(low, pattern, q))
-    shown = ~text.rlike(f"^[{SPACES}]*<!--") & ~F.contains(text, F.lit("```"))
+    shown = ~(F.contains(text, F.lit("<!--")) & text.rlike(f"^[{SPACES}]*<!--")) & ~F.contains(text, F.lit("```"))
     return F.when(shown, _together(hits)).otherwise(no_hits())
 
 
@@ -284,9 +283,11 @@ def spanish_catalog(docs: DataFrame) -> DataFrame:
 def density_counts(states: Column) -> dict[str, Column]:
     """Triads and poder + infinitive on the lines outside of fences."""
     free = F.filter(states, lambda x: ~x["inside"])
+    # the last letter in front of the comma stands for its word, which no match before it can share in part
+    triad = TRIAD.replace("]+,", "],", 1)
     total = lambda count: F.aggregate(F.transform(free, lambda x: count(x["text"])), F.lit(0).cast("long"), lambda a, n: a + n)
-    triads = total(lambda t: F.when(F.contains(t, F.lit(",")), F.regexp_count(t, F.lit(TRIAD))).otherwise(0))
-    poder = total(lambda t: F.when(F.contains(F.lower(t), F.lit("p")), F.regexp_count(t, F.lit(general(PODER, True)))).otherwise(0))
+    triads = total(lambda t: F.when(F.contains(t, F.lit(",")), F.regexp_count(t, F.lit(triad))).otherwise(0))
+    poder = total(lambda t: F.when(holds_one(F.lower(t), ["pued", "pod"]), F.regexp_count(t, F.lit(general(PODER, True)))).otherwise(0))
     return {"__triads": triads, "__poder": poder}
 
 
@@ -299,15 +300,15 @@ def density_hits() -> Column:
     return F.filter(F.array(triads, poder), lambda h: h.isNotNull())
 
 
-def mente_hits(text: Column, line: Column) -> Column:
+def mente_hits(text: Column, low: Column, line: Column) -> Column:
     adverbs = lambda s: F.filter(F.regexp_extract_all(s, F.lit(f"[{_LETTERS}]+"), F.lit(0)), lambda w: F.lower(w).rlike(r"...mente\z"))
     chains = F.filter(F.transform(F.split(text, f"[.!?][{SPACES}]", -1), adverbs), lambda a: F.size(a) >= 2)
     hits = F.transform(F.slice(chains, 1, 1), lambda a: _hit("es:mente_adverb_chain", "medium", short(F.array_join(F.slice(a, 1, 3), ", ")), len(others.SPANISH) + 2, line))
-    return F.when(F.contains(F.lower(text), F.lit("mente")), hits).otherwise(no_hits())
+    return F.when(F.contains(low, F.lit("mente")), hits).otherwise(no_hits())
 
 
 def inciso_hits(text: Column, line: Column) -> Column:
-    return F.when(text.rlike(INCISO), F.array(_hit("es:em_dash_inciso", "medium", short(trimmed(text)), len(others.SPANISH) + 3, line))).otherwise(no_hits())
+    return F.when(F.contains(text, F.lit(" — ")) & text.rlike(INCISO), F.array(_hit("es:em_dash_inciso", "medium", short(trimmed(text)), len(others.SPANISH) + 3, line))).otherwise(no_hits())
 
 
 def spanish_density(docs: DataFrame) -> DataFrame:
@@ -318,7 +319,7 @@ def spanish_density(docs: DataFrame) -> DataFrame:
 
 def spanish_mente(docs: DataFrame) -> DataFrame:
     """A line's first sentence with two adverbs in -mente or more; it quotes the first three."""
-    return _line_findings(fenced_lines(docs).where("not inside"), mente_hits(F.col("text"), F.col("line")), "es-lint", "es")
+    return _line_findings(fenced_lines(docs).where("not inside"), mente_hits(F.col("text"), F.lower("text"), F.col("line")), "es-lint", "es")
 
 
 def spanish_inciso(docs: DataFrame) -> DataFrame:
@@ -408,7 +409,7 @@ def arrow_hits() -> Column:
 
 def _paragraph_findings(paras: DataFrame, hits: Column) -> DataFrame:
     base = textmetrics.fenced_off(paras, paras.columns, paragraph_columns())
-    rows = base.select("file", hits.alias("__h")).select("file", F.explode("__h").alias("h")).select("file", "h.*")
+    rows = textmetrics.each(base, ["file"], hits, "h").select("file", "h.*")
     return finding(rows, "ru-structural", "ru", F.get("seq", F.lit(2)), F.col("severity"), F.col("category"), F.col("quote"), seq=F.col("seq"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,13 +22,17 @@ def is_placeholder(quote: Column) -> Column:
     return out
 
 
-def with_gate(findings: DataFrame) -> DataFrame:
+def with_gate(findings: DataFrame, gated: list[DataFrame] | None = None) -> DataFrame:
     """Adds gate_broken: more findings of the gated tool in the file than the gate allows.
 
     Only that tool's rows are counted; files are joined back, so a file with very many findings of other
-    tools is not gathered in one task.
+    tools is not gathered in one task. ``gated`` has those of the findings among which that tool's are, where that is
+    known; without it all findings are made a second time to be counted.
     """
-    over = findings.where(F.col("tool") == T.GATED_TOOL).groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > T.GATE).select(F.col("file").alias("__file"))
+    if gated is not None and not gated:
+        return findings.withColumn("gate_broken", F.lit(False))
+    counted = findings if gated is None else reduce(DataFrame.unionByName, gated)
+    over = counted.where(F.col("tool") == T.GATED_TOOL).groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > T.GATE).select(F.col("file").alias("__file"))
     return findings.join(over, (F.col("file") == F.col("__file")) & (F.col("tool") == T.GATED_TOOL), "left").withColumn("gate_broken", F.col("__file").isNotNull()).drop("__file")
 
 
@@ -85,12 +90,12 @@ def suppressed(findings: DataFrame, rules: list[dict]) -> DataFrame:
     return named.withColumns({"fp_suppressed": F.col("fp_suppressed") | F.col("__reason").isNotNull(), "fp_reason": F.coalesce("__reason", "fp_reason")}).drop("__reason")
 
 
-def triage(findings: DataFrame, rules: list[dict] | DataFrame | None = None) -> DataFrame:
+def triage(findings: DataFrame, rules: list[dict] | DataFrame | None = None, gated: list[DataFrame] | None = None) -> DataFrame:
     """Findings with priority and suppression, by the built-in rules where none are given.
 
-    Rules are a list or a table (``RULES``); a long list is treated as a table.
+    Rules are a list or a table (``RULES``); a long list is treated as a table. ``gated`` as in ``with_gate``.
     """
-    ranked = with_gate(findings).withColumn("priority", priority()).drop("gate_broken")
+    ranked = with_gate(findings, gated).withColumn("priority", priority()).drop("gate_broken")
     rules = T.SUPPRESS if rules is None else rules
     if isinstance(rules, list) and len(rules) > LITERAL_RULES:
         rules = rule_table(findings.sparkSession, rules)

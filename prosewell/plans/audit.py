@@ -26,8 +26,8 @@ from prosewell.sources.splits import spread
 class Audit:
     """Lazy results: documents with language, triaged findings, runs, summary, uncertain files.
 
-    ``documents`` and ``findings`` are stored in a work folder, or persisted (memory and disk) where there is
-    none; ``close`` lets persisted ones go.
+    ``documents`` (unless their language is given) and ``findings`` are stored in a work folder, or persisted (memory
+    and disk) where there is none; ``close`` lets persisted ones go.
     """
 
     documents: DataFrame
@@ -65,9 +65,12 @@ def work_path(spark: SparkSession, workdir: str | None = None) -> str | None:
 def routed(docs: DataFrame, override: str | None = None, path: str | None = None) -> DataFrame:
     """``docs`` with their language, detected once: written by language to the folder ``path``, or persisted where there is none.
 
-    The scanners of each language then read their own documents; without this, each would detect all of them again.
+    The scanners of each language then read their own documents; without this, each would detect all of them again. Where
+    the language is given, all documents go to its scanners as they are, and ``confident`` is found only if it is read.
     """
     found = language.detect(spread(docs), override=override)
+    if override:
+        return found
     if not path:
         return found.persist(StorageLevel.MEMORY_AND_DISK)
     found.write.partitionBy("lang").parquet(f"{path}/documents")
@@ -84,22 +87,26 @@ def audit(docs: DataFrame, override: str | None = None, rules: list[dict] | Data
     ``langs`` limits the plan to languages known to occur. Language is detected once. The documents are written
     by language to ``workdir`` (a folder that all executors share; ``spark.checkpoint.dir`` of the session if none
     is given), and each scanner reads the folders of its own languages only; findings are written beside them.
-    Where neither is set (a local session) both are persisted instead.
+    Where neither is set (a local session) both are persisted instead. With ``override``, documents are not stored.
     """
     given = external or {}
+    others = list(given.values())  # built-in scanners have no findings of the gated tool
     spark = docs.sparkSession
     path = work_path(spark, workdir)
     found = routed(docs, override, path)
     wanted = [override] if override else (langs or LANGS)
-    findings = union([scan(found, wanted), *given.values()])
+    findings = union([scan(found, wanted), *others])
     if registry is not None:
         own, broken = registry.scan(found, wanted)
-        findings = findings if own is None else findings.unionByName(own)
+        if own is not None:
+            findings = findings.unionByName(own)
+            others.append(own)
         if broken is not None:
             failures = broken if failures is None else failures.unionByName(broken)
     if failures is not None:
         findings = report.without_failed(findings, failures)
-    triaged = triage(findings, rules)
+        others = [report.without_failed(x, failures) for x in others]
+    triaged = triage(findings, rules, others)
     if path:
         triaged.write.parquet(f"{path}/findings")
         triaged = spark.read.schema(triaged.schema).parquet(f"{path}/findings")

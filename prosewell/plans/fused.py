@@ -41,7 +41,7 @@ def _english(lang: str) -> Column:
 
 
 def _spanish(lang: str) -> Column:
-    free = F.concat(S.mente_hits(F.col("text"), F.col("line")), S.inciso_hits(F.col("text"), F.col("line")))
+    free = F.concat(S.mente_hits(F.col("text"), F.col("__low"), F.col("line")), S.inciso_hits(F.col("text"), F.col("line")))
     return F.concat(_catalog(others.SPANISH, "es:"), F.when(F.col("inside"), S.no_hits()).otherwise(free))
 
 
@@ -82,7 +82,7 @@ def _rows(docs: DataFrame, tools: list[str]) -> DataFrame:
         base = textmetrics.fenced_off(base, base.columns, {"__runs": prose_runs(F.col("content"))})
         units.append(F.transform(with_next(F.col("__runs")), lambda p: _unit(PARAGRAPH, line=p["start_line"], text=p["text"], lines=p["lines"], next_start=p["next_start"], next_text=p["next_text"])))
     carried = [c for c in base.columns if c not in ("content", "__states", "__runs")]
-    rows = base.select(*carried, F.concat(*units).alias("__u")).select(*carried, F.explode("__u").alias("__u")).select(*carried, "__u.*")
+    rows = textmetrics.each(base, carried, F.concat(*units), "__u").select(*carried, "__u.*")
     if "patterns-en" in tools:
         rows = textmetrics.fenced_off(rows, rows.columns, {"__literals": F.when((F.col("kind") == LINE) & (F.length("text") > 2), S.english_literals(english.RULES))})
     if PARAGRAPH in kinds:
@@ -102,7 +102,8 @@ def fused(docs: DataFrame, lang: str, tools: list[str]) -> DataFrame:
         mine = [F.transform(HITS[tool][kind](lang), _named(tool)) for tool in tools if kind in HITS[tool]]
         if mine:
             hits = F.when(F.col("kind") == kind, F.concat(*mine)).otherwise(hits)
-    rows = _rows(docs, tools).select("file", "kind", "line", hits.alias("__h")).select("file", "kind", "line", F.explode("__h").alias("__h")).select("file", "kind", "line", "__h.*")
+    keep = ("file", "kind", "line")
+    rows = textmetrics.each(_rows(docs, tools), keep, hits, "__h").select(*keep, "__h.*")
     # the last place of a paragraph's hit is its line
     line = F.when(F.col("kind") == PARAGRAPH, F.get("seq", F.lit(2))).otherwise(F.col("line"))
     priority = F.when(F.col("tool") == "placeholder", "P0")

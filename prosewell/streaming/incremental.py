@@ -27,7 +27,7 @@ def audit_stream(docs: DataFrame, out: str, checkpoint: str, rules: list[dict] |
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
-        found = triage(scan(language.detect(kept), langs), rules)
+        found = triage(scan(language.detect(kept), langs), rules, [])
         found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         kept.unpersist()
 
