@@ -119,7 +119,9 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     n = F.size("tokens")
     # a look for any of the words is fast, a count goes through all tokens
     count = lambda words: F.when(F.arrays_overlap("tokens", F.array(*map(F.lit, words))), F.size(F.filter("tokens", lambda t: t.isin(*words)))).otherwise(0)
-    lowered = F.lower("__text")
+    if "__lowered" not in docs.columns:  # lower-cased once, not for each phrase
+        docs = docs.withColumn("__lowered", F.lower("__text"))
+    lowered = F.col("__lowered")
     phrases = sum((occurrences(lowered, p) for p in M.PHRASES[1:]), occurrences(lowered, M.PHRASES[0]))
     docs = docs.withColumns({"tier1": count(M.TIER1), "tier2": count(M.TIER2), "phrase_tells": phrases})
     weighted = F.col("tier1") * M.WEIGHT_TIER1 + F.col("tier2") * M.WEIGHT_TIER2 + F.col("phrase_tells") * M.WEIGHT_PHRASE
@@ -130,8 +132,12 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 METRICS = ["word_count", "sentence_count", "mean_sentence_length", "sentence_length_stdev", "sentence_length_cov", "burstiness", "burstiness_gb", "type_token_ratio", "mattr", "trigram_repetition", "fk_grade", "fk_ease", "vocab_tells", "vocab_tell_density", "short_sample"]
 
 
-def analyze(docs: DataFrame, content: str = "content", ignore_code: bool = False, ignore_quotes: bool = False) -> DataFrame:
-    """``docs`` with the columns of METRICS. A null text counts as empty."""
+#: Those that the score is made of.
+SCORED = ["word_count", "burstiness", "mattr", "trigram_repetition", "vocab_tell_density"]
+
+
+def analyze(docs: DataFrame, content: str = "content", ignore_code: bool = False, ignore_quotes: bool = False, names: list[str] | None = None) -> DataFrame:
+    """``docs`` with the columns of METRICS, or those of ``names``; others are not computed. A null text counts as empty."""
     kept = docs.columns
     d = docs.withColumn("__text", strip_marked(F.coalesce(F.col(content), F.lit("")), ignore_code, ignore_quotes))
     d = d.withColumn("__lowered", F.lower("__text"))
@@ -160,7 +166,7 @@ def analyze(docs: DataFrame, content: str = "content", ignore_code: bool = False
         "vocab_tell_density": rounded(F.col("density"), 4),
         "short_sample": words < M.SHORT,
     }
-    return fenced_off(d, kept, found)
+    return fenced_off(d, kept, {k: found[k] for k in (METRICS if names is None else names)})
 
 
 def fenced_off(df: DataFrame, kept: list[str], found: dict[str, Column]) -> DataFrame:

@@ -196,7 +196,7 @@ def metric_hits() -> Column:
 
 def metric_findings(docs: DataFrame) -> DataFrame:
     """Documents whose composite score reaches the bound, with the points of each contributor."""
-    scored = textmetrics.signals(textmetrics.analyze(docs.select("file", "content"))).where(F.col("score") >= M.FINDING)
+    scored = textmetrics.signals(textmetrics.analyze(docs.select("file", "content"), names=textmetrics.SCORED)).where(F.col("score") >= M.FINDING)
     return _line_findings(scored.withColumn("line", F.lit(None).cast("int")), metric_hits(), "metrics", "en")
 
 

@@ -65,7 +65,7 @@ def _rows(docs: DataFrame, tools: list[str]) -> DataFrame:
     """One row for each document, line and paragraph that the tools ask for, with what they need of the document."""
     base = docs.select("file", "content")
     if "metrics" in tools:
-        base = textmetrics.signals(textmetrics.analyze(base)).select("file", "content", "score", *(f"{k}_points" for k in M.WEIGHTS))
+        base = textmetrics.signals(textmetrics.analyze(base, names=textmetrics.SCORED)).select("file", "content", "score", *(f"{k}_points" for k in M.WEIGHTS))
     kinds = {kind for tool in tools for kind in HITS[tool]}
     units = [F.array(_unit(DOCUMENT, __low=F.lower("content")))] if DOCUMENT in kinds else []
     if "es-lint" in tools:

@@ -246,7 +246,7 @@ def vocab_tells(spark, sf_dir):
 @query
 def score_verdict(spark, sf_dir):
     """Contributors, composite score and verdict of every document."""
-    m = textmetrics.signals(textmetrics.analyze(corpus(spark, sf_dir, "metrics")))
+    m = textmetrics.signals(textmetrics.analyze(corpus(spark, sf_dir, "metrics"), names=textmetrics.SCORED))
     return m.select("file", *(f"{k}_points" for k in ("burstiness", "diversity", "repetition", "lexical")), "score_raw", "score", "verdict")
 
 
