@@ -61,10 +61,18 @@ def exit_code() -> Column:
     return F.when(F.col("tool_failures") > 0, 2).when(F.col("p0") + F.col("p1") > 0, 1).otherwise(0)
 
 
+#: What markdown reads as a mark.
+MARKS = "*_`#>|"
+
+
 def escaped(text: Column) -> Column:
-    """Text that markdown shows as it is, on one line."""
-    one_line = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\n\r]+", " ⏎ ")
-    return F.regexp_replace(one_line, r"([*_`#>|])", r"\\$1")
+    """Text that markdown shows as it is, on one line. Plain replacements: most texts hold no mark, which is seen without a regex."""
+    out = F.coalesce(text, F.lit(""))
+    broken = F.contains(out, F.lit("\n")) | F.contains(out, F.lit("\r"))
+    out = F.when(broken, F.regexp_replace(out, r"[\n\r]+", " ⏎ ")).otherwise(out)
+    for mark in MARKS:
+        out = F.replace(out, F.lit(mark), F.lit(f"\\{mark}"))
+    return out
 
 
 def finding_line() -> Column:

@@ -208,7 +208,7 @@ _scanner("ja_lint", "ja", scanners.japanese, "Japanese rules.")
 _scanner("viet_lint", "vi", scanners.vietnamese, "Vietnamese rules (seed catalog).")
 _scanner("ru_fragment_lead", "ru", lambda d: scanners.fragment_leads(line_ops.paragraphs(d)), "Russian stub sentences before a long rest.")
 _scanner("ru_stub_paragraph", "ru", lambda d: scanners.stub_paragraphs(line_ops.paragraphs(d)), "Russian stub paragraphs.")
-_scanner("ru_dash_density", "ru", lambda d: scanners.dash_density(line_ops.paragraphs(d)), "Russian paragraphs dense with dashes.")
+_scanner("ru_dash_density", "ru", lambda d: scanners.dash_density(line_ops.paragraphs(scanners.holds_dashes(d))), "Russian paragraphs dense with dashes.")
 _scanner("ru_arrow_prose", "ru", lambda d: scanners.arrow_prose(line_ops.paragraphs(d)), "Arrows in Russian prose.")
 
 
@@ -379,10 +379,12 @@ def json_values(spark, sf_dir):
 # -- triage and report -------------------------------------------------------------------------------
 
 
-def _findings(spark, sf_dir):
-    """Outside issues, English phrases and Russian findings together."""
+def _triaged(spark, sf_dir, rules=None):
+    """Outside issues, English phrases, Russian and Thai findings together, triaged."""
     outside = scanners.external_english(_outside(spark, sf_dir))
-    return scanners.union([outside, scanners.phrase_scan(corpus(spark, sf_dir, "phrases"), "en"), scanners.dash_density(line_ops.paragraphs(corpus(spark, sf_dir, "ru"))), scanners.thai(corpus(spark, sf_dir, "th"))])
+    russian = line_ops.paragraphs(scanners.holds_dashes(corpus(spark, sf_dir, "ru")))
+    built_in = [scanners.phrase_scan(corpus(spark, sf_dir, "phrases"), "en"), scanners.dash_density(russian), scanners.thai(corpus(spark, sf_dir, "th"))]
+    return triage(outside, rules, built_in=scanners.union(built_in))
 
 
 @query
@@ -394,13 +396,13 @@ def aaw_gate(spark, sf_dir):
 @query
 def triage_priority(spark, sf_dir):
     """Priority of every finding."""
-    return triage(_findings(spark, sf_dir), []).select("tool", "file", "line", "severity", "category", "quote", "priority")
+    return _triaged(spark, sf_dir, []).select("tool", "file", "line", "severity", "category", "quote", "priority")
 
 
 @query
 def suppression(spark, sf_dir):
     """Findings that the built-in rules suppress, with the reason."""
-    return triage(_findings(spark, sf_dir)).where("fp_suppressed").select("tool", "file", "category", "quote", "fp_reason")
+    return _triaged(spark, sf_dir).where("fp_suppressed").select("tool", "file", "category", "quote", "fp_reason")
 
 
 def _rule_table(spark, sf_dir):
@@ -424,7 +426,7 @@ def _rule_table(spark, sf_dir):
 @query
 def suppression_table(spark, sf_dir):
     """Findings that a large table of rules suppresses, and the first rule that fits each."""
-    return triage(_findings(spark, sf_dir), _rule_table(spark, sf_dir)).where("fp_suppressed").select("tool", "file", "line", "category", "quote", "fp_reason")
+    return _triaged(spark, sf_dir, _rule_table(spark, sf_dir)).where("fp_suppressed").select("tool", "file", "line", "category", "quote", "fp_reason")
 
 
 @query
@@ -449,7 +451,7 @@ def catalog_runtime(spark, sf_dir):
 @query
 def report_lines(spark, sf_dir):
     """The report's lines."""
-    return report.report_lines(triage(_findings(spark, sf_dir))).select("section", "tool", "file", "line", "text")
+    return report.report_lines(_triaged(spark, sf_dir)).select("section", "tool", "file", "line", "text")
 
 
 @query
