@@ -28,26 +28,30 @@ def without_failed(findings: DataFrame, failures: DataFrame) -> DataFrame:
     return findings.join(failed, (F.col("tool") == F.col("failed_tool")) & (F.col("lang") == F.col("failed_lang")), "left_anti")
 
 
+def run_states(buckets: DataFrame, given: list[str] = (), failures: DataFrame | None = None, more: list[tuple[str, list[str]]] = ()) -> DataFrame:
+    """tool, lang, ok, files, error: the runs of ``tool_runs`` without their findings, which then need not be made."""
+    runs = buckets.select("lang", "files").join(F.broadcast(dispatch(buckets.sparkSession, more)), "lang")
+    missing = [t for t in EXTERNAL if t not in given]
+    error = F.when(F.col("tool").isin(*missing), F.lit(NOT_AVAILABLE)) if missing else F.lit(None).cast("string")
+    if failures is not None:
+        runs = runs.join(failures.select("tool", "lang", failed_run(F.col("error")).alias("__error")), ["tool", "lang"], "left")
+        error = F.coalesce("__error", error)
+    return runs.withColumn("error", error).select("tool", "lang", F.col("error").isNull().alias("ok"), F.col("files").cast("long").alias("files"), "error")
+
+
 def tool_runs(buckets: DataFrame, findings: DataFrame, given: list[str] = (), failures: DataFrame | None = None, more: list[tuple[str, list[str]]] = ()) -> DataFrame:
     """tool, lang, ok, files, findings, error: a run per language of the corpus and tool that reads it.
 
     Tools from outside that aren't in ``given`` have failed; so has a (tool, lang) with a row in ``failures``
     (tool, lang, error), whose findings then don't count.
     """
-    spark = buckets.sparkSession
     counts = findings.groupBy("tool", "lang").agg(F.count(F.lit(1)).alias("n"))
-    runs = buckets.select("lang", "files").join(F.broadcast(dispatch(spark, more)), "lang").join(counts, ["tool", "lang"], "left")
-    missing = [t for t in EXTERNAL if t not in given]
-    error = F.when(F.col("tool").isin(*missing), F.lit(NOT_AVAILABLE)) if missing else F.lit(None).cast("string")
-    if failures is not None:
-        runs = runs.join(failures.select("tool", "lang", failed_run(F.col("error")).alias("__error")), ["tool", "lang"], "left")
-        error = F.coalesce("__error", error)
-    runs = runs.withColumn("error", error)
-    return runs.select("tool", "lang", F.col("error").isNull().alias("ok"), F.col("files").cast("long").alias("files"), F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("findings"), "error")
+    runs = run_states(buckets, given, failures, more).join(counts, ["tool", "lang"], "left")
+    return runs.select("tool", "lang", "ok", "files", F.when(F.col("ok"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("findings"), "error")
 
 
 def summary(findings: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row: p0, p1, p2, fp_suppressed, tool_failures, exit_code."""
+    """One row: p0, p1, p2, fp_suppressed, tool_failures, exit_code. Of the runs (``tool_runs`` or ``run_states``) only ``ok`` is read."""
     open_ = ~F.col("fp_suppressed")
     counts = findings.agg(*(F.count_if(open_ & (F.col("priority") == p)).alias(p.lower()) for p in ("P0", "P1", "P2")), F.count_if("fp_suppressed").alias("fp_suppressed"))
     failures = runs.agg(F.count_if(~F.col("ok")).alias("tool_failures"))

@@ -176,9 +176,15 @@ def english_patterns(docs: DataFrame, categories: list[str] | None = None, rules
 
 
 def lexicon_hits(low: str) -> Column:
+    """Hits on the column ``low`` of lower-cased texts. Which stems a text holds is found in one pass; only those are counted."""
     first = len(english.RULES)  # stems come behind the rules
-    found = ", ".join(f"named_struct('stem', {literal(stem)}, 'severity', '{weighted(w, 5)}', 'at', {first + at}, 'n', {occurrences_sql(low, stem.lower())})" for at, (stem, w) in enumerate(english.LEXICON.items()))
-    return F.transform(F.expr(f"filter(array({found}), h -> h.n > 0)"), lambda h: _hit("zs:lexicon", h["severity"], counted(h["stem"], h["n"]), h["at"]))
+    stems = [(stem.lower(), stem, w) for stem, w in english.LEXICON.items()]
+    listed = ", ".join(f"named_struct('low', {literal(x)}, 'stem', {literal(stem)}, 'severity', '{weighted(w, 5)}', 'at', {first + at})" for at, (x, stem, w) in enumerate(stems))
+    # at each place the longest stem is found, so a shorter one is there if one that begins with it was
+    found = literals_sql(low, sorted({x for x, _, _ in stems}))
+    held = f"transform(array({found}), f -> filter(array({listed}), s -> exists(f, x -> startswith(x, s.low))))[0]"
+    counts = F.transform(F.expr(held), lambda s: F.struct(s["stem"].alias("stem"), s["severity"].alias("severity"), s["at"].alias("at"), ((F.length(low) - F.length(F.replace(F.col(low), s["low"], F.lit("")))) / F.length(s["low"])).cast("int").alias("n")))
+    return F.transform(counts, lambda h: _hit("zs:lexicon", h["severity"], counted(h["stem"], h["n"]), h["at"]))
 
 
 def english_lexicon(docs: DataFrame) -> DataFrame:
