@@ -182,30 +182,30 @@ def _sized(rules: DataFrame, size: int) -> DataFrame:
     return F.broadcast(rules) if size <= _SMALL else rules.hint("merge")
 
 
-def _fitting(found: DataFrame, rules: DataFrame, side: str, shapes: list[tuple[int, int]], value: str, size: int = _SMALL + 1) -> DataFrame:
+def _fitting(found: DataFrame, rules: DataFrame, side: str, shapes: list[tuple[int, int]], value: str, size: int = _SMALL + 1, heads: int = _SMALL + 1) -> DataFrame:
     """tool, category, ``value`` and the rules of a side that fit them: list of (ord, reason, low, glob, file) of what is still to be checked.
 
-    Each different (tool, category, value) is looked up once, by its parts of the lengths that anchors have; rows, not lists, meet.
-    A part is two hashes, of what it belongs to and of what is looked up; what has met gets its text back and is compared in full.
-    ``size``: bytes of the side's rules.
+    Each different (tool, category, value) is looked up once, by its parts of the lengths that anchors of its tool and category have;
+    rows, not lists, meet. A part is two hashes, of what it belongs to and of what is looked up; what has met gets its text back and is
+    compared in full. ``size``, ``heads``: bytes of the side's rules, and of their tools and categories.
     """
     keys = ["tool", "category", value]
     text = F.col(value)
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # few bytes that become many rows: they stay dealt out
-    some = found.select(*keys).distinct().withColumn("__v", F.xxhash64(*keys)).repartition(n, "__v")
     # a selector that a rule hasn't is no part of what is compared
-    asked = lambda bits: [name for k, name in enumerate(_WHOLE[:2]) if bits >> k & 1]
-    key = lambda bits, anchor: F.xxhash64(F.lit(bits), anchor, *asked(bits))
-
-    def parts(bits: int, n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: key(bits, F.substring(text, i, F.lit(n))))
-        there = reduce(Column.__and__, (F.col(c).isNotNull() for c in asked(bits)), F.lit(True))
-        return F.when(there, F.array_distinct(cut)).otherwise(F.array().cast("array<bigint>"))
-
-    looked_up = some.select("__v", F.explode(F.concat(*(parts(b, n) for b, n in shapes))).alias("__key"))
-    by_bits = reduce(lambda out, b: out.when(F.col("bits") == b, key(b, F.col("anchor"))), sorted({b for b, _ in shapes}), F)
-    right = rules.where(F.col("side") == side).select(by_bits.alias("__key"), "ord", "reason", "low", "glob", *(F.col(c).alias(f"r_{c}") for c in _WHOLE))
+    held = lambda k, name: F.when(F.col("bits").bitwiseAND(1 << k) != 0, F.col(name)).otherwise("")
+    index = {f"__{name}": held(k, name) for k, name in enumerate(_WHOLE[:2])}
+    key = lambda anchor: F.xxhash64("bits", anchor, *index)
+    mine = rules.where(F.col("side") == side).withColumns(index)
+    lengths = mine.groupBy("bits", *index).agg(F.collect_set(F.length("anchor")).alias("__n"))
+    right = mine.select(key(F.col("anchor")).alias("__key"), "ord", "reason", "low", "glob", *(F.col(c).alias(f"r_{c}") for c in _WHOLE))
+
+    some = found.select(*keys).distinct().withColumn("__v", F.xxhash64(*keys))
+    asked = some.withColumn("bits", F.explode(F.array(*map(F.lit, sorted({b for b, _ in shapes}))))).withColumns(index).join(_sized(lengths, heads), ["bits", *index])
+    # few bytes that become many rows: they stay dealt out
+    asked = asked.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__v")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: key(F.substring(text, i, n)))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter("__n", lambda n: n <= F.length(text)), cut)))
+    looked_up = asked.select("__v", F.explode(parts).alias("__key"))
     met = looked_up.join(_sized(right, size), "__key").drop("__key").join(some.hint("merge"), "__v")
     for c in _WHOLE[:2]:
         met = met.where(F.col(f"r_{c}").isNull() | F.coalesce(F.col(f"r_{c}") == F.col(c), F.lit(False)))
@@ -229,7 +229,9 @@ def suppressed_by(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """
     rows = rule_rows(rules)
     long = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("tool", "category", "file", "low", "glob", "reason")), F.lit(100)).cast("long")
-    sizes = {(r.side, r.bits, r.n or 0): r.size for r in rows.groupBy("side", "bits", F.length("anchor").alias("n")).agg(F.sum(long).alias("size")).collect()}  # some hundreds at most
+    each = rows.groupBy("side", "bits", F.length("anchor").alias("n"), "tool", "category").agg(F.sum(long).alias("size"))
+    head = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("tool", "category")), F.lit(100)).cast("long")
+    sizes = {(r.side, r.bits, r.n or 0): (r.size, r.heads) for r in each.groupBy("side", "bits", "n").agg(F.sum("size").alias("size"), F.sum(head).alias("heads")).collect()}  # some hundreds at most
     shapes = list(sizes)
     quote = F.lower(F.coalesce("quote", F.lit("")))
     if any(side for side, _, _ in shapes):  # they are read for each side and once more
@@ -239,13 +241,13 @@ def suppressed_by(findings: DataFrame, rules: DataFrame) -> DataFrame:
     for b in sorted({b for side, b, _ in shapes if side == ""}):
         names = [name for k, name in enumerate(_WHOLE) if b >> k & 1]
         mine = rows.where((F.col("side") == "") & (F.col("bits") == b)).select(*names, F.struct("ord", "reason").alias(f"__whole{b}"))
-        out = out.join(_sized(mine, sizes["", b, 0]), names, "left")
+        out = out.join(_sized(mine, sizes["", b, 0][0]), names, "left")
         first.append(F.col(f"__whole{b}"))
     for side, value in (("file", "file"), ("quote", "__quote")):
         mine = sorted((b, n) for s, b, n in shapes if s == side)
         if not mine:
             continue
-        fitting = _fitting(out, rows, side, mine, value, sum(sizes[side, b, n] for b, n in mine))
+        fitting = _fitting(out, rows, side, mine, value, *map(sum, zip(*(sizes[side, b, n] for b, n in mine))))
         keys = ["tool", "category", value]
         there = fitting.select(*(F.col(c).alias(f"__r_{c}") for c in keys), f"__by_{side}")
         out = out.join(there, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys], "left").drop(*(f"__r_{c}" for c in keys))
